@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from altloom.functions.fixed import SPACE
+from altloom.functions.fixed import ASCII_SPACE, SPACE, SPACE_CHARS
 
 ColumnLike = Column | str
 
@@ -23,12 +23,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: ColumnLike) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col(c), F.lit(SPACE_CHARS))
 
 
 def squash(c: ColumnLike) -> Column:
-    """White space runs become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    """White space runs become one blank; ends are trimmed.
+
+    Plain ASCII text takes the cheaper class.
+    """
+
+    def runs(t: Column) -> Column:
+        plain = F.octet_length(t) == F.length(t)
+        return F.trim(
+            F.when(plain, F.regexp_replace(t, f"{ASCII_SPACE}+", " ")).otherwise(F.regexp_replace(t, f"{SPACE}+", " "))
+        )
+
+    return let(col(c), runs)
 
 
 def words(c: ColumnLike) -> Column:
@@ -37,12 +47,11 @@ def words(c: ColumnLike) -> Column:
 
 
 def word_count(c: ColumnLike) -> Column:
-    text = squash(c)
-    return F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit(" ")) + 1)
+    return F.regexp_count(col(c), F.lit(f"[^{SPACE[1:]}+"))
 
 
 def is_blank(c: ColumnLike) -> Column:
-    return F.coalesce(~col(c).rlike(f"[^{SPACE[1:]}"), F.lit(True))
+    return F.coalesce(strip(c) == "", F.lit(True))
 
 
 def any_of(texts: Iterable[str], ignore_case: bool = False) -> str:

@@ -16,8 +16,10 @@ from altloom.functions.base import (
 
 def end_mark(c: ColumnLike) -> Column:
     """Close a text with a full stop unless it ends in ``.!?``."""
-    t = strip(F.coalesce(col(c), F.lit("")))
-    return F.when((t == "") | ends_sentence(t), t).otherwise(F.concat(t, F.lit(".")))
+    return let(
+        strip(F.coalesce(col(c), F.lit(""))),
+        lambda t: F.when((t == "") | ends_sentence(t), t).otherwise(F.concat(t, F.lit("."))),
+    )
 
 
 def first_filled(*options: Column) -> Column:
@@ -47,25 +49,39 @@ def truncate_sentence(c: ColumnLike, limit: int = fixed.ALT_LIMIT) -> Column:
     return let(squash(F.coalesce(col(c), F.lit(""))), cut)
 
 
+def occurrences(text: Column, part: Column) -> Column:
+    """How often a literal part occurs; the regex engine skips ahead by it."""
+    literal = F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.regexp_count(text, F.concat(F.lit("\\Q"), literal, F.lit("\\E")))
+
+
 def unique_sentences(c: ColumnLike) -> Column:
-    """Sentences in order, without repeats or sentences held by a longer one."""
-    parts = F.transform(
-        F.filter(F.split(squash(c), r"(?<=[.!?])\s+"), lambda p: p != ""),
-        lambda p: F.struct(F.trim(p, F.lit(" .")).alias("as_is"), F.lower(F.trim(p, F.lit(" ."))).alias("low")),
+    """Sentences in order, without repeats or sentences held by a longer one.
+
+    Containment is transitive, so what survives is the first copy of every
+    sentence found nowhere else. All distinct sentences are joined once; one
+    that occurs there a second time sits inside another.
+    """
+    parts = F.filter(
+        F.transform(F.split(squash(c), r"(?<=[.!?])\s+"), lambda p: F.trim(p, F.lit(" ."))), lambda p: p != ""
     )
 
-    def add(kept: Column, part: Column) -> Column:
-        held = F.exists(
-            kept,
-            lambda q: (q["low"] == part["low"])
-            | (q["low"].contains(part["low"]) & (F.length(part["as_is"]) <= F.length(q["as_is"]))),
-        )
-        return F.when(held, kept).otherwise(
-            F.concat(F.filter(kept, lambda q: ~part["low"].contains(q["low"])), F.array(part))
-        )
+    def spread(low: Column) -> Column:
+        return F.struct(low.alias("low"), F.array_join(F.array_distinct(low), "\x01").alias("joined"))
+
+    def keep(texts: Column) -> Column:
+        def alone(all_low: Column) -> Column:
+            def once(_: Column, n: Column) -> Column:
+                return let(
+                    F.get(all_low["low"], n),
+                    lambda p: (F.array_position(all_low["low"], p) == n + 1) & (occurrences(all_low["joined"], p) == 1),
+                )
+
+            return F.filter(texts, once)
 
-    none = F.filter(parts, lambda _: F.lit(False))
-    return F.transform(F.aggregate(parts, none, add), lambda q: q["as_is"])
+        return let(let(F.transform(texts, F.lower), spread), alone)
+
+    return let(parts, keep)
 
 
 def canonical_boilerplate(c: ColumnLike) -> Column:
@@ -145,13 +161,16 @@ def shrink(c: ColumnLike, limit: int = fixed.SHORT_LIMIT) -> Column:
 
 def first_words(c: ColumnLike, limit: int = 30) -> Column:
     """The text up to its first full stop if that fits, else the first words."""
-    text = F.coalesce(col(c), F.lit(""))
-    opening = F.concat(F.substring_index(text, ".", 1), F.lit("."))
-    return (
-        F.when(word_count(text) <= limit, strip(text))
-        .when(text.contains(".") & (word_count(opening) <= limit), strip(opening))
-        .otherwise(F.concat(F.array_join(F.slice(F.split(squash(text), " "), 1, limit), " "), F.lit("...")))
-    )
+
+    def cut(text: Column) -> Column:
+        opening = F.concat(F.substring_index(text, ".", 1), F.lit("."))
+        return (
+            F.when(word_count(text) <= limit, strip(text))
+            .when(text.contains(".") & (word_count(opening) <= limit), strip(opening))
+            .otherwise(F.concat(F.array_join(F.slice(F.split(squash(text), " "), 1, limit), " "), F.lit("...")))
+        )
+
+    return let(F.coalesce(col(c), F.lit("")), cut)
 
 
 def two_sentences(c: ColumnLike) -> Column:
@@ -171,8 +190,12 @@ def short_title(
     c: ColumnLike, limit: int = fixed.TITLE_LIMIT, prefixes: Sequence[str] = fixed.TITLE_PREFIXES
 ) -> Column:
     """A title cut at a sentence end or a blank late in the limit."""
-    t = strip(F.coalesce(col(c), F.lit("")))
-    t = F.when(F.upper(head(t, 9)) == "FALLBACK:", F.trim(F.substring(t, 10, 2147483647), F.lit(" .:-–—"))).otherwise(t)
+    t = let(
+        strip(F.coalesce(col(c), F.lit(""))),
+        lambda t: F.when(
+            F.upper(head(t, 9)) == "FALLBACK:", F.trim(F.substring(t, 10, 2147483647), F.lit(" .:-–—"))
+        ).otherwise(t),
+    )
     t = strip(F.regexp_replace(t, "^" + any_of(prefixes), ""))
     late = int(limit * 0.7) + 1
 
@@ -213,7 +236,7 @@ def dedupe_token(c: ColumnLike, token: str) -> Column:
     once = F.regexp_replace(once, rf"(?i)({token})(\s+[^.]{{0,30}}?\s+){token}", "$1$2")
     phrase = rf"Original {token} vector image[^.]*\."
     once = F.regexp_replace(once, rf"(?i)({phrase})(.+?)({phrase})", "$1$2")
-    t = F.regexp_replace(F.when(several, once).otherwise(t), f"{fixed.SPACE}+", " ")
+    t = squash(F.when(several, once).otherwise(t))
     return strip(F.regexp_replace(t, r"\s+([.,])", "$1"))
 
 

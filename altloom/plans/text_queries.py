@@ -282,31 +282,21 @@ TEMPLATED = f"({q.contains_any('{t}', fixed.TEMPLATED)})"
 
 @query(
     "write_gate_b22",
-    f"""WITH {views.ELEMENTS_SQL},
-p AS (SELECT shape_id, shape_type, generated_alt <> '' AS made,
-   CASE WHEN generated_alt <> '' THEN left(generated_alt, 190) ELSE shape_type || ' chart (' || height END AS proposed FROM elements),
-s AS (SELECT *, {q.strip('proposed')} AS t FROM p)
-SELECT shape_id,
-  CASE WHEN t = '' OR (shape_type = 'CONNECTOR' AND NOT made) OR {TEMPLATED.format(t='t')} OR NOT made OR NOT {LENIENT.format(t='t')}
+    f"""WITH s AS (SELECT conv_id, turn, role = 'assistant' AS made, (conv_id + turn) % 5 = 0 AS linked, {q.strip('text')} AS t FROM conversations)
+SELECT conv_id, turn,
+  CASE WHEN t = '' OR (linked AND NOT made) OR {TEMPLATED.format(t='t')} OR NOT made OR NOT {LENIENT.format(t='t')}
     THEN NULL ELSE t END AS policy_none,
-  CASE WHEN t = '' OR (shape_type = 'CONNECTOR' AND NOT made) OR {TEMPLATED.format(t='t')} OR NOT made THEN NULL ELSE t END AS policy_doc_only,
-  CASE WHEN t = '' OR (shape_type = 'CONNECTOR' AND NOT made) OR {TEMPLATED.format(t='t')}
+  CASE WHEN t = '' OR (linked AND NOT made) OR {TEMPLATED.format(t='t')} OR NOT made THEN NULL ELSE t END AS policy_doc_only,
+  CASE WHEN t = '' OR (linked AND NOT made) OR {TEMPLATED.format(t='t')}
     OR (NOT made AND NOT {GATE.format(t='lower(t)', known=q.quoted(fixed.GATE_KNOWN))}) THEN NULL ELSE t END AS policy_gated
 FROM s""",
 )
 def write_gate(spark, sf_dir):
-    made = F.col("generated_alt") != ""
-    e = views.elements(spark, sf_dir).select(
-        "shape_id",
-        "shape_type",
-        made.alias("made"),
-        F.when(made, F.left("generated_alt", F.lit(190)))
-        .otherwise(F.concat("shape_type", F.lit(" chart ("), F.col("height").cast("string"))).alias("proposed"),
-    )
+    made = F.col("role") == "assistant"
+    kind = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, "CONNECTOR").otherwise("PICTURE")
     named = {"policy_none": "none", "policy_doc_only": "doc-only", "policy_gated": "ppt-gated"}
-    return e.select(
-        "shape_id",
-        *[gates.write_gate("proposed", "shape_type", F.col("made"), ~F.col("made"), p).alias(n) for n, p in named.items()],
+    return views.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", *[gates.write_gate("text", kind, made, ~made, policy).alias(n) for n, policy in named.items()]
     )
 
 
