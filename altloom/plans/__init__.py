@@ -1,6 +1,6 @@
 """Registered queries over the driver tables."""
 
-from altloom.plans import describe_queries, text_queries  # noqa: F401
+from altloom.plans import classify_queries, describe_queries, text_queries  # noqa: F401
 from altloom.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
