@@ -152,16 +152,16 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     pairs = expected.select("key", strip("text").alias("expected")).join(
         actual.select("key", text_of("text").alias("actual")), "key"
     )
-    exact, level = F.col("expected") == F.col("actual"), compare_key("expected") == compare_key("actual")
+    exact, levelled = F.col("expected") == F.col("actual"), compare_key("expected") == compare_key("actual")
     diff = punct_diff("expected", "actual")
     return pairs.withColumn("__diff", diff).select(
         "key",
         exact.alias("exact"),
-        level.alias("level"),
-        mostly_same("expected", "actual").alias("similar"),
+        levelled.alias("levelled"),
+        mostly_same("expected", "actual").alias("mostly_same"),
         (F.length("actual") - F.length("expected")).alias("length_diff"),
         F.when(~exact, F.col("__diff.reason")).alias("punctuation"),
-        (~level & is_templated("actual")).alias("repair"),
+        (~levelled & is_templated("actual")).alias("repair"),
     )
 
 
@@ -170,8 +170,8 @@ def verify_summary(checked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("checked"),
         F.count_if("exact").alias("verified"),
         F.count_if(~F.col("exact")).alias("mismatches"),
-        F.count_if("level").alias("level"),
-        F.count_if("similar").alias("similar"),
+        F.count_if("levelled").alias("levelled"),
+        F.count_if("mostly_same").alias("mostly_same"),
         F.count_if("repair").alias("repairs"),
     )
 
