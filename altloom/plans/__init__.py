@@ -1,7 +1,8 @@
 """Registered queries over the driver tables."""
 
 from altloom.plans import (  # noqa: F401
-    aggregate_queries, classify_queries, describe_queries, join_queries, ordered_queries, text_queries,
+    aggregate_queries, classify_queries, describe_queries, join_queries, ordered_queries, source_queries,
+    text_queries,
 )
 from altloom.plans.registry import CHECKS, QUERIES
 
