@@ -1,20 +1,23 @@
 """Scans of slide decks and word documents.
 
-Files are opened in tasks, spread by file, into one row per package part; slide
-parts are then spread again and read shape by shape. Everything else, from
-picture hashes to keys and kinds, is joins and column expressions. A file that
-cannot be opened becomes a row in the error table, never a failed job.
+Files are opened in tasks, spread by file, into one row per package part;
+pictures are hashed there and their bytes dropped. The XML parts are spread
+again and read into narrow rows (shapes, drawings, relations, slide order,
+notes), which are written out once. Everything else, from picture hashes to keys
+and kinds, is joins and column expressions over those rows. A file that cannot
+be opened becomes a row in the error table, never a failed job.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +26,21 @@ from altloom.functions.geometry import emu_to_pt, emu_to_px
 from altloom.functions.keys import digest, instance_key
 from altloom.functions.review import existing_alt, lookup
 from altloom.operators.aggregates import slide_text as joined_text
+from altloom.session import materialize
 
 DECK_TYPES = ("pptx", "ppt")
-PART = "deck string, part string, content binary, error string"
+PART = "deck string, part string, content binary, media_key string, image_hash string, error string"
 DECK_PARTS = r"ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/[^/]+\.xml|slides/_rels/[^/]+\.rels|notesSlides/[^/]+\.xml|media/[^/]+)"
 DOCUMENT_PARTS = r"word/((document|header\d*|footer\d*)\.xml|_rels/(document|header\d*|footer\d*)\.xml\.rels|media/[^/]+)"
 
-SHAPE = (
-    "deck string, part string, seq int, shape_idx int, shape_id bigint, parent_id bigint, depth int, tag string, "
+# One narrow row per fact read from a part; ``kind`` tells which fields it fills.
+FACT = (
+    "kind string, deck string, part string, seq int, shape_idx int, shape_id bigint, parent_id bigint, depth int, tag string, "
     "shape_name string, descr string, title string, marked_decorative boolean, x bigint, y bigint, cx bigint, cy bigint, "
     "text string, fill_kind string, has_line boolean, text_box boolean, placeholder boolean, linked boolean, uri string, "
-    "rel_id string"
+    "rel_id string, target string, media_key string, image_hash string, error string"
 )
-RELATION = "deck string, part string, rel_id string, target string"
-DRAWING = "deck string, part string, seq int, name string, descr string, cx bigint, cy bigint, rel_id string"
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 SHAPE_TAGS = ("sp", "pic", "cxnSp", "graphicFrame", "grpSp")
 FILL_TAGS = {"noFill": "none", "solidFill": "solid", "gradFill": "gradient", "blipFill": "picture", "pattFill": "pattern"}
@@ -51,6 +55,10 @@ def scan_files(spark: SparkSession, path: str, exts: tuple[str, ...] = DECK_TYPE
     return reader.load(path).filter(name.rlike(wanted) & ~name.startswith("~$")).dropDuplicates(["path"])
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
 def local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -71,42 +79,114 @@ def paragraphs(node: ElementTree.Element) -> str:
 
 
 def package_parts(files: DataFrame, wanted: str) -> DataFrame:
-    """(deck, part, content, error) of the wanted parts of every package."""
+    """The wanted parts of every package; of media only the hashes."""
     pattern = re.compile(wanted)
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(path: str, content: bytes) -> list[dict]:
+        rows = []
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as package:
+                for part in filter(pattern.fullmatch, package.namelist()):
+                    data = package.read(part)
+                    row = {"deck": path, "part": part}
+                    if "/media/" in part:
+                        row |= {"media_key": hashlib.sha256(data).hexdigest(), "image_hash": hashlib.md5(data).hexdigest()}
+                    else:
+                        row["content"] = data
+                    rows.append(row)
+        except (zipfile.BadZipFile, OSError, RuntimeError) as problem:
+            rows = [{"deck": path, "error": f"{type(problem).__name__}: {problem}"}]
+        return rows
+
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(PART)
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as package:
-                        for part in package.namelist():
-                            if pattern.fullmatch(part):
-                                yield pd.DataFrame([(path, part, package.read(part), None)], columns=PART_COLUMNS)
-                except (zipfile.BadZipFile, OSError, RuntimeError) as problem:
-                    yield pd.DataFrame([(path, None, None, f"{type(problem).__name__}: {problem}")], columns=PART_COLUMNS)
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(opened(row["path"], row["content"]), schema=schema)
 
-    return files.select("path", "content").repartition("path").mapInPandas(unzip, PART)
+    return files.select("path", "content").repartition("path").mapInArrow(unzip, PART)
 
 
-PART_COLUMNS = ["deck", "part", "content", "error"]
+def facts(parts: DataFrame) -> DataFrame:
+    """Every part read once, by what it is; the narrow rows are written out."""
 
+    def told(row: dict) -> list[dict]:
+        base = {"deck": row["deck"], "part": row["part"]}
+        if row["error"] is not None:
+            return [base | {"kind": "error", "error": row["error"]}]
+        if row["media_key"] is not None:
+            return [base | {"kind": "media", "media_key": row["media_key"], "image_hash": row["image_hash"]}]
+        try:
+            return [base | fact for fact in part_facts(row["part"], ElementTree.fromstring(row["content"]))]
+        except ElementTree.ParseError as problem:
+            return [base | {"kind": "error", "error": f"ParseError: {problem}"}]
 
-def relations(parts: DataFrame) -> DataFrame:
-    """Relation targets, as full part names, of every part that has any."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(FACT)
         for batch in batches:
-            rows = []
-            for deck, part, content in zip(batch["deck"], batch["part"], batch["content"]):
-                folder, _, name = part.replace("_rels/", "").removesuffix(".rels").rpartition("/")
-                for node in ElementTree.fromstring(content):
-                    steps = folder.split("/")
-                    for step in (node.get("Target") or "").split("/"):
-                        steps = steps[:-1] if step == ".." else [*steps, step]
-                    rows.append((deck, f"{folder}/{name}", node.get("Id"), "/".join(steps)))
-            yield pd.DataFrame(rows, columns=["deck", "part", "rel_id", "target"])
-
-    return parts.filter(F.col("part").endswith(".rels")).select("deck", "part", "content").mapInPandas(read, RELATION)
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(told(row), schema=schema)
+
+    return materialize(parts.repartition("deck", "part").mapInArrow(read, FACT))
+
+
+def part_facts(part: str, root: ElementTree.Element) -> list[dict]:
+    """Facts of one XML part."""
+    if part.endswith(".rels"):
+        folder, _, name = part.replace("_rels/", "").removesuffix(".rels").rpartition("/")
+        return [
+            {"kind": "link", "part": f"{folder}/{name}", "rel_id": node.get("Id"), "target": full_name(folder, node.get("Target") or "")}
+            for node in root
+        ]
+    if part == "ppt/presentation.xml":
+        shown = (n for n in root.iter() if local(n.tag) == "sldId")
+        ids = (next((v for k, v in n.attrib.items() if k.endswith("}id")), None) for n in shown)
+        return [{"kind": "order", "rel_id": rel, "seq": n} for n, rel in enumerate(ids)]
+    if part.startswith("ppt/notesSlides/"):
+        spoken = (paragraphs(n).strip() for n in root.iter() if local(n.tag) == "sp")
+        return [{"kind": "notes", "text": " ".join(t for t in spoken if t)}]
+    if part.startswith("ppt/slides/"):
+        return slide_facts(root)
+    return drawing_facts(root)
+
+
+def full_name(folder: str, target: str) -> str:
+    steps = [] if target.startswith("/") else folder.split("/")
+    for step in target.strip("/").split("/"):
+        steps = steps[:-1] if step == ".." else [*steps, step]
+    return "/".join(steps)
+
+
+def slide_facts(root: ElementTree.Element) -> list[dict]:
+    """Shapes of a slide in reading order, groups before their children."""
+    found: list[dict] = []
+
+    def visit(node: ElementTree.Element, parent: int | None, depth: int) -> None:
+        for number, child in enumerate(n for n in node if local(n.tag) in SHAPE_TAGS):
+            row = shape_row(child)
+            found.append({"kind": "shape", "seq": len(found), "shape_idx": number, "parent_id": parent, "depth": depth, **row})
+            if row["tag"] == "grpSp":
+                visit(child, row["shape_id"], depth + 1)
+
+    tree = first(root, "spTree")
+    if tree is not None:
+        visit(tree, None, 0)
+    return found
+
+
+def drawing_facts(root: ElementTree.Element) -> list[dict]:
+    """Drawings of a document part."""
+    found = []
+    for n, node in enumerate(n for n in root.iter() if local(n.tag) == "drawing"):
+        prop, extent = first(node, "docPr"), first(node, "extent")
+        found.append(
+            {
+                "kind": "drawing", "seq": n, "shape_name": attribute(prop, "name"), "descr": attribute(prop, "descr"),
+                "cx": int(attribute(extent, "cx") or 0), "cy": int(attribute(extent, "cy") or 0),
+                "rel_id": attribute(first(node, "blip"), "embed"),
+            }
+        )
+    return found
 
 
 def shape_row(node: ElementTree.Element) -> dict:
@@ -141,71 +221,6 @@ def shape_row(node: ElementTree.Element) -> dict:
     }
 
 
-def slide_shapes(parts: DataFrame) -> DataFrame:
-    """Shapes of every slide in reading order, groups before their children."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for deck, part, content in zip(batch["deck"], batch["part"], batch["content"]):
-                tree = first(ElementTree.fromstring(content), "spTree")
-                waiting = [] if tree is None else [(tree, None, 0)]
-                rows: list[dict] = []
-
-                def visit(node, parent, depth):
-                    for number, child in enumerate(n for n in node if local(n.tag) in SHAPE_TAGS):
-                        row = shape_row(child)
-                        rows.append({"deck": deck, "part": part, "seq": len(rows), "shape_idx": number, "parent_id": parent, "depth": depth, **row})
-                        if row["tag"] == "grpSp":
-                            visit(child, row["shape_id"], depth + 1)
-
-                for start in waiting:
-                    visit(*start)
-                frame = pd.DataFrame(rows, columns=SHAPE_COLUMNS)
-                frame["parent_id"] = frame["parent_id"].astype("Int64")
-                yield frame
-
-    slides = parts.filter(F.col("part").rlike(r"^ppt/slides/[^/]+\.xml$")).select("deck", "part", "content")
-    return slides.repartition("deck", "part").mapInPandas(read, SHAPE)
-
-
-SHAPE_COLUMNS = [c.split()[0] for c in SHAPE.split(", ")]
-
-
-def notes_texts(parts: DataFrame) -> DataFrame:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (deck, part, " ".join(t for t in (paragraphs(s).strip() for s in ElementTree.fromstring(content).iter() if local(s.tag) == "sp") if t))
-                for deck, part, content in zip(batch["deck"], batch["part"], batch["content"])
-            ]
-            yield pd.DataFrame(rows, columns=["deck", "target", "slide_notes"])
-
-    notes = parts.filter(F.col("part").startswith("ppt/notesSlides/")).select("deck", "part", "content")
-    return notes.mapInPandas(read, "deck string, target string, slide_notes string")
-
-
-def slide_order(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Number of every slide part in its presentation."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (deck, attribute_of_relation(node), n)
-                for deck, content in zip(batch["deck"], batch["content"])
-                for n, node in enumerate(s for s in ElementTree.fromstring(content).iter() if local(s.tag) == "sldId")
-            ]
-            yield pd.DataFrame(rows, columns=["deck", "rel_id", "slide_idx"])
-
-    shown = parts.filter("part = 'ppt/presentation.xml'").select("deck", "content")
-    order = shown.mapInPandas(read, "deck string, rel_id string, slide_idx int")
-    targets = links.filter("part = 'ppt/presentation.xml'").select("deck", "rel_id", F.col("target").alias("part"))
-    return order.join(targets, ["deck", "rel_id"]).select("deck", "part", "slide_idx")
-
-
-def attribute_of_relation(node: ElementTree.Element) -> str | None:
-    return next((v for k, v in node.attrib.items() if k.endswith("}id")), None)
-
-
 def shape_kind() -> Column:
     """Kind of a shape from its tag and marks."""
     uri = F.coalesce("uri", F.lit(""))
@@ -225,18 +240,22 @@ def shape_kind() -> Column:
 
 def deck_elements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements, errors) of slide decks given as (path, content)."""
-    parts = package_parts(files, DECK_PARTS)
-    errors = parts.filter("error IS NOT NULL").select("deck", "error")
-    good = parts.filter("error IS NULL")
-    links = relations(good)
-    media = good.filter(F.col("part").startswith("ppt/media/")).select(
-        "deck", F.col("part").alias("target"), digest("content", "sha256").alias("media_key"), digest("content", "md5").alias("image_hash")
+    read = facts(package_parts(files, DECK_PARTS))
+
+    def of(kind: str) -> DataFrame:
+        return read.filter(F.col("kind") == kind)
+
+    links = of("link").select("deck", "part", "rel_id", "target")
+    media = of("media").select("deck", F.col("part").alias("target"), "media_key", "image_hash")
+    order = of("order").select("deck", "part", "rel_id", F.col("seq").alias("slide_idx")).join(links, ["deck", "part", "rel_id"])
+    shapes = of("shape").drop("kind", "target", "media_key", "image_hash", "error").join(
+        order.select("deck", F.col("target").alias("part"), "slide_idx"), ["deck", "part"]
     )
-    shapes = slide_shapes(good).join(slide_order(good, links), ["deck", "part"])
     pictures = links.join(media, ["deck", "target"]).select(
         "deck", "part", "rel_id", F.element_at(F.split("target", "/"), -1).alias("file_name"), "media_key", "image_hash"
     )
-    notes = links.join(notes_texts(good), ["deck", "target"]).select("deck", "part", F.left("slide_notes", F.lit(300)).alias("slide_notes"))
+    spoken = of("notes").select("deck", F.col("part").alias("target"), F.left("text", F.lit(300)).alias("slide_notes"))
+    notes = links.join(spoken, ["deck", "target"]).select("deck", "part", "slide_notes")
     texts = joined_text(
         shapes.filter("depth = 0").select("deck", "part", "seq", "text"), ["deck", "part"], "seq", 500
     ).select("deck", "part", "slide_text")
@@ -269,33 +288,22 @@ def deck_elements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("slide_notes", F.lit("")).alias("slide_notes"),
         F.col("seq").alias("z_order"),
     )
-    return elements, errors
+    return elements, of("error").select("deck", "part", "error")
 
 
 def document_drawings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(drawings, errors) of word documents: body, headers and footers."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for deck, part, content in zip(batch["deck"], batch["part"], batch["content"]):
-                drawings = (n for n in ElementTree.fromstring(content).iter() if local(n.tag) == "drawing")
-                for n, node in enumerate(drawings):
-                    prop, extent = first(node, "docPr"), first(node, "extent")
-                    rows.append(
-                        (deck, part, n, attribute(prop, "name"), attribute(prop, "descr"), int(attribute(extent, "cx") or 0),
-                         int(attribute(extent, "cy") or 0), attribute(first(node, "blip"), "embed"))
-                    )
-            yield pd.DataFrame(rows, columns=["deck", "part", "seq", "name", "descr", "cx", "cy", "rel_id"])
-
-    parts = package_parts(files, DOCUMENT_PARTS)
-    good = parts.filter("error IS NULL")
-    texts = good.filter(F.col("part").rlike(r"^word/[^/]+\.xml$")).select("deck", "part", "content")
-    drawn = texts.repartition("deck", "part").mapInPandas(read, DRAWING)
-    images = good.filter(F.col("part").startswith("word/media/") & F.col("part").rlike("(?i)\\.(png|jpe?g|gif|bmp|tiff?|svg|wmf|emf)$"))
-    hashed = images.select("deck", F.col("part").alias("target"), digest("content", "sha256", 16).alias("image_hash"))
-    found = relations(good).join(hashed, ["deck", "target"]).select("deck", "part", "rel_id", "image_hash")
-    drawings = drawn.join(found, ["deck", "part", "rel_id"], "left").select(
-        "deck", "part", "seq", "name", "descr", (emu_to_px("cx") * emu_to_px("cy")).alias("pixels"), "rel_id", "image_hash"
+    read = facts(package_parts(files, DOCUMENT_PARTS))
+    is_image = F.col("part").rlike("(?i)\\.(png|jpe?g|gif|bmp|tiff?|svg|wmf|emf)$")
+    media = read.filter((F.col("kind") == "media") & is_image).select(
+        "deck", F.col("part").alias("target"), F.left("media_key", F.lit(16)).alias("image_hash")
+    )
+    links = read.filter("kind = 'link'").select("deck", "part", "rel_id", "target").join(media, ["deck", "target"])
+    drawings = read.filter("kind = 'drawing'").drop("image_hash").join(
+        links.select("deck", "part", "rel_id", "image_hash"), ["deck", "part", "rel_id"], "left"
     )
-    return drawings, parts.filter("error IS NOT NULL").select("deck", "error")
+    return drawings.select(
+        "deck", "part", "seq", F.col("shape_name").alias("name"), "descr", (emu_to_px("cx") * emu_to_px("cy")).alias("pixels"),
+        "rel_id", "image_hash",
+    ), read.filter("kind = 'error'").select("deck", "part", "error")

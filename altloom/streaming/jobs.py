@@ -20,8 +20,9 @@ BREAKER_STATE = "state string, failures int, successes int, last_failure double,
 
 def stream_files(spark: SparkSession, path: str, exts: str = "[pP][pP][tT][xX]", per_trigger: int = 1000) -> DataFrame:
     """New files under a folder, each once; the checkpoint is the memory."""
+    fields = "path string, modificationTime timestamp, length bigint, content binary"
     return (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        spark.readStream.format("binaryFile").schema(fields).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*.{exts}").option("maxFilesPerTrigger", per_trigger).load(path)
     ).filter(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
 

@@ -84,8 +84,12 @@ ELEMENTS_SQL = """elements AS (
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per provider call."""
+    return attempts_of(table(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     failed = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("attempt_id"),
         "ts",
         F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("provider"),
