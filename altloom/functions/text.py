@@ -114,7 +114,7 @@ def collapse_repeats(c: ColumnLike) -> Column:
     def keep_longest(text: Column) -> Column:
         pieces = F.split(text, marker)
         tails = F.transform(
-            F.slice(pieces, 2, 2147483647), lambda p, n: F.struct(F.length(p).alias("size"), (-n).alias("back"), p.alias("tail"))
+            F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, n: F.struct(F.length(p).alias("size"), (-n).alias("back"), p.alias("tail"))
         )
         return F.when(F.size(pieces) > 2, F.concat(F.lit(marker), F.array_max(tails)["tail"])).otherwise(text)
 
