@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from altloom.functions.fixed import ASCII_SPACE, SPACE, SPACE_CHARS
 
 ColumnLike = Column | str
+NOT_SPACE = f"[^{SPACE[1:]}"
 
 
 def col(c: ColumnLike) -> Column:
@@ -47,21 +48,47 @@ def words(c: ColumnLike) -> Column:
 
 
 def word_count(c: ColumnLike) -> Column:
-    return F.regexp_count(col(c), F.lit(f"[^{SPACE[1:]}+"))
+    return F.regexp_count(col(c), F.lit(f"{NOT_SPACE}+"))
+
+
+def has_more_words(c: ColumnLike, n: int) -> Column:
+    """More than ``n`` words; the match ends at the first one too many."""
+    return col(c).rlike(f"^{SPACE}*(?:{NOT_SPACE}+{SPACE}+){{{n}}}{NOT_SPACE}")
+
+
+def leading_words(c: ColumnLike, n: int) -> Column:
+    """The first ``n`` words of a text that has at least as many."""
+    found = F.regexp_extract(col(c), f"^{SPACE}*((?:{NOT_SPACE}+{SPACE}+){{{n - 1}}}{NOT_SPACE}+)", 1)
+    return squash(found)
 
 
 def is_blank(c: ColumnLike) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
 
 
-def any_of(texts: Iterable[str], ignore_case: bool = False) -> str:
-    """One alternation of literal texts, in their order."""
-    flag = "(?iu)" if ignore_case else ""
-    return flag + "(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in texts) + ")"
+def literal(text: str) -> str:
+    return re.escape(text).replace(r"\ ", " ")
+
+
+def any_of(texts: Iterable[str]) -> str:
+    """One alternation of literal texts, tried in their order."""
+    return "(?:" + "|".join(literal(t) for t in texts) + ")"
+
+
+def by_first(patterns: Iterable[str]) -> str:
+    """An alternation grouped by first character, for tests without order.
+
+    Where a text cannot start, one look at the character is enough.
+    """
+    groups: dict[str, list[str]] = {}
+    for pattern in dict.fromkeys(patterns):
+        size = 2 if pattern.startswith("\\") else 1
+        groups.setdefault(pattern[:size], []).append(pattern[size:])
+    return "(?:" + "|".join(f"{start}(?:{'|'.join(rest)})" for start, rest in groups.items()) + ")"
 
 
 def has_any(c: ColumnLike, texts: Iterable[str]) -> Column:
-    return col(c).rlike(any_of(texts))
+    return col(c).rlike(by_first(literal(t) for t in texts))
 
 
 def count_present(c: ColumnLike, texts: Iterable[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from altloom.functions import fixed
 from altloom.functions.base import (
-    ColumnLike, col, ends_sentence, has_any, is_blank, let, squash, strip, word_count, words,
+    ColumnLike, col, ends_sentence, has_any, has_more_words, is_blank, let, squash, strip, words,
 )
 from altloom.functions.text import normalize_universal
 
@@ -26,7 +26,7 @@ def is_skip_value(c: ColumnLike, values: Sequence[str] = fixed.SKIP_VALUES) -> C
 
 def runs_on(c: ColumnLike) -> Column:
     """More than six words and no closing mark."""
-    return (word_count(c) > 6) & ~ends_sentence(strip(c))
+    return has_more_words(c, 6) & ~ends_sentence(strip(c))
 
 
 def is_placeholder(c: ColumnLike, patterns: Sequence[str] = fixed.PLACEHOLDER_PATTERNS) -> Column:
@@ -66,7 +66,7 @@ def passes_gate(
             & (F.length(t) <= 140)
             & ~has_any(t, blocked)
             & ~runs_on(t)
-            & ((word_count(t) < 3) | knows)
+            & (~has_more_words(t, 2) | knows)
         )
 
     return let(F.lower(strip(F.coalesce(col(c), F.lit("")))), test)

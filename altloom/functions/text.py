@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from altloom.functions import fixed
 from altloom.functions.base import (
-    ColumnLike, any_of, capitalize_first, col, count_present, ends_sentence, has_any, head, is_blank, let, squash,
-    strip, word_count, words,
+    ColumnLike, any_of, capitalize_first, col, count_present, ends_sentence, has_any, has_more_words, head,
+    leading_words, let, squash, strip,
 )
 
 
@@ -165,9 +165,9 @@ def first_words(c: ColumnLike, limit: int = 30) -> Column:
     def cut(text: Column) -> Column:
         opening = F.concat(F.substring_index(text, ".", 1), F.lit("."))
         return (
-            F.when(word_count(text) <= limit, strip(text))
-            .when(text.contains(".") & (word_count(opening) <= limit), strip(opening))
-            .otherwise(F.concat(F.array_join(F.slice(F.split(squash(text), " "), 1, limit), " "), F.lit("...")))
+            F.when(~has_more_words(text, limit), strip(text))
+            .when(text.contains(".") & ~has_more_words(opening, limit), strip(opening))
+            .otherwise(F.concat(leading_words(text, limit), F.lit("...")))
         )
 
     return let(F.coalesce(col(c), F.lit("")), cut)
@@ -296,7 +296,7 @@ def post_process(c: ColumnLike, limit: int = fixed.SHORT_LIMIT, max_words: int =
     """What a generated text goes through: summary, prefix, length, mark."""
 
     def summary(t: Column) -> Column:
-        return F.when((word_count(t) > max_words) | t.endswith("..."), first_words(t, max_words)).otherwise(t)
+        return F.when(has_more_words(t, max_words) | t.endswith("..."), first_words(t, max_words)).otherwise(t)
 
     return end_mark(shrink(strip_vague_prefix(let(strip(F.coalesce(col(c), F.lit(""))), summary)), limit))
 
@@ -304,7 +304,4 @@ def post_process(c: ColumnLike, limit: int = fixed.SHORT_LIMIT, max_words: int =
 def cut_tokens(c: ColumnLike, tokens: int) -> Column:
     """Roughly ``tokens`` tokens, at 1.3 tokens a word."""
     most = int(tokens / 1.3)
-    parts = F.split(squash(c), " ")
-    return F.when(word_count(c) <= most, col(c)).otherwise(
-        F.concat(F.array_join(F.slice(parts, 1, most), " "), F.lit("..."))
-    )
+    return F.when(has_more_words(c, most), F.concat(leading_words(c, most), F.lit("..."))).otherwise(col(c))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altloom.functions import rules
-from altloom.functions.base import ColumnLike, col, count_present, has_any, is_blank, let, strip, word_count
+from altloom.functions.base import ColumnLike, by_first, col, count_present, has_any, has_more_words, is_blank, let, strip
 from altloom.functions.describe import stub
 from altloom.functions.gates import is_skip_value, passes_gate
 from altloom.functions.geometry import area, aspect_ratio, parse_area
@@ -29,7 +29,9 @@ def first_rule(*cases: tuple[Column, object]) -> Column:
 
 
 def whole_words(banks: Sequence[str]) -> str:
-    return r"(?U)\b(?:" + "|".join(banks) + r")\b"
+    """A bank is words parted by bars; together they match as whole words."""
+    words = [word for bank in banks for word in bank.split("|")]
+    return rf"(?<![\p{{L}}\p{{N}}_]){by_first(words)}(?![\p{{L}}\p{{N}}_])"
 
 
 # --- kinds -----------------------------------------------------------------
@@ -194,7 +196,7 @@ def is_text_content(shape_type: ColumnLike, text: ColumnLike, has_frame: Column)
 def is_title_area(name: ColumnLike, text: ColumnLike, w: ColumnLike, h: ColumnLike, top: ColumnLike) -> Column:
     """A title by name, or by place and form."""
     t = strip(F.coalesce(col(text), F.lit("")))
-    title_like = t.rlike("|".join(rules.TITLE_TEXTS)) | ((word_count(t) <= 8) & (F.length(t) <= 60))
+    title_like = t.rlike("|".join(rules.TITLE_TEXTS)) | (~has_more_words(t, 8) & (F.length(t) <= 60))
     return has_any(F.lower(col(name)), rules.TITLE_NAMES) | (
         (col(top) <= 180) & (((col(w) > 200) & (col(h) > 30)) | ((F.length(t) > 2) & title_like))
     )

@@ -102,12 +102,11 @@ def match_keys(keys: DataFrame, elements: DataFrame) -> DataFrame:
     ).select("deck", "key", "r.rule", "r.by").filter("by IS NOT NULL")
     place = F.concat(F.lit("at "), F.col("slide_idx").cast("string"), F.lit(" "), F.col("shape_id").cast("string"))
     offered = elements.select("deck", "element_key", "position", F.explode(F.array("element_key", place)).alias("by"))
-    best = F.min_by(F.struct("rule", "element_key"), F.struct("rule", "position")).alias("m")
-    direct = asked.join(offered, ["deck", "by"]).groupBy("deck", "key").agg(best)
+    direct = asked.join(offered, ["deck", "by"]).select("deck", "key", "rule", "element_key", "position")
 
-    # The rest by hash. Eight-character pieces make the substring test an equi
-    # join; shorter hashes meet the elements of their slide.
-    open_keys = parsed.join(direct, ["deck", "key"], "left_anti").filter("slide IS NOT NULL AND hash IS NOT NULL")
+    # By hash: eight-character pieces make the substring test an equi join;
+    # shorter hashes meet the elements of their slide.
+    hashed = parsed.filter("slide IS NOT NULL AND hash IS NOT NULL").select("deck", "key", "slide", "hash", F.lit(9).alias("rule"))
     whole = elements.filter(F.coalesce("image_hash", F.lit("")) != "").select(
         "deck", F.col("slide_idx").alias("slide"), "element_key", "position", "image_hash"
     )
@@ -117,15 +116,13 @@ def match_keys(keys: DataFrame, elements: DataFrame) -> DataFrame:
     long_enough = whole.filter(F.length("image_hash") >= GRAM).select("*", F.explode(F.array_distinct(pieces)).alias("gram"))
     holds = F.col("image_hash").contains(F.col("hash"))
     by_piece = (
-        open_keys.filter(F.length("hash") >= GRAM).withColumn("gram", F.left("hash", F.lit(GRAM)))
-        .join(long_enough, ["deck", "slide", "gram"]).filter(holds).select("deck", "key", "element_key", "position")
-    )
-    by_slide = (
-        open_keys.filter(F.length("hash") < GRAM).join(whole, ["deck", "slide"]).filter(holds)
-        .select("deck", "key", "element_key", "position")
+        hashed.filter(F.length("hash") >= GRAM).withColumn("gram", F.left("hash", F.lit(GRAM)))
+        .join(long_enough, ["deck", "slide", "gram"]).filter(holds).select(direct.columns)
     )
-    hashed = by_piece.unionByName(by_slide).withColumn("rule", F.lit(9)).groupBy("deck", "key").agg(best)
-    return direct.unionByName(hashed).select("deck", "key", "m.rule", "m.element_key")
+    by_slide = hashed.filter(F.length("hash") < GRAM).join(whole, ["deck", "slide"]).filter(holds).select(direct.columns)
+    best = F.min_by(F.struct("rule", "element_key"), F.struct("rule", "position")).alias("m")
+    found = direct.unionByName(by_piece).unionByName(by_slide).groupBy("deck", "key").agg(best)
+    return found.select("deck", "key", "m.rule", "m.element_key")
 
 
 def missing(elements: DataFrame, texts: DataFrame, key: str = "key") -> DataFrame:

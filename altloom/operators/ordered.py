@@ -31,16 +31,32 @@ def image_number(df: DataFrame) -> DataFrame:
 
 
 def streaks(attempts: DataFrame) -> DataFrame:
-    """Failures in a row at every attempt; zero after a success."""
-    failed = (~F.col("success")).cast("bigint")
-    cut = cut_pieces(attempts, ["provider"], ["ts", "attempt_id"])
-    counted = running_over(cut, ["provider"], ["ts", "attempt_id"], {"__failed": ("sum", failed)})
-    based = running_over(
-        counted, ["provider"], ["ts", "attempt_id"],
-        {"__base": ("max", F.when(F.col("success"), F.col("__failed")))},
+    """Failures in a row at every attempt; zero after a success.
+
+    Inside a piece: failures so far less failures at the latest success. Before
+    the first success of a piece the tail of the earlier pieces is added, back
+    to the last one with a success.
+    """
+    keys, order = ["provider"], ["ts", "attempt_id"]
+    local = Window.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    failed = (
+        cut_pieces(attempts, keys, order)
+        .withColumn("__failed", F.sum((~F.col("success")).cast("bigint")).over(local))
+        .withColumn("__base", F.max(F.when(F.col("success"), F.col("__failed"))).over(local))
+        .withColumn("streak", F.col("__failed") - F.coalesce("__base", F.lit(0)))
+    )
+    pieces = failed.groupBy(*keys, PIECE).agg(
+        F.max_by("streak", F.struct(*order)).alias("tail"), F.bool_or("success").alias("broke")
     )
-    streak = F.col("__failed") - F.coalesce("__base", F.lit(0))
-    return based.withColumn("streak", streak).drop("__failed", "__base", PIECE)
+    along = Window.partitionBy(*keys).orderBy(PIECE)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    summed = pieces.withColumn("so_far", F.sum("tail").over(along))
+    cut_at = F.max(F.when(F.col("broke"), F.col("so_far") - F.col("tail"))).over(earlier)
+    into = F.lag("so_far").over(along) - F.coalesce(cut_at, F.lit(0))
+    carry = summed.withColumn("__into", into).filter("__into > 0").select(*keys, PIECE, "__into")
+    joined = failed.join(F.broadcast(carry), [*keys, PIECE], "left")
+    whole = F.col("streak") + F.when(F.col("__base").isNull(), F.coalesce("__into", F.lit(0))).otherwise(0)
+    return joined.withColumn("streak", whole).select(*attempts.columns, "streak")
 
 
 def next_retry(attempts: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "
     text may replace an existing one even in preserve mode). ``current``: key,
     text. ``written``: key, text_hash of earlier runs. A second run is empty.
     """
-    gated = plan.select(
-        "key", "forced",
-        write_gate(
-            finalize_alt(normalize_universal("text")), "kind", F.col("is_generated"), F.col("is_fallback"), policy
-        ).alias("new_alt"),
-    ).filter("new_alt IS NOT NULL")
+    gate = write_gate(
+        finalize_alt(normalize_universal("text")), "kind", F.col("is_generated"), F.col("is_fallback"), policy
+    )
+    # Exploding what the gate lets through drops the nulls and, unlike a filter,
+    # does not make Spark work the text out twice.
+    gated = plan.select("key", "forced", F.explode(F.array_compact(F.array(gate))).alias("new_alt"))
     compared = gated.join(current.select("key", F.col("text").alias("old_alt")), "key", "left")
     guarded = is_meaningful("old_alt") & ~F.col("forced") if mode == "preserve" else F.lit(False)
     changed = compared.filter(~guarded).filter(needs_replace("old_alt", "new_alt"))

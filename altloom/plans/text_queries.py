@@ -15,7 +15,7 @@ OCCURRING_WORDS = ["the", "of", "and", "une", "die"]
 
 
 def documents(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return views.texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
 
 
 def over_documents(name: str, check: str, **columns):
@@ -205,7 +205,7 @@ def over_turns(name, check, **columns):
     """Register a query that adds columns to every conversation turn."""
 
     def run(spark, sf_dir):
-        turns = views.table(spark, sf_dir, "conversations")
+        turns = views.texts(spark, sf_dir, "conversations", "conv_id")
         return turns.select("conv_id", "turn", *[make("text").alias(alias) for alias, make in columns.items()])
 
     return query(name, check)(run)

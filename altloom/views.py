@@ -22,13 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share where a table comes in fewer splits than cores.
+
+    Text rules are bound by the processor. A large table has more splits than
+    cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), key)
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per visual element."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents", "doc_id")
     i, text = F.col("doc_id"), F.col("text")
     shape_idx = i % 12
     shape_type = F.when(shape_idx < 3, "GROUP").otherwise(pick(SHAPE_TYPES, i))
