@@ -21,7 +21,9 @@ def is_meaningful(c: ColumnLike, tokens: Sequence[str] = fixed.SKIP_TOKENS) -> C
 
 def is_skip_value(c: ColumnLike, values: Sequence[str] = fixed.SKIP_VALUES) -> Column:
     """Exact, case-sensitive skip list; blank text is skipped too."""
-    return F.coalesce((col(c) == "") | strip(c).isin(list(values)), F.lit(True))
+    return F.coalesce(strip(c).isin([*values, ""]), F.lit(True)) if "" in values else let(
+        col(c), lambda t: F.coalesce((t == "") | strip(t).isin(list(values)), F.lit(True))
+    )
 
 
 def runs_on(c: ColumnLike) -> Column:
@@ -73,8 +75,10 @@ def passes_gate(
 
 
 def passes_lenient(c: ColumnLike, blocked: Sequence[str] = fixed.LENIENT_BLOCKED) -> Column:
-    t = strip(F.coalesce(col(c), F.lit("")))
-    return (t != "") & (F.length(t) <= 200) & ~has_any(F.lower(t), blocked)
+    return let(
+        strip(F.coalesce(col(c), F.lit(""))),
+        lambda t: (t != "") & (F.length(t) <= 200) & ~has_any(F.lower(t), blocked),
+    )
 
 
 def is_templated(c: ColumnLike) -> Column:
@@ -90,30 +94,35 @@ def write_gate(
     in_group: Column | None = None,
 ) -> Column:
     """The text to write, or null where the gate blocks it."""
-    t = strip(text)
     in_group = F.lit(False) if in_group is None else in_group
-    if policy == "none":
-        barred = ~is_generated | ~passes_lenient(t)
-    elif policy == "doc-only":
-        barred = is_fallback
-    elif policy == "ppt-gated":
-        barred = is_fallback & ~passes_gate(t)
-    else:
-        barred = F.lit(False)
-    blocked = (
-        is_blank(text)
-        | ((F.lower(col(kind)) == "connector") & ~is_generated)
-        | (is_fallback & in_group)
-        | is_templated(t)
-        | barred
-    )
-    return F.when(~blocked, t)
+
+    def gate(t: Column) -> Column:
+        if policy == "none":
+            barred = ~is_generated | ~passes_lenient(t)
+        elif policy == "doc-only":
+            barred = is_fallback
+        elif policy == "ppt-gated":
+            barred = is_fallback & ~passes_gate(t)
+        else:
+            barred = F.lit(False)
+        blocked = (
+            (t == "")
+            | ((F.lower(col(kind)) == "connector") & ~is_generated)
+            | (is_fallback & in_group)
+            | is_templated(t)
+            | barred
+        )
+        return F.when(~blocked, t)
+
+    return let(strip(text), gate)
 
 
 def is_error_text(c: ColumnLike, texts: Sequence[str] = fixed.ERROR_TEXTS, shortest: int = 0) -> Column:
     """A model's apology instead of a description."""
-    t = F.lower(strip(F.coalesce(col(c), F.lit(""))))
-    return (t == "") | (F.length(t) < shortest) | has_any(t, texts)
+    return let(
+        F.lower(strip(F.coalesce(col(c), F.lit("")))),
+        lambda t: (t == "") | (F.length(t) < shortest) | has_any(t, texts),
+    )
 
 
 def is_empty_placeholder(shape_type: ColumnLike, text: ColumnLike) -> Column:
