@@ -21,9 +21,7 @@ def is_meaningful(c: ColumnLike, tokens: Sequence[str] = fixed.SKIP_TOKENS) -> C
 
 def is_skip_value(c: ColumnLike, values: Sequence[str] = fixed.SKIP_VALUES) -> Column:
     """Exact, case-sensitive skip list; blank text is skipped too."""
-    return F.coalesce(strip(c).isin([*values, ""]), F.lit(True)) if "" in values else let(
-        col(c), lambda t: F.coalesce((t == "") | strip(t).isin(list(values)), F.lit(True))
-    )
+    return let(col(c), lambda t: F.coalesce((t == "") | strip(t).isin(list(values)), F.lit(True)))
 
 
 def runs_on(c: ColumnLike) -> Column:

@@ -101,14 +101,20 @@ def match_keys(keys: DataFrame, elements: DataFrame) -> DataFrame:
         "deck", "key", F.explode(F.array(*[F.struct(F.lit(n + 1).alias("rule"), r.alias("by")) for n, r in enumerate(rules)])).alias("r")
     ).select("deck", "key", "r.rule", "r.by").filter("by IS NOT NULL")
     place = F.concat(F.lit("at "), F.col("slide_idx").cast("string"), F.lit(" "), F.col("shape_id").cast("string"))
-    offered = elements.select("deck", "element_key", "position", F.explode(F.array("element_key", place)).alias("by"))
+    # Only the first element under a key or hash can win, so copies are folded.
+    first = F.min_by(F.struct("element_key", "position"), "position").alias("e")
+    offered = (
+        elements.select("deck", "element_key", "position", F.explode(F.array("element_key", place)).alias("by"))
+        .groupBy("deck", "by").agg(first).select("deck", "by", "e.*")
+    )
     direct = asked.join(offered, ["deck", "by"]).select("deck", "key", "rule", "element_key", "position")
 
     # By hash: eight-character pieces make the substring test an equi join;
     # shorter hashes meet the elements of their slide.
     hashed = parsed.filter("slide IS NOT NULL AND hash IS NOT NULL").select("deck", "key", "slide", "hash", F.lit(9).alias("rule"))
-    whole = elements.filter(F.coalesce("image_hash", F.lit("")) != "").select(
-        "deck", F.col("slide_idx").alias("slide"), "element_key", "position", "image_hash"
+    whole = (
+        elements.filter(F.coalesce("image_hash", F.lit("")) != "")
+        .groupBy("deck", F.col("slide_idx").alias("slide"), "image_hash").agg(first).select("deck", "slide", "image_hash", "e.*")
     )
     pieces = F.transform(
         F.sequence(F.lit(1), F.length("image_hash") - GRAM + 1), lambda n: F.substr("image_hash", n, F.lit(GRAM))

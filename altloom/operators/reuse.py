@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from altloom.functions.base import is_blank
+from altloom.functions.base import is_blank, strip
+from altloom.functions.text import collapse_repeats, semantic_score, stem
 
 
 def reduce_cache(cache: DataFrame, key: str, text: str, order: Sequence[str], owner: str) -> DataFrame:
@@ -62,3 +63,22 @@ def repeats(df: DataFrame, key: str, slide: Sequence[str]) -> DataFrame:
     """Occurrences and distinct slides of every content key."""
     per_slide = df.groupBy(key, *slide).agg(F.count(F.lit(1)).alias("__n"))
     return per_slide.groupBy(key).agg(F.sum("__n").alias("occurrences"), F.count(F.lit(1)).alias("slides"))
+
+
+def best_text_per_key(df: DataFrame, key: str, seq: str, text: str) -> DataFrame:
+    """The best scored of the texts of every key, repeats by stem left out.
+
+    As ``best_text`` on an array, without gathering a key's texts: stems are
+    folded first, then the best of the folded texts is taken.
+    """
+    given = df.select(key, seq, strip(text).alias("__t")).filter("__t <> ''").withColumn("__stem", stem("__t"))
+    folded = given.groupBy(key, "__stem").agg(
+        F.min_by("__t", seq).alias("__t"), F.min(seq).alias("__seq"), F.count(F.lit(1)).alias("__n")
+    )
+    scored = folded.withColumn("__score", F.when(F.col("__stem") != "", semantic_score("__t")))
+    rank = F.when(F.col("__score").isNotNull(), F.struct(F.col("__score"), -F.col("__seq")))
+    best = scored.groupBy(key).agg(
+        F.max_by("__t", rank).alias("__best"), F.min("__t").alias("__only"), F.sum("__n").alias("__n")
+    )
+    chosen = F.when(F.col("__n") == 1, F.col("__only")).otherwise(F.coalesce("__best", F.lit("")))
+    return best.select(key, collapse_repeats(chosen).alias("alt"))

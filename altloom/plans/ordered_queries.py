@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 
 from altloom import views
 from altloom.functions import describe, fixed, keys, rules, text
-from altloom.functions.base import is_blank
 from altloom.operators import classify, groups, joins, ordered, patch, reuse
 from altloom.plans import sql as q
-from altloom.plans.decisions import DECIDED_SQL, decided
-from altloom.plans.describe_queries import spaced
 from altloom.plans.join_queries import KEYS_SQL, OVERLAYS_SQL, STREAK_SQL, stored_keys
 from altloom.plans.registry import query
 from altloom.plans.text_queries import FINALIZED, QUALITY, UNIVERSAL

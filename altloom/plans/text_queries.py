@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from altloom import views
 from altloom.functions import fixed, gates, keys, text
+from altloom.operators import reuse
 from altloom.plans import sql as q
 from altloom.plans.registry import query
 
@@ -187,9 +188,7 @@ c AS (SELECT key, regexp_replace(regexp_replace({q.squash('t')}, '\\.+', '.', 'g
 SELECT key, {q.end_mark('t')} AS alt FROM c""",
 )
 def best_text(spark, sf_dir):
-    turns = views.candidates(spark, sf_dir)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"])
-    return turns.groupBy("key").agg(ordered.alias("texts")).select("key", text.best_text("texts").alias("alt"))
+    return reuse.best_text_per_key(views.candidates(spark, sf_dir), "key", "seq", "text")
 
 
 QUALITY = f"""CASE WHEN {{t}} = '' THEN -10 ELSE

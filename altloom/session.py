@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and read it back from there."""
+    """Write ``df`` to the shared folder once and read it back from there.
+
+    This cuts the lineage: what reads the result neither repeats the work nor
+    depends on the executors that did it. A columnar table, unlike a plain
+    checkpoint, lets each reader take only the columns it needs.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    place = f"{shared_folder(spark)}/altloom-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

@@ -27,8 +27,10 @@ def stream_files(spark: SparkSession, path: str, exts: str = "[pP][pP][tT][xX]",
     ).filter(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, per_trigger: int = 64) -> DataFrame:
+    """A table as a stream of files; the number of files bounds a micro-batch."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def stream_dedupe(df: DataFrame, key: str, at: str, horizon: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from altloom.functions import gates, text
+from altloom.operators import reuse
 
 
 def test_end_mark(one):
@@ -115,6 +116,17 @@ def test_best_text(spark):
     assert df.select(text.best_text("t")).first()[0] == "an arrow icon."
 
 
+def test_best_text_per_key_equals_the_array_form(spark):
+    rng = random.Random(9)
+    pool = ["A box (1x1px)", "a box (2x2px)", "an arrow icon", " ", "(3x3px)", "This is a powerpoint shape", "x" * 30, None, "logo and chart"]
+    rows = [(k, n, rng.choice(pool)) for k in range(60) for n in range(rng.randint(1, 5))]
+    df = spark.createDataFrame(rows, "k int, n int, t string")
+    arrays = df.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda p: p["t"]).alias("ts"))
+    want = {r[0]: r[1] for r in arrays.select("k", text.best_text("ts")).collect()}
+    got = dict(map(tuple, reuse.best_text_per_key(df, "k", "n", "t").collect()))
+    assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == "" for k in want.keys() - got.keys())
+
+
 def test_punctuation(spark):
     df = spark.createDataFrame([("a.", "a"), ("a.", "a!"), ("a", "b"), ("", "b"), ("a..", "a.")], "e string, a string")
     got = [r[0]["reason"] for r in df.select(gates.punct_diff("e", "a")).collect()]
