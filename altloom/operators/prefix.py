@@ -20,15 +20,14 @@ from altloom.session import materialize
 PIECE = "__piece"
 
 
-def cut_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
+def cut_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range partition by (keys, order) and write each row with its piece.
 
     The pieces are written out because a second evaluation could draw other
-    boundaries.
+    boundaries. Their number is left to Spark, which joins neighbouring ranges
+    of small data.
     """
-    spark = df.sparkSession
-    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(pieces, *keys, *order)
+    cut = df.repartitionByRange(*keys, *order)
     return materialize(cut.withColumn(PIECE, F.spark_partition_id()))
 
 

@@ -3,11 +3,28 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from altloom.operators import joins, ordered
-from altloom.operators.prefix import numbered, with_running
+from altloom.operators.prefix import PIECE, cut_pieces, numbered, with_running
+
+
+@pytest.fixture(autouse=True)
+def many_pieces(spark):
+    """Keep Spark from joining the pieces of small data."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_data_falls_into_pieces(spark):
+    cut = cut_pieces(sample(spark), ["k"], ["o"])
+    assert cut.select(PIECE).distinct().count() == 8
+    assert cut.filter("k = 'hot'").select(PIECE).distinct().count() > 4
 
 
 def sample(spark):
