@@ -53,8 +53,11 @@ def streaks(attempts: DataFrame) -> DataFrame:
     summed = pieces.withColumn("so_far", F.sum("tail").over(along))
     cut_at = F.max(F.when(F.col("broke"), F.col("so_far") - F.col("tail"))).over(earlier)
     into = F.lag("so_far").over(along) - F.coalesce(cut_at, F.lit(0))
-    carry = summed.withColumn("__into", into).filter("__into > 0").select(*keys, PIECE, "__into")
-    joined = failed.join(F.broadcast(carry), [*keys, PIECE], "left")
+    carry = summed.withColumn("__into", into).filter("__into > 0").select(
+        F.col("provider").alias("__provider"), F.col(PIECE).alias("__at"), "__into"
+    )
+    same = F.col("provider").eqNullSafe(F.col("__provider")) & (F.col(PIECE) == F.col("__at"))
+    joined = failed.join(F.broadcast(carry), same, "left")
     whole = F.col("streak") + F.when(F.col("__base").isNull(), F.coalesce("__into", F.lit(0))).otherwise(0)
     return joined.withColumn("streak", whole).select(*attempts.columns, "streak")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,17 +105,22 @@ def read_alt_map(spark: SparkSession, path: str) -> DataFrame:
     return canonical_map(read_json_map(spark, path))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def if_found(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or nothing where its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_alt_cache(spark: SparkSession, path: str) -> DataFrame:
     """(image_hash, alt) of a cache; a missing cache is an empty one."""
-    if not exists(spark, path):
+    pairs = if_found(lambda: read_json_map(spark, path))
+    if pairs is None:
         return spark.createDataFrame([], "image_hash string, alt string")
-    return read_json_map(spark, path).select(F.col("key").alias("image_hash"), F.col("value").alias("alt"))
+    return pairs.select(F.col("key").alias("image_hash"), F.col("value").alias("alt"))
 
 
 def write_json_map(df: DataFrame, key: str, value: Column, by: str, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from altloom.operators.ordered import MONEY
 from altloom.operators.reuse import latest
-from altloom.sources.tables import exists
+from altloom.sources.tables import if_found
 
 BREAKER_OUT = "provider string, ts timestamp, attempt_id bigint, state string, reason string"
 BREAKER_STATE = "state string, failures int, successes int, last_failure double, opened int"
@@ -135,9 +135,9 @@ def stream_ledger(updates: DataFrame, root: str, checkpoint: str, key: str = "pa
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("__at", at)
-        before = f"{root}/version={batch_id - 1}"
-        if batch_id > 0 and exists(spark, before):
-            fresh = spark.read.parquet(before).unionByName(fresh)
+        before = if_found(lambda: spark.read.parquet(f"{root}/version={batch_id - 1}")) if batch_id > 0 else None
+        if before is not None:
+            fresh = before.unionByName(fresh)
         latest(fresh, [key], ["__at", "status"]).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return (
