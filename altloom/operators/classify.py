@@ -386,9 +386,13 @@ def decide(df: DataFrame, mode: str = "preserve", strategy: str = "smart", min_a
     """Add action, decision reason, why, text and source to every element.
 
     Needs ``cached_alt`` (text of another element with the same content, or
-    null), ``final_alt`` and ``model_called`` next to the element columns.
+    null), ``final_alt`` and ``model_called`` next to the element columns. A
+    ``policy`` column worked out before the cache was joined is used as it is.
     """
-    policy = include_policy("shape_type", "width", "height", "slide_text", strategy, min_area, words)
+    policy = (
+        F.col("policy") if "policy" in df.columns
+        else include_policy("shape_type", "width", "height", "slide_text", strategy, min_area, words)
+    )
     cached, own = ~is_blank("cached_alt"), ~is_blank("final_alt") & F.col("model_called")
     keep = ~is_blank("existing_alt") if mode == "preserve" else F.lit(False)
     reason = (

@@ -9,7 +9,7 @@ from altloom.functions import fixed, rules
 from altloom.functions.base import col
 from altloom.operators import classify, reuse
 from altloom.plans import sql as q
-from altloom.plans.decisions import DECIDED_SQL, ENTRY_DECORATIVE, decided
+from altloom.plans.decisions import DECIDED_SQL, ENTRY_DECORATIVE, decided, decided_narrow
 from altloom.plans.describe_queries import AUTO_TYPES, over_elements
 from altloom.plans.registry import query
 from altloom.plans.text_queries import GATE
@@ -301,7 +301,7 @@ SELECT deck, CAST(count(*) AS BIGINT) AS elements, count_if(decision_reason = 'p
 FROM decided LEFT JOIN (SELECT shape_id, generates FROM elected) USING (shape_id) GROUP BY deck""",
 )
 def decision_summary(spark, sf_dir):
-    d = decided(spark, sf_dir).select("shape_id", "deck", "slide_idx", "shape_idx", "content_key", "decision_reason")
+    d = decided_narrow(spark, sf_dir)
     waiting = F.col("decision_reason") == "needs_generation"
     elected = (
         d.filter(waiting).groupBy("content_key")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from altloom import views
 from altloom.functions import rules
+from altloom.functions.base import is_blank
 from altloom.operators import classify, reuse
 from altloom.plans import sql as q
+from altloom.session import materialize
 
 
 def decided(spark, sf_dir, mode: str = "preserve", strategy: str = "smart") -> DataFrame:
@@ -19,6 +21,27 @@ def decided(spark, sf_dir, mode: str = "preserve", strategy: str = "smart") -> D
     return classify.decide(cached, mode, strategy)
 
 
+def decided_narrow(spark, sf_dir) -> DataFrame:
+    """Ids, content and reason of the decision only, written out once.
+
+    Policy and blank tests are worked out where the texts are scanned, so that
+    no text is shuffled.
+    """
+
+    def filled(name: str):
+        return F.when(~is_blank(name), "x").otherwise("").alias(name)
+
+    e = views.elements(spark, sf_dir).select(
+        "shape_id", "deck", "slide_idx", "shape_idx", "content_key", (F.col("shape_id") % 2 == 0).alias("model_called"),
+        filled("existing_alt"), filled("final_alt"),
+        classify.include_policy("shape_type", "width", "height", "slide_text").alias("policy"),
+    )
+    cache = e.select("content_key", "shape_id", "final_alt")
+    cached = reuse.with_cache(e, cache, "content_key", "final_alt", ["shape_id"], "shape_id")
+    kept = ["shape_id", "deck", "slide_idx", "shape_idx", "content_key", "decision_reason"]
+    return materialize(classify.decide(cached).select(*kept))
+
+
 ENTRY_DECORATIVE = f"""(shape_type IN ('LINE', 'CONNECTOR') OR width * height < 100
    OR {q.contains_any('lower(slide_text)', rules.DECORATIVE_CONTEXT)})"""
 
