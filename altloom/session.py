@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Per application: its folder where none is set, and the tables written.
+OWN_FOLDERS: dict[str, str] = {}
+WRITTEN: dict[str, list[str]] = {}
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -24,6 +29,7 @@ def local_session(cpus: int = 8, app: str = "altloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -35,17 +41,15 @@ def local_session(cpus: int = 8, app: str = "altloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its machine.
+    Only a session that runs in one process may go without the setting: its
+    driver and executor are the same machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -58,4 +62,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/altloom-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote for this application.
+
+    For a caller that has used up the results which read them.
+    """
+    places = WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for place in places:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(places)
