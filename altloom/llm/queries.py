@@ -1,11 +1,14 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from altloom.llm import exact, licenses, mixing, quality, sharding
+from altloom.llm import bpe, exact, licenses, mixing, quality, sharding, simhash, token_files
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_simhash": simhash.op6_simhash,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_shards": sharding.op10_shards,
 }
