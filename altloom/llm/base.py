@@ -25,12 +25,17 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def kept_in_worker(name: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker builds once and keeps for its later tasks."""
+def kept_in_worker(name: str, make: Callable[[], object], of: object = None) -> object:
+    """An object that a Python worker builds once and keeps for its later tasks.
+
+    One object per name is kept; it is built anew when ``of`` is another.
+    """
     store = sys.modules.setdefault("_altloom_worker", types.ModuleType("_altloom_worker"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    held = getattr(store, name, None)
+    if held is None or held[0] != of:
+        held = (of, make())
+        setattr(store, name, held)
+    return held[1]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -194,8 +194,7 @@ def shared_vocabulary(spark: SparkSession, path: str, pattern: str):
         lines = content.value.splitlines()
         return Merges({base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}, pattern)
 
-    name = f"merges_{hash((path, pattern)) & 0xFFFFFFFF:x}"
-    return lambda: kept_in_worker(name, build)
+    return lambda: kept_in_worker("merges", build, of=(path, pattern))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:

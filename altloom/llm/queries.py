@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from altloom.llm import bpe, exact, licenses, mixing, quality, sharding, simhash, token_files
+from altloom.llm import archive, bpe, exact, langid, licenses, mixing, quality, sharding, simhash, token_files
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_simhash": simhash.op6_simhash,
+    "op7_language": langid.op7_language,
+    "op8_archive": archive.op8_archive,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_shards": sharding.op10_shards,
 }
@@ -16,5 +18,6 @@ CHECKS = {
     "op1_mix": mixing.OP1_SQL,
     "op2_license_scan": licenses.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op8_archive": archive.OP8_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }

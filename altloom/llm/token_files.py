@@ -132,8 +132,7 @@ class Words:
 def tokenizer_builder(spark: SparkSession, path: str):
     with open(path, "rb") as source:
         content = spark.sparkContext.broadcast(source.read())
-    name = f"words_{hash(path) & 0xFFFFFFFF:x}"
-    return lambda: kept_in_worker(name, lambda: Words(content.value))
+    return lambda: kept_in_worker("words", lambda: Words(content.value), of=path)
 
 
 def segment(part: int, seq: int, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> dict:
