@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,9 @@ class Known:
             self.flat = grown(self.flat, self.used + need)
             self.starts, self.sizes = grown(self.starts, first + len(new)), grown(self.sizes, first + len(new))
             if need:
-                self.flat[self.used : self.used + need] = np.concatenate([np.asarray(p, self.dtype) for p in pieces])
+                arrays = isinstance(pieces[0], np.ndarray)
+                values = np.concatenate(pieces) if arrays else np.fromiter(chain.from_iterable(pieces), self.dtype, need)
+                self.flat[self.used : self.used + need] = values
             self.sizes[first : first + len(new)] = sizes
             self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.used += need
