@@ -171,7 +171,7 @@ def posteriors(emitted: np.ndarray, counts: np.ndarray, moves: np.ndarray, segme
 
 def chosen(docs: DataFrame, per_lang: int, most_chars: int) -> list[tuple[str, str]]:
     """(lang, text) of the rows to learn from, a bounded number."""
-    own = docs.filter(may_learn() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    own = docs.select("doc_id", "lang", "text").filter(may_learn() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     narrow = own.select("lang", "doc_id").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     ids = narrow.filter(F.col("turn") <= per_lang).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang"))

@@ -170,7 +170,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, most:
 
         size = 0
         for batch in batches:
-            for rows in slices(batch, "text", 4 << 20):
+            for rows in slices(batch, "text", min(4 << 20, 2 * most)):
                 names += rows.column("doc_id").to_pylist()
                 held.append(words.texts(rows.column("text"), end_id))
                 size += len(held[-1][0])
