@@ -40,12 +40,6 @@ def is_placeholder(c: ColumnLike, patterns: Sequence[str] = fixed.PLACEHOLDER_PA
     return F.when(text == "", True).otherwise(let(strip(text), test))
 
 
-def has_real_alt(c: ColumnLike, values: Sequence[str] = fixed.SKIP_VALUES) -> Column:
-    """Not blank, not a placeholder, not a skip value of any case."""
-    lowered = sorted({v.lower() for v in values})
-    return ~is_placeholder(c) & ~F.lower(F.coalesce(col(c), F.lit(""))).isin(lowered)
-
-
 def is_low_value(c: ColumnLike, patterns: Sequence[str] = fixed.LOW_VALUE_PATTERNS) -> Column:
     one_pattern = "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
     return let(

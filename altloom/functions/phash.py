@@ -64,16 +64,17 @@ def distance(a: ColumnLike, b: ColumnLike) -> Column:
 def hamming(a: ColumnLike, b: ColumnLike) -> Column:
     """Differing bits of two typed hex hashes; null for other types or no hex."""
     a, b = col(a), col(b)
-    size = F.greatest(F.length(a), F.length(b))
-    hex_a, hex_b = (F.lpad(F.substring_index(x, ":", -1), 64, "0") for x in (a, b))
+    digits = [F.substring_index(x, ":", -1) for x in (a, b)]
+    size = F.ceil(F.greatest(*[F.length(d) for d in digits]) / 8).cast("int")
+    hex_a, hex_b = (F.lpad(d, size * 8, F.lit("0")) for d in digits)
     kinds = [F.substring_index(x, ":", 1) for x in (a, b)]
-    comparable = (kinds[0] == kinds[1]) & a.rlike("^[^:]+:[0-9a-fA-F]{1,64}$") & b.rlike("^[^:]+:[0-9a-fA-F]{1,64}$")
+    comparable = (kinds[0] == kinds[1]) & a.rlike("^[^:]+:[0-9a-fA-F]+$") & b.rlike("^[^:]+:[0-9a-fA-F]+$")
 
     def chunk(text: Column, n: Column) -> Column:
         return F.conv(F.substr(text, n * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
 
     total = F.aggregate(
-        F.sequence(F.lit(0), F.lit(7)), F.lit(0),
+        F.sequence(F.lit(0), size - 1), F.lit(0),
         lambda acc, n: acc + F.bit_count(chunk(hex_a, n).bitwiseXOR(chunk(hex_b, n))),
     )
     return F.when(comparable & (size > 0), total)

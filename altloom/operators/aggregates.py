@@ -11,6 +11,7 @@ from altloom.functions.base import is_blank, strip
 from altloom.functions.review import review_bucket
 from altloom.operators.ordered import MONEY, top_per
 from altloom.operators.prefix import with_running
+from altloom.session import materialize
 
 
 def n() -> Column:
@@ -226,13 +227,17 @@ def error_summary(errors: DataFrame) -> DataFrame:
 
 
 def recovery_stats(recoveries: DataFrame) -> DataFrame:
-    """Use and share of every strategy by category. The window sees the counts."""
-    counted = recoveries.groupBy("strategy", "category").agg(n().alias("uses"))
-    whole = F.sum("uses").over(Window.partitionBy())
-    of_strategy = F.sum("uses").over(Window.partitionBy("strategy"))
-    return counted.select(
-        "strategy", "category", "uses", F.round(F.col("uses") / whole, 6).alias("share"),
-        F.round(of_strategy / whole, 6).alias("strategy_share"),
+    """Use and share of every strategy by category; all three totals come from one grouping."""
+    sums = materialize(
+        recoveries.groupingSets([["strategy", "category"], ["strategy"], []], "strategy", "category")
+        .agg(n().alias("uses"), F.grouping_id().alias("level"))
+    )
+    whole = sums.filter("level = 3").select(F.col("uses").alias("__whole"))
+    of_strategy = sums.filter("level = 1").select("strategy", F.col("uses").alias("__strategy"))
+    parts = sums.filter("level = 0").join(of_strategy, "strategy").join(F.broadcast(whole))  # the whole is one row
+    return parts.select(
+        "strategy", "category", "uses", F.round(F.col("uses") / F.col("__whole"), 6).alias("share"),
+        F.round(F.col("__strategy") / F.col("__whole"), 6).alias("strategy_share"),
     )
 
 
@@ -248,9 +253,11 @@ def usage_warning(files: DataFrame, limit_bytes: float) -> DataFrame:
 
 
 def expired(files: DataFrame, now: Column, days: int) -> DataFrame:
-    """What a clean-up would remove; nothing is deleted."""
-    old = F.unix_timestamp(now) - F.unix_timestamp("added_at") > days * 86400
-    return files.filter(old).agg(n().alias("files"), F.round(exact_sum("bytes"), 2).alias("bytes"), F.min("added_at").alias("oldest"))
+    """What a clean-up would remove, with age, size and the totals beside it; nothing is deleted."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("added_at")
+    old = files.filter(age > days * 86400).select("path", F.floor(age / 86400).alias("age_days"), "bytes")
+    totals = old.agg(n().alias("expired_files"), F.round(exact_sum("bytes"), 2).alias("expired_bytes"))
+    return old.join(F.broadcast(totals))  # the totals are one row
 
 
 def batch_report(results: DataFrame) -> DataFrame:
@@ -309,11 +316,9 @@ def review_summary(df: DataFrame) -> DataFrame:
 
 
 def by_slide(df: DataFrame) -> DataFrame:
-    """Entries of every slide: how many, the first, the last, and their sum hash."""
-    return df.groupBy("deck", "slide_idx").agg(
-        n().alias("entries"), F.min_by("instance_key", "shape_idx").alias("first_key"),
-        F.max_by("instance_key", "shape_idx").alias("last_key"), F.sum("shape_idx").alias("position_sum"),
-    )
+    """The entries of every slide, by position; a slide bounds the list."""
+    fields = ["shape_idx", *[c for c in df.columns if c not in ("deck", "slide_idx", "shape_idx")]]
+    return df.groupBy("deck", "slide_idx").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
 
 
 def failures(df: DataFrame, keep: int, context_chars: int = 100) -> DataFrame:

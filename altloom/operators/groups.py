@@ -12,23 +12,24 @@ from altloom.operators.classify import element_type, first_rule
 from altloom.operators.joins import group_children
 from altloom.session import materialize
 
-DEEPEST = 64
 SLIDE = ["deck", "slide_idx"]
 
 
-def flatten(elements: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def flatten(elements: DataFrame) -> DataFrame:
     """Depth, path of ids from the top and root of every element.
 
     One equi join per level, each level written out; only the last level is
-    joined again. Elements no root reaches (a cycle, a lost parent) or below
-    ``deepest`` come out with a null depth.
+    joined again, until none is left. An element has one parent, so a root
+    reaches it once and the levels end by themselves. Elements no root reaches
+    (a cycle, a lost parent) come out with a null depth.
     """
     tree = elements.select(*SLIDE, "shape_id", "parent_id")
     level = materialize(
         tree.filter("parent_id IS NULL").select(*SLIDE, "shape_id", F.lit(0).alias("depth"), F.array("shape_id").alias("path"))
     )
-    reached = level
-    for depth in range(1, deepest + 1):
+    reached, depth = level, 0
+    while True:
+        depth += 1
         above = level.select(*SLIDE, F.col("shape_id").alias("parent_id"), F.col("path").alias("__above"))
         level = materialize(
             tree.join(above, [*SLIDE, "parent_id"]).select(

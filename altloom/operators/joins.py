@@ -10,7 +10,7 @@ from altloom.functions.base import is_blank, strip
 from altloom.functions.gates import is_meaningful, is_templated, mostly_same, punct_diff
 from altloom.functions.review import NO_ALT, backoff, derive_status, failure_class
 from altloom.functions.text import compare_key
-from altloom.operators.ordered import streaks
+from altloom.operators.ordered import KEY, streaks
 from altloom.operators.prefix import with_running
 
 
@@ -19,15 +19,15 @@ def text_of(name: str) -> Column:
 
 
 def resolve(index: DataFrame, current: DataFrame, generated: DataFrame) -> DataFrame:
-    """Preserve-first final map: ``current`` and ``generated`` are (key, text)."""
-    cur = current.select("key", F.col("text").alias("existing_alt"))
-    gen = generated.select("key", F.col("text").alias("generated_alt"))
+    """Preserve-first final map: ``current`` and ``generated`` are (deck, key, text)."""
+    cur = current.select(*KEY, F.col("text").alias("existing_alt"))
+    gen = generated.select(*KEY, F.col("text").alias("generated_alt"))
     keep, use = is_meaningful("existing_alt"), is_meaningful("generated_alt")
     return (
-        index.select("key")
-        .join(cur, "key", "left")
-        .join(gen, "key", "left")
-        .select("key", text_of("existing_alt").alias("existing_alt"), text_of("generated_alt").alias("generated_alt"))
+        index.select(*KEY)
+        .join(cur, KEY, "left")
+        .join(gen, KEY, "left")
+        .select(*KEY, text_of("existing_alt").alias("existing_alt"), text_of("generated_alt").alias("generated_alt"))
         .select(
             "*",
             F.when(keep, "pptx").alias("source_existing"),
@@ -54,11 +54,11 @@ def resolve_summary(resolved: DataFrame) -> DataFrame:
 
 
 def enrich(images: DataFrame, results: DataFrame) -> DataFrame:
-    """Images (key, existing_alt) with their generated texts and provenance."""
-    made = results.select("key", F.col("text").alias("generated_alt"))
+    """Images (deck, key, existing_alt) with their generated texts and provenance."""
+    made = results.select(*KEY, F.col("text").alias("generated_alt"))
     real = is_meaningful("existing_alt")
-    return images.join(made, "key", "left").select(
-        "key",
+    return images.join(made, KEY, "left").select(
+        *KEY,
         text_of("existing_alt").alias("existing_alt"),
         text_of("generated_alt").alias("generated_alt"),
         F.when(real, "pptx").alias("source_existing"),
@@ -69,8 +69,6 @@ def enrich(images: DataFrame, results: DataFrame) -> DataFrame:
 
 # --- key matching --------------------------------------------------------------
 
-GRAM = 8
-
 
 def match_keys(keys: DataFrame, elements: DataFrame) -> DataFrame:
     """Element for every stored key, by the first rule that finds one.
@@ -109,41 +107,36 @@ def match_keys(keys: DataFrame, elements: DataFrame) -> DataFrame:
     )
     direct = asked.join(offered, ["deck", "by"]).select("deck", "key", "rule", "element_key", "position")
 
-    # By hash: eight-character pieces make the substring test an equi join;
-    # shorter hashes meet the elements of their slide.
+    # By hash: the pieces of an element's hash of the lengths that its slide's
+    # stored keys ask for make the substring test an equi join.
     hashed = parsed.filter("slide IS NOT NULL AND hash IS NOT NULL").select("deck", "key", "slide", "hash", F.lit(9).alias("rule"))
+    lengths = hashed.select("deck", "slide", F.length("hash").alias("size")).distinct()
     whole = (
         elements.filter(F.coalesce("image_hash", F.lit("")) != "")
         .groupBy("deck", F.col("slide_idx").alias("slide"), "image_hash").agg(first).select("deck", "slide", "image_hash", "e.*")
     )
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.length("image_hash") - GRAM + 1), lambda n: F.substr("image_hash", n, F.lit(GRAM))
-    )
-    long_enough = whole.filter(F.length("image_hash") >= GRAM).select("*", F.explode(F.array_distinct(pieces)).alias("gram"))
-    holds = F.col("image_hash").contains(F.col("hash"))
-    by_piece = (
-        hashed.filter(F.length("hash") >= GRAM).withColumn("gram", F.left("hash", F.lit(GRAM)))
-        .join(long_enough, ["deck", "slide", "gram"]).filter(holds).select(direct.columns)
-    )
-    by_slide = hashed.filter(F.length("hash") < GRAM).join(whole, ["deck", "slide"]).filter(holds).select(direct.columns)
+    starts = F.filter(F.sequence(F.lit(1), F.length("image_hash")), lambda n: n + F.col("size") - 1 <= F.length("image_hash"))
+    pieces = F.transform(starts, lambda n: F.substr("image_hash", n, F.col("size")))
+    offered_pieces = whole.join(lengths, ["deck", "slide"]).withColumn("hash", F.explode(F.array_distinct(pieces)))
+    by_piece = hashed.join(offered_pieces, ["deck", "slide", "hash"]).select(direct.columns)
     best = F.min_by(F.struct("rule", "element_key"), F.struct("rule", "position")).alias("m")
-    found = direct.unionByName(by_piece).unionByName(by_slide).groupBy("deck", "key").agg(best)
+    found = direct.unionByName(by_piece).groupBy("deck", "key").agg(best)
     return found.select("deck", "key", "m.rule", "m.element_key")
 
 
-def missing(elements: DataFrame, texts: DataFrame, key: str = "key") -> DataFrame:
+def missing(elements: DataFrame, texts: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Elements without text, and texts without element."""
-    lacking = elements.join(texts, key, "left_anti").select(key, F.lit("missing").alias("problem"))
-    return lacking.unionByName(texts.join(elements, key, "left_anti").select(key, F.lit("unmatched").alias("problem")))
+    lacking = elements.join(texts, key, "left_anti").select(*key, F.lit("missing").alias("problem"))
+    return lacking.unionByName(texts.join(elements, key, "left_anti").select(*key, F.lit("unmatched").alias("problem")))
 
 
 def pending_keys(index: DataFrame, current: DataFrame, generated: DataFrame) -> DataFrame:
     """Keys with neither a current nor a generated text."""
     filled = ~is_blank("text")
     return (
-        index.select("key")
-        .join(current.filter(filled), "key", "left_anti")
-        .join(generated.filter(filled), "key", "left_anti")
+        index.select(*KEY)
+        .join(current.filter(filled), KEY, "left_anti")
+        .join(generated.filter(filled), KEY, "left_anti")
     )
 
 
@@ -151,14 +144,14 @@ def pending_keys(index: DataFrame, current: DataFrame, generated: DataFrame) ->
 
 
 def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Expected against read-back texts, both (key, text), by key."""
-    pairs = expected.select("key", strip("text").alias("expected")).join(
-        actual.select("key", text_of("text").alias("actual")), "key"
+    """Expected against read-back texts, both (deck, key, text)."""
+    pairs = expected.select(*KEY, strip("text").alias("expected")).join(
+        actual.select(*KEY, text_of("text").alias("actual")), KEY
     )
     exact, levelled = F.col("expected") == F.col("actual"), compare_key("expected") == compare_key("actual")
     diff = punct_diff("expected", "actual")
     return pairs.withColumn("__diff", diff).select(
-        "key",
+        *KEY,
         exact.alias("exact"),
         levelled.alias("levelled"),
         mostly_same("expected", "actual").alias("mostly_same"),
@@ -202,10 +195,10 @@ def verify_review(entries: DataFrame, review: DataFrame, hint: str) -> DataFrame
 
 
 def report_rows(original: DataFrame, final_map: DataFrame, context: DataFrame) -> DataFrame:
-    """Report rows: original texts, the final map and slide context by key."""
+    """Report rows: original texts, the final map and slide context by deck and key."""
     joined = (
-        original.select("key", "slide_key", "decorative", F.col("text").alias("original"))
-        .join(final_map.select("key", "existing_alt", "generated_alt", "final_alt"), "key", "left")
+        original.select(*KEY, "slide_key", "decorative", F.col("text").alias("original"))
+        .join(final_map.select(*KEY, "existing_alt", "generated_alt", "final_alt"), KEY, "left")
         .join(context, "slide_key", "left")
     )
     existing = F.coalesce(F.nullif(strip("original"), F.lit("")), F.nullif(strip("existing_alt"), F.lit("")))
@@ -217,7 +210,7 @@ def report_rows(original: DataFrame, final_map: DataFrame, context: DataFrame) -
         }
     )
     return shown.withColumn("__s", derive_status("current", "suggested", F.col("decorative"))).select(
-        "key", "current", "suggested", "__s.status", F.col("__s.label").alias("status_label"), "context"
+        *KEY, "current", "suggested", "__s.status", F.col("__s.label").alias("status_label"), "context"
     )
 
 

@@ -14,6 +14,10 @@ from altloom.operators.prefix import PIECE, cut_pieces, numbered, running_over
 MONEY = "decimal(20,6)"
 
 
+# A key names an element inside its deck only.
+KEY = ["deck", "key"]
+
+
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, name: str = "n") -> DataFrame:
     """First n rows of every group; Spark drops the rest before the shuffle."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -127,9 +131,9 @@ def oldest_first(df: DataFrame, at: str, tie: str) -> DataFrame:
     return numbered(df, [], [at, tie], "position")
 
 
-def stable_order(df: DataFrame, key: str) -> DataFrame:
-    """Rows numbered by their key as text."""
-    return numbered(df, [], [key], "position")
+def stable_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows numbered by their keys as text, the deck first."""
+    return numbered(df, [], keys, "position")
 
 
 def priority(decision: Column, escalation: Column, overlay: Column) -> Column:
@@ -141,8 +145,8 @@ def priority(decision: Column, escalation: Column, overlay: Column) -> Column:
     )
 
 
-def by_priority(df: DataFrame, level: Column, tie: str) -> DataFrame:
-    return numbered(df.withColumn("priority", level), [], ["priority", tie], "position")
+def by_priority(df: DataFrame, level: Column, ties: Sequence[str]) -> DataFrame:
+    return numbered(df.withColumn("priority", level), [], ["priority", *ties], "position")
 
 
 def next_items(ledger: DataFrame, n: int = 1, status: str = "pending") -> DataFrame:
@@ -159,8 +163,8 @@ def common_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def backfill(texts: DataFrame, elements: DataFrame, description: Column) -> DataFrame:
     """Stored texts plus descriptions of elements that have none."""
-    bare = elements.filter(~F.col("shape_type").isin("PLACEHOLDER", "TEXT_BOX")).join(texts, "key", "left_anti")
-    made = bare.select("key", description.alias("text"), F.lit("geometric_backfill").alias("source"))
+    bare = elements.filter(~F.col("shape_type").isin("PLACEHOLDER", "TEXT_BOX")).join(texts, KEY, "left_anti")
+    made = bare.select(*KEY, description.alias("text"), F.lit("geometric_backfill").alias("source"))
     return texts.unionByName(made.filter("text <> ''"))
 
 

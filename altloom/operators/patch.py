@@ -9,33 +9,34 @@ from altloom.functions.base import is_blank, strip
 from altloom.functions.gates import is_meaningful, needs_replace, write_gate
 from altloom.functions.keys import text_hash
 from altloom.functions.text import finalize_alt, normalize_universal
+from altloom.operators.joins import KEY
 
 
 def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "preserve", policy: str = "none") -> DataFrame:
     """Rows to write: gated, different from what stands, and not yet written.
 
-    ``plan``: key, text, kind, is_generated, is_fallback, forced (a stored final
-    text may replace an existing one even in preserve mode). ``current``: key,
-    text. ``written``: key, text_hash of earlier runs. A second run is empty.
+    ``plan``: deck, key, text, kind, is_generated, is_fallback, forced (a stored final
+    text may replace an existing one even in preserve mode). ``current``: deck,
+    key, text. ``written``: deck, key, text_hash of earlier runs. A second run is empty.
     """
     gate = write_gate(
         finalize_alt(normalize_universal("text")), "kind", F.col("is_generated"), F.col("is_fallback"), policy
     )
     # Exploding what the gate lets through drops the nulls and, unlike a filter,
     # does not make Spark work the text out twice.
-    gated = plan.select("key", "forced", F.explode(F.array_compact(F.array(gate))).alias("new_alt"))
-    compared = gated.join(current.select("key", F.col("text").alias("old_alt")), "key", "left")
+    gated = plan.select(*KEY, "forced", F.explode(F.array_compact(F.array(gate))).alias("new_alt"))
+    compared = gated.join(current.select(*KEY, F.col("text").alias("old_alt")), KEY, "left")
     guarded = is_meaningful("old_alt") & ~F.col("forced") if mode == "preserve" else F.lit(False)
     changed = compared.filter(~guarded).filter(needs_replace("old_alt", "new_alt"))
     hashed = changed.withColumn("text_hash", text_hash("new_alt"))
-    return hashed.join(written, ["key", "text_hash"], "left_anti").select(
-        "key", "old_alt", "new_alt", F.when(is_blank("old_alt"), "insert").otherwise("replace").alias("change"), "text_hash"
+    return hashed.join(written, [*KEY, "text_hash"], "left_anti").select(
+        *KEY, "old_alt", "new_alt", F.when(is_blank("old_alt"), "insert").otherwise("replace").alias("change"), "text_hash"
     )
 
 
 def apply_patch(elements: DataFrame, patched: DataFrame) -> DataFrame:
     """Elements with the patched texts, and what happened to each."""
-    joined = elements.join(patched.select("key", "new_alt", "change"), "key", "left")
+    joined = elements.join(patched.select(*KEY, "new_alt", "change"), KEY, "left")
     return joined.select(
         *[F.coalesce("new_alt", "existing_alt").alias("existing_alt") if c == "existing_alt" else F.col(c) for c in elements.columns],
         F.when(F.col("change").isNotNull(), F.col("change"))

@@ -18,31 +18,47 @@ from altloom.functions.base import is_blank, strip
 from altloom.functions.text import collapse_repeats, semantic_score, stem
 
 
-def reduce_cache(cache: DataFrame, key: str, text: str, order: Sequence[str], owner: str) -> DataFrame:
-    """First and last owner of a non-blank text for every key."""
-    entry = F.struct(*order, F.col(owner).alias("__owner"), F.col(text).alias("__text"))
-    return (
-        cache.filter(~is_blank(text) & F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.max(entry).alias("__last"), F.min(entry).alias("__first"))
-    )
+# What names an element over all decks: shape ids are unique only inside a slide.
+OWNER = ["deck", "slide_idx", "shape_id"]
+
+
+def reduce_cache(cache: DataFrame, key: str, order: Sequence[str], owner: Sequence[str]) -> DataFrame:
+    """First and last owner for every key."""
+    entry = F.struct(*dict.fromkeys([*order, *owner]))
+    return cache.groupBy(key).agg(F.max(entry).alias("__last"), F.min(entry).alias("__first"))
 
 
 def with_cache(
-    df: DataFrame, cache: DataFrame, key: str, text: str, order: Sequence[str], owner: str, name: str = "cached_alt"
+    df: DataFrame, cache: DataFrame, key: str, text: str, owner: Sequence[str] = OWNER, order: Sequence[str] = (),
+    name: str = "cached_alt",
 ) -> DataFrame:
-    """Add the latest text another element with the same key has, or null."""
-    reduced = reduce_cache(cache, key, text, order, owner)
-    other = F.when(F.col("__last.__owner") != F.col(owner), F.col("__last.__text")).when(
-        F.col("__first.__owner") != F.col(owner), F.col("__first.__text")
+    """Add the latest text another element with the same key has, or null.
+
+    Only owners are reduced and met by key; each chosen owner's one text is
+    fetched afterwards, and the result goes back by the element's own key.
+    """
+    filled = cache.filter(~is_blank(text) & F.col(key).isNotNull())
+
+    def named(entry: str):
+        return F.struct(*[F.col(f"{entry}.{c}").alias(c) for c in owner])
+
+    own, last, first = F.struct(*owner), named("__last"), named("__first")
+    other = F.when(last != own, last).when(first != own, first)
+    chosen = (
+        df.select(key, *owner).join(reduce_cache(filled, key, order, owner), key)
+        .select(*owner, other.alias("__from")).filter("__from IS NOT NULL")
     )
-    return df.join(reduced, key, "left").withColumn(name, other).drop("__last", "__first")
+    texts = filled.select(F.struct(*owner).alias("__from"), F.col(text).alias(name))
+    return df.join(chosen.join(texts, "__from").drop("__from"), list(owner), "left")
 
 
-def elect_generators(df: DataFrame, key: str, order: Sequence[str], owner: str, name: str = "generates") -> DataFrame:
+def elect_generators(
+    df: DataFrame, key: str, order: Sequence[str], owner: Sequence[str] = OWNER, name: str = "generates"
+) -> DataFrame:
     """Mark the first element of every key; the others reuse its text."""
-    elected = df.groupBy(key).agg(F.min_by(owner, F.struct(*order)).alias(owner)).select(owner, F.lit(True).alias(name))
-    return df.join(elected, owner, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    first = df.groupBy(key).agg(F.min_by(F.struct(*owner), F.struct(*order)).alias("__first"))
+    elected = first.select("__first.*", F.lit(True).alias(name))
+    return df.join(elected, list(owner), "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -61,7 +61,7 @@ def similar_pairs(df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands:
     )
 
 
-def similar_groups(pairs: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
+def similar_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Connected pairs as (node, group); the group is its smallest node.
 
     Every round takes the smallest label among neighbours and then the label of
@@ -73,7 +73,7 @@ def similar_groups(pairs: DataFrame, a: str, b: str, rounds: int = 64) -> DataFr
         .distinct()
     )
     labels = materialize(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("group")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         seen = labels.select(F.col("node").alias("other"), F.col("group").alias("near"))
         nearest = edges.join(seen, "other").groupBy("node").agg(F.min("near").alias("near"))
         stepped = labels.join(nearest, "node").select("node", "group", F.least("group", "near").alias("step"))
@@ -86,4 +86,3 @@ def similar_groups(pairs: DataFrame, a: str, b: str, rounds: int = 64) -> DataFr
         labels = moved.select("node", "group")
         if moved.filter("group <> __before").isEmpty():
             return labels
-    raise RuntimeError(f"groups not settled after {rounds} rounds")

@@ -158,11 +158,11 @@ def repeats(spark, sf_dir):
     "document_stats_e11",
     f"""WITH {ELEMENTS}, d AS (SELECT *, {ENTRY_DECORATIVE} AS deco FROM elements)
 SELECT deck, CAST(count(*) AS BIGINT) AS total, CAST(count_if(trim(existing_alt) <> '') AS BIGINT) AS with_alt, CAST(count_if(deco) AS BIGINT) AS decorative, round(count_if(deco OR trim(existing_alt) <> '') / count(*), 6) AS coverage,
-  CAST(count_if(shape_id % 2 = 0) AS BIGINT) AS calls, count(DISTINCT image_hash) AS unique_images FROM d GROUP BY deck""",
+  CAST(count_if(uid % 2 = 0) AS BIGINT) AS calls, count(DISTINCT image_hash) AS unique_images FROM d GROUP BY deck""",
 )
 def document_stats(spark, sf_dir):
     e = views.elements(spark, sf_dir).withColumns(
-        {"decorative": classify.entry_decorative("shape_type", "width", "height", "slide_text"), "model_called": F.col("shape_id") % 2 == 0}
+        {"decorative": classify.entry_decorative("shape_type", "width", "height", "slide_text"), "model_called": F.col("uid") % 2 == 0}
     )
     return agg.document_stats(e)
 
@@ -239,7 +239,7 @@ def usage_warning(spark, sf_dir):
 
 @query(
     "expired_e18",
-    f"""WITH {views.LEDGER_SQL} SELECT count(*) AS files, round(CAST(sum(CAST(bytes AS DECIMAL(20,6))) AS DOUBLE), 2) AS bytes, min(added_at) AS oldest FROM ledger WHERE epoch(TIMESTAMP '{NOW}') - epoch(added_at) > 7 * 86400""",
+    f"""WITH {views.LEDGER_SQL} SELECT path, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(added_at)) / 86400) AS BIGINT) AS age_days, bytes, count(*) OVER () AS expired_files, round(CAST(sum(CAST(bytes AS DECIMAL(20,6))) OVER () AS DOUBLE), 2) AS expired_bytes FROM ledger WHERE epoch(TIMESTAMP '{NOW}') - epoch(added_at) > 7 * 86400""",
 )
 def expired(spark, sf_dir):
     return agg.expired(views.ledger(spark, sf_dir), F.lit(NOW).cast("timestamp"), 7)
@@ -292,10 +292,12 @@ def review_summary(spark, sf_dir):
 
 @query(
     "by_slide_e24",
-    f"""WITH {ELEMENTS} SELECT deck, slide_idx, count(*) AS entries, arg_min(instance_key, shape_idx) AS first_key, arg_max(instance_key, shape_idx) AS last_key, CAST(sum(shape_idx) AS BIGINT) AS position_sum FROM elements GROUP BY 1, 2""",
+    f"""WITH {ELEMENTS} SELECT deck, slide_idx, count(*) AS entries, string_agg(shape_idx || ':' || instance_key || ':' || existing_alt, chr(10) ORDER BY shape_idx) AS listed FROM elements GROUP BY 1, 2""",
 )
 def by_slide(spark, sf_dir):
-    return agg.by_slide(views.elements(spark, sf_dir))
+    e = views.elements(spark, sf_dir).select("deck", "slide_idx", "shape_idx", "instance_key", "existing_alt")
+    line = lambda x: F.concat_ws(":", x["shape_idx"].cast("string"), x["instance_key"], x["existing_alt"])
+    return agg.by_slide(e).select("deck", "slide_idx", F.size("rows").cast("bigint").alias("entries"), F.array_join(F.transform("rows", line), "\n").alias("listed"))
 
 
 @query(

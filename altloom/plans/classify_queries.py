@@ -298,17 +298,13 @@ def decision(spark, sf_dir):
    FROM decided WHERE decision_reason = 'needs_generation')
 SELECT deck, CAST(count(*) AS BIGINT) AS elements, count_if(decision_reason = 'preserve_existing') AS preserved, count_if(decision_reason = 'policy_excluded') AS excluded,
   count_if(decision_reason IN ('cached', 'already_generated')) AS cached, count_if(coalesce(generates, false)) AS generated, count_if(NOT generates) AS reused
-FROM decided LEFT JOIN (SELECT shape_id, generates FROM elected) USING (shape_id) GROUP BY deck""",
+FROM decided LEFT JOIN (SELECT uid, generates FROM elected) USING (uid) GROUP BY deck""",
 )
 def decision_summary(spark, sf_dir):
     d = decided_narrow(spark, sf_dir)
     waiting = F.col("decision_reason") == "needs_generation"
-    elected = (
-        d.filter(waiting).groupBy("content_key")
-        .agg(F.min_by("shape_id", F.struct("deck", "slide_idx", "shape_idx")).alias("shape_id"))
-        .select("shape_id", F.lit(True).alias("generates"))
-    )
-    marked = d.join(elected, "shape_id", "left").withColumn("generates", F.coalesce("generates", F.lit(False)))
+    elected = reuse.elect_generators(d.filter(waiting), "content_key", ["deck", "slide_idx", "shape_idx"]).filter("generates")
+    marked = d.join(elected.select(*reuse.OWNER, "generates"), reuse.OWNER, "left").withColumn("generates", F.coalesce("generates", F.lit(False)))
     return marked.groupBy("deck").agg(
         F.count(F.lit(1)).alias("elements"),
         F.count_if(F.col("decision_reason") == "preserve_existing").alias("preserved"),

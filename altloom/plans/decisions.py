@@ -15,9 +15,9 @@ from altloom.session import materialize
 
 def decided(spark, sf_dir, mode: str = "preserve", strategy: str = "smart") -> DataFrame:
     """Elements with the text of equal content and the decision on each."""
-    e = views.elements(spark, sf_dir).withColumn("model_called", F.col("shape_id") % 2 == 0)
-    cache = e.select("content_key", "shape_id", "final_alt")
-    cached = reuse.with_cache(e, cache, "content_key", "final_alt", ["shape_id"], "shape_id")
+    e = views.elements(spark, sf_dir).withColumn("model_called", F.col("uid") % 2 == 0)
+    cache = e.select("content_key", *reuse.OWNER, "final_alt")
+    cached = reuse.with_cache(e, cache, "content_key", "final_alt")
     return classify.decide(cached, mode, strategy)
 
 
@@ -32,12 +32,12 @@ def decided_narrow(spark, sf_dir) -> DataFrame:
         return F.when(~is_blank(name), "x").otherwise("").alias(name)
 
     e = views.elements(spark, sf_dir).select(
-        "shape_id", "deck", "slide_idx", "shape_idx", "content_key", (F.col("shape_id") % 2 == 0).alias("model_called"),
+        "shape_id", "deck", "slide_idx", "shape_idx", "content_key", (F.col("uid") % 2 == 0).alias("model_called"),
         filled("existing_alt"), filled("final_alt"),
         classify.include_policy("shape_type", "width", "height", "slide_text").alias("policy"),
     )
-    cache = e.select("content_key", "shape_id", "final_alt")
-    cached = reuse.with_cache(e, cache, "content_key", "final_alt", ["shape_id"], "shape_id")
+    cache = e.select("content_key", *reuse.OWNER, "final_alt")
+    cached = reuse.with_cache(e, cache, "content_key", "final_alt")
     kept = ["shape_id", "deck", "slide_idx", "shape_idx", "content_key", "decision_reason"]
     return materialize(classify.decide(cached).select(*kept))
 
@@ -46,8 +46,8 @@ ENTRY_DECORATIVE = f"""(shape_type IN ('LINE', 'CONNECTOR') OR width * height <
    OR {q.contains_any('lower(slide_text)', rules.DECORATIVE_CONTEXT)})"""
 
 CACHED_SQL = f"""{views.ELEMENTS_SQL},
-cached AS (SELECT e.*, shape_id % 2 = 0 AS model_called, (SELECT arg_max(o.final_alt, o.shape_id) FROM elements o
-   WHERE o.content_key = e.content_key AND o.shape_id <> e.shape_id AND trim(o.final_alt) <> '') AS cached_alt FROM elements e)"""
+cached AS (SELECT e.*, uid % 2 = 0 AS model_called, (SELECT arg_max(o.final_alt, (o.deck, o.slide_idx, o.shape_id)) FROM elements o
+   WHERE o.content_key = e.content_key AND o.uid <> e.uid AND trim(o.final_alt) <> '') AS cached_alt FROM elements e)"""
 
 DECIDED_SQL = f"""{CACHED_SQL},
 policed AS (SELECT *, {ENTRY_DECORATIVE} AS deco,

@@ -32,45 +32,45 @@ def hashes(spark, sf_dir):
 
 @query(
     "reuse_by_content_d01",
-    f"WITH {CACHED_SQL} SELECT shape_id, cached_alt IS NOT NULL AS hit, cached_alt FROM cached",
+    f"WITH {CACHED_SQL} SELECT uid, cached_alt IS NOT NULL AS hit, cached_alt FROM cached",
 )
 def reuse_by_content(spark, sf_dir):
-    e = views.elements(spark, sf_dir).select("shape_id", "content_key", "final_alt")
-    found = reuse.with_cache(e, e, "content_key", "final_alt", ["shape_id"], "shape_id")
-    return found.select("shape_id", F.col("cached_alt").isNotNull().alias("hit"), "cached_alt")
+    e = views.elements(spark, sf_dir).select("uid", *reuse.OWNER, "content_key", "final_alt")
+    found = reuse.with_cache(e, e, "content_key", "final_alt")
+    return found.select("uid", F.col("cached_alt").isNotNull().alias("hit"), "cached_alt")
 
 
 @query(
     "reuse_by_image_d02",
-    f"""WITH {views.ELEMENTS_SQL}, c AS (SELECT image_hash, arg_max(generated_alt, (slide_idx, shape_id)) AS l, arg_max(shape_id, (slide_idx, shape_id)) AS li,
-   arg_min(generated_alt, (slide_idx, shape_id)) AS f, arg_min(shape_id, (slide_idx, shape_id)) AS fi FROM elements WHERE trim(generated_alt) <> '' GROUP BY 1)
-SELECT shape_id, CASE WHEN li <> shape_id THEN l WHEN fi <> shape_id THEN f END AS cached_alt FROM elements LEFT JOIN c USING (image_hash)""",
+    f"""WITH {views.ELEMENTS_SQL}, c AS (SELECT image_hash, arg_max(generated_alt, (slide_idx, deck, shape_id)) AS l, arg_max(uid, (slide_idx, deck, shape_id)) AS li,
+   arg_min(generated_alt, (slide_idx, deck, shape_id)) AS f, arg_min(uid, (slide_idx, deck, shape_id)) AS fi FROM elements WHERE trim(generated_alt) <> '' GROUP BY 1)
+SELECT uid, CASE WHEN li <> uid THEN l WHEN fi <> uid THEN f END AS cached_alt FROM elements LEFT JOIN c USING (image_hash)""",
 )
 def reuse_by_image(spark, sf_dir):
-    e = views.elements(spark, sf_dir).select("shape_id", "slide_idx", "image_hash", "generated_alt")
-    found = reuse.with_cache(e, e, "image_hash", "generated_alt", ["slide_idx", "shape_id"], "shape_id")
-    return found.select("shape_id", "cached_alt")
+    e = views.elements(spark, sf_dir).select("uid", *reuse.OWNER, "image_hash", "generated_alt")
+    found = reuse.with_cache(e, e, "image_hash", "generated_alt", order=["slide_idx"])
+    return found.select("uid", "cached_alt")
 
 
 def stored(spark, sf_dir):
     """Index, current and generated texts as the stages store them."""
     e = views.elements(spark, sf_dir)
-    index = e.select(F.col("instance_key").alias("key"))
-    current = e.filter("existing_alt <> ''").select(F.col("instance_key").alias("key"), F.col("existing_alt").alias("text"))
+    index = e.select("deck", F.col("instance_key").alias("key"))
+    current = e.filter("existing_alt <> ''").select("deck", F.col("instance_key").alias("key"), F.col("existing_alt").alias("text"))
     generated = e.filter("generated_alt <> '' AND shape_type <> 'LINE'").select(
-        F.col("instance_key").alias("key"), F.col("generated_alt").alias("text")
+        "deck", F.col("instance_key").alias("key"), F.col("generated_alt").alias("text")
     )
     return index, current, generated
 
 
-STORED_SQL = f"""{views.ELEMENTS_SQL}, idx AS (SELECT instance_key AS key, coalesce({q.strip('existing_alt')}, '') AS e,
+STORED_SQL = f"""{views.ELEMENTS_SQL}, idx AS (SELECT deck, instance_key AS key, coalesce({q.strip('existing_alt')}, '') AS e,
    CASE WHEN shape_type <> 'LINE' THEN {q.strip('generated_alt')} ELSE '' END AS g FROM elements),
-resolved AS (SELECT key, e AS existing_alt, g AS generated_alt, lower(e) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) AS em, lower(g) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) AS gm FROM idx)"""
+resolved AS (SELECT deck, key, e AS existing_alt, g AS generated_alt, lower(e) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) AS em, lower(g) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) AS gm FROM idx)"""
 
 
 @query(
     "resolve_d03",
-    f"""WITH {STORED_SQL} SELECT key, existing_alt, generated_alt, CASE WHEN em THEN 'pptx' END AS source_existing, CASE WHEN gm THEN 'llava' END AS source_generated,
+    f"""WITH {STORED_SQL} SELECT deck, key, existing_alt, generated_alt, CASE WHEN em THEN 'pptx' END AS source_existing, CASE WHEN gm THEN 'llava' END AS source_generated,
   CASE WHEN em THEN existing_alt WHEN gm THEN generated_alt END AS final_alt, CASE WHEN em THEN 'preserve_existing' WHEN gm THEN 'use_generated' ELSE 'no_alt_available' END AS decision FROM resolved""",
 )
 def resolve(spark, sf_dir):
@@ -89,12 +89,12 @@ def resolve_summary(spark, sf_dir):
 
 @query(
     "enrich_d04",
-    f"""WITH {STORED_SQL} SELECT key, existing_alt, generated_alt, CASE WHEN em THEN 'pptx' END AS source_existing, CASE WHEN generated_alt <> '' THEN 'llava' END AS source_generated,
+    f"""WITH {STORED_SQL} SELECT deck, key, existing_alt, generated_alt, CASE WHEN em THEN 'pptx' END AS source_existing, CASE WHEN generated_alt <> '' THEN 'llava' END AS source_generated,
   em AS existing_meaningful FROM resolved""",
 )
 def enrich(spark, sf_dir):
     index, current, generated = stored(spark, sf_dir)
-    images = index.join(current.withColumnRenamed("text", "existing_alt"), "key", "left")
+    images = index.join(current.withColumnRenamed("text", "existing_alt"), joins.KEY, "left")
     return joins.enrich(images, generated)
 
 
@@ -148,16 +148,15 @@ def match_keys(spark, sf_dir):
 
 @query(
     "missing_d06",
-    f"""WITH {KEYS_SQL} SELECT deck || ' ' || element_key AS key, 'missing' AS problem FROM el ANTI JOIN k ON el.deck = k.deck AND element_key = k.key
-UNION ALL SELECT deck || ' ' || key, 'unmatched' FROM k ANTI JOIN el ON el.deck = k.deck AND element_key = k.key""",
+    f"""WITH {KEYS_SQL} SELECT deck, element_key AS key, 'missing' AS problem FROM el ANTI JOIN k ON el.deck = k.deck AND element_key = k.key
+UNION ALL SELECT deck, key, 'unmatched' FROM k ANTI JOIN el ON el.deck = k.deck AND element_key = k.key""",
 )
 def missing(spark, sf_dir):
     asked, elements = stored_keys(spark, sf_dir)
-    named = [df.select(F.concat_ws(" ", "deck", c).alias("key")) for df, c in ((elements, "element_key"), (asked, "key"))]
-    return joins.missing(*named)
+    return joins.missing(elements.select("deck", F.col("element_key").alias("key")), asked)
 
 
-@query("pending_keys_d07", f"WITH {STORED_SQL} SELECT key FROM resolved WHERE existing_alt = '' AND generated_alt = ''")
+@query("pending_keys_d07", f"WITH {STORED_SQL} SELECT deck, key FROM resolved WHERE existing_alt = '' AND generated_alt = ''")
 def pending_keys(spark, sf_dir):
     return joins.pending_keys(*stored(spark, sf_dir))
 
@@ -165,14 +164,14 @@ def pending_keys(spark, sf_dir):
 def written(spark, sf_dir):
     """Expected texts and what a read-back might find."""
     e = views.elements(spark, sf_dir)
-    expected = e.select(F.col("instance_key").alias("key"), F.concat("slide_text", F.lit(".")).alias("text"))
+    expected = e.select("deck", F.col("instance_key").alias("key"), F.concat("slide_text", F.lit(".")).alias("text"))
     found = (
         F.when(F.col("width") % 5 == 0, F.col("slide_text"))
         .when(F.col("width") % 5 == 1, F.concat(F.lower("slide_text"), F.lit(".")))
         .when(F.col("width") % 5 == 2, F.lit("This is a PowerPoint shape"))
         .when(F.col("width") % 5 == 3, F.concat("slide_text", F.lit(".")))
     )
-    return expected, e.select(F.col("instance_key").alias("key"), found.alias("text"))
+    return expected, e.select("deck", F.col("instance_key").alias("key"), found.alias("text"))
 
 
 def level(x):
@@ -185,9 +184,9 @@ def bag(x):
     return f"list_distinct(list_filter(string_split(lower({q.squash(x)}), ' '), lambda w: w <> ''))"
 
 
-VERIFIED_SQL = f"""{views.ELEMENTS_SQL}, w AS (SELECT instance_key AS key, {q.strip("slide_text || '.'")} AS e, coalesce({q.strip("CASE width % 5 WHEN 0 THEN slide_text WHEN 1 THEN lower(slide_text) || '.' WHEN 2 THEN 'This is a PowerPoint shape' WHEN 3 THEN slide_text || '.' END")}, '') AS a FROM elements),
+VERIFIED_SQL = f"""{views.ELEMENTS_SQL}, w AS (SELECT deck, instance_key AS key, {q.strip("slide_text || '.'")} AS e, coalesce({q.strip("CASE width % 5 WHEN 0 THEN slide_text WHEN 1 THEN lower(slide_text) || '.' WHEN 2 THEN 'This is a PowerPoint shape' WHEN 3 THEN slide_text || '.' END")}, '') AS a FROM elements),
 l AS (SELECT *, {level('e')} = {level('a')} AS levelled, {bag('e')} AS be, {bag('a')} AS ba FROM w),
-checked AS (SELECT key, e = a AS exact, levelled, len(ba) > 0 AND len(list_intersect(be, ba)) / len(list_distinct(list_concat(be, ba))) >= 0.8 AS mostly_same,
+checked AS (SELECT deck, key, e = a AS exact, levelled, len(ba) > 0 AND len(list_intersect(be, ba)) / len(list_distinct(list_concat(be, ba))) >= 0.8 AS mostly_same,
    length(a) - length(e) AS length_diff, CASE WHEN e = a THEN NULL WHEN a = '' THEN 'empty_text' WHEN right(a, 1) NOT IN ('.', '!', '?') THEN 'terminal_punctuation_mismatch'
      WHEN right(a, 1) <> right(e, 1) THEN 'different_terminal_punctuation' WHEN regexp_replace(e, '[.!?]+$', '') = regexp_replace(a, '[.!?]+$', '') THEN 'punctuation_only_difference' ELSE 'no_punctuation_issue' END AS punctuation,
    NOT levelled AND {TEMPLATED.format(t='a')} AS repair FROM l)"""
@@ -235,22 +234,22 @@ def verify_review(spark, sf_dir):
 @query(
     "report_rows_d10",
     f"""WITH {views.ELEMENTS_SQL}, ctx AS (SELECT deck, slide_idx, arg_min(slide_text, shape_idx) AS context FROM elements WHERE slide_idx > 0 GROUP BY 1, 2),
-j AS (SELECT instance_key AS key, context, height < 40 AS deco, nullif({q.strip('existing_alt')}, '') AS o,
+j AS (SELECT deck, instance_key AS key, context, height < 40 AS deco, nullif({q.strip('existing_alt')}, '') AS o,
    CASE WHEN width % 4 <> 0 THEN nullif({q.strip("CASE WHEN width % 3 = 0 THEN shape_name ELSE '' END")}, '') END AS me,
    CASE WHEN width % 4 <> 0 THEN coalesce(nullif({q.strip('final_alt')}, ''), nullif({q.strip('generated_alt')}, '')) END AS off FROM elements LEFT JOIN ctx USING (deck, slide_idx)),
-s AS (SELECT key, context, deco, coalesce(o, me, '[No ALT text]') AS cur, coalesce(o, me, off, '[No ALT text]') AS sug FROM j),
+s AS (SELECT deck, key, context, deco, coalesce(o, me, '[No ALT text]') AS cur, coalesce(o, me, off, '[No ALT text]') AS sug FROM j),
 st AS (SELECT *, CASE WHEN deco THEN 'decorative_skipped' WHEN cur <> '[No ALT text]' AND {q.contains_any('lower(cur)', review.GENERIC_PHRASES)} THEN 'fallback_injected'
    WHEN cur <> '[No ALT text]' AND cur = sug THEN 'generated' WHEN cur <> '[No ALT text]' THEN 'preserved' ELSE 'needs_alt' END AS status FROM s)
-SELECT key, cur AS current, sug AS suggested, status, CASE status WHEN 'decorative_skipped' THEN 'Decorative' WHEN 'fallback_injected' THEN 'Fallback (PPT-gated)' WHEN 'generated' THEN 'Generated'
+SELECT deck, key, cur AS current, sug AS suggested, status, CASE status WHEN 'decorative_skipped' THEN 'Decorative' WHEN 'fallback_injected' THEN 'Fallback (PPT-gated)' WHEN 'generated' THEN 'Generated'
    WHEN 'preserved' THEN 'Preserved' ELSE 'Needs ALT' END AS status_label, context FROM st""",
 )
 def report_rows(spark, sf_dir):
     e = views.elements(spark, sf_dir).withColumn("slide_key", F.struct("deck", "slide_idx"))
     original = e.select(
-        F.col("instance_key").alias("key"), "slide_key", (F.col("height") < 40).alias("decorative"), F.col("existing_alt").alias("text")
+        "deck", F.col("instance_key").alias("key"), "slide_key", (F.col("height") < 40).alias("decorative"), F.col("existing_alt").alias("text")
     )
     final_map = e.filter("width % 4 <> 0").select(
-        F.col("instance_key").alias("key"), F.when(F.col("width") % 3 == 0, F.col("shape_name")).otherwise("").alias("existing_alt"),
+        "deck", F.col("instance_key").alias("key"), F.when(F.col("width") % 3 == 0, F.col("shape_name")).otherwise("").alias("existing_alt"),
         "generated_alt", "final_alt",
     )
     context = e.filter("slide_idx > 0").groupBy("slide_key").agg(F.min_by("slide_text", "shape_idx").alias("context"))
@@ -318,14 +317,14 @@ def probe_keys(spark, sf_dir):
 @query(
     "nearby_text_d14",
     f"""WITH {views.ELEMENTS_SQL}, c AS (SELECT *, "left" + width / 2 AS cx, top + height / 2 AS cy FROM elements),
-near AS (SELECT i.shape_id AS id, {q.strip('b.text')} AS t, row_number() OVER (PARTITION BY i.shape_id ORDER BY b.shape_idx) AS n FROM c i JOIN c b
+near AS (SELECT i.uid AS id, {q.strip('b.text')} AS t, row_number() OVER (PARTITION BY i.uid ORDER BY b.shape_idx) AS n FROM c i JOIN c b
    ON i.deck = b.deck AND i.slide_idx = b.slide_idx AND {q.strip('b.text')} <> '' AND i.text = '' AND sqrt(power(i.cx - b.cx, 2) + power(i.cy - b.cy, 2)) < 250),
 top3 AS (SELECT id, string_agg(t, ' ' ORDER BY n) AS near FROM near WHERE n <= 3 GROUP BY id)
-SELECT shape_id AS id, near IS NOT NULL AS found, coalesce(near, {q.strip('left(slide_text, 500)')}) AS context FROM elements LEFT JOIN top3 ON id = shape_id WHERE text = ''""",
+SELECT uid AS id, near IS NOT NULL AS found, coalesce(near, {q.strip('left(slide_text, 500)')}) AS context FROM elements LEFT JOIN top3 ON id = uid WHERE text = ''""",
 )
 def nearby_text(spark, sf_dir):
     e = views.elements(spark, sf_dir)
-    images = e.filter("text = ''").select(F.col("shape_id").alias("id"), "deck", "slide_idx", "left", "top", "width", "height", F.col("slide_text").alias("page_text"))
+    images = e.filter("text = ''").select(F.col("uid").alias("id"), "deck", "slide_idx", "left", "top", "width", "height", F.col("slide_text").alias("page_text"))
     blocks = e.select("deck", "slide_idx", "left", "top", "width", "height", F.col("shape_idx").alias("position"), "text")
     return joins.nearby_text(images, blocks, radius=250)
 

@@ -36,11 +36,11 @@ def image_number(spark, sf_dir):
 
 @query(
     "elect_generators_f03",
-    f"WITH {ELEMENTS} SELECT shape_id, row_number() OVER (PARTITION BY content_key ORDER BY deck, slide_idx, shape_idx) = 1 AS generates FROM elements",
+    f"WITH {ELEMENTS} SELECT deck, shape_id, row_number() OVER (PARTITION BY content_key ORDER BY deck, slide_idx, shape_idx) = 1 AS generates FROM elements",
 )
 def elect_generators(spark, sf_dir):
     e = views.elements(spark, sf_dir).select("shape_id", "content_key", "deck", "slide_idx", "shape_idx")
-    return reuse.elect_generators(e, "content_key", ["deck", "slide_idx", "shape_idx"], "shape_id").select("shape_id", "generates")
+    return reuse.elect_generators(e, "content_key", ["deck", "slide_idx", "shape_idx"]).select("deck", "shape_id", "generates")
 
 
 @query("latest_f04", "SELECT conv_id AS key, max(turn) AS seq, arg_max(role, turn) AS source, arg_max(text, turn) AS text FROM conversations GROUP BY 1")
@@ -139,14 +139,13 @@ def oldest_first(spark, sf_dir):
 def selected(spark, sf_dir):
     """Contract decisions over the element table."""
     e = views.elements(spark, sf_dir)
-    first = reuse.elect_generators(
-        e.select("shape_id", "content_key"), "content_key", ["shape_id"], "shape_id", "first_copy"
-    ).select("shape_id", "first_copy")
-    children = joins.group_children(e).groupBy(F.col("parent_id").alias("shape_id")).agg(F.count(F.lit(1)).alias("children"))
-    covered = joins.overlays(e).select(F.col("target_id").alias("shape_id")).distinct().withColumn("has_overlay", F.lit(True))
+    place = ["deck", "slide_idx"]
+    first = reuse.elect_generators(e.select(*reuse.OWNER, "content_key"), "content_key", reuse.OWNER, name="first_copy").drop("content_key")
+    children = joins.group_children(e).groupBy(*place, F.col("parent_id").alias("shape_id")).agg(F.count(F.lit(1)).alias("children"))
+    covered = joins.overlays(e).select(*place, F.col("target_id").alias("shape_id")).distinct().withColumn("has_overlay", F.lit(True))
     hint = views.pick(["arrow", "unknown", "callout", "error_dialog", "highlight", "circle", "text_box"], F.col("width"))
     full = (
-        e.join(first, "shape_id").join(children, "shape_id", "left").join(covered, "shape_id", "left")
+        e.join(first, reuse.OWNER).join(children, reuse.OWNER, "left").join(covered, reuse.OWNER, "left")
         .withColumns(
             {
                 "children": F.coalesce("children", F.lit(0)),
@@ -159,9 +158,9 @@ def selected(spark, sf_dir):
     return groups.selector_decide(full)
 
 
-SELECTED_SQL = f"""{OVERLAYS_SQL}, s AS (SELECT e.*, shape_id IN (SELECT target_id FROM overlays) AS has_overlay,
-   (SELECT count(*) FROM elements c WHERE c.parent_id = e.shape_id AND c.deck = e.deck AND e.shape_type = 'GROUP') AS children,
-   row_number() OVER (PARTITION BY content_key ORDER BY shape_id) = 1 AS first_copy,
+SELECTED_SQL = f"""{OVERLAYS_SQL}, s AS (SELECT e.*, EXISTS (SELECT 1 FROM overlays o WHERE o.deck = e.deck AND o.slide_idx = e.slide_idx AND o.target_id = e.shape_id) AS has_overlay,
+   (SELECT count(*) FROM elements c WHERE c.parent_uid = e.uid AND e.shape_type = 'GROUP') AS children,
+   row_number() OVER (PARTITION BY content_key ORDER BY deck, slide_idx, shape_id) = 1 AS first_copy,
    ['arrow','unknown','callout','error_dialog','highlight','circle','text_box'][width % 7 + 1] AS hint,
    shape_type IN ('LINE', 'CONNECTOR') OR width * height < 100 OR {q.contains_any('lower(slide_text)', rules.DECORATIVE_CONTEXT)} AS decorative FROM elements e),
 reasoned AS (SELECT *, CASE WHEN hint = 'error_dialog' THEN 'escalate_system_ui_like'
@@ -175,26 +174,26 @@ selected AS (SELECT *, CASE WHEN reason_code = 'escalate_system_ui_like' THEN 'e
 
 @query(
     "by_priority_g04",
-    f"""WITH {SELECTED_SQL}, p AS (SELECT shape_id, CASE WHEN selector_decision = 'escalate_manual_review' OR (shape_type = 'CHART' AND has_overlay) THEN 1
+    f"""WITH {SELECTED_SQL}, p AS (SELECT deck, slide_idx, shape_id, CASE WHEN selector_decision = 'escalate_manual_review' OR (shape_type = 'CHART' AND has_overlay) THEN 1
    WHEN escalation_strategy = 'include_with_ambiguous_reason' THEN 2 ELSE 3 END AS priority FROM selected)
-SELECT shape_id, priority, row_number() OVER (ORDER BY priority, shape_id) AS position FROM p""",
+SELECT deck, shape_id, priority, row_number() OVER (ORDER BY priority, deck, slide_idx, shape_id) AS position FROM p""",
 )
 def by_priority(spark, sf_dir):
     s = selected(spark, sf_dir)
     level = ordered.priority(
         F.col("selector_decision"), F.col("escalation_strategy"), (F.col("shape_type") == "CHART") & F.col("has_overlay")
     )
-    return ordered.by_priority(s.select("shape_id", level.alias("level")), F.col("level"), "shape_id").select(
-        "shape_id", "priority", "position"
+    return ordered.by_priority(s.select(*reuse.OWNER, level.alias("level")), F.col("level"), reuse.OWNER).select(
+        "deck", "shape_id", "priority", "position"
     )
 
 
 @query(
     "stable_order_g05",
-    f"WITH {ELEMENTS} SELECT instance_key, row_number() OVER (ORDER BY instance_key) AS position FROM elements",
+    f"WITH {ELEMENTS} SELECT deck, instance_key, row_number() OVER (ORDER BY deck, instance_key) AS position FROM elements",
 )
 def stable_order(spark, sf_dir):
-    return ordered.stable_order(views.elements(spark, sf_dir).select("instance_key"), "instance_key")
+    return ordered.stable_order(views.elements(spark, sf_dir).select("deck", "instance_key"), ["deck", "instance_key"])
 
 
 @query(
@@ -226,15 +225,15 @@ def common_keys(spark, sf_dir):
 
 @query(
     "backfill_h02",
-    f"""WITH {ELEMENTS}, s AS (SELECT instance_key AS key, generated_alt AS text, 'llava' AS source FROM elements WHERE generated_alt <> '')
-SELECT * FROM s UNION ALL SELECT instance_key, CASE WHEN shape_type = 'PICTURE' THEN 'Image: ' || shape_name WHEN shape_type = 'CONNECTOR' THEN
+    f"""WITH {ELEMENTS}, s AS (SELECT deck, instance_key AS key, generated_alt AS text, 'llava' AS source FROM elements WHERE generated_alt <> '')
+SELECT * FROM s UNION ALL SELECT deck, instance_key, CASE WHEN shape_type = 'PICTURE' THEN 'Image: ' || shape_name WHEN shape_type = 'CONNECTOR' THEN
    CASE WHEN height < 10 AND width > height * 3 THEN 'horizontal' WHEN width < 10 AND height > width * 3 THEN 'vertical' ELSE 'diagonal' END || ' line'
    WHEN contains(shape_name, 'Arrow') THEN 'Arrow' ELSE 'Shape: ' || shape_name END, 'geometric_backfill' FROM elements
    WHERE generated_alt = '' AND shape_type NOT IN ('PLACEHOLDER', 'TEXT_BOX')""",
 )
 def backfill(spark, sf_dir):
     e = views.elements(spark, sf_dir).withColumnRenamed("instance_key", "key")
-    texts = e.filter("generated_alt <> ''").select("key", F.col("generated_alt").alias("text"), F.lit("llava").alias("source"))
+    texts = e.filter("generated_alt <> ''").select("deck", "key", F.col("generated_alt").alias("text"), F.lit("llava").alias("source"))
     none = F.lit(None).cast("int")
     made = F.when(
         F.col("shape_name").contains("Arrow") & ~F.col("shape_type").isin("PICTURE", "CONNECTOR"), "Arrow"
@@ -267,32 +266,32 @@ def rules_union(spark, sf_dir):
 
 # --- group trees -------------------------------------------------------------------
 
-FLAT_SQL = f"""{ELEMENTS}, flat AS (SELECT deck, slide_idx, shape_id, 0 AS depth, [shape_id] AS path FROM elements WHERE parent_id IS NULL
-  UNION ALL SELECT e.deck, e.slide_idx, e.shape_id, f.depth + 1, list_append(f.path, e.shape_id) FROM elements e JOIN flat f ON e.parent_id = f.shape_id AND e.deck = f.deck AND e.slide_idx = f.slide_idx)"""
+FLAT_SQL = f"""{ELEMENTS}, flat AS (SELECT uid, deck, slide_idx, shape_id, 0 AS depth, [shape_id] AS path, [uid] AS upath FROM elements WHERE parent_id IS NULL
+  UNION ALL SELECT e.uid, e.deck, e.slide_idx, e.shape_id, f.depth + 1, list_append(f.path, e.shape_id), list_append(f.upath, e.uid) FROM elements e JOIN flat f ON e.parent_id = f.shape_id AND e.deck = f.deck AND e.slide_idx = f.slide_idx)"""
 
 
-@query("flatten_i01", f"WITH RECURSIVE {FLAT_SQL} SELECT shape_id, depth, array_to_string(path, '/') AS path FROM flat")
+@query("flatten_i01", f"WITH RECURSIVE {FLAT_SQL} SELECT deck, shape_id, depth, array_to_string(path, '/') AS path FROM flat")
 def flatten(spark, sf_dir):
     flat = groups.flatten(views.elements(spark, sf_dir))
-    return flat.select("shape_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    return flat.select("deck", "shape_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 @query(
     "is_image_like_c02",
-    f"""WITH RECURSIVE {FLAT_SQL}, own AS (SELECT shape_id, NOT (shape_type IN ('TEXT_BOX', 'PLACEHOLDER') AND (trim(text) = '' OR {q.contains_any('lower(text)', fixed.EMPTY_PROMPTS)}))
+    f"""WITH RECURSIVE {FLAT_SQL}, own AS (SELECT deck, uid, shape_id, NOT (shape_type IN ('TEXT_BOX', 'PLACEHOLDER') AND (trim(text) = '' OR {q.contains_any('lower(text)', fixed.EMPTY_PROMPTS)}))
    AND (shape_type = 'PICTURE' OR fill_kind = 'picture') AS own FROM elements)
-SELECT o.shape_id, own OR EXISTS (SELECT 1 FROM flat f JOIN own c ON c.shape_id = f.shape_id WHERE c.own AND f.shape_id <> o.shape_id AND list_contains(f.path, o.shape_id)) AS image_like FROM own o""",
+SELECT o.deck, o.shape_id, own OR EXISTS (SELECT 1 FROM flat f JOIN own c ON c.uid = f.uid WHERE c.own AND f.uid <> o.uid AND list_contains(f.upath, o.uid)) AS image_like FROM own o""",
 )
 def is_image_like(spark, sf_dir):
     e = views.elements(spark, sf_dir)
-    return groups.is_image_like(e, groups.flatten(e)).select("shape_id", "image_like")
+    return groups.is_image_like(e, groups.flatten(e)).select("deck", "shape_id", "image_like")
 
 
-COUNTS_SQL = f"""{ELEMENTS}, ch AS (SELECT c.parent_id, c.shape_id, CASE c.shape_type WHEN 'PICTURE' THEN 'image' WHEN 'AUTO_SHAPE' THEN 'shape' WHEN 'CHART' THEN 'chart' END AS kind, trim(c.text) AS t, c.shape_type, c.width
-   FROM elements c JOIN elements g ON g.shape_id = c.parent_id AND g.shape_type = 'GROUP' AND g.deck = c.deck AND g.slide_idx = c.slide_idx),
-counts AS (SELECT parent_id, count(*) AS n, count(kind) AS m, count_if(kind IS NULL AND t <> '') AS w, count_if(kind IS NULL AND t = '') AS d, min(kind) AS k1, max(kind) AS k2,
+COUNTS_SQL = f"""{ELEMENTS}, ch AS (SELECT c.parent_uid, c.shape_id, CASE c.shape_type WHEN 'PICTURE' THEN 'image' WHEN 'AUTO_SHAPE' THEN 'shape' WHEN 'CHART' THEN 'chart' END AS kind, trim(c.text) AS t, c.shape_type, c.width
+   FROM elements c JOIN elements g ON g.uid = c.parent_uid AND g.shape_type = 'GROUP'),
+counts AS (SELECT parent_uid, count(*) AS n, count(kind) AS m, count_if(kind IS NULL AND t <> '') AS w, count_if(kind IS NULL AND t = '') AS d, min(kind) AS k1, max(kind) AS k2,
    min(CASE WHEN kind IS NOT NULL THEN shape_id END) AS only_child FROM ch GROUP BY 1),
-sem AS (SELECT counts.*, e.deck, e.slide_idx, CASE WHEN e.height > 0 THEN e.width / e.height ELSE 1 END AS r FROM counts JOIN elements e ON e.shape_id = counts.parent_id),
+sem AS (SELECT counts.*, e.deck, e.slide_idx, e.shape_id AS parent_id, CASE WHEN e.height > 0 THEN e.width / e.height ELSE 1 END AS r FROM counts JOIN elements e ON e.uid = counts.parent_uid),
 named AS (SELECT *, CASE WHEN r BETWEEN 0.8 AND 1.4 AND n >= 3 AND d >= 2 THEN 'lightbulb' WHEN r BETWEEN 0.9 AND 1.6 AND n >= 5 THEN 'brain' WHEN r BETWEEN 1.2 AND 2.0 AND n >= 2 THEN 'lungs'
    WHEN r BETWEEN 0.7 AND 1.5 AND n >= 2 THEN 'graduation cap' WHEN n >= 5 THEN 'complex icon' WHEN n >= 3 THEN 'composite icon' END AS semantic FROM sem)"""
 
@@ -315,40 +314,42 @@ def rollup_groups(spark, sf_dir):
 
 @query(
     "group_semantic_i03",
-    f"""WITH {COUNTS_SQL} SELECT parent_id AS group_id, semantic, CASE WHEN semantic IS NOT NULL AND m = 1 THEN only_child END AS mark_decorative,
+    f"""WITH {COUNTS_SQL} SELECT deck, slide_idx, parent_id AS group_id, semantic, CASE WHEN semantic IS NOT NULL AND m = 1 THEN only_child END AS mark_decorative,
   CASE WHEN semantic IS NULL THEN NULL WHEN m = 0 THEN 'semantic_parent_generic' WHEN m = 1 THEN 'parent_kept_child_decorative' ELSE 'composite_semantic_container' END AS policy FROM named""",
 )
 def group_semantic(spark, sf_dir):
     e = views.elements(spark, sf_dir)
-    kinds = groups.group_semantic(e).select(F.col("parent_id").alias("group_id"), "semantic")
-    rolled = groups.rollup_groups(e, semantics=True).select("group_id", "mark_decorative", "policy")
-    return kinds.join(rolled, "group_id").withColumn("policy", F.when(F.col("semantic").isNotNull(), F.col("policy")))
+    place = ["deck", "slide_idx"]
+    kinds = groups.group_semantic(e).select(*place, F.col("parent_id").alias("group_id"), "semantic")
+    rolled = groups.rollup_groups(e, semantics=True).select(*place, "group_id", "mark_decorative", "policy")
+    return kinds.join(rolled, [*place, "group_id"]).withColumn("policy", F.when(F.col("semantic").isNotNull(), F.col("policy")))
 
 
 @query(
     "group_decorative_i04",
-    f"""WITH {COUNTS_SQL}, f AS (SELECT parent_id, count(*) AS n, count_if(width % 3 > 0) AS d, count_if(width % 3 = 0 AND (length(t) > 10 OR shape_type IN ('PICTURE', 'CHART'))) AS c FROM ch GROUP BY 1)
-SELECT parent_id AS group_id, n AS children, d AS decorative_children, d = n OR (n <= 3 AND d / n >= 0.67) OR (n <= 5 AND d / n >= 0.8) OR (c = 0 AND d / n >= 0.5) AS decorative FROM f""",
+    f"""WITH {COUNTS_SQL}, f AS (SELECT parent_uid, count(*) AS n, count_if(width % 3 > 0) AS d, count_if(width % 3 = 0 AND (length(t) > 10 OR shape_type IN ('PICTURE', 'CHART'))) AS c FROM ch GROUP BY 1)
+SELECT e.deck, e.slide_idx, e.shape_id AS group_id, n AS children, d AS decorative_children, d = n OR (n <= 3 AND d / n >= 0.67) OR (n <= 5 AND d / n >= 0.8) OR (c = 0 AND d / n >= 0.5) AS decorative FROM f JOIN elements e ON e.uid = f.parent_uid""",
 )
 def group_decorative(spark, sf_dir):
     found = groups.group_decorative(views.elements(spark, sf_dir), F.col("width") % 3 > 0)
-    return found.select("group_id", "children", "decorative_children", "decorative")
+    return found.select("deck", "slide_idx", "group_id", "children", "decorative_children", "decorative")
 
 
 @query(
     "suppress_children_i05",
-    f"""WITH RECURSIVE {SELECTED_SQL}, flat AS (SELECT deck, slide_idx, shape_id, [shape_id] AS path FROM elements WHERE parent_id IS NULL
-  UNION ALL SELECT e.deck, e.slide_idx, e.shape_id, list_append(f.path, e.shape_id) FROM elements e JOIN flat f ON e.parent_id = f.shape_id AND e.deck = f.deck AND e.slide_idx = f.slide_idx),
-o AS (SELECT s.shape_id, s.selector_decision, s.reason_code, s.existing_alt, list_filter(f.path, lambda p: p <> s.shape_id AND list_contains(g.ids, p))[1] AS owner
-   FROM selected s JOIN flat f USING (shape_id) CROSS JOIN (SELECT list(shape_id) AS ids FROM selected WHERE selector_decision = 'include_group') g)
-SELECT shape_id, owner AS parent_group_id, CASE WHEN owner IS NOT NULL THEN 'exclude_redundant' ELSE selector_decision END AS selector_decision,
+    f"""WITH RECURSIVE {SELECTED_SQL}, flat AS (SELECT uid, [uid] AS path FROM elements WHERE parent_id IS NULL
+  UNION ALL SELECT e.uid, list_append(f.path, e.uid) FROM elements e JOIN flat f ON e.parent_uid = f.uid),
+oo AS (SELECT s.deck, s.shape_id, s.selector_decision, s.reason_code, s.existing_alt, list_filter(f.path, lambda p: p <> s.uid AND list_contains(g.ids, p))[1] AS top
+   FROM selected s JOIN flat f USING (uid) CROSS JOIN (SELECT list(uid) AS ids FROM selected WHERE selector_decision = 'include_group') g),
+o AS (SELECT oo.*, e.shape_id AS owner FROM oo LEFT JOIN elements e ON e.uid = oo.top)
+SELECT deck, shape_id, owner AS parent_group_id, CASE WHEN owner IS NOT NULL THEN 'exclude_redundant' ELSE selector_decision END AS selector_decision,
   CASE WHEN owner IS NOT NULL THEN 'group_suppression' ELSE reason_code END AS reason_code FROM o
-UNION ALL SELECT shape_id, owner, 'preserve_conflict', 'preserve_conflict' FROM o WHERE owner IS NOT NULL AND length(existing_alt) > 20""",
+UNION ALL SELECT deck, shape_id, owner, 'preserve_conflict', 'preserve_conflict' FROM o WHERE owner IS NOT NULL AND length(existing_alt) > 20""",
 )
 def suppress_children(spark, sf_dir):
     decisions = selected(spark, sf_dir).withColumn("human_alt", F.length("existing_alt") > 20)
     flat = groups.flatten(views.elements(spark, sf_dir))
-    return groups.suppress_children(decisions, flat).select("shape_id", "parent_group_id", "selector_decision", "reason_code")
+    return groups.suppress_children(decisions, flat).select("deck", "shape_id", "parent_group_id", "selector_decision", "reason_code")
 
 
 # --- selector ------------------------------------------------------------------------
@@ -367,9 +368,9 @@ def selector(spark, sf_dir):
     )
 
 
-@query("selector_decide_c24", f"WITH {SELECTED_SQL} SELECT shape_id, selector_decision, reason_code, escalation_strategy FROM selected")
+@query("selector_decide_c24", f"WITH {SELECTED_SQL} SELECT deck, shape_id, selector_decision, reason_code, escalation_strategy FROM selected")
 def selector_decide(spark, sf_dir):
-    return selected(spark, sf_dir).select("shape_id", "selector_decision", "reason_code", "escalation_strategy")
+    return selected(spark, sf_dir).select("deck", "shape_id", "selector_decision", "reason_code", "escalation_strategy")
 
 
 def corrupted(spark, sf_dir):
@@ -422,17 +423,17 @@ def planned(spark, sf_dir):
         "plan", classify.write_plan("existing_alt", "generated_alt", "final_alt", "preserve")
     )
     plan = e.filter("plan.should_write").select(
-        F.col("instance_key").alias("key"), F.col("plan.final_alt").alias("text"), F.col("shape_type").alias("kind"),
+        "deck", F.col("instance_key").alias("key"), F.col("plan.final_alt").alias("text"), F.col("shape_type").alias("kind"),
         F.lit(True).alias("is_generated"), F.lit(False).alias("is_fallback"), (F.col("plan.decision") == "written_final").alias("forced"),
     )
-    current = e.select(F.col("instance_key").alias("key"), F.col("existing_alt").alias("text"))
+    current = e.select("deck", F.col("instance_key").alias("key"), F.col("existing_alt").alias("text"))
     done = e.filter("width % 4 = 0").select(
-        F.col("instance_key").alias("key"), keys.text_hash(text.finalize_alt(text.normalize_universal(F.col("plan.final_alt")))).alias("text_hash")
+        "deck", F.col("instance_key").alias("key"), keys.text_hash(text.finalize_alt(text.normalize_universal(F.col("plan.final_alt")))).alias("text_hash")
     )
     return plan, current, done
 
 
-PLAN_SQL = f"""{ELEMENTS}, w AS (SELECT shape_id AS doc_id, instance_key AS key, shape_type, width, existing_alt, {q.strip('existing_alt')} AS e, CASE WHEN trim(final_alt) <> '' THEN {q.strip('final_alt')} WHEN trim(existing_alt) <> '' THEN NULL
+PLAN_SQL = f"""{ELEMENTS}, w AS (SELECT uid AS doc_id, deck, instance_key AS key, shape_type, width, existing_alt, {q.strip('existing_alt')} AS e, CASE WHEN trim(final_alt) <> '' THEN {q.strip('final_alt')} WHEN trim(existing_alt) <> '' THEN NULL
    WHEN trim(generated_alt) <> '' THEN {q.strip('generated_alt')} END AS text, coalesce(trim(final_alt) <> '', false) AS forced FROM elements),
 src AS (SELECT doc_id, text FROM w WHERE text IS NOT NULL)"""
 CURRENT_SQL = UNIVERSAL.format(source="cur").replace("parts AS", "cparts AS", 1).replace("FROM parts", "FROM cparts").replace("kept AS (", "ckept AS (", 1)
@@ -441,7 +442,7 @@ PATCH_SQL = f"""{PLAN_SQL}, {UNIVERSAL.format(source='src')}, cur AS (SELECT doc
 new AS (SELECT doc_id, {FINALIZED.format(x='u')} AS n FROM universal),
 renorm AS (SELECT w.*, n, c.u AS cu FROM w JOIN new USING (doc_id) LEFT JOIN cuniversal c USING (doc_id)),
 gated AS (SELECT * FROM renorm WHERE n <> '' AND length(n) <= 200 AND NOT {q.contains_any('lower(n)', fixed.LENIENT_BLOCKED)} AND NOT {q.contains_any('n', fixed.TEMPLATED)}),
-patch AS (SELECT key, existing_alt AS old_alt, n AS new_alt, CASE WHEN e = '' THEN 'insert' ELSE 'replace' END AS change, left(sha1(n), 8) AS text_hash FROM gated
+patch AS (SELECT deck, key, existing_alt AS old_alt, n AS new_alt, CASE WHEN e = '' THEN 'insert' ELSE 'replace' END AS change, left(sha1(n), 8) AS text_hash FROM gated
    WHERE (forced OR lower(e) IN ({q.quoted(fixed.SKIP_TOKENS)})) AND (e = '' OR lower(n) <> lower(cu)) AND width % 4 <> 0)"""
 
 
@@ -452,11 +453,11 @@ def patch_rows(spark, sf_dir):
 
 @query(
     "apply_patch_l02",
-    f"""WITH {PATCH_SQL} SELECT instance_key AS key, coalesce(new_alt, existing_alt) AS existing_alt, CASE WHEN change IS NOT NULL THEN change
-   WHEN lower({q.strip('existing_alt')}) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) THEN 'preserved' ELSE 'skipped' END AS outcome FROM elements LEFT JOIN patch ON patch.key = instance_key""",
+    f"""WITH {PATCH_SQL} SELECT elements.deck, instance_key AS key, coalesce(new_alt, existing_alt) AS existing_alt, CASE WHEN change IS NOT NULL THEN change
+   WHEN lower({q.strip('existing_alt')}) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) THEN 'preserved' ELSE 'skipped' END AS outcome FROM elements LEFT JOIN patch ON patch.deck = elements.deck AND patch.key = instance_key""",
 )
 def apply_patch(spark, sf_dir):
-    e = views.elements(spark, sf_dir).select(F.col("instance_key").alias("key"), "existing_alt")
+    e = views.elements(spark, sf_dir).select("deck", F.col("instance_key").alias("key"), "existing_alt")
     return patch.apply_patch(e, patch.patch(*planned(spark, sf_dir)))
 
 
@@ -475,10 +476,10 @@ def dedupe_titles(spark, sf_dir):
 
 @query(
     "mark_decorative_l04",
-    f"""WITH {COUNTS_SQL}, m AS (SELECT only_child AS shape_id FROM named WHERE semantic IS NOT NULL AND m = 1)
-SELECT shape_id, shape_id IN (SELECT shape_id FROM m) AS decorative, CASE WHEN shape_id IN (SELECT shape_id FROM m) THEN '' ELSE existing_alt END AS existing_alt FROM elements""",
+    f"""WITH {COUNTS_SQL}, m AS (SELECT deck, slide_idx, only_child AS shape_id FROM named WHERE semantic IS NOT NULL AND m = 1)
+SELECT deck, shape_id, (deck, slide_idx, shape_id) IN (SELECT (deck, slide_idx, shape_id) FROM m) AS decorative, CASE WHEN (deck, slide_idx, shape_id) IN (SELECT (deck, slide_idx, shape_id) FROM m) THEN '' ELSE existing_alt END AS existing_alt FROM elements""",
 )
 def mark_decorative(spark, sf_dir):
     e = views.elements(spark, sf_dir)
-    flags = groups.rollup_groups(e, semantics=True).filter("mark_decorative IS NOT NULL").select(F.col("mark_decorative").alias("shape_id"))
-    return patch.mark_decorative(e, flags, ["shape_id"]).select("shape_id", "decorative", "existing_alt")
+    flags = groups.rollup_groups(e, semantics=True).filter("mark_decorative IS NOT NULL").select("deck", "slide_idx", F.col("mark_decorative").alias("shape_id"))
+    return patch.mark_decorative(e, flags, reuse.OWNER).select("deck", "shape_id", "decorative", "existing_alt")

@@ -20,7 +20,7 @@ SPACES = (
     'xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
 )
 RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
-NEEDED = ["deck", "slide_idx", "shape_idx", "shape_id", "parent_id", "shape_type", "shape_name", "existing_alt", "text", "slide_text",
+NEEDED = ["uid", "deck", "slide_idx", "shape_idx", "shape_id", "parent_id", "shape_type", "shape_name", "existing_alt", "text", "slide_text",
           "slide_notes", "width", "height", "left", "top", "fill_kind", "has_line"]
 FILLS = {"none": "<a:noFill/>", "solid": "<a:solidFill/>", "gradient": "<a:gradFill/>"}
 
@@ -76,8 +76,8 @@ def deck_bytes(rows: pd.DataFrame) -> bytes:
             links = [relation("notes", f"../notesSlides/{part}")]
             for row in slide.itertuples():
                 if row.shape_type == "PICTURE" or row.fill_kind == "picture":
-                    package.writestr(f"ppt/media/image{row.shape_id}.png", row.slide_text.encode())
-                    links.append(relation(f"rId{row.shape_id}", f"../media/image{row.shape_id}.png"))
+                    package.writestr(f"ppt/media/image{row.uid}.png", row.slide_text.encode())
+                    links.append(relation(f"rId{row.shape_id}", f"../media/image{row.uid}.png"))
             package.writestr(f"ppt/slides/_rels/{part}.rels", RELS.format("".join(links)))
             note = slide.sort_values("shape_idx").iloc[0]["slide_notes"]
             package.writestr(
@@ -92,15 +92,15 @@ def document_bytes(rows: pd.DataFrame) -> bytes:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
         for part, some in (("header1", rows[rows["slide_idx"] == 0]), ("document", rows[rows["slide_idx"] > 0])):
             body, links = [], []
-            for row in some.sort_values("shape_id").itertuples():
-                pic = f'<a:blip r:embed="rId{row.shape_id}"/>' if row.shape_type == "PICTURE" else ""
+            for row in some.sort_values("uid").itertuples():
+                pic = f'<a:blip r:embed="rId{row.uid}"/>' if row.shape_type == "PICTURE" else ""
                 body.append(
                     f'<w:drawing><wp:extent cx="{row.width * 9525}" cy="{row.height * 9525}"/>'
-                    f"<wp:docPr id=\"{row.shape_id}\" name={quoteattr(row.shape_name)} descr={quoteattr(row.existing_alt)}/>{pic}</w:drawing>"
+                    f"<wp:docPr id=\"{row.uid}\" name={quoteattr(row.shape_name)} descr={quoteattr(row.existing_alt)}/>{pic}</w:drawing>"
                 )
                 if pic:
-                    package.writestr(f"word/media/image{row.shape_id}.png", row.slide_text.encode())
-                    links.append(relation(f"rId{row.shape_id}", f"media/image{row.shape_id}.png"))
+                    package.writestr(f"word/media/image{row.uid}.png", row.slide_text.encode())
+                    links.append(relation(f"rId{row.uid}", f"media/image{row.uid}.png"))
             package.writestr(f"word/{part}.xml", f"<w:document {SPACES}>{''.join(body)}</w:document>")
             package.writestr(f"word/_rels/{part}.xml.rels", RELS.format("".join(links)))
     return out.getvalue()

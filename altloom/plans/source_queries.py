@@ -36,9 +36,9 @@ def scan_files(spark, sf_dir):
 
 @query(
     "deck_elements_a02",
-    f"""WITH RECURSIVE {ELEMENTS}, flat AS (SELECT shape_id, 0 AS depth FROM elements WHERE parent_id IS NULL UNION ALL SELECT e.shape_id, f.depth + 1 FROM elements e JOIN flat f ON e.parent_id = f.shape_id),
-child AS (SELECT parent_id AS shape_id, arg_min(existing_alt, shape_idx) AS alt FROM elements WHERE trim(existing_alt) <> '' AND shape_type IN ('PICTURE', 'AUTO_SHAPE', 'TEXT_BOX', 'PLACEHOLDER') GROUP BY 1),
-e AS (SELECT e.*, depth, alt, shape_type = 'PICTURE' OR (fill_kind = 'picture' AND shape_type NOT IN ('GROUP', 'TABLE', 'CHART')) AS pic FROM elements e JOIN flat USING (shape_id) LEFT JOIN child USING (shape_id))
+    f"""WITH RECURSIVE {ELEMENTS}, flat AS (SELECT uid, 0 AS depth FROM elements WHERE parent_id IS NULL UNION ALL SELECT e.uid, f.depth + 1 FROM elements e JOIN flat f ON e.parent_uid = f.uid),
+child AS (SELECT parent_uid AS uid, arg_min(existing_alt, shape_idx) AS alt FROM elements WHERE trim(existing_alt) <> '' AND shape_type IN ('PICTURE', 'AUTO_SHAPE', 'TEXT_BOX', 'PLACEHOLDER') GROUP BY 1),
+e AS (SELECT e.*, depth, alt, shape_type = 'PICTURE' OR (fill_kind = 'picture' AND shape_type NOT IN ('GROUP', 'TABLE', 'CHART')) AS pic FROM elements e JOIN flat USING (uid) LEFT JOIN child USING (uid))
 SELECT deck || '.pptx' AS deck, slide_idx, shape_id, instance_key, parent_id, depth, shape_type, shape_name, text, width AS width_px, "left" AS left_px, pic AS has_picture, CASE WHEN pic THEN content_key END AS content_key,
   CASE WHEN shape_type IN ('GROUP', 'TABLE', 'CHART') THEN 'none' ELSE fill_kind END AS fill_kind, has_line AND shape_type NOT IN ('GROUP', 'TABLE', 'CHART') AS has_line,
   coalesce(nullif({q.strip('existing_alt')}, ''), CASE WHEN shape_type = 'GROUP' THEN {q.strip('alt')} END, '') AS existing_alt, left(first_value(slide_notes) OVER (PARTITION BY deck, slide_idx ORDER BY shape_idx), 300) AS slide_notes,
@@ -73,16 +73,16 @@ def entries(spark, sf_dir):
 
 @query(
     "manifest_a04",
-    f"""WITH {DECIDED_SQL} SELECT instance_key AS key, content_key, shape_type, existing_alt, existing_alt AS current_alt, trim(existing_alt) <> '' AS had_existing_alt, decision_reason,
+    f"""WITH {DECIDED_SQL} SELECT deck, instance_key AS key, content_key, shape_type, existing_alt, existing_alt AS current_alt, trim(existing_alt) <> '' AS had_existing_alt, decision_reason,
   CASE decision_reason WHEN 'preserve_existing' THEN existing_alt WHEN 'cached' THEN cached_alt WHEN 'already_generated' THEN final_alt ELSE '' END AS suggested_alt,
   row_number() OVER (PARTITION BY deck ORDER BY slide_idx, shape_idx) AS image_number FROM decided""",
 )
 def manifest(spark, sf_dir):
     place = folder(spark, "manifest")
-    tables.write_manifest(entries(spark, sf_dir).drop("deck", "shape_idx"), place)
+    tables.write_manifest(entries(spark, sf_dir).drop("shape_idx"), place, by="deck")
     found, _ = tables.read_manifest(spark, place)
     return found.select(
-        "key", "content_key", "shape_type", "existing_alt", "current_alt", "had_existing_alt", "decision_reason", "suggested_alt",
+        "deck", "key", "content_key", "shape_type", "existing_alt", "current_alt", "had_existing_alt", "decision_reason", "suggested_alt",
         F.col("image_number").cast("bigint").alias("image_number"),
     )
 
@@ -102,7 +102,7 @@ def manifest_export(spark, sf_dir):
     )
 
 
-MAP_SQL = f"""{ELEMENTS}, m AS (SELECT instance_key AS key, CASE WHEN width % 2 = 0 THEN '' ELSE {q.strip('existing_alt')} END AS existing_alt,
+MAP_SQL = f"""{ELEMENTS}, m AS (SELECT deck, instance_key AS key, CASE WHEN width % 2 = 0 THEN '' ELSE {q.strip('existing_alt')} END AS existing_alt,
    {q.strip('generated_alt')} AS generated_alt, 'pptx' AS source_existing, CASE WHEN width % 2 = 0 THEN 'llava' ELSE 'model' END AS source_generated,
    CASE WHEN width % 2 = 0 THEN nullif({q.strip('generated_alt')}, '') ELSE nullif({q.strip('final_alt')}, '') END AS final_alt, CASE WHEN width % 2 = 1 THEN 'use_generated' END AS decision FROM elements)"""
 
@@ -126,15 +126,15 @@ def alt_map(spark, sf_dir):
 
 @query(
     "stages_a07",
-    f"WITH {ELEMENTS} SELECT 'current' AS stage, instance_key AS key, 'new ' || shape_type AS text FROM elements UNION ALL SELECT 'generated', instance_key, generated_alt FROM elements",
+    f"WITH {ELEMENTS} SELECT 'current' AS stage, deck, instance_key AS key, 'new ' || shape_type AS text FROM elements UNION ALL SELECT 'generated', deck, instance_key, generated_alt FROM elements",
 )
 def stages(spark, sf_dir):
     place = folder(spark, "stages")
     e = views.elements(spark, sf_dir).withColumnRenamed("instance_key", "key")
-    tables.write_stage(e.select("key", F.col("existing_alt").alias("text")), place, "current", "run1")
-    tables.write_stage(e.select("key", F.col("generated_alt").alias("text")), place, "generated", "run1")
-    tables.write_stage(e.select("key", F.concat(F.lit("new "), "shape_type").alias("text")), place, "current", "run1")
-    read = [tables.read_stage(spark, place, s, "run1").select(F.lit(s).alias("stage"), "key", "text") for s in ("current", "generated")]
+    tables.write_stage(e.select("deck", "key", F.col("existing_alt").alias("text")), place, "current", "run1")
+    tables.write_stage(e.select("deck", "key", F.col("generated_alt").alias("text")), place, "generated", "run1")
+    tables.write_stage(e.select("deck", "key", F.concat(F.lit("new "), "shape_type").alias("text")), place, "current", "run1")
+    read = [tables.read_stage(spark, place, s, "run1").select(F.lit(s).alias("stage"), "deck", "key", "text") for s in ("current", "generated")]
     return read[0].unionByName(read[1])
 
 
@@ -144,8 +144,7 @@ def alt_cache(spark, sf_dir):
     place = folder(spark, "cache")
     tables.write_json_map(e, "image_hash", F.col("slide_text"), "deck", place)
     none = tables.read_alt_cache(spark, folder(spark, "absent"))
-    cached = tables.read_alt_cache(spark, place).unionByName(none).distinct()
-    return e.select("deck", "image_hash").join(cached, "image_hash")
+    return tables.read_alt_cache(spark, place).unionByName(none, allowMissingColumns=True)
 
 
 @query(
@@ -209,12 +208,12 @@ SELECT deck, (slide_idx + 1) || '/' || img AS label, CASE WHEN parent_id IS NOT
 )
 def review_table(spark, sf_dir):
     d = decided(spark, sf_dir)
-    numbered = image_number(d.select("instance_key", "deck", "slide_idx", "shape_idx")).select("instance_key", "image_number")
-    left = d.join(numbered, "instance_key").select(
+    numbered = image_number(d.select("instance_key", "deck", "slide_idx", "shape_idx")).select("deck", "instance_key", "image_number")
+    left = d.join(numbered, ["deck", "instance_key"]).select(
         F.col("instance_key").alias("key"), "deck", "slide_idx", "image_number", "shape_type", "parent_id", "existing_alt", "decision_reason"
     )
     right = d.select(
-        F.col("instance_key").alias("key"), "final_alt", "generated_alt", F.lit("").alias("decision"),
+        "deck", F.col("instance_key").alias("key"), "final_alt", "generated_alt", F.lit("").alias("decision"),
         F.lit("pptx").alias("source_existing"), F.lit("llava").alias("source_generated"),
     )
     return tables.review_table(left, right)
@@ -222,13 +221,13 @@ def review_table(spark, sf_dir):
 
 @query(
     "exchange_a14",
-    f"""WITH {MAP_SQL} SELECT m.*, shape_type FROM m JOIN elements ON key = instance_key""",
+    f"""WITH {MAP_SQL} SELECT m.*, shape_type FROM m JOIN elements ON m.deck = elements.deck AND key = instance_key""",
 )
 def exchange(spark, sf_dir):
     place = folder(spark, "export")
-    tables.export_elements(views.elements(spark, sf_dir).select(F.col("instance_key").alias("key"), "shape_type"), place)
-    exported = spark.read.schema("key string, shape_type string").json(place)
-    return tables.import_map(spark, stored_map(spark, sf_dir)).join(exported, "key")
+    tables.export_elements(views.elements(spark, sf_dir).select("deck", F.col("instance_key").alias("key"), "shape_type"), place)
+    exported = spark.read.schema("deck string, key string, shape_type string").json(place)
+    return tables.import_map(spark, stored_map(spark, sf_dir)).join(exported, ["deck", "key"])
 
 
 # --- providers --------------------------------------------------------------------

@@ -29,6 +29,9 @@ def local_session(cpus: int = 8, app: str = "altloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Small tables come in splits for every core; text rules are bound by the processor.
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
     for key, value in DEFAULTS.items():

@@ -30,25 +30,34 @@ AUDIT = [
 # --- manifest ------------------------------------------------------------------
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    """One JSON line per entry, and a header line with the schema version."""
+def write_manifest(df: DataFrame, path: str, by: str | None = None) -> None:
+    """One JSON line per entry, and a header line with the schema version.
+
+    With ``by`` (a deck) the lines of each of its values lie in a folder of their own.
+    """
     spark = df.sparkSession
-    entries = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    entries.write.mode("overwrite").text(path)
+    fields = [c for c in df.columns if c != by]
+    entries = df.select(*([by] if by else []), F.to_json(F.struct(*fields)).alias("value")).write.mode("overwrite")
+    (entries.partitionBy(by) if by else entries).text(path)
     header = F.to_json(F.struct(F.lit(HEADER).alias("_type"), F.lit(VERSION).alias("schema_version")))
     spark.range(1).select(header.alias("value")).coalesce(1).write.mode("append").text(path)
 
 
 def read_manifest(spark: SparkSession, path: str, ddl: str = MANIFEST) -> tuple[DataFrame, DataFrame]:
-    """(entries, rejected lines); a later line with the same key wins.
+    """(entries, rejected lines); of one manifest's lines for an element the latest wins.
 
-    Lines are ordered by file, block and row, which a scan keeps however the
-    file is split.
+    A manifest is the files of one folder, which is named in ``manifest`` (and in
+    the folder's own column, if it has one). An element is found by its
+    instance key, and by its key only where it has none. Lines are ordered by
+    file, block and row, which a scan keeps however the file is split.
     """
     schema = T.StructType.fromDDL(ddl)
     known = T.StructType([*schema.fields, T.StructField("_type", T.StringType())])
-    lines = spark.read.text(path).select(
-        "value",
+    found = spark.read.text(path)
+    folders = [c for c in found.columns if c != "value"]
+    home = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    lines = found.select(
+        "value", *folders, home.alias("manifest"),
         F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__line"),
     ).filter(F.trim("value") != "")
     parsed = lines.withColumn("entry", F.from_json("value", known)).withColumn(
@@ -58,8 +67,9 @@ def read_manifest(spark: SparkSession, path: str, ddl: str = MANIFEST) -> tuple[
     unknown = F.size(F.array_except("fields", F.array(*[F.lit(f) for f in schema.fieldNames()]))) > 0
     bad = F.col("fields").isNull() | F.coalesce(unknown, F.lit(True))
     body = parsed.filter(~is_header)
-    entries = body.filter(~bad).select("__line", *[F.col(f"entry.{f}").alias(f) for f in schema.fieldNames()])
-    return sync_entry(latest(entries, ["key"], ["__line"]).drop("__line")), body.filter(bad).select("value")
+    entries = body.filter(~bad).select("__line", "manifest", *folders, *[F.col(f"entry.{f}").alias(f) for f in schema.fieldNames()])
+    owned = entries.withColumn("__owner", F.coalesce(F.nullif("instance_key", F.lit("")), "key"))
+    return sync_entry(latest(owned, ["manifest", "__owner"], ["__line"]).drop("__line", "__owner")), body.filter(bad).select("value")
 
 
 def sync_entry(df: DataFrame) -> DataFrame:
@@ -80,8 +90,23 @@ def sync_entry(df: DataFrame) -> DataFrame:
 # --- maps and caches ---------------------------------------------------------------
 
 
+PAIR = "key string, value string"
+
+
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of JSON objects, one per file or line; unreadable ones are empty."""
+    """(key, value) of a map of one pair per line, with the column its folders are named by.
+
+    The latest of a key's pairs in one folder wins where the file holds several.
+    """
+    raw = spark.read.text(path)
+    folders = [c for c in raw.columns if c != "value"]
+    line = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    pairs = raw.select(*folders, line.alias("__line"), F.from_json("value", PAIR).alias("p")).filter("p.key IS NOT NULL")
+    return latest(pairs.select(*folders, "__line", "p.*"), [*folders, "key"], ["__line"]).drop("__line")
+
+
+def import_json_map(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of old files that are one whole JSON object each; unreadable ones are empty."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
@@ -90,8 +115,9 @@ def canonical_map(pairs: DataFrame) -> DataFrame:
     """Final-map records; a plain text counts as a generated and final text."""
     record = "struct<existing_alt:string,generated_alt:string,source_existing:string,source_generated:string,final_alt:string,decision:string>"
     is_record = F.col("value").startswith("{")
+    rest = [c for c in pairs.columns if c not in ("key", "value")]
     return pairs.withColumn("r", F.when(is_record, F.from_json("value", record))).select(
-        "key",
+        *rest, "key",
         text_or_blank("r.existing_alt").alias("existing_alt"),
         F.when(is_record, text_or_blank("r.generated_alt")).otherwise(text_or_blank("value")).alias("generated_alt"),
         source_or("r.source_existing", "pptx").alias("source_existing"),
@@ -120,13 +146,13 @@ def read_alt_cache(spark: SparkSession, path: str) -> DataFrame:
     pairs = if_found(lambda: read_json_map(spark, path))
     if pairs is None:
         return spark.createDataFrame([], "image_hash string, alt string")
-    return pairs.select(F.col("key").alias("image_hash"), F.col("value").alias("alt"))
+    return pairs.withColumnsRenamed({"key": "image_hash", "value": "alt"})
 
 
 def write_json_map(df: DataFrame, key: str, value: Column, by: str, path: str) -> None:
-    """One JSON object per ``by`` value (a deck), in its own folder."""
-    grouped = df.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), value))).alias("m"))
-    grouped.select(by, F.to_json("m").alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+    """One JSON line per pair, in a folder for each ``by`` value (a deck)."""
+    pair = F.to_json(F.struct(F.col(key).alias("key"), value.alias("value")))
+    df.select(by, pair.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
 # --- stages -------------------------------------------------------------------------
@@ -181,7 +207,7 @@ def load_ledger(ledger: DataFrame) -> DataFrame:
 
 def review_table(elements: DataFrame, alt_map: DataFrame) -> DataFrame:
     """Rows of the review document: place, kind, texts, status and notes."""
-    joined = elements.join(alt_map, "key", "left")
+    joined = elements.join(alt_map, ["deck", "key"], "left")
     return joined.select(
         "deck",
         F.concat_ws("/", (F.col("slide_idx") + 1).cast("string"), F.col("image_number").cast("string")).alias("label"),
@@ -200,3 +226,8 @@ def export_elements(df: DataFrame, path: str) -> None:
 def import_map(spark: SparkSession, path: str) -> DataFrame:
     """An external map; the same forms as a stored final map."""
     return read_alt_map(spark, path)
+
+
+def import_old_map(spark: SparkSession, path: str) -> DataFrame:
+    """A final map kept as whole JSON objects by an older run."""
+    return canonical_map(import_json_map(spark, path))

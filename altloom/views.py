@@ -1,5 +1,8 @@
 """The engine's tables, derived from the driver tables by plain arithmetic.
 
+Shape ids restart on every slide and keys repeat in every deck, as a scan of real
+decks gives them; ``uid`` is the row they were made from.
+
 ``*_SQL`` holds the same definition for the check engine. A deck holds 48
 elements on 4 slides, so deck and slide groups stay bounded as data grows; the
 texts are whole.
@@ -22,18 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share where a table comes in fewer splits than cores.
-
-    Text rules are bound by the processor. A large table has more splits than
-    cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name), key)
+    return table(spark, sf_dir, name)
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -47,13 +40,14 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape_idx = i % 12
     shape_type = F.when(shape_idx < 3, "GROUP").otherwise(pick(SHAPE_TYPES, i))
     return d.select(
-        i.alias("shape_id"),
+        i.alias("uid"),
+        (shape_idx + 2).alias("shape_id"),
         F.concat(F.lit("deck_"), F.floor(i / 48).cast("string")).alias("deck"),
         (F.floor(i / 12) % 4).cast("int").alias("slide_idx"),
         shape_idx.cast("int").alias("shape_idx"),
-        F.concat(F.lit("slide_"), (F.floor(i / 12) % 4).cast("string"), F.lit("_shape_"), i.cast("string")).alias("instance_key"),
+        F.concat(F.lit("slide_"), (F.floor(i / 12) % 4).cast("string"), F.lit("_shape_"), (shape_idx + 2).cast("string")).alias("instance_key"),
         shape_type.alias("shape_type"),
-        F.when(shape_idx > 0, i - shape_idx + F.floor((shape_idx - 1) / 4)).alias("parent_id"),
+        F.when(shape_idx > 0, F.floor((shape_idx - 1) / 4) + 2).alias("parent_id"),
         F.concat(pick(SHAPE_NAMES, i), F.lit(" "), i.cast("string")).alias("shape_name"),
         pick(FILLS, i).alias("fill_kind"),
         (i % 3 != 1).alias("has_line"),
@@ -75,18 +69,19 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ELEMENTS_SQL = """elements AS (
   SELECT *, sha256(body) AS content_key, md5(body) AS image_hash,
-    CASE WHEN shape_id % 3 = 0 THEN body WHEN shape_id % 13 = 1 THEN 'Picture' ELSE '' END AS existing_alt,
-    CASE WHEN shape_id % 11 = 3 THEN 'Error: request failed' WHEN shape_id % 5 <> 0 THEN 'This image shows ' || body ELSE '' END AS generated_alt,
-    CASE WHEN shape_id % 7 = 0 THEN body || ' Reviewed.' END AS final_alt,
+    CASE WHEN uid % 3 = 0 THEN body WHEN uid % 13 = 1 THEN 'Picture' ELSE '' END AS existing_alt,
+    CASE WHEN uid % 11 = 3 THEN 'Error: request failed' WHEN uid % 5 <> 0 THEN 'This image shows ' || body ELSE '' END AS generated_alt,
+    CASE WHEN uid % 7 = 0 THEN body || ' Reviewed.' END AS final_alt,
     CASE WHEN shape_type IN ('TEXT_BOX','AUTO_SHAPE','PLACEHOLDER') THEN body ELSE '' END AS "text",
     body AS slide_text
   FROM (
-    SELECT doc_id AS shape_id, 'deck_' || (doc_id // 48) AS deck,
+    SELECT doc_id AS uid, doc_id % 12 + 2 AS shape_id, 'deck_' || (doc_id // 48) AS deck,
       CAST((doc_id // 12) % 4 AS INT) AS slide_idx, CAST(doc_id % 12 AS INT) AS shape_idx,
-      'slide_' || ((doc_id // 12) % 4) || '_shape_' || doc_id AS instance_key,
+      'slide_' || ((doc_id // 12) % 4) || '_shape_' || (doc_id % 12 + 2) AS instance_key,
       CASE WHEN doc_id % 12 < 3 THEN 'GROUP' ELSE
         ['PICTURE','AUTO_SHAPE','TEXT_BOX','LINE','CONNECTOR','TABLE','PLACEHOLDER','CHART'][doc_id % 8 + 1] END AS shape_type,
-      CASE WHEN doc_id % 12 > 0 THEN doc_id - doc_id % 12 + (doc_id % 12 - 1) // 4 END AS parent_id,
+      CASE WHEN doc_id % 12 > 0 THEN (doc_id % 12 - 1) // 4 + 2 END AS parent_id,
+      CASE WHEN doc_id % 12 > 0 THEN doc_id - doc_id % 12 + (doc_id % 12 - 1) // 4 END AS parent_uid,
       ['Picture','company logo','Straight Arrow','Title','border line','Chart','Heart diagram','Text Box','Freeform',
        'Footer Placeholder','accent bar'][doc_id % 11 + 1] || ' ' || doc_id AS shape_name,
       ['solid','none','gradient','picture'][doc_id % 4 + 1] AS fill_kind, doc_id % 3 <> 1 AS has_line,

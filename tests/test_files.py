@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from altloom.operators import provider
 from altloom.plans.packages import deck_bytes
@@ -20,7 +21,7 @@ def place():
 
 def element(n, kind, parent=None, **more):
     base = dict(
-        deck="d", slide_idx=0, shape_idx=n, shape_id=n + 1, parent_id=parent, shape_type=kind, shape_name=f"s{n}", existing_alt="", text="",
+        uid=n + 1, deck="d", slide_idx=0, shape_idx=n, shape_id=n + 1, parent_id=parent, shape_type=kind, shape_name=f"s{n}", existing_alt="", text="",
         slide_text=f"bytes {n}", slide_notes="a note", width=10, height=20, left=1, top=2, fill_kind="none", has_line=False,
     )
     return base | more
@@ -67,12 +68,26 @@ def test_manifest_last_line_wins_and_bad_lines_are_kept_aside(spark):
 def test_final_map_forms(spark):
     root = Path(place())
     (root / "m.json").write_text('{"k1": "  plain ", "k2": {"existing_alt": " e ", "final_alt": "", "source_generated": "x"}, "k3": ""}')
-    rows = {r["key"]: r for r in tables.read_alt_map(spark, str(root)).collect()}
+    rows = {r["key"]: r for r in tables.import_old_map(spark, str(root)).collect()}
     assert (rows["k1"]["generated_alt"], rows["k1"]["final_alt"], rows["k1"]["source_existing"]) == ("plain", "plain", "pptx")
     assert (rows["k2"]["existing_alt"], rows["k2"]["final_alt"], rows["k2"]["source_generated"]) == ("e", None, "x")
     assert rows["k3"]["final_alt"] is None
 
 
+def test_maps_and_manifests_keep_every_deck(spark):
+    rows = [(d, f"k{n}", f"{d} {n}") for d in ("a", "b") for n in range(3)]
+    root = place()
+    tables.write_json_map(spark.createDataFrame(rows, "deck string, key string, v string"), "key", F.col("v"), "deck", f"{root}/map")
+    found = tables.read_alt_map(spark, f"{root}/map").select("deck", "key", "final_alt").collect()
+    assert sorted(map(tuple, found)) == rows
+    entries = spark.createDataFrame([(d, k, f"i{k}", v) for d, k, v in rows], "deck string, key string, instance_key string, final_alt string")
+    same_key = entries.withColumn("key", F.lit("one"))
+    for number, written in enumerate((entries, same_key)):
+        tables.write_manifest(written, f"{root}/m{number}", by="deck")
+        read, rejected = tables.read_manifest(spark, f"{root}/m{number}")
+        assert sorted((r.deck, r.final_alt) for r in read.collect()) == [(d, v) for d, _, v in rows] and rejected.count() == 0
+
+
 def test_missing_and_corrupt_caches_are_empty(spark):
     root = Path(place())
     assert tables.read_alt_cache(spark, str(root / "none")).count() == 0

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from altloom.functions import keys, phash, review
-from altloom.operators import classify, groups, joins, patch, similar
+from altloom.operators import classify, groups, joins, patch, reuse, similar
 
 
 def test_stored_final_text_wins_in_preserve_mode(spark):
@@ -97,25 +97,62 @@ def test_match_keys_takes_short_and_long_hashes(spark):
 
 def test_second_patch_is_empty(spark):
     plan = spark.createDataFrame(
-        [("a", "A new text", "PICTURE", True, False, False), ("b", "Other", "PICTURE", True, False, False)],
-        "key string, text string, kind string, is_generated boolean, is_fallback boolean, forced boolean",
+        [("d", "a", "A new text", "PICTURE", True, False, False), ("d", "b", "Other", "PICTURE", True, False, False)],
+        "deck string, key string, text string, kind string, is_generated boolean, is_fallback boolean, forced boolean",
     )
-    current = spark.createDataFrame([("a", ""), ("b", "A human text.")], "key string, text string")
-    nothing = spark.createDataFrame([], "key string, text_hash string")
+    current = spark.createDataFrame([("d", "a", ""), ("d", "b", "A human text.")], "deck string, key string, text string")
+    nothing = spark.createDataFrame([], "deck string, key string, text_hash string")
     first = patch.patch(plan, current, nothing)
     assert [tuple(r) for r in first.select("key", "new_alt", "change").collect()] == [("a", "A new text.", "insert")]
-    done = first.select("key", "text_hash")
+    done = first.select("deck", "key", "text_hash")
     assert patch.patch(plan, current, done).count() == 0
-    after = current.select("key", F.col("text").alias("existing_alt"))
-    written = patch.apply_patch(after, first).select("key", F.col("existing_alt").alias("text"))
+    after = current.select("deck", "key", F.col("text").alias("existing_alt"))
+    written = patch.apply_patch(after, first).select("deck", "key", F.col("existing_alt").alias("text"))
     assert patch.patch(plan, written, nothing).count() == 0
 
 
 def test_last_character_survives(spark):
     plan = spark.createDataFrame(
-        [("a", "Ends with letter s", "PICTURE", True, False, False)],
-        "key string, text string, kind string, is_generated boolean, is_fallback boolean, forced boolean",
+        [("d", "a", "Ends with letter s", "PICTURE", True, False, False)],
+        "deck string, key string, text string, kind string, is_generated boolean, is_fallback boolean, forced boolean",
     )
-    current = spark.createDataFrame([("a", "")], "key string, text string")
-    nothing = spark.createDataFrame([], "key string, text_hash string")
+    current = spark.createDataFrame([("d", "a", "")], "deck string, key string, text string")
+    nothing = spark.createDataFrame([], "deck string, key string, text_hash string")
     assert patch.patch(plan, current, nothing).first()["new_alt"] == "Ends with letter s."
+
+
+TWO_DECKS = [(d, 0, 2 + k, f"slide_0_shape_{2 + k}", "logo" if k == 0 else f"{d}{k}", f"text {d} {k}" if k != 1 else "") for d in ("a", "b") for k in range(3)]
+TWO_SCHEMA = "deck string, slide_idx int, shape_id bigint, key string, content_key string, text string"
+
+
+def test_two_decks_with_equal_ids_stay_apart(spark):
+    """As many rows as elements, whatever ids the decks share."""
+    e = spark.createDataFrame(TWO_DECKS, TWO_SCHEMA)
+    texts = e.select("deck", "key", "text")
+    assert joins.resolve(e, texts, texts).count() == 6
+    assert joins.enrich(e.select("deck", "key", F.col("text").alias("existing_alt")), texts).count() == 6
+    assert joins.pending_keys(e, texts, texts).count() == 2
+    assert joins.verify(texts, texts).filter("exact").count() == 6
+    assert joins.missing(e, texts.filter("deck = 'a'")).count() == 3
+    elected = reuse.elect_generators(e, "content_key", ["deck", "slide_idx", "shape_id"])
+    assert elected.count() == 6 and elected.filter("generates").count() == 5
+    cached = {(r.deck, r.shape_id): r.cached_alt for r in reuse.with_cache(e, e, "content_key", "text").collect()}
+    assert len(cached) == 6 and cached["a", 2] == "text b 0" and cached["b", 2] == "text a 0" and cached["a", 3] is None
+    plan = e.filter("text <> ''").select("deck", "key", F.concat("text", F.lit(" new words")).alias("text"), F.lit("PICTURE").alias("kind"),
+        F.lit(True).alias("is_generated"), F.lit(False).alias("is_fallback"), F.lit(True).alias("forced"))
+    rows = patch.patch(plan, texts, spark.createDataFrame([], "deck string, key string, text_hash string"))
+    assert rows.count() == 4
+    assert patch.apply_patch(texts.withColumnRenamed("text", "existing_alt"), rows).count() == 6
+
+
+def test_groups_of_any_depth(spark):
+    deep = [("d", 0, k, k - 1 if k else None) for k in range(200)] + [("d", 0, 900, 901), ("d", 0, 901, 900), ("d", 1, 0, None), ("d", 1, 1, 0)]
+    flat = {(r.slide_idx, r.shape_id): (r.depth, len(r.path)) for r in groups.flatten(spark.createDataFrame(deep, "deck string, slide_idx int, shape_id bigint, parent_id bigint")).collect()}
+    assert len(flat) == len(deep) and flat[0, 199] == (199, 200) and flat[0, 900] == (None, 1) and flat[1, 1] == (1, 2)
+
+
+def test_long_hashes_are_compared_whole(spark):
+    a = "x:" + "f" * 75
+    rows = [(a, a), (a, "x:" + "e" + "f" * 74), (a, "x:" + "f" * 74 + "0"), ("x:1", "x:0" + "0" * 70 + "1")]
+    found = spark.createDataFrame(rows, "a string, b string").select(phash.hamming("a", "b").alias("n")).collect()
+    assert [r.n for r in found] == [0, 1, 4, 0]
