@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from altloom.session import materialize
@@ -60,11 +60,9 @@ def generate_chain(
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = [(name, make()) for name, make in factories]
         for batch in batches:
-            rows = [
-                {"content_key": key, **call_chain(chain, image, prompt, most)}
-                for key, image, prompt in zip(batch["content_key"], batch["image_hash"], batch["prompt"])
-            ]
-            yield pd.DataFrame(rows, columns=["content_key", "text", "status", "provider", "attempts"])
+            for key, image, prompt in zip(batch["content_key"], batch["image_hash"], batch["prompt"]):
+                row = {"content_key": key, **call_chain(chain, image, prompt, most)}
+                yield pd.DataFrame([row], columns=["content_key", "text", "status", "provider", "attempts"])
 
     single = requests.groupBy("content_key").agg(F.min(F.struct("prompt", "image_hash")).alias("r")).select(
         "content_key", "r.image_hash", "r.prompt"
@@ -76,6 +74,35 @@ def generate(requests: DataFrame, name: str, factory: Callable[[], Provider]) ->
     return generate_chain(requests, [(name, factory)], 1)
 
 
+def recorded_chain(attempts: DataFrame, key: str, order: list[str], most: int = MOST_ATTEMPTS) -> DataFrame:
+    """The chain of each content over recorded attempts, as a set operation.
+
+    ``attempts`` holds ``key``, the columns of ``order``, ``provider``,
+    ``success`` and ``cost``. A chain is its attempts in order up to the first
+    success, ``most`` at most; only ``most`` rows of a content leave their task.
+    A chain that had further attempts and no success within ``most`` is marked
+    as cut.
+    """
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    seen = attempts.select(key, "provider", "success", "cost", turn.alias("turn")).filter(F.col("turn") <= most + 1)
+    first = F.min(F.when(F.col("success") & (F.col("turn") <= most), F.col("turn")))
+    ended = seen.groupBy(key).agg(first.alias("won"), F.max("turn").alias("last"), F.array_sort(F.collect_list(F.struct("turn", "provider", "cost"))).alias("tried"))
+    used = F.slice("tried", 1, F.coalesce("won", F.least("last", F.lit(most))))
+    return ended.select(
+        key, F.when(F.col("won").isNotNull(), F.element_at(used, -1)["provider"]).alias("provider"),
+        F.when(F.col("won").isNotNull(), "ok").otherwise("fail").alias("status"), F.size(used).alias("attempts"),
+        F.aggregate(used, F.lit(0.0), lambda total, t: total + t["cost"]).alias("cost"),
+        (F.col("won").isNull() & (F.col("last") > most)).alias("cut"),
+    )
+
+
+def recorded_attempts(chains: DataFrame, attempts: DataFrame, key: str, order: list[str], most: int = MOST_ATTEMPTS) -> DataFrame:
+    """The attempts that belong to a chain, those after its end left out."""
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    ends = chains.select(key, F.col("attempts").alias("__ends"))
+    return attempts.withColumn("turn", turn).filter(F.col("turn") <= most).join(ends, key).filter(F.col("turn") <= F.col("__ends")).drop("__ends")
+
+
 def attempt_rows(results: DataFrame) -> DataFrame:
     """Attempts as a table of their own."""
     return results.select("content_key", F.posexplode("attempts").alias("attempt", "a")).select("content_key", "attempt", "a.*")

@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from altloom import views
-from altloom.operators import provider
+from altloom.functions import fixed
+from altloom.operators import classify, joins, patch, provider
 from altloom.operators.ordered import image_number
 from altloom.plans import sql as q
 from altloom.plans.decisions import DECIDED_SQL, decided
 from altloom.plans.aggregate_queries import OUTCOMES_SQL, outcomes
+from altloom.plans.ordered_queries import PATCH_SQL
 from altloom.plans.packages import packages
 from altloom.plans.registry import query
 from altloom.operators import aggregates as agg
-from altloom.session import shared_folder
+from altloom.session import materialize, shared_folder
 from altloom.sources import office, tables
 
 ELEMENTS = views.ELEMENTS_SQL
@@ -26,12 +28,25 @@ def folder(spark, name):
     return f"{shared_folder(spark)}/altloom-{name}-{uuid.uuid4().hex}"
 
 
-@query("scan_files_a01", "SELECT DISTINCT lang, true AS found FROM documents")
-def scan_files(spark, sf_dir):
+FILES_SQL = "SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS each_once FROM documents GROUP BY lang"
+
+
+def text_files(spark, sf_dir):
+    """A folder of text files per language."""
     place = folder(spark, "scan")
     views.table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(place)
-    found = office.scan_files(spark, place, ("txt",))
-    return found.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.lit(True).alias("found")).distinct()
+    return place
+
+
+def files_by_lang(found):
+    """What of the files was found: all bytes, and no file twice."""
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1)
+    return found.groupBy(lang.alias("lang")).agg(F.sum("length").alias("bytes"), (F.count("path") == F.count_distinct("path")).alias("each_once"))
+
+
+@query("scan_files_a01", FILES_SQL)
+def scan_files(spark, sf_dir):
+    return files_by_lang(office.scan_files(spark, text_files(spark, sf_dir), ("txt",)))
 
 
 @query(
@@ -233,69 +248,88 @@ def exchange(spark, sf_dir):
 # --- providers --------------------------------------------------------------------
 
 
-def failing():
-    """A stand-in provider that fails for some contents and is degraded for others."""
-
-    def call(image_hash, prompt):
-        if image_hash[0] in "0123":
-            return {"status": "fail", "reason": "model not found", "status_code": 404, "seconds": 0.5}
-        if image_hash[0] == "4":
-            return {"status": "degraded", "text": "Image unavailable.", "seconds": 0.1}
-        if image_hash[0] == "5":
-            raise ValueError("broken pipe")
-        return {"status": "ok", "text": f"Picture {image_hash[:6]}", "seconds": 1.5, "cost": 0.25, "tokens": 7, "model": "m1"}
+def recorded(spark, sf_dir):
+    """Provider calls by the content they were made for: a user's calls of one kind of work."""
+    a = views.attempts(spark, sf_dir)
+    return a.withColumn("content_key", F.concat(F.lit("c"), (F.col("attempt_id") % 1009).cast("string")))
 
-    return call
 
+CHAIN_SQL = f"""{views.ATTEMPTS_SQL}, t AS (SELECT *, 'c' || (attempt_id % 1009) AS content_key, row_number() OVER (PARTITION BY attempt_id % 1009 ORDER BY ts, attempt_id) AS turn FROM attempts),
+w AS (SELECT content_key, max(turn) AS last, min(CASE WHEN success AND turn <= {{most}} THEN turn END) AS won FROM t GROUP BY 1),
+c AS (SELECT content_key, last, won, coalesce(won, least(last, {{most}})) AS ends FROM w),
+used AS (SELECT t.*, won, ends, last FROM t JOIN c USING (content_key) WHERE turn <= ends)"""
+CHAINED_SQL = """SELECT content_key, max(CASE WHEN turn = won THEN provider END) AS provider, CASE WHEN max(won) IS NULL THEN 'fail' ELSE 'ok' END AS status, CAST(max(ends) AS INT) AS attempts,
+  round(sum(cost), 6) AS cost, max(won) IS NULL AND max(last) > {most} AS cut FROM used GROUP BY 1"""
 
-def steady():
-    """A stand-in provider that answers unless the hash ends in f."""
 
-    def call(image_hash, prompt):
-        if image_hash[-1] == "f":
-            return {"status": "fail", "reason": "busy", "status_code": 503}
-        return {"status": "ok", "text": f"{prompt} {image_hash[-4:]}", "seconds": 1.0, "cost": 0.5, "tokens": 3, "model": "m2"}
-
-    return call
+@query("generate_u01", f"WITH {CHAIN_SQL.format(most=1)} {CHAINED_SQL.format(most=1)}")
+def generate(spark, sf_dir):
+    return provider.recorded_chain(recorded(spark, sf_dir), "content_key", ["ts", "attempt_id"], 1).withColumn("cost", F.round("cost", 6))
 
 
-def requests(spark, sf_dir):
-    return views.elements(spark, sf_dir).select("content_key", "image_hash", F.lit("Describe").alias("prompt"))
+@query("generate_chain_u02", f"WITH {CHAIN_SQL.format(most=3)} {CHAINED_SQL.format(most=3)}")
+def generate_chain(spark, sf_dir):
+    return provider.recorded_chain(recorded(spark, sf_dir), "content_key", ["ts", "attempt_id"], 3).withColumn("cost", F.round("cost", 6))
 
 
 @query(
-    "generate_u01",
-    f"""WITH {ELEMENTS} SELECT shape_id, CASE WHEN right(image_hash, 1) <> 'f' THEN 'Describe ' || right(image_hash, 4) END AS text, CASE WHEN right(image_hash, 1) = 'f' THEN 'fail' ELSE 'ok' END AS status FROM elements""",
+    "attempt_rows_u02",
+    f"""WITH {CHAIN_SQL.format(most=3)} SELECT provider, success, status_code, error, count(*) AS calls, round(CAST(sum(CAST(cost AS DECIMAL(20,6))) AS DOUBLE), 6) AS cost FROM used GROUP BY ALL""",
 )
-def generate(spark, sf_dir):
-    results = provider.generate(requests(spark, sf_dir), "steady", steady)
-    e = views.elements(spark, sf_dir).select("shape_id", "content_key")
-    return provider.with_results(e, results).select("shape_id", "text", "status")
+def attempt_rows(spark, sf_dir):
+    order = ["ts", "attempt_id"]
+    calls = recorded(spark, sf_dir)
+    used = provider.recorded_attempts(provider.recorded_chain(calls, "content_key", order), calls, "content_key", order)
+    return used.groupBy("provider", "success", "status_code", "error").agg(
+        F.count(F.lit(1)).alias("calls"), F.round(F.sum(F.col("cost").cast("decimal(20,6)")).cast("double"), 6).alias("cost")
+    )
 
 
-CHAIN_SQL = f"""{ELEMENTS}, c AS (SELECT DISTINCT content_key, image_hash, left(image_hash, 1) AS a, right(image_hash, 1) AS z FROM elements)"""
+# --- from packages to coverage ------------------------------------------------------
 
 
-@query(
-    "generate_chain_u02",
-    f"""WITH {CHAIN_SQL} SELECT content_key, CASE WHEN a NOT IN ('0','1','2','3','4','5') THEN 'Picture ' || left(image_hash, 6) WHEN a = '4' THEN 'Image unavailable.' WHEN z <> 'f' THEN 'Describe ' || right(image_hash, 4) END AS text,
-  CASE WHEN a = '4' THEN 'degraded' WHEN a NOT IN ('0','1','2','3','5') OR z <> 'f' THEN 'ok' ELSE 'fail' END AS status,
-  CASE WHEN a NOT IN ('0','1','2','3','5') THEN 'first' WHEN z <> 'f' THEN 'second' END AS provider, CASE WHEN a IN ('0','1','2','3','5') THEN 2 ELSE 1 END AS attempts FROM c""",
-)
-def generate_chain(spark, sf_dir):
-    results = provider.generate_chain(requests(spark, sf_dir), [("first", failing), ("second", steady)])
-    return results.select("content_key", "text", "status", "provider", F.size("attempts").alias("attempts"))
+def written_back(spark, sf_dir):
+    """Packages of many decks, scanned, planned, patched, read back and checked."""
+    found, _ = office.deck_elements(packages(views.elements(spark, sf_dir), "pptx"))
+    scanned = found.select("deck", F.col("instance_key").alias("key"), "shape_type", "existing_alt")
+    texts = views.elements(spark, sf_dir).select(
+        F.concat("deck", F.lit(".pptx")).alias("deck"), F.col("instance_key").alias("key"), "generated_alt", "final_alt", "width"
+    )
+    e = materialize(scanned.join(texts, joins.KEY))
+    plan = e.withColumn("plan", classify.write_plan("existing_alt", "generated_alt", "final_alt", "preserve")).filter("plan.should_write").select(
+        *joins.KEY, F.col("plan.final_alt").alias("text"), F.col("shape_type").alias("kind"), F.lit(True).alias("is_generated"),
+        F.lit(False).alias("is_fallback"), (F.col("plan.decision") == "written_final").alias("forced"),
+    )
+    current = e.select(*joins.KEY, F.col("existing_alt").alias("text"))
+    none = spark.createDataFrame([], "deck string, key string, text_hash string")
+    rows = materialize(patch.patch(plan, current, none))
+    after = materialize(patch.apply_patch(e.select(*joins.KEY, "existing_alt"), rows))
+    again = patch.patch(plan, after.select(*joins.KEY, F.col("existing_alt").alias("text")), rows.select(*joins.KEY, "text_hash"))
+    checked = joins.verify(
+        rows.select(*joins.KEY, F.col("new_alt").alias("text")), after.select(*joins.KEY, F.col("existing_alt").alias("text"))
+    )
+    per_deck = after.groupBy("deck").agg(
+        F.count(F.lit(1)).alias("elements"), F.count_if(F.col("outcome").isin("insert", "replace")).alias("written"),
+        F.count_if(F.col("outcome") == "preserved").alias("preserved"), F.count_if(F.col("existing_alt") != "").alias("covered"),
+    )
+    verified = checked.groupBy("deck").agg(F.count_if("exact").alias("verified"))
+    second = again.groupBy("deck").agg(F.count(F.lit(1)).alias("second_run"))
+    zero = F.lit(0).cast("bigint")
+    return per_deck.join(verified, "deck", "left").join(second, "deck", "left").select(
+        "deck", "elements", "written", "preserved", "covered", F.coalesce("verified", zero).alias("verified"), F.coalesce("second_run", zero).alias("second_run")
+    )
+
+
+SCANNED_SQL = f"""{ELEMENTS.replace('elements AS (', 'raw AS (', 1)}, child AS (SELECT parent_uid AS uid, arg_min(existing_alt, shape_idx) AS alt FROM raw
+   WHERE trim(existing_alt) <> '' AND shape_type IN ('PICTURE', 'AUTO_SHAPE', 'TEXT_BOX', 'PLACEHOLDER') GROUP BY 1),
+elements AS (SELECT r.* REPLACE (r.deck || '.pptx' AS deck, coalesce(nullif({q.strip('r.existing_alt')}, ''), CASE WHEN r.shape_type = 'GROUP' THEN {q.strip('alt')} END, '') AS existing_alt) FROM raw r LEFT JOIN child USING (uid))"""
 
 
 @query(
-    "attempt_rows_u02",
-    f"""WITH {CHAIN_SQL}, t AS (SELECT 'first' AS provider, a NOT IN ('0','1','2','3','4','5') AS success, CASE WHEN a IN ('0','1','2','3') THEN 404 END AS status_code,
-   CASE WHEN a IN ('0','1','2','3') THEN 'model not found' WHEN a = '5' THEN 'broken pipe' END AS error, CASE WHEN a NOT IN ('0','1','2','3','4','5') THEN 0.25 ELSE 0.0 END AS cost FROM c
-   UNION ALL SELECT 'second', z <> 'f', CASE WHEN z = 'f' THEN 503 END, CASE WHEN z = 'f' THEN 'busy' END, CASE WHEN z = 'f' THEN 0.0 ELSE 0.5 END FROM c WHERE a IN ('0','1','2','3','5'))
-SELECT provider, success, status_code, error, count(*) AS calls, CAST(sum(cost) AS DOUBLE) AS cost FROM t GROUP BY ALL""",
+    "pipeline_a02",
+    f"""WITH {PATCH_SQL.replace(ELEMENTS, SCANNED_SQL, 1).replace(' AND width % 4 <> 0', '')},
+after AS (SELECT elements.deck, change, coalesce(new_alt, existing_alt) AS alt, lower({q.strip('existing_alt')}) NOT IN ({q.quoted(fixed.SKIP_TOKENS)}) AS real FROM elements LEFT JOIN patch ON patch.deck = elements.deck AND patch.key = instance_key)
+SELECT deck, count(*) AS elements, count(change) AS written, count_if(change IS NULL AND real) AS preserved, count_if(alt <> '') AS covered, count(change) AS verified, CAST(0 AS BIGINT) AS second_run FROM after GROUP BY deck""",
 )
-def attempt_rows(spark, sf_dir):
-    results = provider.generate_chain(requests(spark, sf_dir), [("first", failing), ("second", steady)])
-    return provider.attempt_rows(results).groupBy("provider", "success", "status_code", "error").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("cost")
-    )
+def pipeline(spark, sf_dir):
+    return written_back(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from altloom import views
 from altloom.plans.registry import query
-from altloom.plans.source_queries import folder
+from altloom.plans.source_queries import FILES_SQL, files_by_lang, folder, text_files
 from altloom.streaming import jobs
 
 
@@ -36,13 +36,10 @@ def attempts(spark, sf_dir):
     return streamed(spark, sf_dir, "events", views.attempts_of)
 
 
-@query("stream_files_n01", "SELECT DISTINCT lang, true AS found FROM documents")
+@query("stream_files_n01", FILES_SQL)
 def stream_files(spark, sf_dir):
-    place = folder(spark, "incoming")
-    views.table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(place)
-    seen = jobs.stream_files(spark, place, "txt").select("path")
-    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
-    return result(spark, seen, "files").select(lang, F.lit(True).alias("found")).distinct()
+    seen = jobs.stream_files(spark, text_files(spark, sf_dir), "txt", per_trigger=3).select("path", "length")
+    return files_by_lang(result(spark, seen, "files"))
 
 
 @query("stream_dedupe_n02", "SELECT DISTINCT user_id, event_type FROM events")

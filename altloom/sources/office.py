@@ -42,17 +42,24 @@ FACT = (
 )
 ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
+MOST_BYTES = 1 << 30
 SHAPE_TAGS = ("sp", "pic", "cxnSp", "graphicFrame", "grpSp")
 FILL_TAGS = {"noFill": "none", "solidFill": "solid", "gradFill": "gradient", "blipFill": "picture", "pattFill": "pattern"}
 
 
-def scan_files(spark: SparkSession, path: str, exts: tuple[str, ...] = DECK_TYPES) -> DataFrame:
-    """Files under a folder, glob or file, without lock files; content is read
-    only where a later step asks for it."""
+def scan_files(spark: SparkSession, path: str, exts: tuple[str, ...] = DECK_TYPES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Files under a folder, glob or file, without lock files.
+
+    A scan gives each file once and in its own partitions, and content is read
+    only where a later step asks for it. A file of more than ``most_bytes`` is
+    not read: its content is null, and a step that opens it reports an error.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     name = F.element_at(F.split("path", "/"), -1)
     wanted = "(?i)\\.(" + "|".join(exts) + ")$"
-    return reader.load(path).filter(name.rlike(wanted) & ~name.startswith("~$")).dropDuplicates(["path"])
+    found = reader.load(path).filter(name.rlike(wanted) & ~name.startswith("~$"))
+    small, large = found.filter(F.col("length") <= most_bytes), found.filter(F.col("length") > most_bytes)
+    return small.unionByName(large.withColumn("content", F.lit(None).cast("binary")))
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -84,6 +91,8 @@ def package_parts(files: DataFrame, wanted: str) -> DataFrame:
 
     def opened(path: str, content: bytes) -> list[dict]:
         rows = []
+        if content is None:
+            return [{"deck": path, "error": "FileTooLarge: not read"}]
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as package:
                 for part in filter(pattern.fullmatch, package.namelist()):
@@ -101,10 +110,11 @@ def package_parts(files: DataFrame, wanted: str) -> DataFrame:
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(PART)
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one package at a time is held
+                row = batch.slice(k, 1).to_pylist()[0]
                 yield pa.RecordBatch.from_pylist(opened(row["path"], row["content"]), schema=schema)
 
-    return files.select("path", "content").repartition("path").mapInArrow(unzip, PART)
+    return files.select("path", "content").mapInArrow(unzip, PART)
 
 
 def facts(parts: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from altloom.operators.ordered import MONEY
 from altloom.operators.reuse import latest
-from altloom.sources.tables import if_found
 
 BREAKER_OUT = "provider string, ts timestamp, attempt_id bigint, state string, reason string"
 BREAKER_STATE = "state string, failures int, successes int, last_failure double, opened int"
@@ -107,6 +106,12 @@ def stream_breaker(attempts: DataFrame, threshold: int = 5, recovery: float = 60
     )
 
 
+def status_rank(name: str) -> Column:
+    """Of two statuses at one time the one further on in the work counts."""
+    order = ["pending", "processing", "skipped", "failed", "complete"]
+    return F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(name)), F.lit(0))
+
+
 def batch_path(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id}"
 
@@ -135,10 +140,10 @@ def stream_ledger(updates: DataFrame, root: str, checkpoint: str, key: str = "pa
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("__at", at)
-        before = if_found(lambda: spark.read.parquet(f"{root}/version={batch_id - 1}")) if batch_id > 0 else None
-        if before is not None:
-            fresh = before.unionByName(fresh)
-        latest(fresh, [key], ["__at", "status"]).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        if batch_id > 0:  # an absent version is an error: going on without it would lose the ledger
+            fresh = spark.read.parquet(f"{root}/version={batch_id - 1}").unionByName(fresh)
+        ranked = fresh.withColumn("__rank", status_rank("status"))
+        latest(ranked, [key], ["__at", "__rank", "status"]).drop("__rank").write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return (
         updates.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(fold).start()

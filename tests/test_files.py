@@ -65,6 +65,25 @@ def test_manifest_last_line_wins_and_bad_lines_are_kept_aside(spark):
     assert rejected.count() == 2
 
 
+def test_no_exchange_carries_packages(spark):
+    root = Path(place())
+    (root / "a.pptx").write_bytes(b"not a package")
+    (root / "~$a.pptx").write_bytes(b"lock")
+    files = office.scan_files(spark, str(root))
+    plan = office.package_parts(files, office.DECK_PARTS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert [r.error[:10] for r in office.package_parts(files, office.DECK_PARTS).collect()] == ["BadZipFile"]
+    large = office.package_parts(office.scan_files(spark, str(root), most_bytes=5), office.DECK_PARTS).collect()
+    assert [r.error for r in large] == ["FileTooLarge: not read"]
+
+
+def test_recorded_chains(spark):
+    rows = [("a", n, n == 2) for n in range(9)] + [("b", n, False) for n in range(5)] + [("c", 0, False)] + [("d", n, n > 3) for n in range(6)]
+    calls = spark.createDataFrame([(k, n, f"p{n}", ok, 1.0) for k, n, ok in rows], "key string, n int, provider string, success boolean, cost double")
+    found = {r.key: (r.provider, r.status, r.attempts, r.cut) for r in provider.recorded_chain(calls, "key", ["n"], 3).collect()}
+    assert found == {"a": ("p2", "ok", 3, False), "b": (None, "fail", 3, True), "c": (None, "fail", 1, False), "d": (None, "fail", 3, True)}
+
+
 def test_final_map_forms(spark):
     root = Path(place())
     (root / "m.json").write_text('{"k1": "  plain ", "k2": {"existing_alt": " e ", "final_alt": "", "source_generated": "x"}, "k3": ""}')
