@@ -10,9 +10,24 @@ from altloom.plans.source_queries import FILES_SQL, files_by_lang, folder, text_
 from altloom.streaming import jobs
 
 
-def streamed(spark, sf_dir, name, view):
-    """A view over a streamed table instead of a stored one."""
-    rows = jobs.stream_table(spark, sf_dir, name, views.table(spark, sf_dir, name).schema)
+PARTS = 4
+
+
+def arriving(spark, sf_dir, name, at):
+    """A table as it arrives: files of one stretch of time each, written one after the other."""
+    table, place = views.table(spark, sf_dir, name), folder(spark, f"arriving-{name}")
+    first, last = table.agg(F.min(at), F.max(at)).first()
+    for part in range(PARTS):
+        start, end = (first + (last - first) * k / PARTS for k in (part, part + 1))
+        rows = table.filter((F.col(at) >= F.lit(start)) & ((F.col(at) < F.lit(end)) if part + 1 < PARTS else F.lit(True)))
+        rows.coalesce(1).write.mode("append").parquet(place)
+    return place
+
+
+def streamed(spark, sf_dir, name, view, at):
+    """A view over a streamed table instead of a stored one, a file per micro-batch."""
+    source = spark.readStream.schema(views.table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 1)
+    rows = source.parquet(arriving(spark, sf_dir, name, at))
     clock = {f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.simpleString() == "timestamp_ntz"}
     return view(rows.withColumns(clock))
 
@@ -33,7 +48,7 @@ def plain_clock(df):
 
 
 def attempts(spark, sf_dir):
-    return streamed(spark, sf_dir, "events", views.attempts_of)
+    return streamed(spark, sf_dir, "events", views.attempts_of, "ts")
 
 
 @query("stream_files_n01", FILES_SQL)
@@ -42,30 +57,38 @@ def stream_files(spark, sf_dir):
     return files_by_lang(result(spark, seen, "files"))
 
 
-@query("stream_dedupe_n02", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "stream_dedupe_n02",
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_type, n, ts, ts AS kept, true AS first FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.n, e.ts, CASE WHEN e.ts >= r.kept + INTERVAL 5 DAY THEN e.ts ELSE r.kept END, e.ts >= r.kept + INTERVAL 5 DAY FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1)
+SELECT user_id, event_type, min(ts) AS first_seen FROM r WHERE first GROUP BY 1, 2""",
+)
 def stream_dedupe(spark, sf_dir):
-    events = streamed(spark, sf_dir, "events", lambda e: e.select("ts", "user_id", "event_type"))
+    events = streamed(spark, sf_dir, "events", lambda e: e.select("ts", "user_id", "event_type"), "ts")
     keyed = events.withColumn("content_key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-    return result(spark, jobs.stream_dedupe(keyed, "content_key", "ts", "60 days").select("user_id", "event_type"), "dedupe")
+    found = result(spark, jobs.stream_dedupe(keyed, "content_key", "ts", "5 days").select("user_id", "event_type", "ts"), "dedupe")
+    return found.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"))
 
 
 @query(
     "stream_budget_n03",
     f"""WITH {views.ATTEMPTS_SQL}, d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(sum(CAST(cost AS DECIMAL(20,6))) AS DOUBLE) AS c FROM attempts GROUP BY 1)
-SELECT day, round(c, 6) AS daily_cost, c > 4 AS daily_alert FROM d""",
+SELECT day, round(c, 6) AS daily_cost, c > 4 AS daily_alert FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM attempts) - INTERVAL 1 HOUR""",
 )
 def stream_budget(spark, sf_dir):
-    return result(spark, jobs.stream_budget(attempts(spark, sf_dir), 4.0), "budget", "complete")
+    return result(spark, jobs.stream_budget(attempts(spark, sf_dir), 4.0), "budget")
 
 
 @query(
     "stream_outages_n04",
     f"""WITH {views.ATTEMPTS_SQL}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY provider ORDER BY ts, attempt_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM attempts WHERE NOT success),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY provider ORDER BY ts, attempt_id) AS session FROM f)
-SELECT provider, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS failures FROM s GROUP BY provider, session""",
+SELECT provider, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS failures FROM s GROUP BY provider, session
+HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM attempts WHERE NOT success) - INTERVAL 1 HOUR""",
 )
 def stream_outages(spark, sf_dir):
-    return result(spark, jobs.stream_outages(attempts(spark, sf_dir)), "outages", "complete")
+    return result(spark, jobs.stream_outages(attempts(spark, sf_dir)), "outages")
 
 
 @query("stream_breaker_n05")
@@ -81,6 +104,7 @@ def stream_ledger(spark, sf_dir):
     updates = streamed(
         spark, sf_dir, "orders",
         lambda o: o.select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at")),
+        "o_orderdate",
     )
     root = folder(spark, "ledger")
     finish(jobs.stream_ledger(updates, root, folder(spark, "ledger-state")))

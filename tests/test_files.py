@@ -177,3 +177,35 @@ def test_stage_overwrite_touches_one_stage(spark):
     tables.write_stage(two, root, "final", "r")
     tables.write_stage(two, root, "current", "r")
     assert [r["key"] for s in ("current", "final") for r in tables.read_stage(spark, root, s, "r").collect()] == ["y", "y"]
+
+
+def test_late_rows_are_dropped_and_state_is_released(spark):
+    source, out, state = place(), place() + "/out", place()
+    days = [datetime(2024, 1, d, h) for d, h in ((1, 0), (5, 0), (6, 0), (1, 6), (20, 0))]
+    schema = "ts timestamp, cost double"
+    for number, day in enumerate(days):
+        spark.createDataFrame([(day, 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.write_each(jobs.stream_budget(read, 0.5, "1 hour"), out, state).awaitTermination()
+    found = sorted((r.day.day, r.daily_cost) for r in spark.read.parquet(out).collect())
+    assert found == [(1, 1.0), (5, 1.0), (6, 1.0)]  # the row of the fourth file came too late, the last day is still open
+
+
+def test_ledger_without_its_last_version_is_an_error(spark):
+    source, out, state = place(), place(), place()
+    schema = "path string, status string, updated_at timestamp"
+    at = datetime(2024, 1, 1)
+
+    def fold(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_ledger(spark.readStream.schema(schema).parquet(source), out, state).awaitTermination()
+
+    fold([("a", "processing", at), ("a", "complete", at), ("b", "pending", at)])
+    assert sorted((r.path, r.status) for r in jobs.newest_version(spark, out).collect()) == [("a", "complete"), ("b", "pending")]
+    (Path(out) / "version=0").rename(Path(place()) / "gone")
+    try:
+        fold([("c", "pending", at)])
+    except Exception as problem:
+        assert "version=0" in str(problem)
+    else:
+        raise AssertionError("a lost version went unnoticed")
