@@ -1,10 +1,12 @@
-"""Near-identical pictures: pairs within a Hamming distance, and their groups.
+"""Near-identical pictures: for each the best earlier match, and the groups these make.
 
 A hash is cut into bands. Two hashes that differ in at most ``k`` bits agree in
 at least ``bands - k`` bands, so both carry the key of every set of that many
-bands and meet in an equi join. A pair is reported only under the first bands
-it agrees in, which saves a distinct. Equal hashes are folded into one row with
-a count first: a picture copied a billion times adds no pair.
+bands and meet in an equi join. Equal hashes are folded into one row with a
+count first, and each hash keeps only its best match with an earlier picture:
+the result has a row per hash at most, and partial minima are taken before
+anything is shuffled. The hashes of a key that very many share (plain or dark
+pictures) are dealt over as many salts as their count asks for.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ def band(value: Column, n: int, bands: int, bits: int) -> Column:
     return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
 
 
-def similar_pairs(df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64) -> DataFrame:
-    """Distinct hashes at most ``k`` bits apart, with first id and copies."""
+def best_matches(
+    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64, heavy: int = 10_000
+) -> DataFrame:
+    """``first_id``, ``copies``, ``match_id`` and ``distance`` of each distinct hash that resembles an earlier one.
+
+    Earlier is what has a smaller first id; the least distance wins, then the smallest id.
+    """
     agree = bands - k
     if agree < 1:
         raise ValueError("bands must exceed k")
-    sets = list(combinations(range(bands), agree))
     value = F.col("hash")
     # Every band keeps its own bits, so that values of different bands differ.
     kept = [F.shiftleft(band(value, n, bands, bits), n * bits // bands) for n in range(bands)]
@@ -39,26 +45,26 @@ def similar_pairs(df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands:
             bits_of = bits_of.bitwiseOR(kept[n])
         return bits_of
 
-    folded = df.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash")).agg(
-        F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")
-    )
-    keys = F.array(*[F.struct(F.lit(i).alias("set"), masked(c).alias("bits")) for i, c in enumerate(sets)])
-    keyed = folded.select("*", F.explode(keys).alias("key"))
-    a = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("hash", "first_id", "copies")])
-    b = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("hash", "first_id", "copies")])
-    both = [band(F.col(f"hash_{s}"), n, bands, bits) for n in range(bands) for s in ("a", "b")]
-    same = F.array_compact(F.array(*[F.when(both[2 * n] == both[2 * n + 1], F.lit(n)) for n in range(bands)]))
-    first = F.transform(F.slice(same, 1, agree), lambda n: n.cast("string"))
-    names = F.create_map(*[x for i, c in enumerate(sets) for x in (F.lit(i), F.lit(",".join(map(str, c))))])
-    return (
-        a.join(b, "key")
-        .filter((F.col("hash_a") < F.col("hash_b")) & (distance("hash_a", "hash_b") <= k))
-        .filter(F.array_join(first, ",") == F.element_at(names, F.col("key.set")))
-        .select(
-            "hash_a", "hash_b", "first_id_a", "first_id_b", "copies_a", "copies_b",
-            distance("hash_a", "hash_b").alias("distance"),
+    folded = materialize(
+        df.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash")).agg(
+            F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")
         )
     )
+    keys = F.array(*[F.struct(F.lit(i).alias("set"), masked(c).alias("bits")) for i, c in enumerate(combinations(range(bands), agree))])
+    keyed = folded.select("hash", "first_id", F.explode(keys).alias("key"))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = counted.select("key", F.ceil(F.col("n") / heavy).cast("int").alias("salts"))
+    met = keyed.join(shared, "key")
+    later = met.select("key", F.pmod(F.xxhash64("hash"), "salts").cast("int").alias("salt"), F.col("hash").alias("hash_a"), F.col("first_id").alias("id_a"))
+    earlier = met.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hash").alias("hash_b"), F.col("first_id").alias("id_b"))
+    near = distance("hash_a", "hash_b")
+    best = (
+        later.join(earlier, ["key", "salt"]).filter((F.col("id_b") < F.col("id_a")) & (near <= k))
+        .groupBy(F.col("id_a").alias("first_id")).agg(F.min(F.struct(near.alias("distance"), F.col("id_b").alias("match_id"))).alias("m"))
+    )
+    return best.join(folded.select("first_id", "copies"), "first_id").select(
+        "first_id", "copies", "m.match_id", "m.distance"
+    )
 
 
 def similar_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:

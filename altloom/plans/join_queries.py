@@ -266,23 +266,16 @@ def group_children(spark, sf_dir):
 
 
 PAIRS_SQL = f"""{HASHES_SQL}, f AS (SELECT a, min(id) AS first_id, count(*) AS copies FROM bits GROUP BY a),
-pairs AS (SELECT x.first_id AS l, y.first_id AS r, x.copies AS lc, y.copies AS rc, bit_count(xor(x.a::BIT, y.a::BIT)) AS distance FROM f x JOIN f y ON x.a < y.a AND bit_count(xor(x.a::BIT, y.a::BIT)) <= 5)"""
+pairs AS (SELECT y.first_id, y.copies, x.first_id AS match_id, bit_count(xor(x.a::BIT, y.a::BIT)) AS distance FROM f x JOIN f y ON x.first_id < y.first_id AND bit_count(xor(x.a::BIT, y.a::BIT)) <= 5
+   QUALIFY row_number() OVER (PARTITION BY y.first_id ORDER BY distance, x.first_id) = 1)"""
 
 
 @query(
     "similar_pairs_d12",
-    f"""WITH {PAIRS_SQL} SELECT least(l, r) AS low_id, greatest(l, r) AS high_id, CASE WHEN l < r THEN lc ELSE rc END AS low_copies, CASE WHEN l < r THEN rc ELSE lc END AS high_copies, distance FROM pairs""",
+    f"""WITH {PAIRS_SQL} SELECT first_id, copies, match_id, CAST(distance AS INT) AS distance FROM pairs""",
 )
 def similar_pairs(spark, sf_dir):
-    pairs = similar.similar_pairs(hashes(spark, sf_dir), "id", "ahash")
-    a, b = F.col("first_id_a"), F.col("first_id_b")
-    return pairs.select(
-        F.least(a, b).alias("low_id"),
-        F.greatest(a, b).alias("high_id"),
-        F.when(a < b, F.col("copies_a")).otherwise(F.col("copies_b")).alias("low_copies"),
-        F.when(a < b, F.col("copies_b")).otherwise(F.col("copies_a")).alias("high_copies"),
-        "distance",
-    )
+    return similar.best_matches(hashes(spark, sf_dir), "id", "ahash")
 
 
 CONTENT_SQL = "'content:slide' || id % 1000000000000 % 9 || '-shape' || id % 1000000000000 || '-' || id % 1000000000000 % 7 || 'x4'"
@@ -399,10 +392,9 @@ def hamming(spark, sf_dir):
 
 @query(
     "similar_groups_k05",
-    f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT l AS x, r AS y FROM pairs UNION SELECT r, l FROM pairs),
+    f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT first_id AS x, match_id AS y FROM pairs UNION SELECT match_id, first_id FROM pairs),
 reach AS (SELECT x AS node, x AS seen FROM e UNION SELECT reach.node, e.y FROM reach JOIN e ON e.x = reach.seen)
 SELECT node, min(seen) AS "group" FROM reach GROUP BY node""",
 )
 def similar_groups(spark, sf_dir):
-    pairs = similar.similar_pairs(hashes(spark, sf_dir), "id", "ahash")
-    return similar.similar_groups(pairs, "first_id_a", "first_id_b")
+    return similar.similar_groups(similar.best_matches(hashes(spark, sf_dir), "id", "ahash"), "first_id", "match_id")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from altloom.functions import keys, phash, review
@@ -62,13 +64,32 @@ def test_banded_pairs_equal_brute_force(spark):
     values += [values[0]] * 40
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame(list(enumerate(signed)), "id bigint, h bigint")
-    got = {(r["hash_a"], r["hash_b"], r["distance"]) for r in similar.similar_pairs(df, "id", "h").collect()}
-    distinct = sorted(set(signed))
-    mask = (1 << 64) - 1
-    want = {
-        (a, b, bin((a ^ b) & mask).count("1")) for i, a in enumerate(distinct) for b in distinct[i + 1:] if bin((a ^ b) & mask).count("1") <= 5
-    }
-    assert got == want and want
+    mask, first = (1 << 64) - 1, {}
+    for number, value in df.orderBy("id").collect():
+        first.setdefault(value, number)
+    want = {}
+    for a, i in first.items():
+        near = [(bin((a ^ b) & mask).count("1"), j) for b, j in first.items() if j < i and bin((a ^ b) & mask).count("1") <= 5]
+        if near:
+            want[i] = min(near)
+    for heavy in (3, 10_000):
+        got = {r["first_id"]: (r["distance"], r["match_id"]) for r in similar.best_matches(df, "id", "h", heavy=heavy).collect()}
+        assert got == want and want
+
+
+def test_many_hashes_around_one_centre(spark):
+    """A row per hash however many resemble each other."""
+    rng = random.Random(4)
+    values = list(dict.fromkeys(sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5))) for _ in range(3000)))
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, h bigint")
+    got = {r.first_id: (r.distance, r.match_id) for r in similar.best_matches(df, "id", "h", heavy=500).collect()}
+    h = np.array(values, np.uint64)
+    want = {}
+    for i in range(1, len(h)):
+        far = np.bitwise_count(h[:i] ^ h[i])
+        if far.min() <= 5:
+            want[i] = (int(far.min()), int(far.argmin()))
+    assert got == want
 
 
 def test_groups_of_a_chain(spark):
