@@ -25,11 +25,11 @@ def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "
     # Exploding what the gate lets through drops the nulls and, unlike a filter,
     # does not make Spark work the text out twice.
     gated = plan.select(*KEY, "forced", F.explode(F.array_compact(F.array(gate))).alias("new_alt"))
-    compared = gated.join(current.select(*KEY, F.col("text").alias("old_alt")), KEY, "left")
+    new = gated.withColumn("text_hash", text_hash("new_alt")).join(written, [*KEY, "text_hash"], "left_anti")
+    compared = new.join(current.select(*KEY, F.col("text").alias("old_alt")), KEY, "left")
     guarded = is_meaningful("old_alt") & ~F.col("forced") if mode == "preserve" else F.lit(False)
     changed = compared.filter(~guarded).filter(needs_replace("old_alt", "new_alt"))
-    hashed = changed.withColumn("text_hash", text_hash("new_alt"))
-    return hashed.join(written, [*KEY, "text_hash"], "left_anti").select(
+    return changed.select(
         *KEY, "old_alt", "new_alt", F.when(is_blank("old_alt"), "insert").otherwise("replace").alias("change"), "text_hash"
     )
 

@@ -10,7 +10,7 @@ from altloom.functions.review import failure_class
 from altloom.operators import aggregates as agg
 from altloom.operators import classify, reuse
 from altloom.plans import sql as q
-from altloom.plans.decisions import DECIDED_SQL, ENTRY_DECORATIVE, decided
+from altloom.plans.decisions import DECIDED_SQL, ENTRY_DECORATIVE, decided_narrow
 from altloom.plans.describe_queries import SHOWN, shown
 from altloom.plans.ordered_queries import SELECTED_SQL, selected
 from altloom.plans.registry import query
@@ -21,7 +21,7 @@ NOW = "1998-06-15 12:00:00"
 
 
 def manifest(spark, sf_dir):
-    d = decided(spark, sf_dir)
+    d = decided_narrow(spark, sf_dir)
     return d.select(
         "*", F.col("generated_alt").alias("suggested_alt"), F.col("decision_source").alias("source"),
         F.when(F.col("height") % 9 == 0, "error").otherwise("success").alias("raster_status"),
@@ -287,7 +287,7 @@ def audit_summary(spark, sf_dir):
   count_if(decision_reason IN ('policy_excluded', 'generation_error')) AS excluded FROM decided GROUP BY deck""",
 )
 def review_summary(spark, sf_dir):
-    return agg.review_summary(decided(spark, sf_dir))
+    return agg.review_summary(decided_narrow(spark, sf_dir))
 
 
 @query(
@@ -326,4 +326,4 @@ def review_buckets(spark, sf_dir):
   count(*) AS elements, count(DISTINCT content_key) AS contents FROM decided GROUP BY 1, 2""",
 )
 def plan_summary(spark, sf_dir):
-    return agg.plan_summary(decided(spark, sf_dir))
+    return agg.plan_summary(decided_narrow(spark, sf_dir))

@@ -9,9 +9,10 @@ from altloom.functions import fixed, rules
 from altloom.functions.base import col
 from altloom.operators import classify, reuse
 from altloom.plans import sql as q
-from altloom.plans.decisions import DECIDED_SQL, ENTRY_DECORATIVE, decided, decided_narrow
+from altloom.plans.decisions import DECIDED_SQL, ENTRY_DECORATIVE, decided, decided_narrow, decided_texts
 from altloom.plans.describe_queries import AUTO_TYPES, over_elements
 from altloom.plans.registry import query
+from altloom.session import materialize
 from altloom.plans.text_queries import GATE
 
 # Words that occur in the driver texts, in place of the default banks.
@@ -287,7 +288,7 @@ SELECT shape_id, decision_reason, CASE decision_reason WHEN 'preserve_existing'
 FROM decided""",
 )
 def decision(spark, sf_dir):
-    return decided(spark, sf_dir).select(
+    return decided_texts(spark, sf_dir).select(
         "shape_id", "decision_reason", "action", "decided_alt", "decision_source", "include_reason", "exclude_reason"
     )
 
@@ -301,7 +302,8 @@ SELECT deck, CAST(count(*) AS BIGINT) AS elements, count_if(decision_reason = 'p
 FROM decided LEFT JOIN (SELECT uid, generates FROM elected) USING (uid) GROUP BY deck""",
 )
 def decision_summary(spark, sf_dir):
-    d = decided_narrow(spark, sf_dir)
+    kept = [*reuse.OWNER, "shape_idx", "content_key", "decision_reason"]
+    d = materialize(decided_narrow(spark, sf_dir).select(*kept))
     waiting = F.col("decision_reason") == "needs_generation"
     elected = reuse.elect_generators(d.filter(waiting), "content_key", ["deck", "slide_idx", "shape_idx"]).filter("generates")
     marked = d.join(elected.select(*reuse.OWNER, "generates"), reuse.OWNER, "left").withColumn("generates", F.coalesce("generates", F.lit(False)))

@@ -22,24 +22,39 @@ def decided(spark, sf_dir, mode: str = "preserve", strategy: str = "smart") -> D
 
 
 def decided_narrow(spark, sf_dir) -> DataFrame:
-    """Ids, content and reason of the decision only, written out once.
+    """The decision on each element with marks in place of texts.
 
     Policy and blank tests are worked out where the texts are scanned, so that
-    no text is shuffled.
+    no text is shuffled; a text column holds ``x`` where there is a text.
     """
 
     def filled(name: str):
         return F.when(~is_blank(name), "x").otherwise("").alias(name)
 
     e = views.elements(spark, sf_dir).select(
-        "shape_id", "deck", "slide_idx", "shape_idx", "content_key", (F.col("uid") % 2 == 0).alias("model_called"),
-        filled("existing_alt"), filled("final_alt"),
+        "uid", "shape_id", "deck", "slide_idx", "shape_idx", "shape_type", "height", "content_key", (F.col("uid") % 2 == 0).alias("model_called"),
+        filled("existing_alt"), filled("generated_alt"), filled("final_alt"),
         classify.include_policy("shape_type", "width", "height", "slide_text").alias("policy"),
     )
     cache = e.select("content_key", *reuse.OWNER, "final_alt")
-    cached = reuse.with_cache(e, cache, "content_key", "final_alt")
-    kept = ["shape_id", "deck", "slide_idx", "shape_idx", "content_key", "decision_reason"]
-    return materialize(classify.decide(cached).select(*kept))
+    return classify.decide(reuse.with_cache(e, cache, "content_key", "final_alt"))
+
+
+def decided_texts(spark, sf_dir) -> DataFrame:
+    """The decision on each element and the one text that follows from it.
+
+    Decisions are made on marks. A row's own text is chosen where it is scanned
+    and meets its decision by the element's key; cached texts are fetched for
+    the rows that take one. No exchange carries more than one text.
+    """
+    d = materialize(decided_narrow(spark, sf_dir).drop("decided_alt", "cached_alt", "existing_alt", "generated_alt", "final_alt", "policy"))
+    e = views.elements(spark, sf_dir)
+    own = e.select(*reuse.OWNER, F.when(~is_blank("existing_alt"), F.col("existing_alt")).otherwise(F.col("final_alt")).alias("own_text"))
+    asked = d.filter("decision_reason = 'cached'").select("content_key", *reuse.OWNER)
+    taken = reuse.with_cache(asked, e.select("content_key", *reuse.OWNER, "final_alt"), "content_key", "final_alt").drop("content_key")
+    reason = F.col("decision_reason")
+    text = F.when(reason.isin("preserve_existing", "already_generated"), F.col("own_text")).when(reason == "cached", F.col("cached_alt")).otherwise("")
+    return d.join(own, reuse.OWNER).join(taken, reuse.OWNER, "left").withColumn("decided_alt", text)
 
 
 ENTRY_DECORATIVE = f"""(shape_type IN ('LINE', 'CONNECTOR') OR width * height < 100
