@@ -30,7 +30,7 @@ from altloom.session import materialize
 
 DECK_TYPES = ("pptx", "ppt")
 PART = "deck string, part string, content binary, media_key string, image_hash string, error string"
-DECK_PARTS = r"ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/[^/]+\.xml|slides/_rels/[^/]+\.rels|notesSlides/[^/]+\.xml|media/[^/]+)"
+DECK_PARTS = r"ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/[^/]+\.xml|slides/_rels/[^/]+\.rels|charts/_rels/[^/]+\.rels|notesSlides/[^/]+\.xml|media/[^/]+)"
 DOCUMENT_PARTS = r"word/((document|header\d*|footer\d*)\.xml|_rels/(document|header\d*|footer\d*)\.xml\.rels|media/[^/]+)"
 
 # One narrow row per fact read from a part; ``kind`` tells which fields it fills.
@@ -267,7 +267,7 @@ def deck_elements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     spoken = of("notes").select("deck", F.col("part").alias("target"), F.left("text", F.lit(300)).alias("slide_notes"))
     notes = links.join(spoken, ["deck", "target"]).select("deck", "part", "slide_notes")
     texts = joined_text(
-        shapes.filter("depth = 0").select("deck", "part", "seq", "text"), ["deck", "part"], "seq", 500
+        shapes.filter("depth = 0 AND tag <> 'graphicFrame'").select("deck", "part", "seq", "text"), ["deck", "part"], "seq", 500
     ).select("deck", "part", "slide_text")
     child = (
         shapes.filter("tag IN ('sp', 'pic') AND parent_id IS NOT NULL")
@@ -301,6 +301,26 @@ def deck_elements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return elements, of("error").select("deck", "part", "error")
 
 
+def linked_pictures(files: DataFrame) -> DataFrame:
+    """Every picture a slide refers to, itself or through one of its charts, with or without a shape that shows it."""
+    read = facts(package_parts(files, DECK_PARTS))
+
+    def of(kind: str) -> DataFrame:
+        return read.filter(F.col("kind") == kind)
+
+    links = of("link").select("deck", "part", "rel_id", "target")
+    slides = of("order").select("deck", "part", "rel_id", F.col("seq").alias("slide_idx")).join(links, ["deck", "part", "rel_id"])
+    own = links.join(slides.select("deck", F.col("target").alias("part"), "slide_idx"), ["deck", "part"])
+    charts = own.filter(F.col("target").startswith("ppt/charts/")).select("deck", "slide_idx", F.col("target").alias("part"))
+    held = own.select("deck", "slide_idx", "rel_id", "target", F.lit(None).cast("string").alias("chart")).unionByName(
+        links.join(charts, ["deck", "part"]).select("deck", "slide_idx", "rel_id", "target", F.col("part").alias("chart"))
+    )
+    media = of("media").select("deck", F.col("part").alias("target"), "media_key", "image_hash")
+    return held.join(media, ["deck", "target"]).select(
+        "deck", "slide_idx", "chart", "rel_id", F.element_at(F.split("target", "/"), -1).alias("file_name"), "media_key", "image_hash"
+    )
+
+
 def document_drawings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(drawings, errors) of word documents: body, headers and footers."""
 

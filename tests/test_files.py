@@ -77,6 +77,23 @@ def test_no_exchange_carries_packages(spark):
     assert [r.error for r in large] == ["FileTooLarge: not read"]
 
 
+def test_pictures_of_charts_and_relations(spark):
+    rel = '<Relationships>{}</Relationships>'
+    link = lambda name, target: f'<Relationship Id="{name}" Target="{target}"/>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as package:
+        package.writestr("ppt/presentation.xml", '<p xmlns:r="x"><sldId id="1" r:id="rId1"/></p>')
+        package.writestr("ppt/_rels/presentation.xml.rels", rel.format(link("rId1", "slides/slide1.xml")))
+        package.writestr("ppt/slides/slide1.xml", "<sld><spTree/></sld>")
+        package.writestr("ppt/slides/_rels/slide1.xml.rels", rel.format(link("rId2", "../charts/chart1.xml") + link("rId3", "../media/loose.png")))
+        package.writestr("ppt/charts/_rels/chart1.xml.rels", rel.format(link("rId1", "../media/bars.png")))
+        package.writestr("ppt/media/loose.png", b"loose")
+        package.writestr("ppt/media/bars.png", b"bars")
+    files = spark.createDataFrame([("a.pptx", out.getvalue())], "path string, content binary")
+    found = office.linked_pictures(files).select("slide_idx", "chart", "file_name").collect()
+    assert sorted(map(repr, map(tuple, found))) == ["(0, 'ppt/charts/chart1.xml', 'bars.png')", "(0, None, 'loose.png')"]
+
+
 def test_recorded_chains(spark):
     rows = [("a", n, n == 2) for n in range(9)] + [("b", n, False) for n in range(5)] + [("c", 0, False)] + [("d", n, n > 3) for n in range(6)]
     calls = spark.createDataFrame([(k, n, f"p{n}", ok, 1.0) for k, n, ok in rows], "key string, n int, provider string, success boolean, cost double")
