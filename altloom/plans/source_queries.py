@@ -57,14 +57,14 @@ e AS (SELECT e.*, depth, alt, shape_type = 'PICTURE' OR (fill_kind = 'picture' A
 SELECT deck || '.pptx' AS deck, slide_idx, shape_id, instance_key, parent_id, depth, shape_type, shape_name, text, width AS width_px, "left" AS left_px, pic AS has_picture, CASE WHEN pic THEN content_key END AS content_key,
   CASE WHEN shape_type IN ('GROUP', 'TABLE', 'CHART') THEN 'none' ELSE fill_kind END AS fill_kind, has_line AND shape_type NOT IN ('GROUP', 'TABLE', 'CHART') AS has_line,
   coalesce(nullif({q.strip('existing_alt')}, ''), CASE WHEN shape_type = 'GROUP' THEN {q.strip('alt')} END, '') AS existing_alt, left(first_value(slide_notes) OVER (PARTITION BY deck, slide_idx ORDER BY shape_idx), 300) AS slide_notes,
-  round(width * 0.75, 6) AS width_pt FROM e""",
+  round(width * 0.75, 6) AS width_pt, CASE WHEN pic THEN 'image' || uid || '.png' END AS file_name, CASE WHEN pic THEN image_hash END AS image_hash, false AS marked_decorative FROM e""",
 )
 def deck_elements(spark, sf_dir):
     found, _ = office.deck_elements(packages(views.elements(spark, sf_dir), "pptx"))
     return found.select(
         "deck", "slide_idx", "shape_id", "instance_key", "parent_id", "depth", "shape_type", "shape_name", "text", "width_px", "left_px",
         "has_picture", F.when(F.col("has_picture"), F.col("content_key")).alias("content_key"), "fill_kind", "has_line", "existing_alt",
-        "slide_notes", F.round("bbox.width", 6).alias("width_pt"),
+        "slide_notes", F.round("bbox.width", 6).alias("width_pt"), "file_name", "image_hash", "marked_decorative",
     )
 
 
@@ -164,17 +164,23 @@ def alt_cache(spark, sf_dir):
 
 @query(
     "coverage_report_a09",
-    f"""WITH {OUTCOMES_SQL} SELECT deck, CAST(count(*) AS BIGINT) AS total_elements, CAST(count_if(outcome IN ('failed', 'invalid')) AS BIGINT) AS needs_alt FROM o GROUP BY deck""",
+    f"""WITH {OUTCOMES_SQL} SELECT deck, count(*) AS total_elements, CAST(count_if(outcome = 'preserved') AS BIGINT) AS preserved, CAST(count_if(outcome = 'generated') AS BIGINT) AS generated,
+  CAST(count_if(outcome IN ('failed', 'invalid')) AS BIGINT) AS needs_alt, CAST(count_if(outcome = 'decorative') AS BIGINT) AS decorative_skipped, CAST(count_if(outcome IN ('preserved', 'generated')) AS BIGINT) AS covered_elements,
+  round(count_if(outcome IN ('preserved', 'generated')) * 100 / count(*), 6) AS coverage_percent, round(count_if(outcome = 'generated') * 100 / count(*), 6) AS descriptive_percent,
+  round(count_if(outcome = 'decorative') * 100 / count(*), 6) AS decorative_percent FROM o GROUP BY deck""",
 )
 def coverage_report(spark, sf_dir):
     place = folder(spark, "coverage")
     tables.write_coverage(agg.coverage(outcomes(spark, sf_dir)), place)
-    return spark.read.schema("total_elements bigint, needs_alt bigint, deck string").json(place)
+    counts = ["total_elements", "preserved", "generated", "needs_alt", "decorative_skipped", "covered_elements"]
+    shares = ["coverage_percent", "descriptive_percent", "decorative_percent"]
+    return spark.read.schema(", ".join([*[f"{c} bigint" for c in counts], *[f"{c} double" for c in shares], "deck string"])).json(place)
 
 
 @query(
     "audit_csv_a10",
-    f"""WITH {ELEMENTS} SELECT deck AS filename, CAST(slide_idx + 1 AS VARCHAR) AS slide_number, slide_text AS alt_text, CAST(existing_alt = '' AS VARCHAR) AS is_missing_alt, 'small; ' || fill_kind AS notes, instance_key AS image_id FROM elements""",
+    f"""WITH {ELEMENTS} SELECT deck AS filename, CAST(slide_idx + 1 AS VARCHAR) AS slide_number, slide_text AS alt_text, CAST(existing_alt = '' AS VARCHAR) AS is_missing_alt, 'small; ' || fill_kind AS notes, instance_key AS image_id,
+  CAST(shape_idx AS VARCHAR) AS image_index, 't.png' AS thumbnail_path, 'o.png' AS original_filename, 'false' AS is_possible_decorative, 'i.png' AS image_filename, shape_name FROM elements""",
 )
 def audit_csv(spark, sf_dir):
     place = folder(spark, "audit")
@@ -185,7 +191,7 @@ def audit_csv(spark, sf_dir):
         F.lit("i.png").alias("image_filename"), "shape_name", F.col("instance_key").alias("image_id"),
     )
     tables.write_audit_csv(e, place)
-    return tables.read_audit_csv(spark, place).select("filename", "slide_number", "alt_text", "is_missing_alt", "notes", "image_id")
+    return tables.read_audit_csv(spark, place)
 
 
 @query(
