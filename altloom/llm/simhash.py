@@ -156,7 +156,24 @@ def linked(points: np.ndarray, radius: int, mask: int, mask_radius: int, seed: i
         left.append(a)
         right.append(b)
     none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return starred(np.concatenate([none, *left]), np.concatenate([none, *right]))
+
+
+def starred(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components with one link per point: to the smallest point of its component."""
+    nodes, index = np.unique(np.concatenate([left, right]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for a, b in zip(index[: len(left)].tolist(), index[len(left) :].tolist(), strict=True):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        parent[max(a, b)] = min(a, b)
+    for k, above in enumerate(parent):
+        parent[k] = parent[above]  # those above come first and are settled
+    root = np.array(parent, np.int64)
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
 
 
 def forest(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
