@@ -25,10 +25,10 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altloom.llm.base import read, whole
+from altloom.llm.base import picked, read, whole
 from altloom.session import materialize, shared_folder
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -89,10 +89,8 @@ def write(pages: DataFrame, least: int = 0, date: str = DATE) -> Archive:
         F.unhex("sha").alias("payload_sha"),
     ).write.parquet(archive.headers)
 
-    stays = first.select("first_id", F.col("sha").alias("of_sha"))
-    found = named.join(stays, F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("sha") == F.col("of_sha")))
-    turn = F.row_number().over(Window.partitionBy("sha", "page_id").orderBy("sha"))
-    found.withColumn("turn", turn).filter("turn = 1").select(
+    stays = first.select(F.col("first_id").alias("page_id"), "sha")
+    picked(named.select("page_id", "sha", "html"), stays, ["page_id", "sha"]).select(
         F.unhex("sha").alias("payload_sha"), body.alias("payload")
     ).write.option("compression", "zstd").parquet(archive.payloads)
     return archive

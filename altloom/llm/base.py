@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -26,6 +26,18 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def picked(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One of the rows for each of the wanted keys; nulls match nulls.
+
+    The key is one column, by which the join and the choice among rows with
+    one key both work, so that the rows are moved once.
+    """
+    asked = wanted.select(F.struct(*keys).alias("__asked")).distinct()
+    met = rows.withColumn("__key", F.struct(*keys)).join(asked, F.col("__key") == F.col("__asked"))
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return met.withColumn("__turn", turn).filter("__turn = 1").drop("__key", "__asked", "__turn")
+
+
 def kept_in_worker(name: str, make: Callable[[], object], of: object = None) -> object:
     """An object that a Python worker builds once and keeps for its later tasks.
 
