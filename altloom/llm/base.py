@@ -41,14 +41,15 @@ def picked(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame
 def kept_in_worker(name: str, make: Callable[[], object], of: object = None) -> object:
     """An object that a Python worker builds once and keeps for its later tasks.
 
-    One object per name is kept; it is built anew when ``of`` is another.
+    A worker keeps one object, that of its last task: it is built anew when
+    ``name`` or ``of`` is another, and the one before it is let go first.
     """
     store = sys.modules.setdefault("_altloom_worker", types.ModuleType("_altloom_worker"))
-    held = getattr(store, name, None)
-    if held is None or held[0] != of:
-        held = (of, make())
-        setattr(store, name, held)
-    return held[1]
+    held = getattr(store, "held", None)
+    if held is None or held[:2] != (name, of):
+        store.held = held = None
+        store.held = held = (name, of, make())
+    return held[2]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:

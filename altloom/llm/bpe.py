@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-PAIRS = 1_000_000
-PIECES = 600_000
+PAIRS = 500_000
+PIECES = 300_000
+PARTS = 350_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +61,7 @@ class Merges:
         self.longest = max(map(len, ranks))
         self.agree: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.parts, self.firsts = Known(np.uint32), Known(np.uint32)
+        self.parts, self.firsts = Known(np.uint32, PARTS), Known(np.uint32, PARTS // 8)
 
         order = max(self.token) + 1
         sizes = np.zeros(order, np.int64)
