@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from altloom.llm.base import SPACES, read, whole
+from altloom.llm.base import SPACES, picked, read, whole
 from altloom.session import materialize
 
 ROUNDS = 2
@@ -85,11 +85,9 @@ def duplicates(docs: DataFrame, rounds: int = ROUNDS, fan_in: int | None = None)
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, one of each text, with the columns of ``docs``."""
-    stays = duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
+    stays = duplicates(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("__sha"))
     sha = F.unhex(F.sha2(F.regexp_replace(whole("text"), SPACES, " "), 256))
-    met = docs.withColumn("__own", sha).join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    turn = F.row_number().over(Window.partitionBy("__own", "doc_id").orderBy("__own"))
-    return met.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    return picked(docs.withColumn("__sha", sha), stays, ["doc_id", "__sha"]).select(*docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -39,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from altloom.llm.base import read, slices
+from altloom.llm.base import picked, read, slices
 from altloom.llm.components import components
 from altloom.session import materialize
 
@@ -257,10 +257,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
 def without_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One document of each group, that with the smallest id, with the columns of ``docs``."""
     groups = near_groups(docs, words, radius)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    met = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return met.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return picked(docs, stays, ["doc_id"]).select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
