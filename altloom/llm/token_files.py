@@ -23,6 +23,7 @@ checksums. An empty table gives no files' rows and an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,12 @@ from altloom.session import materialize
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SEGMENT = 1 << 21
+WORDS = 500_000
+PIECES = 250_000
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+# The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 EVERY = 64
 SEGMENTS = "part int, seq int, n_tokens bigint, n_docs int, n_null int, first_id bigint, width int, ids binary, ends binary, doc_ids binary"
 
@@ -108,11 +115,44 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.encode_special_tokens = True
-        self.known = Known(np.uint32)
+        self.model = self.tokenizer.model
+        self.known = Known(np.uint32, WORDS)
+        self.pieces: dict[str, list[int]] = {}
+        self.plain = self.is_plain()
+
+    def is_plain(self) -> bool:
+        """Whether Latin words and ASCII marks reach the model as they are, but for case and byte letters."""
+        probe = ["Straße", "ÉTÉ,", "ok!!", "A-b", "#*$", "ñandú."]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        return all(self.latin(w) in (None, ids) for w, ids in zip(probe, whole, strict=True))
+
+    def latin(self, word: str) -> list[int] | None:
+        """Ids of a Latin word with ASCII marks behind it; None for any other word.
+
+        Such a word is cut after its letters only, is composed already, and is
+        lower-cased letter by letter, so the library's model can be asked for its parts.
+        """
+        match = LATIN.fullmatch(word)
+        if match is None:
+            return None
+        out: list[int] = []
+        for part in match.groups():
+            if part:
+                part = part.lower()
+                ids = self.pieces.get(part)
+                if ids is None:
+                    if len(self.pieces) >= PIECES:
+                        self.pieces.clear()
+                    ids = self.pieces[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                out += ids
+        return out
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [e.ids for e in found]
+        found = [self.latin(w) for w in words] if self.plain else [None] * len(words)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        return found
 
     def texts(self, column: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id, and their counts.
