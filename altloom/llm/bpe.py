@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-PAIRS = 500_000
-PIECES = 300_000
-PARTS = 350_000
+PAIRS = 300_000
+PIECES = 200_000
+PARTS = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
