@@ -3,16 +3,23 @@
 A hash is cut into bands. Two hashes that differ in at most ``k`` bits agree in
 at least ``bands - k`` bands, so both carry the key of every set of that many
 bands and meet in an equi join. Equal hashes are folded into one row with a
-count first, and each hash keeps only its best match with an earlier picture:
-the result has a row per hash at most, and partial minima are taken before
-anything is shuffled. The hashes of a key that very many share (plain or dark
-pictures) are dealt over as many salts as their count asks for.
+count first. For the matches each hash keeps only its best match with an
+earlier picture: the result has a row per hash at most, and partial minima are
+taken before anything is shuffled. The hashes of a key that very many share
+(plain or dark pictures) are dealt over as many salts as their count asks for.
+
+Groups need more than best matches: two hashes without an earlier match can be
+joined by a later one. They are built from spanning links: the few hashes of a
+light key give all their links, those of any other key a spanning forest of
+them, which joins the same hashes with a link per hash at most.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +32,8 @@ def band(value: Column, n: int, bands: int, bits: int) -> Column:
     return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
 
 
-def best_matches(
-    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64, heavy: int = 10_000
-) -> DataFrame:
-    """``first_id``, ``copies``, ``match_id`` and ``distance`` of each distinct hash that resembles an earlier one.
-
-    Earlier is what has a smaller first id; the least distance wins, then the smallest id.
-    """
+def folded_and_keyed(df: DataFrame, id_col: str, hash_col: str, k: int, bands: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct hashes with first id and copies, and a row of them for every band key."""
     agree = bands - k
     if agree < 1:
         raise ValueError("bands must exceed k")
@@ -51,7 +53,17 @@ def best_matches(
         )
     )
     keys = F.array(*[F.struct(F.lit(i).alias("set"), masked(c).alias("bits")) for i, c in enumerate(combinations(range(bands), agree))])
-    keyed = folded.select("hash", "first_id", F.explode(keys).alias("key"))
+    return folded, folded.select("hash", "first_id", F.explode(keys).alias("key"))
+
+
+def best_matches(
+    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64, heavy: int = 10_000
+) -> DataFrame:
+    """``first_id``, ``copies``, ``match_id`` and ``distance`` of each distinct hash that resembles an earlier one.
+
+    Earlier is what has a smaller first id; the least distance wins, then the smallest id.
+    """
+    folded, keyed = folded_and_keyed(df, id_col, hash_col, k, bands, bits)
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = counted.select("key", F.ceil(F.col("n") / heavy).cast("int").alias("salts"))
     met = keyed.join(shared, "key")
@@ -67,6 +79,61 @@ def best_matches(
     )
 
 
+def spanning_links(
+    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64, light: int = 16, block: int = 2048
+) -> DataFrame:
+    """``first_id`` and ``match_id`` of links which join all distinct hashes that chains of pairs within ``k`` bits join.
+
+    A key with up to ``light`` hashes gives all its links; one with more a
+    spanning forest. The hashes of a key with more than twice ``block`` are
+    dealt as pairs of blocks, so that every pair of them still meets.
+    """
+    _, keyed = folded_and_keyed(df, id_col, hash_col, k, bands, bits)
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(keyed.join(counted, "key"))
+    few = met.filter(F.col("n") <= light)
+    a = few.select("key", F.col("hash").alias("hash_a"), F.col("first_id").alias("first_id"))
+    b = few.select("key", F.col("hash").alias("hash_b"), F.col("first_id").alias("match_id"))
+    near = (F.col("match_id") < F.col("first_id")) & (distance("hash_a", "hash_b") <= k)
+    pairs = a.join(b, "key").filter(near).select("first_id", "match_id")
+
+    blocks = F.when(F.col("n") > 2 * block, F.ceil(F.col("n") / block)).otherwise(1).cast("int")
+    many = met.filter(F.col("n") > light).withColumn("blocks", blocks)
+    own = many.withColumn("own", F.pmod(F.xxhash64("hash"), "blocks").cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shards = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "hash", "first_id")
+
+    def joined(rows: pa.Table) -> pa.Table:
+        later, earlier = forest(rows.column("hash").to_numpy().view(np.uint64), k)
+        ids = rows.column("first_id")
+        return pa.table({"first_id": ids.take(pa.array(later)), "match_id": ids.take(pa.array(earlier))})
+
+    kind = keyed.schema["first_id"].dataType.simpleString()
+    trees = shards.groupBy("key", "lo", "hi").applyInArrow(joined, f"first_id {kind}, match_id {kind}")
+    return pairs.unionByName(trees).distinct()
+
+
+def forest(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest's links: each point leaves the open ones when it is reached."""
+    found, reached_from = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    waiting = np.arange(len(points))
+    while len(waiting) > 1:
+        front, waiting = [waiting[:1]], waiting[1:]
+        while front and len(waiting):
+            part = front.pop()
+            if len(part) > 64:
+                front.append(part[64:])
+                part = part[:64]
+            near = np.bitwise_count(points[part][:, None] ^ points[waiting][None, :]) <= k
+            hit = near.any(axis=0)
+            if hit.any():
+                found.append(waiting[hit])
+                reached_from.append(part[near[:, hit].argmax(axis=0)])
+                front.append(waiting[hit])
+                waiting = waiting[~hit]
+    return np.concatenate(found), np.concatenate(reached_from)
+
+
 def similar_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Connected pairs as (node, group); the group is its smallest node.
 

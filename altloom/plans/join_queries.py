@@ -397,4 +397,4 @@ reach AS (SELECT x AS node, x AS seen FROM e UNION SELECT reach.node, e.y FROM r
 SELECT node, min(seen) AS "group" FROM reach GROUP BY node""",
 )
 def similar_groups(spark, sf_dir):
-    return similar.similar_groups(similar.best_matches(hashes(spark, sf_dir), "id", "ahash"), "first_id", "match_id")
+    return similar.similar_groups(similar.spanning_links(hashes(spark, sf_dir), "id", "ahash"), "first_id", "match_id")
