@@ -31,10 +31,10 @@ EPOCHS = 3
 SEED = 17
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of each document, and its place in the seeded order."""
+def sizes(docs: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the further named columns and number of words of each document."""
     return docs.select(
-        "doc_id", "source", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"),
+        "doc_id", "source", *names, F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"),
     )
 
 
@@ -72,11 +72,11 @@ def fill(sources: DataFrame, epochs: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, names: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every document."""
+    """doc_id, source, size, source_size, target, copies, taken and the further named columns for every document."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialize(sizes(docs).withColumn("order", order))
+    sized = materialize(sizes(docs, names).withColumn("order", order))
     targets = fill(source_table(sized, weights), epochs)
     plan = targets.select(
         F.col("source").alias("of"), "source_size", "target",
@@ -91,10 +91,10 @@ def mix(
     )
     starts = starts.select(F.col("of").alias("b_source"), F.col("bucket").alias("b_bucket"), "before", "source_size", "target", "whole_times", "rest")
 
-    within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", *names).rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(within))
     joined = rows.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies().alias("copies")).withColumn(
+    return joined.select("doc_id", "source", *names, "size", "source_size", "target", copies().alias("copies")).withColumn(
         "taken", F.col("copies") * F.col("size")
     )
 
@@ -111,13 +111,20 @@ def copies() -> Column:
 def repeated(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: every document as often as it is taken.
 
-    Documents are matched with their row of the mix by id; rows with one id
-    share the copies of that id's first row in the seeded order.
+    Documents are matched with their rows of the mix by id, source and digest
+    of the text, as ids may be missing or shared. Rows that agree in all three
+    share the sum of their copies as evenly as whole copies allow.
     """
-    names = docs.columns
-    of = mix(docs, **settings).groupBy(F.col("doc_id").alias("__of")).agg(F.max("copies").alias("__copies"))
-    found = docs.join(of, docs["doc_id"].eqNullSafe(F.col("__of"))).filter("__copies > 0")
-    return found.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    key = ["doc_id", "source", "__sha"]
+    named = docs.withColumn("__sha", F.unhex(F.sha2(whole("text"), 256)))
+    of = mix(named, **settings, names=("__sha",)).groupBy(F.struct(*key).alias("__of")).agg(
+        F.sum("copies").alias("__copies"), F.count("*").alias("__rows")
+    )
+    found = named.withColumn("__key", F.struct(*key)).join(of, F.col("__key") == F.col("__of")).filter("__copies > 0")
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    own = F.floor((F.col("__copies") + F.col("__rows") - F.col("__place")) / F.col("__rows")).cast("int")
+    times = found.withColumn("__place", place).withColumn("__own", own).filter("__own > 0")
+    return times.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

@@ -39,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altloom.llm.base import picked, read, slices
+from altloom.llm.base import picked, read, slices, whole
 from altloom.llm.components import components
 from altloom.session import materialize
 
@@ -71,17 +71,17 @@ def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number."""
+def fingerprints(docs: DataFrame, words: int = WORDS, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns and fp, the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 found = np.array([fingerprint(t, words) for t in rows.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(found.view(np.int64))], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kinds = "".join(f"{n} {docs.schema[n].dataType.simpleString()}, " for n in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}fp bigint")
 
 
 def metrics(radius: int, runs: int = RUNS) -> list[tuple[int, int]]:
@@ -241,24 +241,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return keyed.groupBy("tree", "shard", "lo", "hi").applyInArrow(search, "a bigint, b bigint")
 
 
+def rooted(rows: DataFrame, least: Column, radius: int) -> DataFrame:
+    """Of rows with ``fp``, each distinct fingerprint with its ``least`` and the root of its group."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
+    found = components(links(distinct, radius))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint and component_id for every row."""
     rows = materialize(fingerprints(docs, words))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    found = components(links(distinct, radius))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "component_id")
+    roots = rooted(rows, F.col("doc_id"), radius)
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = roots.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "component_id")
     return rows.join(classes, F.col("fp") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def without_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, that with the smallest id, with the columns of ``docs``."""
-    groups = near_groups(docs, words, radius)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return picked(docs, stays, ["doc_id"]).select(*docs.columns)
+    """One document of each group, that with the smallest id, with the columns of ``docs``.
+
+    Ids may be missing or shared, so a document is its id and its text's
+    digest; a missing id is larger than any other, and of texts with one id
+    the smallest digest stays.
+    """
+    named = docs.withColumn("__sha", F.unhex(F.sha2(whole("text"), 256)))
+    rows = materialize(fingerprints(named, words, ("doc_id", "__sha")))
+    least = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__sha")
+    stays = rooted(rows, least, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.__sha")
+    return picked(named, stays, ["doc_id", "__sha"]).select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
