@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from altloom.llm.base import read, whole
+from altloom.llm.license_digests import FULL_TEXTS
 
 # Spellings that count as one.
 SPELLINGS = [
@@ -79,6 +80,12 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     )
 
 
+def all_digests(spark: SparkSession) -> DataFrame:
+    """The notices of ``KNOWN`` and the full licence texts, whose digests are shipped."""
+    full = spark.createDataFrame(FULL_TEXTS, "license string, known_sha string, form_chars int")
+    return known_digests(spark).unionByName(full)
+
+
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, canon_sha256, license (of the whole text) and notices (licences of whole lines) of each document."""
     table = F.broadcast(known)
@@ -101,7 +108,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents", "doc_id", "text"), known_digests(spark))
+    return scan(read(spark, sf_dir, "documents", "doc_id", "text"), all_digests(spark))
 
 
 def canonical_sql(text: str) -> str:
