@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from altloom.llm import archive, bpe, exact, langid, licenses, mixing, quality, sharding, simhash, token_files
+from altloom.llm import archive, bpe, collocations, exact, langid, licenses, mixing, quality, sharding, simhash, token_files
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_archive": archive.op8_archive,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_shards": sharding.op10_shards,
+    "op11_collocations": collocations.op11_collocations,
 }
 CHECKS = {
     "op1_mix": mixing.OP1_SQL,
@@ -20,4 +21,5 @@ CHECKS = {
     "op4_quality_rules": quality.OP4_SQL,
     "op8_archive": archive.OP8_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }

@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_archive": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op10_shards": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_collocations": "lang rank phrase a l r n score",
 }
 
 
@@ -55,6 +56,6 @@ def test_equals_sql_on_odd_rows(spark, tables, name):
 
 def test_rows_are_whole(spark, tables, odd_rows):
     for name in sorted(QUERIES):
-        if name != "op8_archive":
+        if "doc_id" in COLUMNS[name].split() and name != "op12_search":
             ids = [r[0] for r in QUERIES[name](spark, tables).select("doc_id").collect()]
             assert sorted(map(str, ids)) == sorted(str(r[0]) for r in odd_rows), name
