@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
 
-from altloom.llm import archive, bpe, collocations, exact, langid, licenses, mixing, quality, sharding, simhash, token_files
+from altloom.llm import archive, bpe, collocations, exact, langid, licenses, mixing, pii, quality, search, sharding, simhash, token_files
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_shards": sharding.op10_shards,
     "op11_collocations": collocations.op11_collocations,
+    "op12_search": search.op12_search,
+    "op13_pii": pii.op13_pii,
 }
 CHECKS = {
     "op1_mix": mixing.OP1_SQL,
@@ -22,4 +24,5 @@ CHECKS = {
     "op8_archive": archive.OP8_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op12_search": search.OP12_SQL,
 }

@@ -64,6 +64,8 @@ def tables(spark, tmp_path_factory, odd_rows):
     pages = [(k, f"http://a/{k % 5}", f"<p>{k % 30}</p>") for k in range(60)]
     pages += [(100, None, None), (101, "http://b", ""), (102, "http://c", None), (103, "http://long", "é" * 300_000), (7, "http://a/2", "<p>7</p>"), (None, "http://n", "<p>null</p>")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("header", F.lit("clash")).withColumn("sha", F.lit(1)).write.parquet(f"{folder}/pages.parquet")
+    items = [(1, "der die das walter"), (2, odd_rows[3][1]), (3, None), (4, "!"), (5, "CAFÉ of of two"), (5, "x")]
+    spark.createDataFrame(items, "item_id bigint, text string").withColumn("rank", F.lit("clash")).write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
 
@@ -72,4 +74,5 @@ def empty(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder

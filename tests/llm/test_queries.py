@@ -17,6 +17,8 @@ COLUMNS = {
     "op9_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op10_shards": "doc_id size text_crc32 law shard slot grown_shard",
     "op11_collocations": "lang rank phrase a l r n score",
+    "op12_search": "item_id rank doc_id score",
+    "op13_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
 }
 
 
@@ -38,7 +40,7 @@ def test_empty_tables(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_equals_sql_on_odd_rows(spark, tables, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet/*.parquet'")
     if name == "op8_archive":  # SQL has no rule for a missing id
         con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tables}/pages.parquet/*.parquet' WHERE page_id IS NOT NULL")
