@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altloom.functions import rules
@@ -15,40 +15,74 @@ from altloom.session import materialize
 SLIDE = ["deck", "slide_idx"]
 
 
-def flatten(elements: DataFrame) -> DataFrame:
-    """Depth, path of ids from the top and root of every element.
+def placed(elements: DataFrame) -> DataFrame:
+    """Elements with ``shape_idx``, their place in reading order, which tells those with one id apart.
+
+    Where a scan gives no order, rows are numbered by id and parent.
+    """
+    if "shape_idx" in elements.columns:
+        return elements
+    order = Window.partitionBy(*SLIDE).orderBy("shape_id", F.col("parent_id").asc_nulls_first())
+    return elements.withColumn("shape_idx", F.row_number().over(order) - 1)
 
-    One equi join per level, each level written out; only the last level is
-    joined again, until none is left. An element has one parent, so a root
-    reaches it once and the levels end by themselves. Elements no root reaches
-    (a cycle, a lost parent) come out with a null depth.
+
+def parents(elements: DataFrame) -> DataFrame:
+    """Of every element the place of its parent, ``up``, and the number of elements on its slide.
+
+    Ids may repeat on a slide: the parent is the first other element with the
+    id in reading order. An id that no other element has gives none.
     """
-    tree = elements.select(*SLIDE, "shape_id", "parent_id")
-    level = materialize(
-        tree.filter("parent_id IS NULL").select(*SLIDE, "shape_id", F.lit(0).alias("depth"), F.array("shape_id").alias("path"))
+    nodes = elements.select(*SLIDE, "shape_idx", "shape_id", "parent_id")
+    turn = F.row_number().over(Window.partitionBy(*SLIDE, "shape_id").orderBy("shape_idx"))
+    firsts = nodes.withColumn("turn", turn).filter("turn <= 2").groupBy(*SLIDE, "shape_id").agg(
+        F.min("shape_idx").alias("__first"), F.max(F.when(F.col("turn") == 2, F.col("shape_idx"))).alias("__second")
+    )
+    sizes = nodes.groupBy(*SLIDE).agg(F.count(F.lit(1)).alias("n"))
+    met = nodes.join(firsts.withColumnRenamed("shape_id", "parent_id"), [*SLIDE, "parent_id"], "left").join(sizes, SLIDE)
+    up = F.when(F.col("__first") != F.col("shape_idx"), F.col("__first")).otherwise(F.col("__second"))
+    return met.select(*SLIDE, "shape_idx", "shape_id", "parent_id", "n", up.alias("up"))
+
+
+def flatten(elements: DataFrame) -> DataFrame:
+    """Depth, path of ids and path of places from the top of every element.
+
+    Pointer doubling: each round joins what an element knows of its nearest
+    ``reach`` ancestors with what the last of them knows of its own, so a tree
+    of depth d takes about log2 d rounds. Elements whose path has ended are
+    joined no more. A path longer than its slide has elements runs in a
+    circle: it is given up at once. Elements that no root reaches (a circle, a
+    lost parent) come out with a null depth and themselves as their path.
+    """
+    state = materialize(
+        parents(placed(elements)).select(
+            *SLIDE, "shape_idx", "shape_id", "n", "up", F.col("parent_id").isNull().alias("rooted"),
+            F.array("shape_id").alias("path"), F.array("shape_idx").alias("places"),
+        )
     )
-    reached, depth = level, 0
-    while True:
-        depth += 1
-        above = level.select(*SLIDE, F.col("shape_id").alias("parent_id"), F.col("path").alias("__above"))
-        level = materialize(
-            tree.join(above, [*SLIDE, "parent_id"]).select(
-                *SLIDE, "shape_id", F.lit(depth).alias("depth"), F.concat("__above", F.array("shape_id")).alias("path")
-            )
+    reach = 1
+    while not state.filter((F.col("up").isNotNull()) & (F.col("n") >= reach)).isEmpty():
+        open_ = F.col("up").isNotNull() & (F.col("n") >= reach)
+        known = state.select(*SLIDE, F.col("shape_idx").alias("up"), F.col("up").alias("__up"), F.col("rooted").alias("__rooted"),
+            F.col("path").alias("__path"), F.col("places").alias("__places"))
+        longer = state.filter(open_).drop("rooted").join(known, [*SLIDE, "up"]).select(
+            *SLIDE, "shape_idx", "shape_id", "n", F.col("__up").alias("up"), F.col("__rooted").alias("rooted"),
+            F.concat("__path", "path").alias("path"), F.concat("__places", "places").alias("places"),
         )
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
-    lost = tree.join(reached, [*SLIDE, "shape_id"], "left_anti").select(
-        *SLIDE, "shape_id", F.lit(None).cast("int").alias("depth"), F.array("shape_id").alias("path")
+        state = materialize(state.filter(~open_).unionByName(longer))
+        reach *= 2
+    whole = F.col("rooted") & F.col("up").isNull()
+    return state.select(
+        *SLIDE, "shape_idx", "shape_id", F.when(whole, F.size("path") - 1).alias("depth"),
+        F.when(whole, F.col("path")).otherwise(F.array("shape_id")).alias("path"),
+        F.when(whole, F.col("places")).otherwise(F.array("shape_idx")).alias("places"),
     )
-    return reached.unionByName(lost)
 
 
 def ancestors(flat: DataFrame) -> DataFrame:
-    """(element, ancestor, levels from the top) for every pair on a path."""
-    above = F.slice("path", 1, F.size("path") - 1)
-    return flat.filter("depth > 0").select(*SLIDE, "shape_id", F.posexplode(above).alias("ancestor_depth", "ancestor_id"))
+    """(element, ancestor, levels from the top) for every pair on a path; ancestors by place and by id."""
+    above = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("id"), F.slice("places", 1, F.size("places") - 1).alias("idx"))
+    pairs = flat.filter("depth > 0").select(*SLIDE, "shape_idx", "shape_id", F.posexplode(above).alias("ancestor_depth", "above"))
+    return pairs.select(*SLIDE, "shape_idx", "shape_id", "ancestor_depth", F.col("above.id").alias("ancestor_id"), F.col("above.idx").alias("ancestor_idx"))
 
 
 def is_image_like(elements: DataFrame, flat: DataFrame) -> DataFrame:
@@ -56,13 +90,13 @@ def is_image_like(elements: DataFrame, flat: DataFrame) -> DataFrame:
     own = ~is_empty_placeholder("shape_type", "text") & (
         (F.col("shape_type") == "PICTURE") | (F.col("fill_kind") == "picture")
     )
-    marked = elements.select(*SLIDE, "shape_id", own.alias("own"))
+    marked = placed(elements).select(*SLIDE, "shape_idx", "shape_id", own.alias("own"))
     holding = (
-        ancestors(flat).join(marked.filter("own"), [*SLIDE, "shape_id"])
-        .select(*SLIDE, F.col("ancestor_id").alias("shape_id")).distinct().withColumn("holds", F.lit(True))
+        ancestors(flat).join(marked.filter("own").select(*SLIDE, "shape_idx"), [*SLIDE, "shape_idx"])
+        .select(*SLIDE, F.col("ancestor_idx").alias("shape_idx")).distinct().withColumn("holds", F.lit(True))
     )
-    return marked.join(holding, [*SLIDE, "shape_id"], "left").select(
-        *SLIDE, "shape_id", (F.col("own") | F.coalesce("holds", F.lit(False))).alias("image_like")
+    return marked.join(holding, [*SLIDE, "shape_idx"], "left").select(
+        *SLIDE, "shape_idx", "shape_id", (F.col("own") | F.coalesce("holds", F.lit(False))).alias("image_like")
     )
 
 
@@ -238,16 +272,16 @@ def suppress_children(decisions: DataFrame, flat: DataFrame, policy: str = "pres
     """Everything under an included group becomes redundant to it.
 
     The topmost included group is the parent named. In preserve mode a child
-    text by a human adds a conflict row.
+    text by a human adds a conflict row. Elements are told apart by their place.
     """
-    included = decisions.filter("selector_decision = 'include_group'").select(*SLIDE, F.col("shape_id").alias("ancestor_id"))
+    included = decisions.filter("selector_decision = 'include_group'").select(*SLIDE, F.col("shape_idx").alias("ancestor_idx"))
     owner = (
-        ancestors(flat).join(included, [*SLIDE, "ancestor_id"])
-        .groupBy(*SLIDE, "shape_id").agg(F.min_by("ancestor_id", "ancestor_depth").alias("parent_group_id"))
+        ancestors(flat).join(included, [*SLIDE, "ancestor_idx"])
+        .groupBy(*SLIDE, "shape_idx").agg(F.min_by("ancestor_id", "ancestor_depth").alias("parent_group_id"))
     )
-    joined = decisions.join(owner, [*SLIDE, "shape_id"], "left")
+    joined = decisions.join(owner, [*SLIDE, "shape_idx"], "left")
     inside = F.col("parent_group_id").isNotNull()
-    columns = [*SLIDE, "shape_id", "parent_group_id"]
+    columns = [*SLIDE, "shape_idx", "shape_id", "parent_group_id"]
     settled = joined.select(
         *columns,
         F.when(inside, "exclude_redundant").otherwise(F.col("selector_decision")).alias("selector_decision"),

@@ -266,25 +266,26 @@ def rules_union(spark, sf_dir):
 
 # --- group trees -------------------------------------------------------------------
 
-FLAT_SQL = f"""{ELEMENTS}, flat AS (SELECT uid, deck, slide_idx, shape_id, 0 AS depth, [shape_id] AS path, [uid] AS upath FROM elements WHERE parent_id IS NULL
-  UNION ALL SELECT e.uid, e.deck, e.slide_idx, e.shape_id, f.depth + 1, list_append(f.path, e.shape_id), list_append(f.upath, e.uid) FROM elements e JOIN flat f ON e.parent_id = f.shape_id AND e.deck = f.deck AND e.slide_idx = f.slide_idx)"""
+FLAT_SQL = f"""{views.TANGLED_SQL}, found AS (SELECT uid, 0 AS depth, [shape_id] AS path, [uid] AS upath FROM parented WHERE parent_id IS NULL
+  UNION ALL SELECT e.uid, f.depth + 1, list_append(f.path, e.shape_id), list_append(f.upath, e.uid) FROM parented e JOIN found f ON e.up = f.uid),
+flat AS (SELECT p.uid, deck, slide_idx, shape_idx, shape_id, depth, coalesce(path, [shape_id]) AS path, coalesce(upath, [p.uid]) AS upath FROM parented p LEFT JOIN found ON found.uid = p.uid)"""
 
 
-@query("flatten_i01", f"WITH RECURSIVE {FLAT_SQL} SELECT deck, shape_id, depth, array_to_string(path, '/') AS path FROM flat")
+@query("flatten_i01", f"WITH RECURSIVE {FLAT_SQL} SELECT deck, slide_idx, shape_idx, shape_id, depth, array_to_string(path, '/') AS path FROM flat")
 def flatten(spark, sf_dir):
-    flat = groups.flatten(views.elements(spark, sf_dir))
-    return flat.select("deck", "shape_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    flat = groups.flatten(views.tangled(spark, sf_dir))
+    return flat.select("deck", "slide_idx", "shape_idx", "shape_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 @query(
     "is_image_like_c02",
-    f"""WITH RECURSIVE {FLAT_SQL}, own AS (SELECT deck, uid, shape_id, NOT (shape_type IN ('TEXT_BOX', 'PLACEHOLDER') AND (trim(text) = '' OR {q.contains_any('lower(text)', fixed.EMPTY_PROMPTS)}))
-   AND (shape_type = 'PICTURE' OR fill_kind = 'picture') AS own FROM elements)
-SELECT o.deck, o.shape_id, own OR EXISTS (SELECT 1 FROM flat f JOIN own c ON c.uid = f.uid WHERE c.own AND f.uid <> o.uid AND list_contains(f.upath, o.uid)) AS image_like FROM own o""",
+    f"""WITH RECURSIVE {FLAT_SQL}, own AS (SELECT deck, slide_idx, shape_idx, uid, shape_id, NOT (shape_type IN ('TEXT_BOX', 'PLACEHOLDER') AND (trim(text) = '' OR {q.contains_any('lower(text)', fixed.EMPTY_PROMPTS)}))
+   AND (shape_type = 'PICTURE' OR fill_kind = 'picture') AS own FROM tangled)
+SELECT o.deck, o.slide_idx, o.shape_idx, o.shape_id, own OR EXISTS (SELECT 1 FROM flat f JOIN own c ON c.uid = f.uid WHERE c.own AND f.uid <> o.uid AND list_contains(f.upath, o.uid)) AS image_like FROM own o""",
 )
 def is_image_like(spark, sf_dir):
-    e = views.elements(spark, sf_dir)
-    return groups.is_image_like(e, groups.flatten(e)).select("deck", "shape_id", "image_like")
+    e = views.tangled(spark, sf_dir)
+    return groups.is_image_like(e, groups.flatten(e)).select("deck", "slide_idx", "shape_idx", "shape_id", "image_like")
 
 
 COUNTS_SQL = f"""{ELEMENTS}, ch AS (SELECT c.parent_uid, c.shape_id, CASE c.shape_type WHEN 'PICTURE' THEN 'image' WHEN 'AUTO_SHAPE' THEN 'shape' WHEN 'CHART' THEN 'chart' END AS kind, trim(c.text) AS t, c.shape_type, c.width
@@ -337,19 +338,21 @@ def group_decorative(spark, sf_dir):
 
 @query(
     "suppress_children_i05",
-    f"""WITH RECURSIVE {SELECTED_SQL}, flat AS (SELECT uid, [uid] AS path FROM elements WHERE parent_id IS NULL
-  UNION ALL SELECT e.uid, list_append(f.path, e.uid) FROM elements e JOIN flat f ON e.parent_uid = f.uid),
-oo AS (SELECT s.deck, s.shape_id, s.selector_decision, s.reason_code, s.existing_alt, list_filter(f.path, lambda p: p <> s.uid AND list_contains(g.ids, p))[1] AS top
+    f"""WITH RECURSIVE {SELECTED_SQL}, {FLAT_SQL.removeprefix(ELEMENTS + ", ")},
+oo AS (SELECT s.deck, s.slide_idx, s.shape_idx, s.shape_id, s.selector_decision, s.reason_code, s.existing_alt, list_filter(f.upath, lambda p: p <> s.uid AND list_contains(g.ids, p))[1] AS top
    FROM selected s JOIN flat f USING (uid) CROSS JOIN (SELECT list(uid) AS ids FROM selected WHERE selector_decision = 'include_group') g),
-o AS (SELECT oo.*, e.shape_id AS owner FROM oo LEFT JOIN elements e ON e.uid = oo.top)
-SELECT deck, shape_id, owner AS parent_group_id, CASE WHEN owner IS NOT NULL THEN 'exclude_redundant' ELSE selector_decision END AS selector_decision,
+o AS (SELECT oo.*, e.shape_id AS owner FROM oo LEFT JOIN tangled e ON e.uid = oo.top)
+SELECT deck, slide_idx, shape_idx, shape_id, owner AS parent_group_id, CASE WHEN owner IS NOT NULL THEN 'exclude_redundant' ELSE selector_decision END AS selector_decision,
   CASE WHEN owner IS NOT NULL THEN 'group_suppression' ELSE reason_code END AS reason_code FROM o
-UNION ALL SELECT deck, shape_id, owner, 'preserve_conflict', 'preserve_conflict' FROM o WHERE owner IS NOT NULL AND length(existing_alt) > 20""",
+UNION ALL SELECT deck, slide_idx, shape_idx, shape_id, owner, 'preserve_conflict', 'preserve_conflict' FROM o WHERE owner IS NOT NULL AND length(existing_alt) > 20""",
 )
 def suppress_children(spark, sf_dir):
+    """Suppression over trees with repeated ids and circles; decisions keep the element's own id."""
     decisions = selected(spark, sf_dir).withColumn("human_alt", F.length("existing_alt") > 20)
-    flat = groups.flatten(views.elements(spark, sf_dir))
-    return groups.suppress_children(decisions, flat).select("deck", "shape_id", "parent_group_id", "selector_decision", "reason_code")
+    flat = groups.flatten(views.tangled(spark, sf_dir))
+    return groups.suppress_children(decisions, flat).select(
+        "deck", "slide_idx", "shape_idx", "shape_id", "parent_group_id", "selector_decision", "reason_code"
+    )
 
 
 # --- selector ------------------------------------------------------------------------

@@ -91,6 +91,29 @@ ELEMENTS_SQL = """elements AS (
     FROM documents))"""
 
 
+def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements as damaged files give them: repeated ids, groups inside themselves, circles, lost parents."""
+    e = elements(spark, sf_dir)
+    slide, at = F.floor(F.col("uid") / 12), F.col("shape_idx")
+    return e.withColumns({
+        "shape_id": F.when((slide % 3 == 0) & at.isin(3, 6, 9), F.col("shape_id") - 1).otherwise(F.col("shape_id")),
+        "parent_id": F.when((slide % 5 == 1) & (at == 2), F.col("shape_id"))
+        .when((slide % 7 == 2) & (at == 1), F.lit(7))
+        .when((slide % 4 == 3) & (at == 9), F.lit(99))
+        .when((slide % 6 == 0) & (at == 3), F.lit(4)).otherwise(F.col("parent_id")),
+    })
+
+
+TANGLED_SQL = f"""{ELEMENTS_SQL}, tangled AS (SELECT * REPLACE (
+    CASE WHEN (uid // 12) % 3 = 0 AND shape_idx IN (3, 6, 9) THEN shape_id - 1 ELSE shape_id END AS shape_id,
+    CASE WHEN (uid // 12) % 5 = 1 AND shape_idx = 2 THEN shape_id WHEN (uid // 12) % 7 = 2 AND shape_idx = 1 THEN 7
+      WHEN (uid // 12) % 4 = 3 AND shape_idx = 9 THEN 99 WHEN (uid // 12) % 6 = 0 AND shape_idx = 3 THEN 4 ELSE parent_id END AS parent_id)
+  FROM elements),
+parented AS (SELECT c.uid, any_value(c.deck) AS deck, any_value(c.slide_idx) AS slide_idx, any_value(c.shape_idx) AS shape_idx, any_value(c.shape_id) AS shape_id,
+    any_value(c.parent_id) AS parent_id, arg_min(o.uid, o.shape_idx) AS up
+  FROM tangled c LEFT JOIN tangled o ON o.deck = c.deck AND o.slide_idx = c.slide_idx AND o.shape_id = c.parent_id AND o.uid <> c.uid GROUP BY c.uid)"""
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per provider call."""
     return attempts_of(table(spark, sf_dir, "events"))
