@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator
         start = end
 
 
+def strings(values: pa.Array) -> list[str]:
+    """The strings of an array without nulls; many times faster than value by value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def ragged_index(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every piece, one piece after the other."""
     ends = np.cumsum(sizes)
@@ -92,9 +97,10 @@ class Known:
         """The slot of each key; what is not known yet is worked out together."""
         if len(self.slot_of) > self.most:
             self.forget()
-        new = [k for k in keys if k not in self.slot_of]
-        if new:
-            new = list(dict.fromkeys(new))
+        found = np.fromiter(map(self.slot_of.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([keys[k] for k in missing]))
             pieces = work_out(new)
             sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
             first, need = len(self.slot_of), int(sizes.sum())
@@ -108,7 +114,8 @@ class Known:
             self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.used += need
             self.slot_of.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter((self.slot_of[k] for k in keys), np.int64, len(keys))
+            found[missing] = [self.slot_of[keys[k]] for k in missing]
+        return found
 
     def gather(self, slots: np.ndarray) -> np.ndarray:
         return self.flat[ragged_index(self.starts[slots], self.sizes[slots])]

@@ -5,15 +5,20 @@ shards, each shard is mined completely at a support lowered in proportion to
 its share of the bytes of a language, the phrases that are frequent in any
 shard are united, and all of those are counted exactly over all texts. Shares
 add up to one, so a phrase that reaches the support over all texts reaches the
-lowered one in a shard at least, and none is missed.
+lowered one in a shard at least, and none is missed. With the phrase goes what
+its count exceeds the most that a shard leaves unsaid: where these excesses do
+not add up to what the support needs beyond all shards' unsaid counts, the
+phrase cannot reach the support and is not counted again.
 
-A shard is a run of rows of at most ``SHARD_BYTES`` of text within a task, so
-that its memory is bounded; small partitions are joined, so that shards are
-few and the lowered support stays high. The support is an absolute number:
-with ever more shards it falls to one, and then every phrase is counted.
+A shard is a run of rows within a task: a twelfth of all text (``SHARDS``), but
+at most ``SHARD_BYTES``, which bounds its memory. Small partitions are joined,
+so that shards are few and the lowered support stays high. The support is an
+absolute number: from about 100 shards on it falls to one, and then every
+phrase is counted.
 
 Within a shard phrases grow by a word at a time, and only where both the
-phrase without its last word and that without its first one have stayed. The
+phrase without its last word and that without its first one have stayed. They
+are sorted in parts (``SORTED`` places each) that hold all of a phrase. The
 united phrases go back to the shards as a table of bits under their hashes,
 ``MOST_BITS`` at most: a wrong bit makes a shard count a phrase in vain, it
 loses none, as what counts in the end is the exact sum by the phrase's words.
@@ -25,7 +30,6 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from altloom.llm.base import read, slices, whole
+from altloom.llm.base import read, slices, strings, whole
 from altloom.llm.cuts import cut, table
 from altloom.session import materialize
 
@@ -45,7 +49,8 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 SHARD_BYTES = 64 << 20
-SHARDS = 24
+SHARDS = 12
+SORTED = 1 << 20
 MOST_BITS = 1 << 27
 FEW = 10_000
 KINDS = table(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -76,59 +81,97 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     """The shards of a task. Batches hold lang, text and lang_bytes."""
     parts, held = [], 0
     for batch in batches:
-        for rows in slices(batch, "text", min(most, 16 << 20)):
+        for rows in slices(batch, "text", min(most, 4 << 20)):
             size = pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0
             if parts and held + size > most:
                 yield gathered(parts)
-                parts, held = [], 0
+                held = 0
             found = cut(rows.column("text"), KINDS)
-            parts.append((found, rows.column("lang"), rows.column("lang_bytes"), pc.binary_length(rows.column("text"))))
+            # New arrays, so that no part of the batch itself is kept.
+            lang, total = pa.array(rows.column("lang").to_pylist(), pa.string()), rows.column("lang_bytes").to_numpy().copy()
+            parts.append((found.words.dictionary_encode(), found.rows, found.opens, lang, total, pc.binary_length(rows.column("text")).to_numpy()))
+            del found
             held += size
     if parts:
         yield gathered(parts)
 
 
 def gathered(parts: list[tuple]) -> Shard:
-    coded = pa.chunked_array([p[1] for p in parts]).combine_chunks().dictionary_encode()
-    language = coded.indices.to_numpy().astype(np.int64)
-    lengths = pa.chunked_array([p[3] for p in parts]).fill_null(0).to_numpy()
-    known = pa.chunked_array([p[2] for p in parts]).to_numpy()
-    names = coded.dictionary.to_pylist()
-    totals = np.zeros(len(names), np.int64)
-    totals[language] = known
-    counts = [len(p[1]) for p in parts]
-    firsts = np.cumsum(counts) - counts
-    rows = np.concatenate([p[0].rows.astype(np.int64) + first for p, first in zip(parts, firsts, strict=True)])
-    words = pa.chunked_array([p[0].words for p in parts], pa.string()).combine_chunks().dictionary_encode()
-    own = np.bincount(language, lengths, len(names)).astype(np.int64)
-    opens = np.concatenate([p[0].opens for p in parts])
-    return Shard(names, language[rows], own, totals, words.dictionary, words.indices.to_numpy().astype(np.int64), opens)
+    """A shard of what has been cut; ``parts`` is emptied, so that nothing is held twice."""
+    words, rows, opens, names, totals, lengths = (list(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    coded = pa.chunked_array(names).combine_chunks().dictionary_encode()
+    language = coded.indices.to_numpy().astype(np.uint8 if len(coded.dictionary) < 256 else np.int32)
+    known = np.zeros(len(coded.dictionary), np.int64)
+    known[language] = np.concatenate(totals)
+    own = np.bincount(language, np.concatenate(lengths), len(known)).astype(np.int64)
+    of_word, first = [], 0
+    for part, n in zip(rows, map(len, names), strict=True):
+        of_word.append(language[part + first])
+        first += n
+    found = pa.chunked_array(words).unify_dictionaries()
+    del words
+    codes = np.concatenate([chunk.indices.to_numpy() for chunk in found.chunks])
+    distinct = found.chunk(0).dictionary
+    del found
+    pa.default_memory_pool().release_unused()
+    return Shard(coded.dictionary.to_pylist(), np.concatenate(of_word), own, known, distinct, codes, np.concatenate(opens))
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each key its number among the distinct ones; of these, where each occurs and how often."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    first = np.ones(len(keys), bool)
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=first[1:])
+    del sorted_keys
+    begin = np.flatnonzero(first)
+    index = np.empty(len(keys), np.int32)
+    index[order] = np.cumsum(first, dtype=np.int32) - 1
+    return index, order[begin], np.diff(np.append(begin, len(keys)))
 
 
 def mined(shard: Shard, longest: int, stays) -> Iterator[Level]:
-    """Levels of phrases. ``stays(language, counts, hashes)`` says which phrases of a level are kept."""
-    n = len(shard.codes)
-    seeds = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 11) for w in shard.words.to_pylist()), np.uint64, len(shard.words))
-    of_language = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 13) for x in shard.languages), np.uint64, len(shard.languages))
-    key, place = shard.language * len(shard.words) + shard.codes, np.arange(n)
-    now = np.full(n, -1, np.int64)
+    """The phrases that are kept, length after length. ``stays(language, counts, hashes)`` says which ones are."""
+    n, seeds, of_language = len(shard.codes), hashed(shard.words, 11), hashed(shard.languages, 13)
+    now, given = shard.codes, len(shard.words)
     for size in range(1, longest + 1):
-        if not len(place):
+        if size == 1:
+            left, right, begins = shard.language, shard.codes, np.ones(n, bool)
+        else:
+            # A longer phrase begins where one stays and the next word of the piece begins another.
+            left, right = now[:-1], now[1:]
+            begins = (left >= 0) & (right >= 0) & ~shard.opens[1:]
+        parts = -(-int(begins.sum()) // SORTED)
+        turn = dealt(left, right, parts)
+        after, width, given = np.full(n, -1, np.int32), given + 1, 0
+        for part in range(parts):
+            place = np.flatnonzero(begins & (turn == part) if parts > 1 else begins).astype(np.int32)
+            if not len(place):
+                continue
+            index, at, counts = grouped(left[place].astype(np.int64) * width + right[place])
+            at = place[at]
+            hashes = of_language[shard.language[at]]
+            for k in range(size):
+                hashes = mixed(hashes, seeds[shard.codes[at + k]])
+            kept = stays(shard.language[at], counts, hashes)
+            after[place] = np.where(kept, given + np.cumsum(kept) - 1, -1).astype(np.int32)[index]
+            given += int(kept.sum())
+            yield Level(size, at[kept], counts[kept], hashes[kept])
+        if not given:
             return
-        _, at, index, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        at = place[at]
-        hashes = of_language[shard.language[at]]
-        for k in range(size):
-            hashes = mixed(hashes, seeds[shard.codes[at + k]])
-        kept = stays(shard.language[at], counts, hashes)
-        number = np.where(kept, np.cumsum(kept) - 1, -1)
-        now[:] = -1
-        now[place] = number[index]
-        yield Level(size, at[kept], counts[kept], hashes[kept])
-        # A longer phrase begins where one stays and the next word of the piece begins another.
-        begins = (now[:-1] >= 0) & (now[1:] >= 0) & ~shard.opens[1:]
-        place = np.flatnonzero(begins)
-        key = now[place] * (int(kept.sum()) + 1) + now[place + 1]
+        now = after
+
+
+def dealt(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair, the same for equal pairs."""
+    if parts < 2:
+        return np.zeros(0, np.uint8)
+    out = np.empty(len(left), np.uint8 if parts < 256 else np.uint32)
+    for k in range(0, len(left), SORTED):
+        mix = left[k : k + SORTED].astype(np.uint32) * np.uint32(0x9E3779B1) + right[k : k + SORTED].astype(np.uint32)
+        out[k : k + SORTED] = ((mix * np.uint32(0x85EBCA6B)) >> np.uint32(12)) % np.uint32(parts)
+    return out
 
 
 def mixed(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -137,14 +180,18 @@ def mixed(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(29))
 
 
-def prepared(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """lang, text and lang_bytes, the bytes of all texts of the language, in few partitions."""
+def prepared(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """lang, text and lang_bytes, the bytes of all texts of the language, in few partitions, and the size of a shard."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), whole("text").alias("text"))
-    totals = materialize(own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("lang_bytes")))
-    total, languages = totals.agg(F.sum("lang_bytes"), F.count("*")).first()
+    sizes = own.select("lang", F.octet_length("text").alias("size"), F.spark_partition_id().alias("partition"))
+    totals = materialize(sizes.groupBy("lang").agg(F.sum("size").alias("lang_bytes"), F.max("partition").alias("last")))
+    total, last, languages = totals.agg(F.sum("lang_bytes"), F.max("last"), F.count("*")).first()
     per_lang = totals.select(F.col("lang").alias("of"), "lang_bytes")
-    joined = own.join(per_row(per_lang, languages), F.col("lang") == F.col("of"))
-    return joined.select("lang", "text", "lang_bytes").coalesce(max(SHARDS, math.ceil((total or 0) / shard_bytes)))
+    joined = own.join(per_row(per_lang, languages), F.col("lang") == F.col("of")).select("lang", "text", "lang_bytes")
+    total, partitions = max(total or 0, 1), (last or 0) + 1
+    shard_bytes = min(shard_bytes, max(total // SHARDS, 1 << 20))
+    # As many partitions to a task as make a shard.
+    return joined.coalesce(-(-partitions // max(1, shard_bytes * partitions // total))), shard_bytes
 
 
 def per_row(table: DataFrame, rows: int) -> DataFrame:
@@ -153,16 +200,35 @@ def per_row(table: DataFrame, rows: int) -> DataFrame:
 
 
 def united(texts: DataFrame, support: int, longest: int, shard_bytes: int) -> DataFrame:
-    """Hashes of the phrases that are frequent in a shard, at its lowered support."""
+    """Hashes of the phrases that are frequent in a shard, at its lowered support, and may be so over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["language", "hash", "over"]
         for shard in shards(batches, shard_bytes):
             # The least whole count that is not below the share of the support, in whole numbers.
-            least = np.maximum(1, [-(-support * int(own) // max(int(total), 1)) for own, total in zip(shard.bytes_of, shard.totals, strict=True)])
+            own = zip(shard.bytes_of, shard.totals, strict=True)
+            least = np.array([max(1, -(-support * int(some) // max(int(total), 1))) for some, total in own], np.int64)
+            languages = hashed(shard.languages, 13).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(languages), pa.nulls(len(least), pa.int64()), pa.array(least - 1)], names)
             for level in mined(shard, longest, lambda language, counts, _, least=least: counts >= least[language]):
-                yield pa.RecordBatch.from_arrays([pa.array(level.hashes.view(np.int64))], ["hash"])
-
-    return texts.mapInArrow(run, "hash bigint").distinct()
+                of = shard.language[level.at]
+                over = level.counts - (least[of] - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(languages[of]), pa.array(level.hashes.view(np.int64)), pa.array(over)], names)
+
+    parts = texts.mapInArrow(run, "language bigint, hash bigint, over bigint")
+    sums = materialize(parts.groupBy("language", "hash").agg(F.sum("over").alias("over")))
+    unsaid = sums.filter("hash IS NULL").select(F.col("language").alias("of"), F.col("over").alias("unsaid"))
+    met = sums.filter("hash IS NOT NULL").join(per_row(unsaid, unsaid.count()), F.col("language") == F.col("of"))
+    return met.filter(F.col("over") + F.col("unsaid") >= support).select("hash")
+
+
+def hashed(words: pa.Array | list[str], seed: int) -> np.ndarray:
+    out, digest = np.empty(len(words), np.uint64), xxhash.xxh64_intdigest
+    for k in range(0, len(words), 1 << 16):
+        part = words[k : k + (1 << 16)]
+        texts = part if isinstance(part, list) else strings(part)
+        out[k : k + len(texts)] = np.fromiter((digest(w.encode("utf-8", "surrogatepass"), seed) for w in texts), np.uint64, len(texts))
+    return out
 
 
 def bits(hashes: DataFrame) -> np.ndarray:
@@ -213,7 +279,7 @@ def counted(texts: DataFrame, asked: np.ndarray, support: int, longest: int, sha
 
 def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, phrase, size and f of every phrase of at most ``longest`` words that occurs ``support`` times or more."""
-    texts = prepared(docs, shard_bytes)
+    texts, shard_bytes = prepared(docs, shard_bytes)
     asked = bits(materialize(united(texts, support, longest, shard_bytes)))
     return materialize(counted(texts, asked, support, longest, shard_bytes))
 

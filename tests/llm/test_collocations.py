@@ -50,7 +50,9 @@ def texts(seed=3, n=300):
 
 
 @pytest.mark.parametrize("shard_bytes, support, top", [(1 << 26, 20, 2000), (600, 20, 7), (2000, 5, 50)])
-def test_equals_plain_counting(spark, shard_bytes, support, top):
+@pytest.mark.parametrize("part", [1 << 20, 300])
+def test_equals_plain_counting(spark, monkeypatch, part, shard_bytes, support, top):
+    monkeypatch.setattr(collocations, "SORTED", part)
     rows = texts()
     docs = spark.createDataFrame(rows, "text string, lang string").withColumns({c: F.lit(1) for c in ("phrase", "f", "size", "hash", "k")})
     found = collocations.top_phrases(docs.repartition(5), support=support, top=top, shard_bytes=shard_bytes)
