@@ -18,8 +18,11 @@ SLIDE = ["deck", "slide_idx"]
 def placed(elements: DataFrame) -> DataFrame:
     """Elements with ``shape_idx``, their place in reading order, which tells those with one id apart.
 
-    Where a scan gives no order, rows are numbered by id and parent.
+    A scan of packages gives it as ``z_order``, its ``shape_idx`` counts within
+    a group only. Where there is no order, rows are numbered by id and parent.
     """
+    if "z_order" in elements.columns:
+        return elements.withColumn("shape_idx", F.col("z_order"))
     if "shape_idx" in elements.columns:
         return elements
     order = Window.partitionBy(*SLIDE).orderBy("shape_id", F.col("parent_id").asc_nulls_first())
@@ -274,12 +277,12 @@ def suppress_children(decisions: DataFrame, flat: DataFrame, policy: str = "pres
     The topmost included group is the parent named. In preserve mode a child
     text by a human adds a conflict row. Elements are told apart by their place.
     """
-    included = decisions.filter("selector_decision = 'include_group'").select(*SLIDE, F.col("shape_idx").alias("ancestor_idx"))
+    included = placed(decisions).filter("selector_decision = 'include_group'").select(*SLIDE, F.col("shape_idx").alias("ancestor_idx"))
     owner = (
         ancestors(flat).join(included, [*SLIDE, "ancestor_idx"])
         .groupBy(*SLIDE, "shape_idx").agg(F.min_by("ancestor_id", "ancestor_depth").alias("parent_group_id"))
     )
-    joined = decisions.join(owner, [*SLIDE, "shape_idx"], "left")
+    joined = placed(decisions).join(owner, [*SLIDE, "shape_idx"], "left")
     inside = F.col("parent_group_id").isNotNull()
     columns = [*SLIDE, "shape_idx", "shape_id", "parent_group_id"]
     settled = joined.select(

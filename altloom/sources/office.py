@@ -1,11 +1,17 @@
 """Scans of slide decks and word documents.
 
-Files are opened in tasks, spread by file, into one row per package part;
-pictures are hashed there and their bytes dropped. The XML parts are spread
-again and read into narrow rows (shapes, drawings, relations, slide order,
-notes), which are written out once. Everything else, from picture hashes to keys
-and kinds, is joins and column expressions over those rows. A file that cannot
-be opened becomes a row in the error table, never a failed job.
+A package is opened where the scan has read it and gives narrow rows at once:
+shapes, drawings and linked pictures with what the package's own relations say
+of them (slide number, notes, picture hashes). Pictures are hashed there and
+their bytes dropped; no part of a package is ever shuffled, and no join is
+needed to put one together. Keys, kinds and texts are column expressions over
+those rows. The same reader serves batch scans and file streams.
+
+What cannot be read becomes a row in the error table, never a failed job: a
+file that is no package, a damaged member, XML that does not parse, a number
+that is none. Reading goes on after each: a bad number counts as 0. A shape
+without an id gets a negative one from its place on the slide, so that no two
+of them share an owner.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -22,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from altloom.functions import rules
+from altloom.functions.base import SPACE_CHARS
 from altloom.functions.geometry import emu_to_pt, emu_to_px
 from altloom.functions.keys import digest, instance_key
 from altloom.functions.review import existing_alt, lookup
-from altloom.operators.aggregates import slide_text as joined_text
 from altloom.session import materialize
 
 DECK_TYPES = ("pptx", "ppt")
@@ -33,14 +40,21 @@ PART = "deck string, part string, content binary, media_key string, image_hash s
 DECK_PARTS = r"ppt/(presentation\.xml|_rels/presentation\.xml\.rels|slides/[^/]+\.xml|slides/_rels/[^/]+\.rels|charts/_rels/[^/]+\.rels|notesSlides/[^/]+\.xml|media/[^/]+)"
 DOCUMENT_PARTS = r"word/((document|header\d*|footer\d*)\.xml|_rels/(document|header\d*|footer\d*)\.xml\.rels|media/[^/]+)"
 
-# One narrow row per fact read from a part; ``kind`` tells which fields it fills.
+# One narrow row per shape, drawing, linked picture or error; ``kind`` tells which fields it fills.
 FACT = (
-    "kind string, deck string, part string, seq int, shape_idx int, shape_id bigint, parent_id bigint, depth int, tag string, "
-    "shape_name string, descr string, title string, marked_decorative boolean, x bigint, y bigint, cx bigint, cy bigint, "
-    "text string, fill_kind string, has_line boolean, text_box boolean, placeholder boolean, linked boolean, uri string, "
-    "rel_id string, target string, media_key string, image_hash string, error string"
+    "kind string, deck string, part string, seq int, slide_idx int, shape_idx int, shape_id bigint, parent_id bigint, parent_seq int, depth int, "
+    "tag string, shape_name string, descr string, title string, marked_decorative boolean, x bigint, y bigint, cx bigint, cy bigint, "
+    "text string, fill_kind string, has_line boolean, text_box boolean, placeholder boolean, linked boolean, uri string, rel_id string, "
+    "chart string, file_name string, media_key string, image_hash string, slide_text string, slide_notes string, "
+    "child_descr array<string>, child_title array<string>, error string"
 )
-ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+ARROW = {
+    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<string>": pa.list_(pa.string()),
+}
+
+IMAGE = re.compile(r"(?i)\.(png|jpe?g|gif|bmp|tiff?|svg|wmf|emf)$")
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError, OverflowError)
 
 MOST_BYTES = 1 << 30
 SHAPE_TAGS = ("sp", "pic", "cxnSp", "graphicFrame", "grpSp")
@@ -85,79 +99,172 @@ def paragraphs(node: ElementTree.Element) -> str:
     return "\n".join(lines)
 
 
+def members(content: bytes | None, wanted: re.Pattern) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """(part, data, error) of the wanted members of a package; a bad one does not end the others."""
+    if content is None:
+        yield None, None, "FileTooLarge: not read"
+        return
+    try:
+        package = zipfile.ZipFile(io.BytesIO(content))
+    except UNREADABLE as problem:
+        yield None, None, told(problem)
+        return
+    with package:
+        for part in dict.fromkeys(filter(wanted.fullmatch, package.namelist())):
+            try:
+                yield part, package.read(part), None
+            except UNREADABLE as problem:
+                yield part, None, told(problem)
+
+
+def told(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"
+
+
+def hashes(data: bytes) -> dict:
+    return {"media_key": hashlib.sha256(data).hexdigest(), "image_hash": hashlib.md5(data).hexdigest()}
+
+
+def per_package(files: DataFrame, rows_of, ddl: str) -> DataFrame:
+    """``rows_of(path, content)`` for every package, one package at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(ddl)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_pylist(rows_of(row["path"], row["content"]), schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
 def package_parts(files: DataFrame, wanted: str) -> DataFrame:
     """The wanted parts of every package; of media only the hashes."""
     pattern = re.compile(wanted)
 
-    def opened(path: str, content: bytes) -> list[dict]:
+    def opened(path: str, content: bytes | None) -> list[dict]:
         rows = []
-        if content is None:
-            return [{"deck": path, "error": "FileTooLarge: not read"}]
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as package:
-                for part in filter(pattern.fullmatch, package.namelist()):
-                    data = package.read(part)
-                    row = {"deck": path, "part": part}
-                    if "/media/" in part:
-                        row |= {"media_key": hashlib.sha256(data).hexdigest(), "image_hash": hashlib.md5(data).hexdigest()}
-                    else:
-                        row["content"] = data
-                    rows.append(row)
-        except (zipfile.BadZipFile, OSError, RuntimeError) as problem:
-            rows = [{"deck": path, "error": f"{type(problem).__name__}: {problem}"}]
+        for part, data, error in members(content, pattern):
+            row = {"deck": path, "part": part, "error": error}
+            if data is not None:
+                row |= hashes(data) if "/media/" in part else {"content": data}
+            rows.append(row)
         return rows
 
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(PART)
-        for batch in batches:
-            for k in range(batch.num_rows):  # one package at a time is held
-                row = batch.slice(k, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_pylist(opened(row["path"], row["content"]), schema=schema)
-
-    return files.select("path", "content").mapInArrow(unzip, PART)
+    return per_package(files, opened, PART)
 
 
-def facts(parts: DataFrame) -> DataFrame:
-    """Every part read once, by what it is; the narrow rows are written out."""
+def package_facts(files: DataFrame, wanted: str) -> DataFrame:
+    """Shapes, drawings, linked pictures and errors of every package. ``files`` may be a stream."""
+    pattern = re.compile(wanted)
 
-    def told(row: dict) -> list[dict]:
-        base = {"deck": row["deck"], "part": row["part"]}
-        if row["error"] is not None:
-            return [base | {"kind": "error", "error": row["error"]}]
-        if row["media_key"] is not None:
-            return [base | {"kind": "media", "media_key": row["media_key"], "image_hash": row["image_hash"]}]
+    def opened(path: str, content: bytes | None) -> list[dict]:
+        found = Package()
+        for part, data, error in members(content, pattern):
+            if error is not None:
+                found.errors.append({"part": part, "error": error})
+            elif "/media/" in part:
+                found.media[part] = hashes(data)
+            else:
+                try:
+                    found.take(part, ElementTree.fromstring(data))
+                except (ElementTree.ParseError, RecursionError) as problem:
+                    found.errors.append({"part": part, "error": told(problem)})
+        return [{"deck": path} | row for row in found.rows()]
+
+    return per_package(files, opened, FACT)
+
+
+def facts(files: DataFrame, wanted: str) -> DataFrame:
+    """The facts of every package, written out once."""
+    return materialize(package_facts(files, wanted))
+
+
+class Package:
+    """What has been read of one package, by part."""
+
+    def __init__(self):
+        self.links: dict[str, dict[str, str]] = {}
+        self.media: dict[str, dict] = {}
+        self.order: list[str | None] = []
+        self.slides: dict[str, list[dict]] = {}
+        self.notes: dict[str, str] = {}
+        self.drawings: dict[str, list[dict]] = {}
+        self.errors: list[dict] = []
+
+    def take(self, part: str, root: ElementTree.Element) -> None:
+        """Read one XML part."""
+        if part.endswith(".rels"):
+            folder, _, name = part.replace("_rels/", "").removesuffix(".rels").rpartition("/")
+            self.links[f"{folder}/{name}"] = {node.get("Id"): full_name(folder, node.get("Target") or "") for node in root}
+        elif part == "ppt/presentation.xml":
+            shown = (n for n in root.iter() if local(n.tag) == "sldId")
+            self.order = [next((v for k, v in n.attrib.items() if k.endswith("}id")), None) for n in shown]
+        elif part.startswith("ppt/notesSlides/"):
+            spoken = (paragraphs(n).strip() for n in root.iter() if local(n.tag) == "sp")
+            self.notes[part] = " ".join(t for t in spoken if t)
+        else:
+            of, read = (self.slides, slide_facts) if part.startswith("ppt/slides/") else (self.drawings, drawing_facts)
+            numbers = Numbers()
+            of[part] = read(root, numbers)
+            self.errors += [{"part": part, "error": error} for error in numbers.errors]
+
+    def rows(self) -> Iterator[dict]:
+        yield from ({"kind": "error"} | error for error in self.errors)
+        shown = self.links.get("ppt/presentation.xml", {})
+        for number, rel in enumerate(self.order):
+            part = shown.get(rel)
+            if part in self.slides:
+                yield from self.shapes(part, number)
+            yield from self.pictures(part, number)
+        for part, drawings in self.drawings.items():
+            links = self.links.get(part, {})
+            for fact in drawings:
+                target = links.get(fact["rel_id"], "")
+                yield {"kind": "drawing", "part": part} | fact | (self.media.get(target, {}) if IMAGE.search(target) else {})
+
+    def shapes(self, part: str, number: int) -> Iterator[dict]:
+        """Shapes of a shown slide, with its text and notes and the pictures they hold."""
+        links, shapes = self.links.get(part, {}), self.slides[part]
+        notes = next((self.notes[t] for t in links.values() if t in self.notes), None)
+        texts = (f["text"].strip(SPACE_CHARS) for f in shapes if f["depth"] == 0 and f["tag"] != "graphicFrame")
+        common = {
+            "kind": "shape", "part": part, "slide_idx": number, "slide_notes": notes and notes[:300],
+            "slide_text": " ".join(t for t in texts if t)[:500],
+        }
+        for fact in shapes:
+            target = links.get(fact["rel_id"])
+            picture = {"file_name": target.rpartition("/")[2], **self.media[target]} if target in self.media else {}
+            yield common | fact | picture
+
+    def pictures(self, part: str | None, number: int) -> Iterator[dict]:
+        """Pictures that a slide refers to, itself or through one of its charts."""
+        for rel, target in self.links.get(part, {}).items():
+            through = self.links.get(target, {}).items() if target.startswith("ppt/charts/") else ()
+            for chart, name, held in ((None, rel, target), *((target, r, t) for r, t in through)):
+                if held in self.media:
+                    yield {
+                        "kind": "picture", "part": part, "slide_idx": number, "chart": chart, "rel_id": name,
+                        "file_name": held.rpartition("/")[2], **self.media[held],
+                    }
+
+
+class Numbers:
+    """Whole numbers of attributes; those that are none count as 0 and are remembered."""
+
+    def __init__(self):
+        self.errors: list[str] = []
+
+    def of(self, node: ElementTree.Element | None, name: str) -> int:
+        raw = attribute(node, name)
         try:
-            return [base | fact for fact in part_facts(row["part"], ElementTree.fromstring(row["content"]))]
-        except ElementTree.ParseError as problem:
-            return [base | {"kind": "error", "error": f"ParseError: {problem}"}]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(FACT)
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(told(row), schema=schema)
-
-    return materialize(parts.repartition("deck", "part").mapInArrow(read, FACT))
-
-
-def part_facts(part: str, root: ElementTree.Element) -> list[dict]:
-    """Facts of one XML part."""
-    if part.endswith(".rels"):
-        folder, _, name = part.replace("_rels/", "").removesuffix(".rels").rpartition("/")
-        return [
-            {"kind": "link", "part": f"{folder}/{name}", "rel_id": node.get("Id"), "target": full_name(folder, node.get("Target") or "")}
-            for node in root
-        ]
-    if part == "ppt/presentation.xml":
-        shown = (n for n in root.iter() if local(n.tag) == "sldId")
-        ids = (next((v for k, v in n.attrib.items() if k.endswith("}id")), None) for n in shown)
-        return [{"kind": "order", "rel_id": rel, "seq": n} for n, rel in enumerate(ids)]
-    if part.startswith("ppt/notesSlides/"):
-        spoken = (paragraphs(n).strip() for n in root.iter() if local(n.tag) == "sp")
-        return [{"kind": "notes", "text": " ".join(t for t in spoken if t)}]
-    if part.startswith("ppt/slides/"):
-        return slide_facts(root)
-    return drawing_facts(root)
+            value = int(raw) if raw else 0
+            if -(1 << 63) <= value < 1 << 63:
+                return value
+        except ValueError:
+            pass
+        self.errors.append(f"BadNumber: {name}={raw[:40]!r}")
+        return 0
 
 
 def full_name(folder: str, target: str) -> str:
@@ -167,39 +274,44 @@ def full_name(folder: str, target: str) -> str:
     return "/".join(steps)
 
 
-def slide_facts(root: ElementTree.Element) -> list[dict]:
+def slide_facts(root: ElementTree.Element, numbers: Numbers) -> list[dict]:
     """Shapes of a slide in reading order, groups before their children."""
     found: list[dict] = []
 
-    def visit(node: ElementTree.Element, parent: int | None, depth: int) -> None:
+    def visit(node: ElementTree.Element, above: dict | None) -> None:
         for number, child in enumerate(n for n in node if local(n.tag) in SHAPE_TAGS):
-            row = shape_row(child)
-            found.append({"kind": "shape", "seq": len(found), "shape_idx": number, "parent_id": parent, "depth": depth, **row})
+            row = shape_row(child, numbers) | {"seq": len(found), "shape_idx": number, "depth": 0, "child_descr": [], "child_title": []}
+            row["shape_id"] = row["shape_id"] or -1 - row["seq"]
+            if above is not None:
+                row |= {"parent_id": above["shape_id"], "parent_seq": above["seq"], "depth": above["depth"] + 1}
+                if row["tag"] in ("sp", "pic"):
+                    above["child_descr"].append(row["descr"])
+                    above["child_title"].append(row["title"])
+            found.append(row)
             if row["tag"] == "grpSp":
-                visit(child, row["shape_id"], depth + 1)
+                visit(child, row)
 
     tree = first(root, "spTree")
     if tree is not None:
-        visit(tree, None, 0)
+        visit(tree, None)
     return found
 
 
-def drawing_facts(root: ElementTree.Element) -> list[dict]:
+def drawing_facts(root: ElementTree.Element, numbers: Numbers) -> list[dict]:
     """Drawings of a document part."""
     found = []
     for n, node in enumerate(n for n in root.iter() if local(n.tag) == "drawing"):
         prop, extent = first(node, "docPr"), first(node, "extent")
         found.append(
             {
-                "kind": "drawing", "seq": n, "shape_name": attribute(prop, "name"), "descr": attribute(prop, "descr"),
-                "cx": int(attribute(extent, "cx") or 0), "cy": int(attribute(extent, "cy") or 0),
-                "rel_id": attribute(first(node, "blip"), "embed"),
+                "seq": n, "shape_name": attribute(prop, "name"), "descr": attribute(prop, "descr"),
+                "cx": numbers.of(extent, "cx"), "cy": numbers.of(extent, "cy"), "rel_id": attribute(first(node, "blip"), "embed"),
             }
         )
     return found
 
 
-def shape_row(node: ElementTree.Element) -> dict:
+def shape_row(node: ElementTree.Element, numbers: Numbers) -> dict:
     """What one shape says about itself, without its children."""
     tag = local(node.tag)
     head = node[0] if len(node) else node
@@ -211,15 +323,15 @@ def shape_row(node: ElementTree.Element) -> dict:
     fills = [] if look is None else [FILL_TAGS[local(n.tag)] for n in look if local(n.tag) in FILL_TAGS]
     return {
         "tag": tag,
-        "shape_id": int(attribute(prop, "id") or 0),
+        "shape_id": numbers.of(prop, "id"),
         "shape_name": attribute(prop, "name") or "",
         "descr": attribute(prop, "descr"),
         "title": attribute(prop, "title"),
         "marked_decorative": attribute(first(head, "decorative"), "val") == "1",
-        "x": int(attribute(off, "x") or 0),
-        "y": int(attribute(off, "y") or 0),
-        "cx": int(attribute(ext, "cx") or 0),
-        "cy": int(attribute(ext, "cy") or 0),
+        "x": numbers.of(off, "x"),
+        "y": numbers.of(off, "y"),
+        "cx": numbers.of(ext, "cx"),
+        "cy": numbers.of(ext, "cy"),
         "text": "" if tag == "grpSp" else paragraphs(node),
         "fill_kind": fills[0] if fills else "none",
         "has_line": look is not None and any(local(n.tag) == "ln" and first(n, "noFill") is None for n in look),
@@ -250,38 +362,21 @@ def shape_kind() -> Column:
 
 def deck_elements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements, errors) of slide decks given as (path, content)."""
-    read = facts(package_parts(files, DECK_PARTS))
+    read = facts(files, DECK_PARTS)
+    return shown_elements(read), problems(read)
 
-    def of(kind: str) -> DataFrame:
-        return read.filter(F.col("kind") == kind)
 
-    links = of("link").select("deck", "part", "rel_id", "target")
-    media = of("media").select("deck", F.col("part").alias("target"), "media_key", "image_hash")
-    order = of("order").select("deck", "part", "rel_id", F.col("seq").alias("slide_idx")).join(links, ["deck", "part", "rel_id"])
-    shapes = of("shape").drop("kind", "target", "media_key", "image_hash", "error").join(
-        order.select("deck", F.col("target").alias("part"), "slide_idx"), ["deck", "part"]
-    )
-    pictures = links.join(media, ["deck", "target"]).select(
-        "deck", "part", "rel_id", F.element_at(F.split("target", "/"), -1).alias("file_name"), "media_key", "image_hash"
-    )
-    spoken = of("notes").select("deck", F.col("part").alias("target"), F.left("text", F.lit(300)).alias("slide_notes"))
-    notes = links.join(spoken, ["deck", "target"]).select("deck", "part", "slide_notes")
-    texts = joined_text(
-        shapes.filter("depth = 0 AND tag <> 'graphicFrame'").select("deck", "part", "seq", "text"), ["deck", "part"], "seq", 500
-    ).select("deck", "part", "slide_text")
-    child = (
-        shapes.filter("tag IN ('sp', 'pic') AND parent_id IS NOT NULL")
-        .withColumn("alt", existing_alt("descr", "title", F.lit(None).cast("string"))).filter("alt <> ''")
-        .groupBy("deck", "part", F.col("parent_id").alias("shape_id")).agg(F.min_by("alt", "seq").alias("child_alt"))
-    )
+def problems(read: DataFrame) -> DataFrame:
+    return read.filter("kind = 'error'").select("deck", "part", "error")
+
+
+def shown_elements(read: DataFrame) -> DataFrame:
+    """Elements from the facts of decks, row by row."""
     made = F.concat_ws("|", "tag", "shape_name", *[F.col(c).cast("string") for c in ("x", "y", "cx", "cy")], "text")
-    kind = F.col("shape_type")
-    joined = (
-        shapes.join(pictures, ["deck", "part", "rel_id"], "left").join(notes, ["deck", "part"], "left")
-        .join(texts, ["deck", "part"], "left").join(child, ["deck", "part", "shape_id"], "left")
-        .withColumn("shape_type", shape_kind())
-    )
-    elements = joined.select(
+    kind, none = F.col("shape_type"), F.lit(None).cast("string")
+    kids = F.zip_with("child_descr", "child_title", lambda descr, title: existing_alt(descr, title, none))
+    child_alt = F.get(F.filter(kids, lambda alt: alt != ""), F.lit(0))
+    return read.filter("kind = 'shape'").withColumn("shape_type", shape_kind()).select(
         "deck", "slide_idx", "shape_idx", "shape_id",
         instance_key("slide_idx", "shape_id").alias("instance_key"),
         F.coalesce("media_key", digest(made, "sha256")).alias("content_key"),
@@ -293,47 +388,24 @@ def deck_elements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[emu_to_px(c).alias(n) for n, c in (("width_px", "cx"), ("height_px", "cy"), ("left_px", "x"), ("top_px", "y"))],
         "fill_kind", "has_line", F.col("image_hash").isNotNull().alias("has_picture"),
         "descr", "title", "marked_decorative",
-        existing_alt("descr", "title", F.when(kind == "GROUP", F.col("child_alt"))).alias("existing_alt"),
+        existing_alt("descr", "title", F.when(kind == "GROUP", child_alt)).alias("existing_alt"),
         F.coalesce("slide_text", F.lit("")).alias("slide_text"),
         F.coalesce("slide_notes", F.lit("")).alias("slide_notes"),
         F.col("seq").alias("z_order"),
     )
-    return elements, of("error").select("deck", "part", "error")
 
 
 def linked_pictures(files: DataFrame) -> DataFrame:
     """Every picture a slide refers to, itself or through one of its charts, with or without a shape that shows it."""
-    read = facts(package_parts(files, DECK_PARTS))
-
-    def of(kind: str) -> DataFrame:
-        return read.filter(F.col("kind") == kind)
-
-    links = of("link").select("deck", "part", "rel_id", "target")
-    slides = of("order").select("deck", "part", "rel_id", F.col("seq").alias("slide_idx")).join(links, ["deck", "part", "rel_id"])
-    own = links.join(slides.select("deck", F.col("target").alias("part"), "slide_idx"), ["deck", "part"])
-    charts = own.filter(F.col("target").startswith("ppt/charts/")).select("deck", "slide_idx", F.col("target").alias("part"))
-    held = own.select("deck", "slide_idx", "rel_id", "target", F.lit(None).cast("string").alias("chart")).unionByName(
-        links.join(charts, ["deck", "part"]).select("deck", "slide_idx", "rel_id", "target", F.col("part").alias("chart"))
-    )
-    media = of("media").select("deck", F.col("part").alias("target"), "media_key", "image_hash")
-    return held.join(media, ["deck", "target"]).select(
-        "deck", "slide_idx", "chart", "rel_id", F.element_at(F.split("target", "/"), -1).alias("file_name"), "media_key", "image_hash"
-    )
+    read = facts(files, DECK_PARTS)
+    return read.filter("kind = 'picture'").select("deck", "slide_idx", "chart", "rel_id", "file_name", "media_key", "image_hash")
 
 
 def document_drawings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(drawings, errors) of word documents: body, headers and footers."""
-
-    read = facts(package_parts(files, DOCUMENT_PARTS))
-    is_image = F.col("part").rlike("(?i)\\.(png|jpe?g|gif|bmp|tiff?|svg|wmf|emf)$")
-    media = read.filter((F.col("kind") == "media") & is_image).select(
-        "deck", F.col("part").alias("target"), F.left("media_key", F.lit(16)).alias("image_hash")
-    )
-    links = read.filter("kind = 'link'").select("deck", "part", "rel_id", "target").join(media, ["deck", "target"])
-    drawings = read.filter("kind = 'drawing'").drop("image_hash").join(
-        links.select("deck", "part", "rel_id", "image_hash"), ["deck", "part", "rel_id"], "left"
-    )
-    return drawings.select(
+    read = facts(files, DOCUMENT_PARTS)
+    drawings = read.filter("kind = 'drawing'").select(
         "deck", "part", "seq", F.col("shape_name").alias("name"), "descr", (emu_to_px("cx") * emu_to_px("cy")).alias("pixels"),
-        "rel_id", "image_hash",
-    ), read.filter("kind = 'error'").select("deck", "part", "error")
+        "rel_id", F.left("media_key", F.lit(16)).alias("image_hash"),
+    )
+    return drawings, problems(read)

@@ -77,6 +77,50 @@ def test_no_exchange_carries_packages(spark):
     assert [r.error for r in large] == ["FileTooLarge: not read"]
 
 
+def damaged(content: bytes, member: str) -> bytes:
+    """A package whose member cannot be unpacked, while the others can."""
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        at, size = package.getinfo(member).header_offset + 30 + len(member), min(12, package.getinfo(member).compress_size)
+    return content[:at] + b"\xff" * size + content[at + size :]
+
+
+def test_bad_members_and_numbers_are_error_rows(spark):
+    shapes = [element(0, "PICTURE", text=""), element(1, "TEXT_BOX", text="kept " * 50), element(2, "TEXT_BOX", text="also")]
+    good = deck_bytes(pd.DataFrame(shapes))
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(good)) as package, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as changed:
+        for name in package.namelist():
+            data = package.read(name)
+            if name == "ppt/slides/s9.xml":
+                data = data.replace(b'id="2"', b'id="two"').replace(b'x="9525"', b'x="1e3"', 1).replace(b'id="3"', b"")
+            changed.writestr(name, data)
+    files = spark.createDataFrame(
+        [("good", good), ("numbers", out.getvalue()), ("media", damaged(good, "ppt/media/image1.png")), ("slide", damaged(good, "ppt/slides/s9.xml"))],
+        "path string, content binary",
+    )
+    found, errors = office.deck_elements(files)
+    rows = sorted(((r.deck, r.z_order, r.shape_id, r.left_px, r.has_picture) for r in found.collect()), key=repr)
+    assert [r for r in rows if r[0] == "good"] == [("good", 0, 1, 1, True), ("good", 1, 2, 1, False), ("good", 2, 3, 1, False)]
+    assert [r for r in rows if r[0] == "numbers"] == [("numbers", 0, 1, 0, True), ("numbers", 1, -2, 1, False), ("numbers", 2, -3, 1, False)]
+    assert [r for r in rows if r[0] == "media"] == [("media", 0, 1, 1, False), ("media", 1, 2, 1, False), ("media", 2, 3, 1, False)]
+    assert not [r for r in rows if r[0] == "slide"]
+    told = sorted((r.deck, r.part, r.error.split(":")[0]) for r in errors.collect())
+    assert [t[:2] for t in told] == [("media", "ppt/media/image1.png"), ("numbers", "ppt/slides/s9.xml"), ("numbers", "ppt/slides/s9.xml"), ("slide", "ppt/slides/s9.xml")]
+    assert [t[2] for t in told if t[0] == "numbers"] == ["BadNumber", "BadNumber"]
+
+
+def test_facts_need_no_exchange_and_may_stream(spark):
+    root = Path(place())
+    (root / "a.pptx").write_bytes(deck_bytes(pd.DataFrame([element(0, "PICTURE"), element(1, "TEXT_BOX", text="x")])))
+    read = office.shown_elements(office.package_facts(office.scan_files(spark, str(root)), office.DECK_PARTS))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    stream = office.shown_elements(office.package_facts(jobs.stream_files(spark, str(root)), office.DECK_PARTS))
+    name = f"shown_{root.name.replace('-', '_')}"
+    stream.select("deck", "shape_id", "content_key").writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, read.select("deck", "shape_id", "content_key").collect()))
+
+
 def test_pictures_of_charts_and_relations(spark):
     rel = '<Relationships>{}</Relationships>'
     link = lambda name, target: f'<Relationship Id="{name}" Target="{target}"/>'
