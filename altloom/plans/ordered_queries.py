@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from altloom import views
 from altloom.functions import describe, fixed, keys, rules, text
-from altloom.operators import classify, groups, joins, ordered, patch, reuse
+from altloom.operators import breaker, classify, groups, joins, ordered, patch, reuse
 from altloom.plans import sql as q
 from altloom.plans.join_queries import KEYS_SQL, OVERLAYS_SQL, STREAK_SQL, stored_keys
 from altloom.plans.registry import query
@@ -89,6 +89,25 @@ def breaker_openings(spark, sf_dir):
     return ordered.breaker_openings(views.attempts(spark, sf_dir).select("attempt_id", "provider", "ts", "success"), threshold=3)
 
 
+BREAKER_SQL = f"""WITH RECURSIVE {views.ATTEMPTS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts, attempt_id) AS n FROM attempts),
+r AS (SELECT provider, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS attempt_id, 'closed' AS name, 'closed' AS before, 0 AS f, 0 AS s, CAST(NULL AS TIMESTAMP) AS failed_at FROM attempts GROUP BY provider
+  UNION ALL SELECT provider, n, ts, attempt_id,
+    CASE WHEN cur = 'open' THEN cur WHEN success AND cur = 'half_open' AND s + 1 >= 2 THEN 'closed' WHEN success THEN cur WHEN cur = 'half_open' OR f + 1 >= 3 THEN 'open' ELSE cur END, before,
+    CASE WHEN cur = 'open' THEN f WHEN NOT success THEN f + 1 WHEN cur = 'closed' OR s + 1 >= 2 THEN 0 ELSE f END,
+    CASE WHEN cur = 'half_open' AND success THEN s + 1 ELSE s END, CASE WHEN cur <> 'open' AND NOT success THEN ts ELSE failed_at END
+  FROM (SELECT a.provider, a.n, a.ts, a.attempt_id, a.success, r.name AS before, r.f, r.failed_at,
+      CASE WHEN r.name = 'open' AND a.ts - r.failed_at >= INTERVAL 60 SECOND THEN 'half_open' ELSE r.name END AS cur,
+      CASE WHEN r.name = 'open' THEN 0 ELSE r.s END AS s FROM r JOIN a ON a.provider = r.provider AND a.n = r.n + 1))
+SELECT provider, ts, attempt_id, name AS state, before || ' to ' || name AS reason FROM r WHERE n > 0 AND name <> before"""
+
+
+@query("breaker_changes_f09", BREAKER_SQL)
+def breaker_changes(spark, sf_dir):
+    """Closed, open and half open over all calls of every provider, in set form."""
+    calls = views.attempts(spark, sf_dir).select("attempt_id", "provider", "ts", "success")
+    return breaker.breaker_changes(calls, threshold=3, recovery=60.0, good=2)
+
+
 @query(
     "first_child_alt_f10",
     f"""WITH {ELEMENTS} SELECT deck, slide_idx, parent_id, arg_min(existing_alt, shape_idx) AS child_alt FROM elements WHERE parent_id IS NOT NULL AND trim(existing_alt) <> ''

@@ -5,40 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from altloom import views
+from altloom.plans.ordered_queries import BREAKER_SQL
 from altloom.plans.registry import query
 from altloom.plans.source_queries import FILES_SQL, files_by_lang, folder, text_files
 from altloom.streaming import jobs
 
 
-PARTS = 4
+STRETCHES = 4
 
 
-def arriving(spark, sf_dir, name, at):
-    """A table as it arrives: files of one stretch of time each, written one after the other."""
-    table, place = views.table(spark, sf_dir, name), folder(spark, f"arriving-{name}")
+def arrivals(spark, sf_dir, name, at, place):
+    """A table as it arrives: one stretch of time after the other, each in as many files as Spark deals it to."""
+    table = views.table(spark, sf_dir, name)
     first, last = table.agg(F.min(at), F.max(at)).first()
-    for part in range(PARTS):
-        start, end = (first + (last - first) * k / PARTS for k in (part, part + 1))
-        rows = table.filter((F.col(at) >= F.lit(start)) & ((F.col(at) < F.lit(end)) if part + 1 < PARTS else F.lit(True)))
-        rows.coalesce(1).write.mode("append").parquet(place)
-    return place
-
-
-def streamed(spark, sf_dir, name, view, at):
-    """A view over a streamed table instead of a stored one, a file per micro-batch."""
-    source = spark.readStream.schema(views.table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 1)
-    rows = source.parquet(arriving(spark, sf_dir, name, at))
-    clock = {f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.simpleString() == "timestamp_ntz"}
-    return view(rows.withColumns(clock))
-
-
-def finish(started) -> None:
-    started.awaitTermination()
-
-
-def result(spark, df, name, mode="append"):
-    root = folder(spark, name)
-    finish(jobs.write_each(df, root, folder(spark, f"{name}-state"), mode))
+    for part in range(STRETCHES):
+        start, end = (first + (last - first) * k / STRETCHES for k in (part, part + 1))
+        rows = table.filter((F.col(at) >= F.lit(start)) & ((F.col(at) < F.lit(end)) if part + 1 < STRETCHES else F.lit(True)))
+        rows.repartitionByRange(at).write.mode("append").parquet(place)
+        yield part
+
+
+def streamed(spark, sf_dir, name, view, at, start) -> None:
+    """Run a stream over a view of an arriving table; it goes on from its checkpoint as each stretch arrives."""
+    place = folder(spark, f"arriving-{name}")
+    schema = views.table(spark, sf_dir, name).schema
+    for _ in arrivals(spark, sf_dir, name, at, place):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 << 30).parquet(place)
+        clock = {f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.simpleString() == "timestamp_ntz"}
+        start(view(rows.withColumns(clock))).awaitTermination()
+
+
+def results(spark, sf_dir, name, view, at, label):
+    """What a stream over an arriving table appends."""
+    root, state = folder(spark, label), folder(spark, f"{label}-state")
+    streamed(spark, sf_dir, name, view, at, lambda df: jobs.write_each(df, root, state))
     return plain_clock(spark.read.parquet(root)).drop("batch")
 
 
@@ -47,14 +47,12 @@ def plain_clock(df):
     return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema if f.dataType.simpleString() == "timestamp"})
 
 
-def attempts(spark, sf_dir):
-    return streamed(spark, sf_dir, "events", views.attempts_of, "ts")
-
-
 @query("stream_files_n01", FILES_SQL)
 def stream_files(spark, sf_dir):
     seen = jobs.stream_files(spark, text_files(spark, sf_dir), "txt", per_trigger=3).select("path", "length")
-    return files_by_lang(result(spark, seen, "files"))
+    root = folder(spark, "files")
+    jobs.write_each(seen, root, folder(spark, "files-state")).awaitTermination()
+    return files_by_lang(spark.read.parquet(root).drop("batch"))
 
 
 @query(
@@ -65,9 +63,11 @@ r AS (SELECT user_id, event_type, n, ts, ts AS kept, true AS first FROM e WHERE
 SELECT user_id, event_type, min(ts) AS first_seen FROM r WHERE first GROUP BY 1, 2""",
 )
 def stream_dedupe(spark, sf_dir):
-    events = streamed(spark, sf_dir, "events", lambda e: e.select("ts", "user_id", "event_type"), "ts")
-    keyed = events.withColumn("content_key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-    found = result(spark, jobs.stream_dedupe(keyed, "content_key", "ts", "5 days").select("user_id", "event_type", "ts"), "dedupe")
+    def first_seen(events):
+        keyed = events.select("ts", "user_id", "event_type").withColumn("content_key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+        return jobs.stream_dedupe(keyed, "content_key", "ts", "5 days").select("user_id", "event_type", "ts")
+
+    found = results(spark, sf_dir, "events", first_seen, "ts", "dedupe")
     return found.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"))
 
 
@@ -77,7 +77,7 @@ def stream_dedupe(spark, sf_dir):
 SELECT day, round(c, 6) AS daily_cost, c > 4 AS daily_alert FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM attempts) - INTERVAL 1 HOUR""",
 )
 def stream_budget(spark, sf_dir):
-    return result(spark, jobs.stream_budget(attempts(spark, sf_dir), 4.0), "budget")
+    return results(spark, sf_dir, "events", lambda e: jobs.stream_budget(views.attempts_of(e), 4.0), "ts", "budget")
 
 
 @query(
@@ -88,12 +88,14 @@ SELECT provider, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, coun
 HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM attempts WHERE NOT success) - INTERVAL 1 HOUR""",
 )
 def stream_outages(spark, sf_dir):
-    return result(spark, jobs.stream_outages(attempts(spark, sf_dir)), "outages")
+    return results(spark, sf_dir, "events", lambda e: jobs.stream_outages(views.attempts_of(e)), "ts", "outages")
 
 
-@query("stream_breaker_n05")
+@query("stream_breaker_n05", BREAKER_SQL)
 def stream_breaker(spark, sf_dir):
-    return result(spark, jobs.stream_breaker(attempts(spark, sf_dir), threshold=3), "breaker")
+    root, state = folder(spark, "breaker"), folder(spark, "breaker-state")
+    streamed(spark, sf_dir, "events", views.attempts_of, "ts", lambda df: jobs.stream_breaker(df, root, state, 3, 60.0, 2))
+    return plain_clock(spark.read.parquet(root)).drop("batch")
 
 
 @query(
@@ -101,11 +103,9 @@ def stream_breaker(spark, sf_dir):
     "SELECT CAST(o_custkey AS VARCHAR) AS path, arg_max(o_orderstatus, (o_orderdate, o_orderstatus)) AS status, max(o_orderdate) AS updated_at FROM orders GROUP BY 1",
 )
 def stream_ledger(spark, sf_dir):
-    updates = streamed(
-        spark, sf_dir, "orders",
-        lambda o: o.select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at")),
-        "o_orderdate",
-    )
-    root = folder(spark, "ledger")
-    finish(jobs.stream_ledger(updates, root, folder(spark, "ledger-state")))
+    def updates(orders):
+        return orders.select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at"))
+
+    root, state = folder(spark, "ledger"), folder(spark, "ledger-state")
+    streamed(spark, sf_dir, "orders", updates, "o_orderdate", lambda df: jobs.stream_ledger(df, root, state))
     return plain_clock(jobs.newest_version(spark, root))

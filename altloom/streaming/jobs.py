@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from altloom.operators import breaker
 from altloom.operators.ordered import MONEY
 from altloom.operators.reuse import latest
 
-BREAKER_OUT = "provider string, ts timestamp, attempt_id bigint, state string, reason string"
-BREAKER_STATE = "state string, failures int, successes int, last_failure double, opened int"
+BUCKETS = 64
 
 
 def stream_files(spark: SparkSession, path: str, exts: str = "[pP][pP][tT][xX]", per_trigger: int = 1000) -> DataFrame:
@@ -54,56 +50,29 @@ def stream_outages(attempts: DataFrame, gap: str = "10 minutes", late: str = "1
     )
 
 
-def breaker_step(state: list, success: bool, at: float, threshold: int, recovery: float, good: int) -> str | None:
-    """Move a breaker by one call and name the change, if any.
+def stream_breaker(attempts: DataFrame, root: str, checkpoint: str, threshold: int = 5, recovery: float = 60.0, good: int = 2):
+    """Circuit breaker of every provider: each batch writes its changes of state to its own folder.
 
-    ``state``: [name, failures, successes, last failure]. An open breaker lets
-    no call count until ``recovery`` seconds after the last failure.
-    """
-    name, failures, successes, last = state
-    if name == "open":
-        if at - last < recovery:
-            return None
-        name, successes = "half_open", 0
-    if success:
-        if name == "half_open":
-            successes += 1
-            if successes >= good:
-                name, failures = "closed", 0
-        else:
-            failures = 0
-    else:
-        failures, last = failures + 1, at
-        if name == "half_open" or failures >= threshold:
-            name = "open"
-    changed = name != state[0]
-    state[:] = [name, failures, successes, last]
-    return name if changed else None
-
-
-def stream_breaker(attempts: DataFrame, threshold: int = 5, recovery: float = 60.0, good: int = 2) -> DataFrame:
-    """Circuit breaker of every provider, driven by event time.
-
-    State is four numbers per provider. The calls of one micro-batch are put in
-    order; bound a batch with ``maxFilesPerTrigger`` on the source.
+    A batch is worked out as a set. Of the batches before it only the state of
+    each provider is needed, a row per provider, which is kept per batch, so
+    that a repeated batch starts from the same state and writes the same again.
     """
+    states = f"{checkpoint}-states"
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = list(kept.get)[:4] if kept.exists else ["closed", 0, 0, 0.0]
-        calls = pd.concat(list(batches)).sort_values(["ts", "attempt_id"])
-        rows = []
-        for ts, number, success in zip(calls["ts"], calls["attempt_id"], calls["success"]):
-            before = state[0]
-            name = breaker_step(state, bool(success), ts.timestamp(), threshold, recovery, good)
-            if name is not None:
-                rows.append((key[0], ts, number, name, f"{before} to {name}"))
-        kept.update((*state, 0))
-        yield pd.DataFrame(rows, columns=["provider", "ts", "attempt_id", "state", "reason"])
-
-    calls = attempts.select("provider", "ts", "attempt_id", "success")
-    return calls.groupBy("provider").applyInPandasWithState(
-        advance, BREAKER_OUT, BREAKER_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        calls = batch.select("provider", "ts", "attempt_id", "success")
+        known = None
+        if batch_id > 0:  # an absent version is an error: going on without it would forget open breakers
+            known = batch.sparkSession.read.parquet(f"{states}/version={batch_id - 1}")
+            calls = breaker.recalled(known, threshold, recovery).unionByName(calls)
+        seen, opened = breaker.histories(calls, threshold, recovery, good)
+        breaker.changes(seen, opened, good).filter("attempt_id >= 0").write.mode("overwrite").parquet(batch_path(root, batch_id))
+        after = breaker.state_after(seen, opened)
+        if known is not None:  # providers without a call, new or recalled, keep their state
+            after = after.unionByName(known.join(after, "provider", "left_anti"))
+        after.write.mode("overwrite").parquet(f"{states}/version={batch_id}")
+
+    return attempts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(advance).start()
 
 
 def status_rank(name: str) -> Column:
@@ -129,29 +98,85 @@ def write_each(df: DataFrame, root: str, checkpoint: str, mode: str = "append"):
     )
 
 
-def stream_ledger(updates: DataFrame, root: str, checkpoint: str, key: str = "path", order: Column | None = None):
+def stream_ledger(
+    updates: DataFrame, root: str, checkpoint: str, key: str = "path", order: Column | None = None, buckets: int = BUCKETS, kept: int = 2
+):
     """Fold status updates into the ledger, batch by batch.
 
-    Every batch writes a new version from the one before, so a repeated batch
-    writes the same version again.
+    The ledger lies in ``buckets`` by the key's hash. A batch reads and writes
+    only the buckets that its keys fall into, under its own number, and then
+    commits a table that names the version of every bucket. Readers go by the
+    newest commit, so they see a batch whole or not at all. A batch that has
+    committed is not folded again; data that none of the last ``kept`` commits
+    names is deleted.
     """
     at = F.col("updated_at") if order is None else order
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("__at", at)
-        if batch_id > 0:  # an absent version is an error: going on without it would lose the ledger
-            fresh = spark.read.parquet(f"{root}/version={batch_id - 1}").unionByName(fresh)
-        ranked = fresh.withColumn("__rank", status_rank("status"))
-        latest(ranked, [key], ["__at", "__rank", "status"]).drop("__rank").write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        if committed(spark, root, batch_id):
+            return
+        fresh = batch.withColumn("__at", at).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = {r[0] for r in fresh.select("bucket").distinct().collect()}  # as many as there are buckets at most
+        before = versions(spark, root, batch_id - 1) if batch_id > 0 else {}
+        if old := [bucket_path(root, before[b], b) for b in sorted(touched) if b in before]:
+            fresh = spark.read.schema(fresh.drop("bucket").schema).parquet(*old).withColumn(
+                "bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+            ).unionByName(fresh)
+        ranked = latest(fresh.withColumn("__rank", status_rank("status")), [key], ["__at", "__rank", "status"]).drop("__rank")
+        ranked.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/version={batch_id}")
+        now = before | {b: batch_id for b in touched}
+        rows = spark.createDataFrame(list(now.items()), "bucket int, version bigint")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/version={batch_id}")  # a row per bucket
+        forget(spark, root, batch_id, kept)
 
     return (
         updates.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(fold).start()
     )
 
 
+def bucket_path(root: str, version: int, bucket: int) -> str:
+    return f"{root}/data/version={version}/bucket={bucket}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's own file access."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def committed(spark: SparkSession, root: str, version: int) -> bool:
+    files, path = hadoop_path(spark, f"{root}/commits/version={version}/_SUCCESS")
+    return files.exists(path)
+
+
+def versions(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    """The version of every bucket as of a commit; an absent commit is an error, as going on would lose the ledger."""
+    return {r.bucket: r.version for r in spark.read.parquet(f"{root}/commits/version={version}").collect()}
+
+
+def commits(spark: SparkSession, root: str) -> list[int]:
+    files, path = hadoop_path(spark, f"{root}/commits")
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    return sorted(v for v in (int(n.removeprefix("version=")) for n in names if n.startswith("version=")) if committed(spark, root, v))
+
+
+def forget(spark: SparkSession, root: str, version: int, kept: int) -> None:
+    """Delete the data and commits that only commits before the last ``kept`` name."""
+    known = commits(spark, root)
+    gone, stay = known[:-kept], known[-kept:]
+    needed = {(b, v) for c in stay for b, v in versions(spark, root, c).items()}
+    for commit in gone:
+        for b, v in versions(spark, root, commit).items():
+            if (b, v) not in needed:
+                files, path = hadoop_path(spark, bucket_path(root, v, b))
+                files.delete(path, True)
+        files, path = hadoop_path(spark, f"{root}/commits/version={commit}")
+        files.delete(path, True)
+
+
 def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    """Ledger as of the last batch."""
-    versions = spark.read.parquet(root)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == last).drop("version", "__at")
+    """Ledger as of the last commit."""
+    last = commits(spark, root)[-1]
+    places = [bucket_path(root, v, b) for b, v in sorted(versions(spark, root, last).items())]
+    return spark.read.parquet(*places).drop("__at")

@@ -9,7 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import functions as F
 
-from altloom.operators import provider
+from altloom.operators import breaker, provider
 from altloom.plans.packages import deck_bytes
 from altloom.sources import office, tables
 from altloom.streaming import jobs
@@ -192,11 +192,12 @@ def test_one_call_per_content(spark):
     assert provider.generate_chain(asked, [("bad", bad)] * 5).selectExpr("max(size(attempts))").first()[0] == 3
 
 
-def test_breaker_script():
-    state = ["closed", 0, 0, 0.0]
+def test_breaker_script(spark):
     script = [(False, t) for t in range(5)] + [(True, 10), (True, 70), (False, 71), (True, 140), (True, 141)]
-    changes = [jobs.breaker_step(state, ok, float(at), 5, 60.0, 2) for ok, at in script]
-    assert changes == [None, None, None, None, "open", None, "half_open", "open", "half_open", "closed"]
+    rows = [("p", datetime(2024, 1, 1) + timedelta(seconds=at), n, ok) for n, (ok, at) in enumerate(script)]
+    found = breaker.breaker_changes(spark.createDataFrame(rows, "provider string, ts timestamp, attempt_id bigint, success boolean"), 5, 60.0, 2)
+    told = {r.attempt_id: r.state for r in found.collect()}
+    assert [told.get(n) for n in range(10)] == [None, None, None, None, "open", None, "half_open", "open", "half_open", "closed"]
 
 
 def test_breaker_stream_keeps_state_between_files(spark):
@@ -208,7 +209,7 @@ def test_breaker_stream_keeps_state_between_files(spark):
 
     def run():
         read = spark.readStream.schema(schema).parquet(source)
-        jobs.write_each(jobs.stream_breaker(read, threshold=5), out, state).awaitTermination()
+        jobs.stream_breaker(read, out, state, threshold=5).awaitTermination()
 
     run()
     spark.createDataFrame([(4, start + timedelta(seconds=4), "p", False)], schema).coalesce(1).write.mode("append").parquet(source)
@@ -263,10 +264,27 @@ def test_ledger_without_its_last_version_is_an_error(spark):
 
     fold([("a", "processing", at), ("a", "complete", at), ("b", "pending", at)])
     assert sorted((r.path, r.status) for r in jobs.newest_version(spark, out).collect()) == [("a", "complete"), ("b", "pending")]
-    (Path(out) / "version=0").rename(Path(place()) / "gone")
+    (Path(out) / "commits" / "version=0").rename(Path(place()) / "gone")
     try:
         fold([("c", "pending", at)])
     except Exception as problem:
         assert "version=0" in str(problem)
     else:
         raise AssertionError("a lost version went unnoticed")
+
+
+def test_ledger_rewrites_only_touched_buckets(spark):
+    source, out, state = place(), place(), place()
+    schema = "path string, status string, updated_at timestamp"
+    at = datetime(2024, 1, 1)
+    batches = [[(f"p{n}", "pending", at) for n in range(200)], [("p7", "complete", at + timedelta(hours=1))], [("p8", "failed", at + timedelta(hours=2))], [("p9", "complete", at)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_ledger(spark.readStream.schema(schema).parquet(source), out, state, buckets=16).awaitTermination()
+    written = [sorted(p.name for p in (Path(out) / "data" / f"version={v}").glob("bucket=*")) for v in range(4)]
+    assert len(written[0]) >= 13 and [len(w) for w in written[1:]] == [1, 1, 1]
+    assert jobs.commits(spark, out) == [2, 3]
+    used = {(b, v) for c in (2, 3) for b, v in jobs.versions(spark, out, c).items()}
+    assert {(int(b.removeprefix("bucket=")), v) for v, names in enumerate(written) for b in names} == used
+    found = {r.path: r.status for r in jobs.newest_version(spark, out).collect()}
+    assert len(found) == 200 and (found["p7"], found["p8"], found["p9"], found["p10"]) == ("complete", "failed", "complete", "pending")
