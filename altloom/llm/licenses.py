@@ -5,14 +5,17 @@ copyright dropped, every run of punctuation and space one space, equivalent
 spellings made one. Its digest is then looked up among the digests of known
 licence texts and notices, by a hash join of entire texts. The units looked up
 are whole documents and their single lines, so that both a licence file and a
-one-line notice in a page are found; nothing is matched in part.
+one-line notice in a page are found; nothing is matched in part. No form
+reaches across a line, so a document's form is that of its lines put together,
+and every line is worked out once. What is kept of a document for the joins is
+its digest and those lines whose short hash is one of a known text.
 
 The table of known texts is fixed and small (`KNOWN`; a caller may give
 another), which is the bound of what is broadcast.
 
 Nulls: a null text is scanned as empty, whose canonical form is empty, and an
-empty form never matches. Repeated rows are scanned each; rows with the same
-id share their notices. An empty table gives an empty result.
+empty form never matches. Repeated rows and rows with one id are scanned each.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from altloom.llm.base import read, whole
 from altloom.llm.license_digests import FULL_TEXTS
+from altloom.session import materialize
 
 # Spellings that count as one.
 SPELLINGS = [
@@ -72,36 +76,37 @@ def canonical(text: str | Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license, known_sha and form_chars of every known text; one licence per digest."""
+    """license and known_sha of every known text; one licence per digest."""
     texts = spark.createDataFrame(known, "license string, known_text string")
     forms = texts.select("license", canonical("known_text").alias("form")).filter("form <> ''")
-    return forms.groupBy(F.sha2("form", 256).alias("known_sha")).agg(
-        F.min("license").alias("license"), F.first(F.length("form")).alias("form_chars")
-    )
+    return forms.groupBy(F.sha2("form", 256).alias("known_sha")).agg(F.min("license").alias("license"))
 
 
 def all_digests(spark: SparkSession) -> DataFrame:
     """The notices of ``KNOWN`` and the full licence texts, whose digests are shipped."""
-    full = spark.createDataFrame(FULL_TEXTS, "license string, known_sha string, form_chars int")
+    full = spark.createDataFrame(FULL_TEXTS, "license string, known_sha string, form_chars int").drop("form_chars")
     return known_digests(spark).unionByName(full)
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, canon_sha256, license (of the whole text) and notices (licences of whole lines) of each document."""
-    table = F.broadcast(known)
-    lines = docs.select("doc_id", F.explode(F.split(whole("text"), "\n")).alias("line"))
-    longest = known.agg(F.max("form_chars")).first()[0] or 0
-    # A canonical form has at least a letter per two source characters only if
-    # the line is not padded, so no length of the raw line is used to skip it.
-    forms = lines.select("doc_id", canonical("line").alias("form")).filter((F.col("form") != "") & (F.length("form") <= longest))
-    found = forms.join(table, F.sha2("form", 256) == F.col("known_sha"))
-    notices = found.groupBy("doc_id").agg(
+    table = F.broadcast(known)  # fixed and small
+    short = [r[0] for r in known.select(F.xxhash64("known_sha")).collect()]
+    forms = F.filter(F.transform(F.split(whole("text"), "\n"), canonical), lambda form: form != "")
+    digests = F.transform("forms", lambda form: F.sha2(form, 256))
+    hits = F.filter(digests, lambda digest: F.xxhash64(digest).isin(short))
+    rows = materialize(
+        docs.select("doc_id", forms.alias("forms")).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id",
+            F.sha2(F.array_join("forms", " "), 256).alias("canon_sha256"), hits.alias("hits"),
+        )
+    )
+    found = rows.select("row", F.explode("hits").alias("digest")).join(table, F.col("digest") == F.col("known_sha"))
+    notices = found.groupBy("row").agg(
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n_notices")
     )
-    whole_texts = docs.select("doc_id", F.sha2(canonical("text"), 256).alias("canon_sha256"))
-    looked_up = whole_texts.join(table.select("known_sha", "license"), F.col("canon_sha256") == F.col("known_sha"), "left")
-    met = looked_up.join(notices.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    return met.select(
+    looked_up = rows.drop("hits").join(table, F.col("canon_sha256") == F.col("known_sha"), "left")
+    return looked_up.join(notices, "row", "left").select(
         "doc_id", "canon_sha256", "license", F.coalesce("notices", F.lit("")).alias("notices"),
         F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
     )
@@ -123,11 +128,11 @@ _VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in K
 OP2_SQL = f"""
 WITH known AS (SELECT min(license) AS license, sha FROM (
     SELECT license, sha256({canonical_sql("t")}) AS sha FROM (VALUES {_VALUES}) k(license, t)) GROUP BY sha),
-lines AS (SELECT doc_id, {canonical_sql("line")} AS form FROM (
-    SELECT doc_id, unnest(string_split(coalesce("text", ''), chr(10))) AS line FROM documents)),
-notices AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
-    FROM lines JOIN known ON sha256(form) = sha WHERE form <> '' GROUP BY doc_id),
-wholes AS (SELECT doc_id, sha256({canonical_sql("coalesce(\"text\", '')")}) AS canon_sha256 FROM documents)
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce("text", '') AS t FROM documents),
+lines AS (SELECT rid, {canonical_sql("line")} AS form FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
+notices AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
+    FROM lines JOIN known ON sha256(form) = sha WHERE form <> '' GROUP BY rid),
+wholes AS (SELECT rid, doc_id, sha256({canonical_sql("t")}) AS canon_sha256 FROM d)
 SELECT w.doc_id, canon_sha256, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
-FROM wholes w LEFT JOIN known ON canon_sha256 = sha LEFT JOIN notices USING (doc_id)
+FROM wholes w LEFT JOIN known ON canon_sha256 = sha LEFT JOIN notices USING (rid)
 """
