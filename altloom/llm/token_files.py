@@ -5,8 +5,11 @@ order and written as segments. A segment holds the ids of its documents as one
 array of two-byte or four-byte integers, and two Elias-Fano sequences: the
 ends of the documents in the array, and the document ids themselves. A
 sequence of n numbers up to u takes n low parts of log2(u / n) bits and at
-most 3 n bits of unary high parts, and a small table of every 64th place makes
-`select` look at few words only; no table of 64-bit offsets is kept.
+most 3 n bits of unary high parts. With them is stored how many numbers lie
+before every 64th byte of the high parts, by which `select` looks at few bytes
+for one number, and `selects` at the blocks that hold those asked for. Reading
+takes starts and ends of documents from `selects`; no table of 64-bit offsets
+is kept.
 
 A segment is closed when it has ``SEGMENT`` ids; it holds at least one whole
 document, so only a document longer than that makes a longer one. The files
@@ -23,7 +26,6 @@ checksums. An empty table gives no files' rows and an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,15 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from altloom.llm.base import Known, kept_in_worker, per_row, read, slices, whole
+from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices, strings, whole
 from altloom.session import materialize
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SEGMENT = 1 << 21
-WORDS = 500_000
-PIECES = 250_000
-LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+WORDS = 400_000
+MARKS = "".join(chr(c) for c in [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[" + "".join("\\" + c for c in MARKS) + "]*$"
 # The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -54,11 +56,9 @@ SEGMENTS = "part int, seq int, n_tokens bigint, n_docs int, n_null int, first_id
 class EliasFano:
     """An ascending sequence of whole numbers from 0, in near-minimal space."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, sampled: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        # Select structure: ones before each byte, kept for every 64th byte only.
-        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        self.sampled = np.concatenate([[0], ones[EVERY - 1 :: EVERY]]).astype(np.uint32)
+        self.sampled = sampled  # select structure: ones before every EVERY-th byte of the high parts
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -71,17 +71,19 @@ class EliasFano:
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
         packed = np.packbits(low.astype(np.uint8).ravel(), bitorder="little")
-        return cls(n, low_bits, packed, np.packbits(bits, bitorder="little"))
+        high = np.packbits(bits, bitorder="little")
+        ones_before = np.cumsum(np.bitwise_count(high), dtype=np.int64)[EVERY - 1 :: EVERY]
+        return cls(n, low_bits, packed, high, np.concatenate([[0], ones_before]).astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.n, self.low_bits, len(self.low)], "<u4")
-        return head.tobytes() + self.low.tobytes() + self.high.tobytes()
+        head = np.array([self.n, self.low_bits, len(self.low), len(self.sampled)], "<u4")
+        return head.tobytes() + self.sampled.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
-        n, low_bits, size = (int(x) for x in np.frombuffer(raw, "<u4", 3))
-        body = np.frombuffer(raw, np.uint8, offset=12)
-        return cls(n, low_bits, body[:size], body[size:])
+        n, low_bits, size, blocks = (int(x) for x in np.frombuffer(raw, "<u4", 4))
+        body = np.frombuffer(raw, np.uint8, offset=16 + 4 * blocks)
+        return cls(n, low_bits, body[:size], body[size:], np.frombuffer(raw, "<u4", blocks, offset=16))
 
     def lows(self, first: int, count: int) -> np.ndarray:
         """The low parts of ``count`` numbers from the ``first``."""
@@ -98,14 +100,35 @@ class EliasFano:
         place = start * 8 + int(np.flatnonzero(bits)[k - int(self.sampled[block])])
         return ((place - k) << self.low_bits) | int(self.lows(k, 1)[0])
 
+    def selects(self, ks: np.ndarray) -> np.ndarray:
+        """The numbers at ascending places ``ks``: only the blocks that hold them are unpacked."""
+        ks = np.asarray(ks, np.int64)
+        if not len(ks):
+            return np.zeros(0, np.uint64)
+        block = np.searchsorted(self.sampled, ks, side="right") - 1
+        used, turn = np.unique(block, return_inverse=True)
+        padded = np.zeros(EVERY * (int(used[-1]) + 1), np.uint8)
+        padded[: len(self.high)] = self.high[: len(padded)]
+        bits = np.unpackbits(padded.reshape(-1, EVERY)[used], axis=1, bitorder="little")
+        row, place = np.nonzero(bits)
+        first = np.searchsorted(row, np.arange(len(used)))
+        at = place[first[turn] + ks - self.sampled[block]] + block * EVERY * 8
+        low, high = int(ks[0]), int(ks[-1]) + 1
+        return ((at - ks).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(low, high - low)[ks - low]
+
     def all(self) -> np.ndarray:
-        """All numbers at once, for reading a segment through."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return ((places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(0, self.n)
+        return self.selects(np.arange(self.n))
 
 
 class Words:
-    """A tokenizers file; the ids of a word are worked out once and kept."""
+    """A tokenizers file; the ids of a part of a word are worked out once and kept.
+
+    A word is what stands between ASCII white space, where this kind of
+    vocabulary always cuts. A Latin word with ASCII marks behind it is cut
+    after its letters only, is composed already, and is lower-cased letter by
+    letter, so the library's model is asked for its two parts. Any other word,
+    such as one that holds a special token, goes to the library as it is.
+    """
 
     def __init__(self, content: bytes):
         import os
@@ -114,59 +137,68 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.known = Known(np.uint32, WORDS)
-        self.pieces: dict[str, list[int]] = {}
         self.plain = self.is_plain()
 
     def is_plain(self) -> bool:
         """Whether Latin words and ASCII marks reach the model as they are, but for case and byte letters."""
-        probe = ["Straße", "ÉTÉ,", "ok!!", "A-b", "#*$", "ñandú."]
-        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
-        return all(self.latin(w) in (None, ids) for w, ids in zip(probe, whole, strict=True))
-
-    def latin(self, word: str) -> list[int] | None:
-        """Ids of a Latin word with ASCII marks behind it; None for any other word.
-
-        Such a word is cut after its letters only, is composed already, and is
-        lower-cased letter by letter, so the library's model can be asked for its parts.
-        """
-        match = LATIN.fullmatch(word)
-        if match is None:
-            return None
-        out: list[int] = []
-        for part in match.groups():
-            if part:
-                part = part.lower()
-                ids = self.pieces.get(part)
-                if ids is None:
-                    if len(self.pieces) >= PIECES:
-                        self.pieces.clear()
-                    ids = self.pieces[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))]
-                out += ids
-        return out
-
-    def ids(self, words: list[str]) -> list[list[int]]:
-        found = [self.latin(w) for w in words] if self.plain else [None] * len(words)
-        rest = [k for k, ids in enumerate(found) if ids is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            found[k] = e.ids
-        return found
+        probe = ["Straße", "ÉTÉ,", "ok!!", "A-b", "#*$", "ñandú.", "<|endoftext|>"]
+        self.plain = True
+        return all(self.of(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+
+    def of(self, text: str) -> list[int]:
+        return self.texts(pa.array([text], pa.string()), 0)[0][:-1].tolist()
+
+    def work_out(self, keys: list[str]) -> list[list[int]]:
+        """Ids of parts, and of words, which have a space before them."""
+        words = [k for k in keys if k[:1] == " "]
+        given = iter(self.tokenizer.encode_batch_fast([w[1:] for w in words], add_special_tokens=False))
+        tokenize = self.model.tokenize
+        return [
+            next(given).ids if k[:1] == " " else [t.id for t in tokenize(k if k.isascii() else k.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            for k in keys
+        ]
+
+    def slots(self, words: pa.StringArray) -> np.ndarray:
+        """Of each word the slots of its two parts; a word that is not cut is its own first part."""
+        latin = pc.match_substring_regex(words, LATIN) if self.plain else pa.array(np.zeros(len(words), bool))
+        low = pc.utf8_lower(words)
+        letters = pc.utf8_rtrim(low, MARKS)
+        first = pc.if_else(latin, letters, pc.binary_join_element_wise("", words, " "))
+        second = pc.if_else(latin, behind(low, letters), "")
+        firsts, seconds = first.dictionary_encode(), second.dictionary_encode()
+        keys = strings(firsts.dictionary) + strings(seconds.dictionary)
+        found = self.known.slots(keys, self.work_out)
+        n = len(firsts.dictionary)
+        return np.stack([found[:n][firsts.indices.to_numpy()], found[n:][seconds.indices.to_numpy()]], axis=1)
 
     def texts(self, column: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, each with the end id, and their counts.
-
-        Words are what stands between ASCII white space, where this kind of
-        vocabulary always cuts; their ids do not depend on their neighbours.
-        """
+        """Ids of all rows, each with the end id, and their counts."""
         lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
-        slots = self.known.slots(words.dictionary.to_pylist(), self.ids)[words.indices.to_numpy()]
-        counts = per_row(ends, self.known.sizes[slots])
-        ids = np.insert(self.known.gather(slots), np.cumsum(counts), end_id)
-        return ids, counts + 1
+        pairs = self.slots(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros((0, 2), np.int64)
+        sizes = self.known.sizes[pairs].sum(axis=1)
+        counts = per_row(ends, sizes)
+        flat = pairs.ravel()
+        out = np.empty(int(counts.sum()) + len(counts), np.uint32)
+        stops = np.cumsum(counts) + np.arange(len(counts))
+        inner = np.ones(len(out), bool)
+        inner[stops] = False
+        out[inner] = self.known.gather(flat)
+        out[stops] = end_id
+        return out, counts + 1
+
+
+def behind(whole_words: pa.StringArray, parts: pa.StringArray) -> pa.StringArray:
+    """What of each word stands behind its first part."""
+    sizes, kept = pc.binary_length(whole_words).to_numpy(), pc.binary_length(parts).to_numpy()
+    offsets = np.frombuffer(whole_words.buffers()[1], np.int32)[whole_words.offset :][: len(whole_words)].astype(np.int64)
+    rest = (sizes - kept).astype(np.int64)
+    data = np.frombuffer(whole_words.buffers()[2] or b"", np.uint8)[ragged_index(offsets + kept, rest)]
+    borders = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(rest), pa.py_buffer(borders), pa.py_buffer(data))
 
 
 def tokenizer_builder(spark: SparkSession, path: str):
@@ -244,8 +276,9 @@ def read_back(files: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                ends = EliasFano.from_bytes(row["ends"]).all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
+                borders, every = EliasFano.from_bytes(row["ends"]), np.arange(row["n_docs"])
+                ends = borders.selects(every).astype(np.int64)
+                starts = np.concatenate([[0], borders.selects(every[:-1]).astype(np.int64)])
                 named = EliasFano.from_bytes(row["doc_ids"]).all().astype(np.int64) + row["first_id"]
                 raw = memoryview(ids.tobytes())
                 checks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -15,9 +15,7 @@ from altloom.llm.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
 
 
 @settings(max_examples=60, deadline=None)
@@ -27,6 +25,8 @@ def test_elias_fano_keeps_numbers(values):
     found = token_files.EliasFano.from_bytes(token_files.EliasFano.of(np.array(values, np.uint64)).to_bytes())
     assert found.all().tolist() == values
     assert [found.select(k) for k in range(len(values))] == values
+    some = np.flatnonzero(np.random.default_rng(len(values)).random(len(values)) < 0.3)
+    assert found.selects(some).tolist() == [values[k] for k in some]
 
 
 def test_elias_fano_is_small():
@@ -38,8 +38,8 @@ def test_elias_fano_is_small():
 def test_words_equal_library(library):
     words = token_files.Words(open(public_tokenizers.path(token_files.VOCABULARY), "rb").read())
     rng = random.Random(2)
-    parts = [" ", "\n", "\t", "\u0085", "\x1c", " ", "a", "The", " of", "É", "é", "'S", "12", "½", "!!", "😀", "İ", "Σ", "ΑΣ", "ﬁ", "<|endoftext|>"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    parts = [" ", "\n", "\t", "\u0085", "\x1c", " ", "a", "The", " of", "É", "é", "'S", "12", "½", "!!", "😀", "İ", "Σ", "ΑΣ", "ﬁ", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'", "-", "]", "^", "\\", "ß", "×", "÷", "µ", "ª", "`"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
     ids, counts = words.texts(pa.array([*texts, None], pa.string()), 2)
     at = 0
     for text, n in zip([*texts, ""], counts, strict=True):
@@ -47,6 +47,13 @@ def test_words_equal_library(library):
         at += n
 
 
+def test_special_tokens_are_the_library_s(spark, library):
+    rows = [(1, "a <|endoftext|> b"), (2, "x<|endoftext|>y <|startoftext|>!"), (3, "<|ENDOFTEXT|> c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in token_files.documents_of(token_files.write(docs)).collect())
+    assert got == expected(rows, library) and got[0][2] == 4
+
+
 def expected(rows, library):
     out, start = [], 0
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
