@@ -1,23 +1,22 @@
-"""Near-identical pictures: for each the best earlier match, and the groups these make.
-
-A hash is cut into bands. Two hashes that differ in at most ``k`` bits agree in
-at least ``bands - k`` bands, so both carry the key of every set of that many
-bands and meet in an equi join. Equal hashes are folded into one row with a
-count first. For the matches each hash keeps only its best match with an
-earlier picture: the result has a row per hash at most, and partial minima are
-taken before anything is shuffled. The hashes of a key that very many share
-(plain or dark pictures) are dealt over as many salts as their count asks for.
-
-Groups need more than best matches: two hashes without an earlier match can be
-joined by a later one. They are built from spanning links: the few hashes of a
-light key give all their links, those of any other key a spanning forest of
-them, which joins the same hashes with a link per hash at most.
+"""Near-identical pictures: for each the best earlier match and its number of links, and the groups these make.
+
+A multi-index over few long bands: 64 bits and a distance of 5 take two bands
+of 32 bits. Of two hashes within ``k`` bits, one band differs by two bits at
+most, so a hash stands under the values of each of its bands and under those
+with one bit flipped, and the two meet under a value between them: 66 keys of
+32 bits a hash. Equal hashes are folded into one row with a count first. A
+pair may meet under several values; it counts under one of them, which both
+hashes tell alike. The hashes of a key that very many share (plain or dark
+pictures) are dealt over as many salts as their count asks for.
+
+Groups are built from spanning links: the few hashes of a light key give all
+their links, those of any other key a spanning forest of them, which joins the
+same hashes with a link per hash at most. Only keys with more than ``light``
+hashes are worked through in Python.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,60 +26,75 @@ from altloom.session import materialize
 from altloom.functions.phash import distance
 
 
+def bands_for(k: int) -> int:
+    """So many bands that one of them holds two differing bits at most."""
+    return k // 3 + 1
+
+
 def band(value: Column, n: int, bands: int, bits: int) -> Column:
     low, high = n * bits // bands, (n + 1) * bits // bands
     return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
 
 
-def folded_and_keyed(df: DataFrame, id_col: str, hash_col: str, k: int, bands: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct hashes with first id and copies, and a row of them for every band key."""
-    agree = bands - k
-    if agree < 1:
-        raise ValueError("bands must exceed k")
-    value = F.col("hash")
-    # Every band keeps its own bits, so that values of different bands differ.
-    kept = [F.shiftleft(band(value, n, bands, bits), n * bits // bands) for n in range(bands)]
-
-    def masked(chosen: tuple[int, ...]) -> Column:
-        bits_of = kept[chosen[0]]
-        for n in chosen[1:]:
-            bits_of = bits_of.bitwiseOR(kept[n])
-        return bits_of
-
+def folded_and_keyed(df: DataFrame, id_col: str, hash_col: str, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct hashes with first id and copies, and a row of them for every band value that they stand under."""
+    bands = bands_for(k)
     folded = materialize(
         df.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash")).agg(
             F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")
         )
     )
-    keys = F.array(*[F.struct(F.lit(i).alias("set"), masked(c).alias("bits")) for i, c in enumerate(combinations(range(bands), agree))])
+
+    def values(n: int) -> Column:
+        own, width = band(F.col("hash"), n, bands, bits), (n + 1) * bits // bands - n * bits // bands
+        flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(width)])
+        return F.transform(flips, lambda flip: F.struct(F.lit(n).alias("band"), own.bitwiseXOR(flip).alias("value")))
+
+    keys = F.flatten(F.array(*[values(n) for n in range(bands)]))
     return folded, folded.select("hash", "first_id", F.explode(keys).alias("key"))
 
 
-def best_matches(
-    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64, heavy: int = 10_000
-) -> DataFrame:
-    """``first_id``, ``copies``, ``match_id`` and ``distance`` of each distinct hash that resembles an earlier one.
+def meets_here(k: int, bits: int) -> Column:
+    """Whether ``key`` is the one under which the pair of hash_a and hash_b counts: in the first band that they share values of, the least."""
+    bands, found = bands_for(k), None
+    for n in reversed(range(bands)):
+        a, b = band(F.col("hash_a"), n, bands, bits), band(F.col("hash_b"), n, bands, bits)
+        x = a.bitwiseXOR(b)
+        low = x.bitwiseAND(-x)
+        differ = F.bit_count(x)
+        least = F.when(differ == 0, a).when(differ == 1, F.least(a, b)).otherwise(F.least(a.bitwiseXOR(low), b.bitwiseXOR(low)))
+        here = (F.col("key.band") == n) & (F.col("key.value") == least)
+        found = here if found is None else F.when(differ <= 2, here).otherwise(found)
+    return found
+
 
-    Earlier is what has a smaller first id; the least distance wins, then the smallest id.
+def best_matches(df: DataFrame, id_col: str, hash_col: str, k: int = 5, bits: int = 64, heavy: int = 10_000) -> DataFrame:
+    """``first_id``, ``copies``, ``match_id``, ``distance`` and ``links`` of each distinct hash that resembles another.
+
+    ``links`` counts the other distinct hashes within ``k`` bits. Of those that
+    are earlier, by their first ids, the least distance wins, then the smallest
+    id; where none is, ``match_id`` and ``distance`` are null.
     """
-    folded, keyed = folded_and_keyed(df, id_col, hash_col, k, bands, bits)
+    folded, keyed = folded_and_keyed(df, id_col, hash_col, k, bits)
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = counted.select("key", F.ceil(F.col("n") / heavy).cast("int").alias("salts"))
     met = keyed.join(shared, "key")
-    later = met.select("key", F.pmod(F.xxhash64("hash"), "salts").cast("int").alias("salt"), F.col("hash").alias("hash_a"), F.col("first_id").alias("id_a"))
-    earlier = met.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hash").alias("hash_b"), F.col("first_id").alias("id_b"))
-    near = distance("hash_a", "hash_b")
+    ones = met.select("key", F.pmod(F.xxhash64("hash"), "salts").cast("int").alias("salt"), F.col("hash").alias("hash_a"), F.col("first_id").alias("id_a"))
+    others = met.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hash").alias("hash_b"), F.col("first_id").alias("id_b"))
+    near, earlier = distance("hash_a", "hash_b"), F.col("id_b") < F.col("id_a")
     best = (
-        later.join(earlier, ["key", "salt"]).filter((F.col("id_b") < F.col("id_a")) & (near <= k))
-        .groupBy(F.col("id_a").alias("first_id")).agg(F.min(F.struct(near.alias("distance"), F.col("id_b").alias("match_id"))).alias("m"))
+        ones.join(others, ["key", "salt"]).filter((F.col("id_b") != F.col("id_a")) & (near <= k) & meets_here(k, bits))
+        .groupBy(F.col("id_a").alias("first_id")).agg(
+            F.min(F.when(earlier, F.struct(near.alias("distance"), F.col("id_b").alias("match_id")))).alias("m"), F.count(F.lit(1)).alias("links")
+        )
     )
     return best.join(folded.select("first_id", "copies"), "first_id").select(
-        "first_id", "copies", "m.match_id", "m.distance"
+        "first_id", "copies", "m.match_id", "m.distance", "links"
     )
 
 
 def spanning_links(
-    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bands: int = 8, bits: int = 64, light: int = 16, block: int = 2048
+    df: DataFrame, id_col: str, hash_col: str, k: int = 5, bits: int = 64, light: int = 16, block: int = 2048
 ) -> DataFrame:
     """``first_id`` and ``match_id`` of links which join all distinct hashes that chains of pairs within ``k`` bits join.
 
@@ -88,7 +102,7 @@ def spanning_links(
     spanning forest. The hashes of a key with more than twice ``block`` are
     dealt as pairs of blocks, so that every pair of them still meets.
     """
-    _, keyed = folded_and_keyed(df, id_col, hash_col, k, bands, bits)
+    _, keyed = folded_and_keyed(df, id_col, hash_col, k, bits)
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(keyed.join(counted, "key"))
     few = met.filter(F.col("n") <= light)

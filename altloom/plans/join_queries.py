@@ -266,13 +266,13 @@ def group_children(spark, sf_dir):
 
 
 PAIRS_SQL = f"""{HASHES_SQL}, f AS (SELECT a, min(id) AS first_id, count(*) AS copies FROM bits GROUP BY a),
-pairs AS (SELECT y.first_id, y.copies, x.first_id AS match_id, bit_count(xor(x.a::BIT, y.a::BIT)) AS distance FROM f x JOIN f y ON x.first_id < y.first_id AND bit_count(xor(x.a::BIT, y.a::BIT)) <= 5
-   QUALIFY row_number() OVER (PARTITION BY y.first_id ORDER BY distance, x.first_id) = 1)"""
+pairs AS (SELECT y.first_id, y.copies, x.first_id AS match_id, bit_count(xor(x.a::BIT, y.a::BIT)) AS distance FROM f x JOIN f y ON x.first_id <> y.first_id AND bit_count(xor(x.a::BIT, y.a::BIT)) <= 5)"""
 
 
 @query(
     "similar_pairs_d12",
-    f"""WITH {PAIRS_SQL} SELECT first_id, copies, match_id, CAST(distance AS INT) AS distance FROM pairs""",
+    f"""WITH {PAIRS_SQL}, m AS (SELECT first_id, min((distance, match_id)) FILTER (match_id < first_id) AS best, any_value(copies) AS copies, count(*) AS links FROM pairs GROUP BY first_id)
+SELECT first_id, copies, best[2] AS match_id, CAST(best[1] AS INT) AS distance, links FROM m""",
 )
 def similar_pairs(spark, sf_dir):
     return similar.best_matches(hashes(spark, sf_dir), "id", "ahash")

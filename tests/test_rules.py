@@ -73,8 +73,11 @@ def test_banded_pairs_equal_brute_force(spark):
         if near:
             want[i] = min(near)
     for heavy in (3, 10_000):
-        got = {r["first_id"]: (r["distance"], r["match_id"]) for r in similar.best_matches(df, "id", "h", heavy=heavy).collect()}
+        rows = similar.best_matches(df, "id", "h", heavy=heavy).collect()
+        got = {r["first_id"]: (r["distance"], r["match_id"]) for r in rows if r["match_id"] is not None}
         assert got == want and want
+        links = {i: sum(0 < bin((a ^ b) & mask).count("1") <= 5 for b in first) for a, i in first.items()}
+        assert {r["first_id"]: r["links"] for r in rows} == {i: n for i, n in links.items() if n}
 
 
 def test_many_hashes_around_one_centre(spark):
@@ -82,7 +85,7 @@ def test_many_hashes_around_one_centre(spark):
     rng = random.Random(4)
     values = list(dict.fromkeys(sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5))) for _ in range(3000)))
     df = spark.createDataFrame(list(enumerate(values)), "id bigint, h bigint")
-    got = {r.first_id: (r.distance, r.match_id) for r in similar.best_matches(df, "id", "h", heavy=500).collect()}
+    got = {r.first_id: (r.distance, r.match_id) for r in similar.best_matches(df, "id", "h", heavy=500).collect() if r.match_id is not None}
     h = np.array(values, np.uint64)
     want = {}
     for i in range(1, len(h)):
