@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from altloom.functions import gates, text
@@ -139,3 +140,40 @@ def test_punctuation(spark):
 def test_dedupe_token(spark):
     df = spark.createDataFrame([("WMF format of a WMF format",)], "t string")
     assert df.select(text.dedupe_token(F.col("t"), "WMF")).first()[0] == "WMF format of a"
+
+
+def test_sentences_of_long_texts(spark):
+    """Ten thousand sentences take about ten times as long as a thousand; short, repeated and held ones still go."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    def sentence():
+        return " ".join(f"w{rng.randrange(10**5)}" for _ in range(9)) + "."
+
+    took = {}
+    for n in (1000, 10_000):
+        own = [sentence() for _ in range(n)]
+        held = own[5][own[5].index(" ") + 1 : own[5].rindex(" ")]
+        words = " ".join([*own, own[7], held + ".", "w1.", own[3].upper()])
+        df = spark.createDataFrame([(words,)], "t string")
+        began = time.perf_counter()
+        found = df.select(text.unique_sentences("t")).first()[0]
+        took[n] = time.perf_counter() - began
+        assert found[:n] == [s.rstrip(".") for s in own] and len(found) <= n + 1
+    assert took[10_000] < 40 * took[1000] + 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_held_sentences_equal_plain_search(one, seed):
+    rng = random.Random(seed)
+    words = ["a", "ab", "abc", "b", "the", "of", "x"]
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(rng.randint(1, 25))) + "." for _ in range(150)]
+
+    def plain(t):
+        parts = [p for p in (s.strip(" .") for s in t.split(". ")) if p]
+        low = [p.lower() for p in parts]
+        return [p for n, p in enumerate(parts) if low.index(low[n]) == n and not any(low[n] in q and q != low[n] for q in low)]
+
+    assert one(text.unique_sentences, *texts) == [plain(t) for t in texts]
