@@ -155,12 +155,13 @@ def equivalent(a: ColumnLike, b: ColumnLike) -> Column:
     return comparable(a) == comparable(b)
 
 
-def needs_replace(current: ColumnLike, new: ColumnLike) -> Column:
-    """Is the new text worth writing over the current one?"""
+def needs_replace(current: ColumnLike, new: ColumnLike, normal: bool = False) -> Column:
+    """Is the new text worth writing over the current one? ``normal``: the new text is in its normal form already."""
+    compared = col(new) if normal else normalize_universal(new)
     return (
         F.when(is_blank(new), False)
         .when(is_blank(current), True)
-        .otherwise(F.lower(normalize_universal(current)) != F.lower(normalize_universal(new)))
+        .otherwise(F.lower(normalize_universal(current)) != F.lower(compared))
     )
 
 

@@ -28,7 +28,7 @@ def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "
     new = gated.withColumn("text_hash", text_hash("new_alt")).join(written, [*KEY, "text_hash"], "left_anti")
     compared = new.join(current.select(*KEY, F.col("text").alias("old_alt")), KEY, "left")
     guarded = is_meaningful("old_alt") & ~F.col("forced") if mode == "preserve" else F.lit(False)
-    changed = compared.filter(~guarded).filter(needs_replace("old_alt", "new_alt"))
+    changed = compared.filter(~guarded).filter(needs_replace("old_alt", "new_alt", normal=True))
     return changed.select(
         *KEY, "old_alt", "new_alt", F.when(is_blank("old_alt"), "insert").otherwise("replace").alias("change"), "text_hash"
     )
