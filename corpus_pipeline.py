@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from altloom.llm import bpe, exact, langid, mixing, simhash
+from altloom.llm import bpe, exact, langid, mixing, near
 from altloom.session import shared_folder
 
 
@@ -26,8 +26,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest id stays."""
-    return simhash.without_near_copies(docs)
+    """Of each group of near copies (five words, similarity of about 0.8) the one with the smallest id stays."""
+    return near.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

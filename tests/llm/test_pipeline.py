@@ -9,7 +9,8 @@ import tiktoken
 
 import corpus_pipeline
 from altloom.llm import bpe, mixing
-from tests.llm.test_simhash import all_links, groups, plain_fingerprint
+from altloom.llm import near as near_copies
+from tests.llm.test_near import joined
 
 
 def spaced(text):
@@ -27,8 +28,6 @@ def stages(spark, folder, tmp_path):
 
 
 def test_stages(spark, tables, tmp_path):
-    import numpy as np
-
     docs, spoken, exact, near, mixed, ids = stages(spark, tables, tmp_path)
     assert all(d.columns == docs.columns for d in (spoken, exact, near, mixed))
     rows = {d: [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()] for d in (docs, spoken, exact, near, mixed)}
@@ -41,13 +40,12 @@ def test_stages(spark, tables, tmp_path):
             least[spaced(text)] = doc_id
     assert sorted(map(repr, [(i, spaced(t)) for i, t in rows[exact]])) == sorted(map(repr, [(i, t) for t, i in least.items()]))
 
-    prints = {doc_id: plain_fingerprint(text) for doc_id, text in rows[exact]}
-    points = np.unique(np.array(list(prints.values()), np.uint64))
-    root, first = groups(points.tolist(), all_links(points, 4)), {}
-    for doc_id, fp in prints.items():
-        known = first.setdefault(root[fp], doc_id)
+    drawn = [near_copies.sketch(text) for _, text in rows[exact]]
+    root, first = joined(drawn), {}
+    for (doc_id, _), r in zip(rows[exact], root, strict=True):
+        known = first.setdefault(r, doc_id)
         if known is None or (doc_id is not None and doc_id < known):
-            first[root[fp]] = doc_id
+            first[r] = doc_id
     assert sorted(map(str, (r[0] for r in rows[near]))) == sorted(map(str, first.values()))
 
     copies = {r.doc_id: r.copies for r in mixing.mix(near).collect()}
