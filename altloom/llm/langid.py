@@ -9,9 +9,9 @@ its score. Words of a text that changes language are labelled one by one.
 
 Training maximises the likelihood of the labels on sequences put together from
 windows of texts of one or more languages, so that transitions are seen. It
-takes ``PER_LANG`` texts of each language at most, each of ``MOST_CHARS``
-characters at most, those with the smallest hashes of their ids: that bounds
-what comes to the driver. The language comes from the text alone.
+takes ``PER_LANG`` texts of each of the ``MOST_LANGS`` most frequent languages
+at most, each of ``MOST_CHARS`` characters at most, those with the smallest
+hashes of their ids: that bounds what comes to the driver. The language comes from the text alone.
 
 A text is cut into segments; the product of a segment's transition matrices
 stands for the segment, so that forward-backward over a very long text takes
@@ -37,11 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices
+from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices, strings
+from altloom.llm.crf import marginals
 
 UNKNOWN = "und"
 PER_LANG = 300
 MOST_CHARS = 20_000
+MOST_LANGS = 200
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 SCALE_EVERY = 8
@@ -129,7 +131,7 @@ def posteriors(emitted: np.ndarray, counts: np.ndarray, moves: np.ndarray, segme
     begin = np.repeat(np.cumsum(counts) - counts, pieces) + turn * segment
     size = np.minimum(segment, counts[owner] - turn * segment)
     order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
+    begin, size, fresh = begin[order], size[order], (turn == 0)[order]  # a text's first word follows none
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     active = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]))]  # segments longer than t
@@ -143,7 +145,10 @@ def posteriors(emitted: np.ndarray, counts: np.ndarray, moves: np.ndarray, segme
         product = np.tile(np.eye(k), (len(many), 1, 1))
         for t in range(int(size[many[0]])):
             n = int(np.searchsorted(-size[many], -t, side="left"))
-            now = (product[:n].reshape(-1, k) @ step).reshape(n, k, k) * b[begin[many[:n]] + t][:, None, :]
+            come = (product[:n].reshape(-1, k) @ step).reshape(n, k, k)
+            if t == 0:
+                come[fresh[many[:n]]] = np.eye(k)
+            now = come * b[begin[many[:n]] + t][:, None, :]
             product[:n] = now / now.max(axis=(1, 2), keepdims=True) if t % SCALE_EVERY == 0 else now
         product /= product.max(axis=(1, 2), keepdims=True)
         first = np.cumsum(pieces) - pieces
@@ -158,7 +163,10 @@ def posteriors(emitted: np.ndarray, counts: np.ndarray, moves: np.ndarray, segme
     out = np.empty((len(emitted), k))
     for t, n in enumerate(active):
         at = begin[:n] + t
-        now = (ahead[:n] @ step) * b[at]
+        come = ahead[:n] @ step
+        if t == 0:
+            come[fresh] = 1.0 / k
+        now = come * b[at]
         ahead[:n] = out[at] = normal(now) if t % SCALE_EVERY == 0 else now
     back = step.T
     for t in range(len(active) - 1, -1, -1):
@@ -169,12 +177,21 @@ def posteriors(emitted: np.ndarray, counts: np.ndarray, moves: np.ndarray, segme
     return normal(out)
 
 
-def chosen(docs: DataFrame, per_lang: int, most_chars: int) -> list[tuple[str, str]]:
-    """(lang, text) of the rows to learn from, a bounded number."""
+def chosen(docs: DataFrame, per_lang: int, most_chars: int, most_langs: int = MOST_LANGS) -> list[tuple[str, str]]:
+    """(lang, text) of the rows to learn from, a bounded number.
+
+    Of each language a threshold from its number of rows lets about three times
+    as many ids through as are wanted, so that a language with a third of all
+    rows sends no more to one task than another.
+    """
     own = docs.select("doc_id", "lang", "text").filter(may_learn() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    narrow = own.select("lang", "doc_id").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    ids = narrow.filter(F.col("turn") <= per_lang).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang"))
+    narrow = own.select("lang", "doc_id")
+    sizes = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    share = F.least(F.lit(1.0), 3.0 * per_lang / F.col("count"))
+    near = narrow.join(F.broadcast(sizes), "lang").filter(F.shiftright(F.xxhash64("doc_id"), 33) <= share * (1 << 31) - (1 << 30))
+    turned = near.select("lang", "doc_id").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    ids = turned.filter(F.col("turn") <= per_lang).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang"))
     met = own.join(F.broadcast(ids), (F.col("doc_id") == F.col("of")) & (F.col("lang") == F.col("of_lang")))
     rows = met.select("lang", "doc_id", "text").distinct().collect()
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text))]
@@ -244,7 +261,7 @@ def trained(
         heads = np.cumsum(sizes[used]) - sizes[used]
         said = np.add.reduceat(weights[index], heads, axis=0) + own[own_row[used]]
         emitted = said[back].astype(np.float64)
-        found = posteriors(emitted, counts, moves)
+        found, expected, _ = marginals(emitted, counts, moves, np.zeros(k))
         error = np.eye(k)[truth] - found
         per_type = np.zeros((len(used), k))
         np.add.at(per_type, back, error)
@@ -259,17 +276,12 @@ def trained(
         np.add.at(slope, place, per_type)
         slope[rows_used == 0] = 0
         gone(1, own, rows_used, slope.astype(np.float32))
-        # Transitions: those seen less those expected, by the probabilities of neighbours.
+        # Transitions: those seen less those expected, by the joint probabilities of neighbours.
         inner = np.ones(len(words), bool)
         inner[np.cumsum(counts) - counts] = False
         here = np.flatnonzero(inner)
-        b = np.exp(emitted - emitted.max(axis=1, keepdims=True))
-        seen_moves, expected = np.zeros((k, k)), np.zeros((k, k))
+        seen_moves = np.zeros((k, k))
         np.add.at(seen_moves, (truth[here - 1], truth[here]), 1)
-        before = found[here - 1]
-        pair = before[:, :, None] * np.exp(moves)[None] * b[here][:, None, :]
-        pair *= (found[here] / np.maximum(pair.sum(axis=1), 1e-30))[:, None, :]
-        expected = pair.sum(axis=0)
         gone(2, moves, np.arange(k), (seen_moves - expected) / batch)
     return Model(languages, weights, lexicon, own, moves)
 
@@ -308,7 +320,7 @@ def labelled(model: Model, known: Known, column: pa.StringArray, words: bool) ->
     lists = pc.ascii_split_whitespace(column)
     ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
     coded = lists.flatten().dictionary_encode()
-    slots = known.slots(coded.dictionary.to_pylist(), lambda new: scores(model, new))[coded.indices.to_numpy()]
+    slots = known.slots(strings(coded.dictionary), lambda new: scores(model, new))[coded.indices.to_numpy()]
     counts = per_row(ends, (known.sizes[slots] > 0).astype(np.int64))
     emitted = known.gather(slots).reshape(-1, k)
     full = np.flatnonzero(counts)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from altloom.llm import langid
+from altloom.llm import crf, langid
 from altloom.llm.queries import QUERIES
 from tests.llm.conftest import WORDS, prose
 
@@ -14,7 +14,7 @@ def plain_posteriors(emitted, moves):
     b, step, n = np.exp(emitted), np.exp(moves), len(emitted)
     ahead, now = [], np.ones(emitted.shape[1])
     for t in range(n):
-        now = (now @ step) * b[t]
+        now = (now @ step if t else now) * b[t]
         now /= now.sum()
         ahead.append(now)
     out, behind = np.empty_like(emitted), np.ones(emitted.shape[1])
@@ -36,6 +36,13 @@ def test_segments_give_the_same_probabilities(segment):
         at += n
 
 
+def test_probabilities_are_those_of_training():
+    rng = np.random.default_rng(2)
+    counts, moves = np.array([3, 70, 1, 12]), rng.normal(size=(4, 4))
+    emitted = 2 * rng.normal(size=(86, 4))
+    assert np.allclose(langid.posteriors(emitted, counts, moves, 16), crf.marginals(emitted, counts, moves, np.zeros(4))[0], atol=1e-8)
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(8)
