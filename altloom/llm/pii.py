@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from altloom.llm.base import Known, kept_in_worker, ragged_index, read, slices, whole
+from altloom.llm.base import Known, kept_in_worker, ragged_index, read, slices, strings, whole
 from altloom.llm.crf import marginals, viterbi
 from altloom.llm.cuts import AS_IS, cut, table
 
@@ -270,10 +270,16 @@ def emissions(roles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, sample: int, most_chars: int) -> list[list[str]]:
-    """Lines without digits and signs of a bounded number of documents, those with the smallest hashes."""
-    own = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    rows = own.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample).collect()
-    lines = [line for r in rows for line in r.text.split("\n")]
+    """Lines without digits and signs of a bounded number of documents, those with the smallest hashes.
+
+    A threshold from the number of rows lets about four times as many rows
+    through as are wanted, so that tasks do not each send a whole sample.
+    """
+    share = min(1.0, 4 * sample / max(docs.count(), 1))
+    order = F.xxhash64("doc_id", "text")
+    own = docs.filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select(order.alias("turn"), "text")
+    near = own.filter(F.col("turn") <= int(share * (1 << 64)) - (1 << 63) - (share == 1.0)).dropDuplicates(["turn"])
+    lines = [line for r in near.orderBy("turn").limit(sample).collect() for line in r.text.split("\n")]
     return [line.split()[:60] for line in lines if not re.search(r"[0-9@\[\]{}()]", line)]
 
 
@@ -295,7 +301,7 @@ def field_spans(model: Model, known: Known, texts: pa.Array) -> list[tuple[int,
     stands = pc.binary_join_element_wise(
         pc.if_else(pc.match_substring_regex(words, "^[A-Z]"), "Xx", "x"), pc.if_else(pc.match_substring_regex(words, "[.,;:!?]$"), ".", ""), ""
     )
-    keys = pc.if_else(plain, stands, words).to_pylist()
+    keys = strings(pc.if_else(plain, stands, words))
 
     def work_out(new: list[str]) -> list[np.ndarray]:
         return [model.weights[features(w)].sum(axis=0).ravel() for w in new]
