@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices
+from altloom.llm.base import Known, kept_in_worker, per_row, ragged_index, read, slices, strings
 
 RANKS = "byte_bpe_50k.tiktoken"
 PAIRS = 300_000
@@ -144,7 +144,7 @@ class Merges:
         ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
         parts = lists.flatten().dictionary_encode()
         firsts = np.concatenate([[0], ends[:-1]])
-        names, index = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        names, index = strings(parts.dictionary), parts.indices.to_numpy()
         # The first part of a text has no space before it.
         is_first = np.zeros(len(index), bool)
         is_first[firsts] = True
