@@ -15,6 +15,10 @@ digest it is kept under is an error.
 Digests are taken where the pages are scanned, and who is first is decided on
 digests alone. Payload bytes move once, to the task that writes them.
 
+Fields of a record are read line by line from its header's bytes. Control
+characters of an address are percent-encoded, so that no address can add a
+line.
+
 Nulls: a null payload is an empty one; null ids come last. A null address is
 written as an empty one. Repeated rows with one id and one payload share a
 header. An empty table gives an archive without records.
@@ -56,11 +60,26 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def address(url: str) -> Column:
+    """The address with its control characters percent-encoded."""
+    given = F.coalesce(url, F.lit(""))
+    out = given
+    for code in [*range(32), 127]:
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(given.rlike("[\\x00-\\x1f\\x7f]"), out).otherwise(given)
+
+
+def field(lines: Column, name: str) -> Column:
+    """The value of a header line, null where there is none."""
+    found = F.get(F.filter(lines, lambda line: line.startswith(f"{name}: ")), F.lit(0))
+    return F.substr(found, F.lit(len(name) + 3))
+
+
 def header(kind: str, date: str) -> Column:
     """The header lines of a record of one kind, as they stand in the file."""
     lines = [
         F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
-        F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))),
+        F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), address("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1"))),
     ]
     if kind == "revisit":
@@ -106,12 +125,12 @@ def records(spark: SparkSession, archive: Archive) -> DataFrame:
     told = F.when(F.col("found_sha") == F.col("of"), F.col("payload_digest")).otherwise(
         F.raise_error(F.lit("a payload does not have the digest it is kept under"))
     )
-    text = F.col("header").cast("string")
-    return met.select(
+    read = met.withColumn("lines", F.split(F.col("header").cast("string"), "\r\n"))
+    return read.select(
         "page_id", "header", "payload", F.col("payload_bytes").cast("long").alias("payload_bytes"), told.alias("payload_digest"),
-        F.regexp_extract(text, "\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
-        F.regexp_extract(text, "\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n", 1).alias("header_digest"),
-        F.nullif(F.regexp_extract(text, "\r\nX-Refers-To-Page: (-?[0-9]+)\r\n", 1), F.lit("")).cast("long").alias("refers_to"),
+        field(F.col("lines"), "WARC-Type").alias("record_type"),
+        F.substring_index(field(F.col("lines"), "WARC-Payload-Digest"), "sha1:", -1).alias("header_digest"),
+        field(F.col("lines"), "X-Refers-To-Page").cast("long").alias("refers_to"), field(F.col("lines"), "WARC-Target-URI").alias("address"),
     )
 
 

@@ -102,9 +102,44 @@ def test_slot_maps():
     assert sharding.rebalanced(old, totals, 8) == old
 
 
-def test_stored_map_has_a_version(spark):
-    table = sharding.stored(spark, {0: 1, 1: 0}, 3)
-    assert sorted(map(tuple, table.collect())) == [(0, 1, 3), (1, 0, 3)]
+def test_maps_of_little_are_even():
+    assert set(Counter(sharding.first_map([], 8192, 8).values()).values()) == {1024}
+    totals = [(s, 100 + s % 7, 1) for s in range(1000)]
+    found = sharding.first_map(totals, 8192, 8)
+    assert max(Counter(found.values()).values()) - min(Counter(found.values()).values()) <= 1
+    full = Counter()
+    for s, b, _ in totals:
+        full[found[s]] += b
+    assert max(full.values()) - min(full.values()) <= 106
+
+
+def test_a_stored_map_is_loaded_edited_and_stored_again(spark, tmp_path):
+    place = f"file://{tmp_path}/map"
+    docs = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(3000)], "doc_id int, text string")
+    first = sharding.shard(docs, 4, 64, place).collect()
+    again = sharding.shard(docs, 4, 64, place).collect()
+    assert sharding.versions(spark, place) == [1] and sorted(map(tuple, first)) == sorted(map(tuple, again))
+    grown = sharding.shard(docs, 5, 64, place).collect()
+    assert sharding.versions(spark, place) == [1, 2]
+    old, new = sharding.load(spark, place, 1)[0], sharding.load(spark, place)[0]
+    assert {new[s] for s in old if new[s] != old[s]} == {4} and len(new) == 64
+    before = {r.doc_id: r.shard for r in first}
+    assert {r.shard for r in grown if r.shard != before[r.doc_id]} == {4} and {r.shard for r in grown} == set(range(5))
+
+
+def test_assignment_of_the_query(spark, tables):
+    rows = QUERIES["op10_shards"](spark, tables).collect()
+    size, slot_of = Counter(), {}
+    for r in rows:
+        size[r.virtual_slot] += r["size"]
+        assert slot_of.setdefault((r.doc_id, r.text_crc32), r.virtual_slot) == r.virtual_slot
+    full, want = [0] * 8, {}
+    for slot in sorted(size, key=lambda s: (-size[s], s)):
+        least = min(range(8), key=lambda k: (full[k], sum(x == k for x in want.values()), k))
+        want[slot] = least
+        full[least] += size[slot]
+    assert all(r.shard == want[r.virtual_slot] for r in rows)
+    assert max(full) - min(full) <= max(size.values())
 
 
 @pytest.mark.parametrize(("rounds", "fan_in"), [(1, 2), (3, 2), (2, 5)])
@@ -176,6 +211,16 @@ def test_archive_gives_back_the_records(spark, tables):
             assert html[r.refers_to] == html[r.page_id] and r.refers_to < (r.page_id if r.page_id is not None else 1 << 60)
 
 
+def test_addresses_cannot_add_header_lines(spark):
+    urls = ["http://x\r\nX-Refers-To-Page: 99", "http://x\nWARC-Type: revisit\r\n\r\nblock", "\x00\x1f\x7f", "plain", "é", None, "a\r\n\r\n"]
+    rows = [(k, url, f"body\r\n\r\n{k % 3}") for k, url in enumerate(urls)]
+    found = archive.records(spark, archive.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
+    got = {r.page_id: (r.record_type, r.refers_to, bytes(r.payload).decode(), r.header_digest == r.payload_digest) for r in found}
+    assert got == {k: ("response" if k < 3 else "revisit", None if k < 3 else k % 3, html, True) for k, _, html in rows}
+    assert {r.page_id: r.address for r in found}[0] == "http://x%0D%0AX-Refers-To-Page: 99"
+    assert all(bytes(r.header).count(b"\r\n") == (8 if r.record_type == "response" else 10) + 1 for r in found)
+
+
 def test_small_payloads_are_responses(spark, tables):
     pages = spark.read.parquet(f"{tables}/pages.parquet")
     found = archive.records(spark, archive.write(pages, least=1))
