@@ -47,3 +47,32 @@ def test_groups_equal_all_pairs(spark, settings):
     rng.shuffle(values)
     rows = [(n, v - (1 << 64) if v >> 63 else v) for n, v in enumerate(values)]
     assert grouped(spark, rows, **settings) == by_all_pairs(rows)
+
+
+def scattered(spark, n):
+    rng = random.Random(5)
+    return spark.createDataFrame([(i, rng.getrandbits(63) ^ (i % 3)) for i in range(n)], "id bigint, h bigint")
+
+
+def test_no_rows_are_broadcast(spark, monkeypatch):
+    plans, write = [], similar.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(similar, "materialize", noted)
+    df = scattered(spark, 300)
+    links = similar.spanning_links(df, "id", "h", k=20)
+    similar.similar_groups(links, "first_id", "match_id").collect()
+    for plain in (links, similar.best_matches(df, "id", "h")):
+        plans.append(plain._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_hashes_are_dealt_out_before_they_multiply(spark, monkeypatch):
+    monkeypatch.setattr(similar, "DEALT", 50, raising=False)
+    _, keyed = similar.folded_and_keyed(scattered(spark, 300), "id", "h", 5, 64)
+    assert keyed.rdd.getNumPartitions() == 300 // 50 + 1
+    assert keyed.count() == 300 * 66
