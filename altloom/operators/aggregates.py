@@ -284,13 +284,14 @@ def selector_metrics(records: DataFrame) -> DataFrame:
 def slide_text(df: DataFrame, keys: Sequence[str], order: str, limit: int = 500) -> DataFrame:
     """Texts of a group in order, cut at ``limit``; its title is the first text.
 
-    Only texts that start within the limit are collected, which is at most
-    ``limit`` of them, whatever the size of the group.
+    Only texts that start within the limit or right behind it are collected,
+    which is at most ``limit`` of them, whatever the size of the group. The
+    blank before one that starts right behind still belongs to the cut.
     """
     worded = df.filter(~is_blank("text")).select(*keys, order, strip("text").alias("text"))
     size = (F.length("text") + 1).cast("bigint")
     placed = with_running(worded, keys, [order], {"__end": ("sum", size)})
-    starting = placed.filter(F.col("__end") - F.length("text") - 1 < limit)
+    starting = placed.filter(F.col("__end") - F.length("text") - 1 <= limit)
     pieces = F.array_sort(F.collect_list(F.struct(order, F.left("text", F.lit(limit)).alias("text"))))
     joined = F.array_join(F.transform(pieces, lambda p: p["text"]), " ")
     return starting.groupBy(*keys).agg(
