@@ -26,6 +26,19 @@ def cap(x: str) -> str:
     return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
 
 
+# Letters whose capital is several letters, as ß: the check engine's upper() takes one for one.
+LONG_CAPITALS = {c: c.upper() for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+
+
+def full_upper(x: str) -> str:
+    """The capital of one letter by the full mapping, which the queries and the reference use."""
+    return f"coalesce(map([{quoted(list(LONG_CAPITALS))}], [{quoted(list(LONG_CAPITALS.values()))}])[{x}], upper({x}))"
+
+
+def full_cap(x: str) -> str:
+    return f"{full_upper(f'substr({x}, 1, 1)')} || substr({x}, 2)"
+
+
 def word_count(x: str) -> str:
     s = squash(x)
     return f"CASE WHEN {s} = '' THEN 0 ELSE len(string_split({s}, ' ')) END"

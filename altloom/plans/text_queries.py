@@ -149,7 +149,7 @@ over_documents(
     f"""
 WITH t AS (SELECT doc_id, string_split(lower({q.squash("text || ' Medical Center'")}), ' ') AS w FROM documents),
 j AS (SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE
-   WHEN i = 1 OR x IN ('powerpoint', 'microsoft', 'southwestern', 'medical', 'center') THEN {q.cap('x')} ELSE x END), ' ') AS j FROM t)
+   WHEN i = 1 OR x IN ('powerpoint', 'microsoft', 'southwestern', 'medical', 'center') THEN {q.full_cap('x')} ELSE x END), ' ') AS j FROM t)
 SELECT doc_id, regexp_replace(j, '[.!?]+$', '') || '.' AS alt FROM j""",
     alt=lambda c: text.compare_key(F.concat(F.col(c), F.lit(" Medical Center"))),
 )
