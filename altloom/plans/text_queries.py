@@ -79,11 +79,13 @@ FINALIZED = """CASE WHEN lower({x}) IN ('', 'undefined', '(none)', 'n/a', 'none'
    regexp_extract({x}, '(?s)^[^\\p{{L}}]*') || upper(substr(substr({x}, length(regexp_extract({x}, '(?s)^[^\\p{{L}}]*')) + 1), 1, 1))
    || substr({x}, length(regexp_extract({x}, '(?s)^[^\\p{{L}}]*')) + 2)
    || CASE WHEN regexp_matches(right({x}, 1), '[\\p{{L}}\\p{{N}}]') THEN '.' ELSE '' END END"""
+FIRST_LETTER = "substr(substr({x}, length(regexp_extract({x}, '(?s)^[^\\p{{L}}]*')) + 1), 1, 1)"
+FINALIZED_FULL = FINALIZED.replace(f"upper({FIRST_LETTER})", q.full_upper(FIRST_LETTER))
 
 over_documents(
     "finalize_alt_b05",
     f"WITH t AS (SELECT doc_id, {q.strip('lower(text)')} AS t FROM documents) "
-    f"SELECT doc_id, {FINALIZED.format(x='t')} AS alt FROM t",
+    f"SELECT doc_id, {FINALIZED_FULL.format(x='t')} AS alt FROM t",
     alt=lambda c: text.finalize_alt(F.lower(F.col(c))),
 )
 
