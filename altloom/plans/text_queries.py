@@ -159,7 +159,7 @@ SELECT doc_id, regexp_replace(j, '[.!?]+$', '') || '.' AS alt FROM j""",
 over_documents(
     "hard_cut_b12",
     f"""
-WITH a AS (SELECT doc_id, {q.cap(q.strip('text'))} AS t FROM documents),
+WITH a AS (SELECT doc_id, {q.full_cap(q.strip('text'))} AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(left(t, 125), '\\s+$', '') AS t FROM a)
 SELECT doc_id, {q.mark('t')} AS alt FROM b""",
     alt=text.hard_cut,
