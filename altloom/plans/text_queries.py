@@ -61,7 +61,7 @@ universal AS (SELECT doc_id, {q.cap('m')} AS u FROM (SELECT doc_id, {q.end_mark(
 
 over_documents(
     "normalize_universal_b03",
-    f"WITH {UNIVERSAL.format(source='documents')} SELECT doc_id, u AS alt FROM universal",
+    f"WITH {UNIVERSAL.replace(q.cap('m'), q.full_cap('m')).format(source='documents')} SELECT doc_id, u AS alt FROM universal",
     alt=text.normalize_universal,
 )
 
