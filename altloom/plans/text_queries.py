@@ -496,7 +496,7 @@ PREFIXED = "regexp_replace({t}, '(?i)^" + q.alternation(fixed.VAGUE_PREFIXES) +
 a AS (SELECT shape_id, {q.strip('generated_alt')} AS t FROM elements),
 b AS (SELECT shape_id, CASE WHEN ({q.word_count('t')}) > 30 OR ends_with(t, '...') THEN {FIRST_WORDS.format(t='t')} ELSE t END AS t FROM a),
 c AS (SELECT shape_id, {PREFIXED.format(t=q.strip('t'))} AS t FROM b),
-d AS (SELECT shape_id, {q.squash(q.cap('t'))} AS t FROM c),
+d AS (SELECT shape_id, {q.squash(q.full_cap('t'))} AS t FROM c),
 e AS (SELECT shape_id, {SHRUNK.format(t='t')} AS t FROM d)
 SELECT shape_id, {q.end_mark('t')} AS alt FROM e""",
 )
