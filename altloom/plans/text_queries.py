@@ -124,7 +124,7 @@ over_documents(
 WITH t AS (SELECT doc_id, {q.strip('text')} AS t FROM documents),
 s AS (SELECT doc_id, t, list_transform(list_filter(list_transform(
     string_split(regexp_replace(t, '[.!?]+(?:\\s|$)', chr(1), 'g'), chr(1)), lambda p: {q.strip('p')}),
-    lambda p: length(p) > 3), lambda p: {q.cap('p')}) AS s FROM t),
+    lambda p: length(p) > 3), lambda p: {q.full_cap('p')}) AS s FROM t),
 r AS (SELECT doc_id, t, CASE WHEN len(s) = 0 THEN t ELSE array_to_string(s[1:2], '. ') END AS r FROM s)
 SELECT doc_id, CASE WHEN t = '' THEN '' ELSE {q.end_mark('r')} END AS alt FROM r""",
     alt=text.two_sentences,
