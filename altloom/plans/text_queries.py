@@ -135,7 +135,7 @@ over_documents(
     f"""
 WITH a AS (SELECT doc_id, {q.strip("'This is a ' || text")} AS t FROM documents),
 b AS (SELECT doc_id, {q.strip("regexp_replace(t, '^(This is a PowerPoint shape\\. It is |This is a PowerPoint |This is a |A PowerPoint |PowerPoint )', '')")} AS t FROM a),
-c AS (SELECT doc_id, {FINALIZED.format(x='t')} AS t FROM b),
+c AS (SELECT doc_id, {FINALIZED_FULL.format(x='t')} AS t FROM b),
 d AS (SELECT doc_id, t, left(t, 70) AS h FROM c)
 SELECT doc_id, CASE WHEN length(t) <= 70 THEN t
   WHEN regexp_matches(h, '(?s)^.{{50,}}\\. ') THEN {q.strip("regexp_extract(h, '(?s)^(.{50,}\\.) ', 1)")}
