@@ -93,7 +93,7 @@ over_documents(
     "strip_vague_prefix_b06",
     f"""
 WITH t AS (SELECT doc_id, regexp_replace({q.strip('text')}, '(?i)^{q.alternation(OCCURRING_PREFIXES)}[ ,.\\-]*', '') AS t FROM documents)
-SELECT doc_id, {q.cap('t')} AS alt FROM t""",
+SELECT doc_id, {q.full_cap('t')} AS alt FROM t""",
     alt=lambda c: text.strip_vague_prefix(c, OCCURRING_PREFIXES),
 )
 
