@@ -93,16 +93,19 @@ def sync_entry(df: DataFrame) -> DataFrame:
 PAIR = "key string, value string"
 
 
-def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a map of one pair per line, with the column its folders are named by.
+def read_json_map(spark: SparkSession, path: str, by: str = "deck") -> DataFrame:
+    """(key, value) of a map of one pair per line, with what the pair belongs to.
 
-    The latest of a key's pairs in one folder wins where the file holds several.
+    A line names its ``by`` (a deck) itself; in maps of older runs its folder
+    does. The latest of a key's pairs in one deck wins.
     """
     raw = spark.read.text(path)
-    folders = [c for c in raw.columns if c != "value"]
+    folders = [c for c in raw.columns if c not in ("value", by)]
     line = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    pairs = raw.select(*folders, line.alias("__line"), F.from_json("value", PAIR).alias("p")).filter("p.key IS NOT NULL")
-    return latest(pairs.select(*folders, "__line", "p.*"), [*folders, "key"], ["__line"]).drop("__line")
+    home = F.col(by).cast("string") if by in raw.columns else F.lit(None).cast("string")
+    pairs = raw.select(*folders, line.alias("__line"), home.alias("home"), F.from_json("value", f"`{by}` string, {PAIR}").alias("p")).filter("p.key IS NOT NULL")
+    named = pairs.select(F.coalesce(F.col("p")[by], "home").alias(by), *folders, "__line", "p.key", "p.value")
+    return latest(named, [by, *folders, "key"], ["__line"]).drop("__line")
 
 
 def import_json_map(spark: SparkSession, path: str) -> DataFrame:
@@ -150,9 +153,13 @@ def read_alt_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_map(df: DataFrame, key: str, value: Column, by: str, path: str) -> None:
-    """One JSON line per pair, in a folder for each ``by`` value (a deck)."""
-    pair = F.to_json(F.struct(F.col(key).alias("key"), value.alias("value")))
-    df.select(by, pair.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+    """One JSON line per pair, with its ``by`` value (a deck).
+
+    Decks share files: a folder for each would make as many files as decks
+    times tasks.
+    """
+    pair = F.to_json(F.struct(by, F.col(key).alias("key"), value.alias("value")))
+    df.select(pair.alias("value")).write.mode("overwrite").text(path)
 
 
 # --- stages -------------------------------------------------------------------------
