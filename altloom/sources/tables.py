@@ -178,7 +178,8 @@ def read_stage(spark: SparkSession, root: str, stage: str, run_id: str) -> DataF
 
 
 def write_coverage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("deck").json(path)
+    """One JSON line per deck; decks share files."""
+    df.write.mode("overwrite").json(path)
 
 
 def audit_rows(df: DataFrame) -> DataFrame:

@@ -288,3 +288,21 @@ def test_ledger_rewrites_only_touched_buckets(spark):
     assert {(int(b.removeprefix("bucket=")), v) for v, names in enumerate(written) for b in names} == used
     found = {r.path: r.status for r in jobs.newest_version(spark, out).collect()}
     assert len(found) == 200 and (found["p7"], found["p8"], found["p9"], found["p10"]) == ("complete", "failed", "complete", "pending")
+
+
+def test_decks_share_files(spark):
+    rows = [(f"deck_{n % 200}", f"k{n}", "t") for n in range(1000)]
+    df, root = spark.createDataFrame(rows, "deck string, key string, v string").repartition(4), place()
+    tables.write_json_map(df, "key", F.col("v"), "deck", f"{root}/map")
+    tables.write_coverage(df.groupBy("deck").count(), f"{root}/coverage")
+    assert len(list(Path(root, "map").rglob("part-*"))) <= 4
+    assert len(list(Path(root, "coverage").rglob("part-*"))) <= 8
+    assert sorted(map(tuple, tables.read_json_map(spark, f"{root}/map").select("deck", "key", "value").collect())) == sorted(rows)
+    assert spark.read.schema("count bigint, deck string").json(f"{root}/coverage").agg(F.count("deck"), F.sum("count")).first() == (200, 1000)
+
+
+def test_maps_in_a_folder_per_deck_are_still_read(spark):
+    root = place()
+    lines = spark.createDataFrame([("a", '{"key": "k", "value": "1"}'), ("b", '{"key": "k", "value": "2"}')], "deck string, value string")
+    lines.write.partitionBy("deck").text(f"{root}/map")
+    assert sorted((r.deck, r.key, r.value) for r in tables.read_json_map(spark, f"{root}/map").collect()) == [("a", "k", "1"), ("b", "k", "2")]
