@@ -63,11 +63,13 @@ r AS (SELECT user_id, event_type, n, ts, ts AS kept, true AS first FROM e WHERE
 SELECT user_id, event_type, min(ts) AS first_seen FROM r WHERE first GROUP BY 1, 2""",
 )
 def stream_dedupe(spark, sf_dir):
-    def first_seen(events):
-        keyed = events.select("ts", "user_id", "event_type").withColumn("content_key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-        return jobs.stream_dedupe(keyed, "content_key", "ts", "5 days").select("user_id", "event_type", "ts")
+    root, state = folder(spark, "dedupe"), folder(spark, "dedupe-state")
 
-    found = results(spark, sf_dir, "events", first_seen, "ts", "dedupe")
+    def keyed(events):
+        return events.select("ts", "user_id", "event_type").withColumn("content_key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+
+    streamed(spark, sf_dir, "events", keyed, "ts", lambda df: jobs.stream_dedupe(df, "content_key", "ts", "5 days", root, state))
+    found = plain_clock(spark.read.parquet(root)).drop("batch")
     return found.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"))
 
 

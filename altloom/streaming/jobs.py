@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from altloom.operators import breaker
 from altloom.operators.ordered import MONEY
 from altloom.operators.reuse import latest
+from altloom.session import materialize
 
 BUCKETS = 64
 
@@ -28,9 +29,43 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructTy
     return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def stream_dedupe(df: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
-    """First element of every content within the horizon."""
-    return df.withWatermark(at, horizon).dropDuplicatesWithinWatermark([key])
+def stream_dedupe(df: DataFrame, key: str, at: str, horizon: str, root: str, checkpoint: str):
+    """First element of every content within the horizon; each batch writes its own folder.
+
+    A batch's elements of one content are taken in the order of their times,
+    whatever order they arrive in. Between batches only the end of the horizon
+    of each content's last kept element is needed, kept per batch, so that a
+    repeated batch writes the same again; it goes, like elements that are late,
+    once the newest time is a horizon further on.
+    """
+    states, span = f"{checkpoint}-states", F.expr(f"INTERVAL {horizon}")
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        element = F.struct(F.col(at).alias("at"), F.struct(*batch.columns).alias("row"))
+        rows = batch.select(F.col(key).alias("key"), F.lit(None).cast("timestamp").alias("ends"), element.alias("element"))
+        newest = [batch.agg(F.max(at)).first()[0]]
+        if batch_id > 0:  # an absent version is an error: going on without it would repeat elements
+            known = batch.sparkSession.read.parquet(f"{states}/version={batch_id - 1}")
+            before = known.agg(F.max("seen")).first()[0]
+            if before is not None:
+                rows = rows.filter(F.col("element.at") > F.lit(before) - span)
+            newest.append(before)
+            rows = rows.unionByName(known.select("key", "ends"), allowMissingColumns=True)
+        grouped = rows.groupBy("key").agg(F.max("ends").alias("ends"), F.sort_array(F.collect_list("element")).alias("elements"))
+        nothing = F.slice("elements", F.lit(1), F.lit(0))
+        walked = materialize(grouped.select("key", F.aggregate(
+            "elements", F.struct(F.col("ends"), nothing.alias("kept")),
+            lambda state, e: F.when(
+                state["ends"].isNull() | (e["at"] >= state["ends"]),
+                F.struct((e["at"] + span).alias("ends"), F.concat(state["kept"], F.array(e)).alias("kept")),
+            ).otherwise(state),
+        ).alias("state")))
+        walked.select(F.explode("state.kept").alias("e")).select("e.row.*").write.mode("overwrite").parquet(batch_path(root, batch_id))
+        seen = F.lit(max((t for t in newest if t is not None), default=None)).cast("timestamp")
+        after = walked.select("key", "state.ends", seen.alias("seen")).filter(F.coalesce(F.col("ends") > F.col("seen") - span, F.lit(True)))
+        after.write.mode("overwrite").parquet(f"{states}/version={batch_id}")
+
+    return df.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(advance).start()
 
 
 def stream_budget(attempts: DataFrame, limit: float, late: str = "1 hour") -> DataFrame:
