@@ -129,12 +129,9 @@ def word_jaccard(a: ColumnLike, b: ColumnLike) -> Column:
     """Shared share of lower-cased words; two blanks count as equal."""
 
     def share(pair: Column) -> Column:
-        both = F.size(F.array_intersect(pair["a"], pair["b"])) / F.size(F.array_union(pair["a"], pair["b"]))
-        return (
-            F.when((F.size(pair["a"]) == 0) & (F.size(pair["b"]) == 0), 1.0)
-            .when((F.size(pair["a"]) == 0) | (F.size(pair["b"]) == 0), 0.0)
-            .otherwise(both)
-        )
+        a, b = F.size(pair["a"]), F.size(pair["b"])
+        shared = let(F.size(F.array_intersect(pair["a"], pair["b"])), lambda n: n / (a + b - n))
+        return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(shared)
 
     pair = F.struct(
         F.array_distinct(words(F.lower(col(a)))).alias("a"), F.array_distinct(words(F.lower(col(b)))).alias("b")
@@ -151,8 +148,12 @@ def comparable(c: ColumnLike) -> Column:
 
 
 def equivalent(a: ColumnLike, b: ColumnLike) -> Column:
-    """Equal once both are normalised, whatever case or spacing."""
-    return comparable(a) == comparable(b)
+    """Equal once both are normalised, whatever case or spacing. Texts that differ in spacing only need no normal form."""
+
+    def same(pair: Column) -> Column:
+        return F.when(pair["a"] == pair["b"], True).otherwise(comparable(pair["a"]) == comparable(pair["b"]))
+
+    return let(F.struct(*[squash(F.coalesce(col(c), F.lit(""))).alias(n) for n, c in (("a", a), ("b", b))]), same)
 
 
 def needs_replace(current: ColumnLike, new: ColumnLike, normal: bool = False) -> Column:

@@ -384,7 +384,7 @@ SELECT doc_id, lower({q.cap('m')}) <> lower(u) AS replace_first, u <> '' AS repl
 FROM universal JOIN (SELECT doc_id, {q.end_mark("trim(split_part(regexp_replace(" + q.squash('text') + ", '([.!?])\\s+', '\\1' || chr(1)), chr(1), 1), ' .')")} AS m FROM documents) USING (doc_id)""",
 )
 def needs_replace(spark, sf_dir):
-    first = F.element_at(F.split("text", r"(?<=[.!?])\s+"), 1)
+    first = F.element_at(F.split("text", r"(?<=[.!?])\s+", 2), 1)
     return documents(spark, sf_dir).select(
         "doc_id",
         gates.needs_replace(first, "text").alias("replace_first"),

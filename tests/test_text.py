@@ -1,6 +1,7 @@
 """Golden cases and properties of the text rules."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,26 @@ def test_held_sentences_equal_plain_search(one, seed):
         return [p for n, p in enumerate(parts) if low.index(low[n]) == n and not any(low[n] in q and q != low[n] for q in low)]
 
     assert one(text.unique_sentences, *texts) == [plain(t) for t in texts]
+
+
+def test_universal_searches_only_where_a_piece_is_repeated(one):
+    """Forty thousand sentences of four words: none is looked for in all the others, and the held ones go."""
+    sentences = [f"to a{n} e{n * 7} do" for n in range(40000)]
+    held = ["to a5 e35 d", "a77 e539 do", "o a9 e63 do"]
+    start = time.perf_counter()
+    got = one(text.normalize_universal, ". ".join([*held, *sentences]) + ".")
+    assert got == ["T" + ". ".join(sentences)[1:] + "."]
+    assert time.perf_counter() - start < 20
+
+
+def test_universal_takes_control_characters_as_text(one):
+    """A sentence of one control character is not lost between two others."""
+    assert one(text.normalize_universal, "One here. \x01. Two there.") == ["One here. \x01. Two there."]
+
+
+def test_equal_but_for_spacing(one):
+    """Texts that differ in spacing only are equal, and what differs otherwise is still compared in normal form."""
+    texts = ["a b. c d.", " \n", None, "One. two!"]
+    spaced = lambda c: gates.equivalent(c, F.regexp_replace(c, " ", " \t "))
+    assert one(spaced, *texts) == [True, True, True, True]
+    assert one(lambda c: gates.equivalent(c, F.concat(F.lower(c), F.lit(" ONE."))), "One.", "Two.") == [True, False]
