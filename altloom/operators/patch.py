@@ -12,20 +12,29 @@ from altloom.functions.text import finalize_alt, normalize_universal
 from altloom.operators.joins import KEY
 
 
-def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "preserve", policy: str = "none") -> DataFrame:
-    """Rows to write: gated, different from what stands, and not yet written.
+def ready_texts(plan: DataFrame, policy: str = "none") -> DataFrame:
+    """The planned texts that pass the gate, in the form they are written in, with their hashes.
 
     ``plan``: deck, key, text, kind, is_generated, is_fallback, forced (a stored final
-    text may replace an existing one even in preserve mode). ``current``: deck,
-    key, text. ``written``: deck, key, text_hash of earlier runs. A second run is empty.
+    text may replace an existing one even in preserve mode); other columns stay. What is
+    compared more than once is best written out: the form is the costly part of a patch.
     """
     gate = write_gate(
         finalize_alt(normalize_universal("text")), "kind", F.col("is_generated"), F.col("is_fallback"), policy
     )
+    kept = [c for c in plan.columns if c not in ("text", "kind", "is_generated", "is_fallback")]
     # Exploding what the gate lets through drops the nulls and, unlike a filter,
     # does not make Spark work the text out twice.
-    gated = plan.select(*KEY, "forced", F.explode(F.array_compact(F.array(gate))).alias("new_alt"))
-    new = gated.withColumn("text_hash", text_hash("new_alt")).join(written, [*KEY, "text_hash"], "left_anti")
+    gated = plan.select(*kept, F.explode(F.array_compact(F.array(gate))).alias("new_alt"))
+    return gated.withColumn("text_hash", text_hash("new_alt"))
+
+
+def changes(ready: DataFrame, current: DataFrame, written: DataFrame, mode: str = "preserve") -> DataFrame:
+    """Of the ready texts those that differ from what stands and are not yet written.
+
+    ``current``: deck, key, text. ``written``: deck, key, text_hash of earlier runs. A second run is empty.
+    """
+    new = ready.select(*KEY, "forced", "new_alt", "text_hash").join(written, [*KEY, "text_hash"], "left_anti")
     compared = new.join(current.select(*KEY, F.col("text").alias("old_alt")), KEY, "left")
     guarded = is_meaningful("old_alt") & ~F.col("forced") if mode == "preserve" else F.lit(False)
     changed = compared.filter(~guarded).filter(needs_replace("old_alt", "new_alt", normal=True))
@@ -34,6 +43,11 @@ def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "
     )
 
 
+def patch(plan: DataFrame, current: DataFrame, written: DataFrame, mode: str = "preserve", policy: str = "none") -> DataFrame:
+    """Rows to write: gated, different from what stands, and not yet written."""
+    return changes(ready_texts(plan, policy), current, written, mode)
+
+
 def apply_patch(elements: DataFrame, patched: DataFrame) -> DataFrame:
     """Elements with the patched texts, and what happened to each."""
     joined = elements.join(patched.select(*KEY, "new_alt", "change"), KEY, "left")

@@ -308,9 +308,10 @@ def written_back(spark, sf_dir):
     )
     current = e.select(*joins.KEY, F.col("existing_alt").alias("text"))
     none = spark.createDataFrame([], "deck string, key string, text_hash string")
-    rows = materialize(patch.patch(plan, current, none))
+    ready = materialize(patch.ready_texts(plan))
+    rows = materialize(patch.changes(ready, current, none))
     after = materialize(patch.apply_patch(e.select(*joins.KEY, "existing_alt"), rows))
-    again = patch.patch(plan, after.select(*joins.KEY, F.col("existing_alt").alias("text")), rows.select(*joins.KEY, "text_hash"))
+    again = patch.changes(ready, after.select(*joins.KEY, F.col("existing_alt").alias("text")), rows.select(*joins.KEY, "text_hash"))
     checked = joins.verify(
         rows.select(*joins.KEY, F.col("new_alt").alias("text")), after.select(*joins.KEY, F.col("existing_alt").alias("text"))
     )
