@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from altloom import views
-from altloom.functions import describe, fixed, keys, rules, text
+from altloom.functions import describe, fixed, rules, text
 from altloom.operators import breaker, classify, groups, joins, ordered, patch, reuse
 from altloom.plans import sql as q
 from altloom.plans.join_queries import KEYS_SQL, OVERLAYS_SQL, STREAK_SQL, stored_keys
 from altloom.plans.registry import query
 from altloom.plans.text_queries import FINALIZED, QUALITY, UNIVERSAL
+from altloom.session import materialize
 
 ELEMENTS = views.ELEMENTS_SQL
 
@@ -440,19 +441,17 @@ def manual_review(spark, sf_dir):
 
 
 def planned(spark, sf_dir):
-    """Write plan, current texts and the ledger of an earlier run."""
+    """Texts ready to write, current texts and the ledger of an earlier run, which wrote a part of them."""
     e = views.elements(spark, sf_dir).withColumn(
         "plan", classify.write_plan("existing_alt", "generated_alt", "final_alt", "preserve")
     )
     plan = e.filter("plan.should_write").select(
-        "deck", F.col("instance_key").alias("key"), F.col("plan.final_alt").alias("text"), F.col("shape_type").alias("kind"),
+        "deck", F.col("instance_key").alias("key"), F.col("plan.final_alt").alias("text"), F.col("shape_type").alias("kind"), "width",
         F.lit(True).alias("is_generated"), F.lit(False).alias("is_fallback"), (F.col("plan.decision") == "written_final").alias("forced"),
     )
+    ready = materialize(patch.ready_texts(plan))
     current = e.select("deck", F.col("instance_key").alias("key"), F.col("existing_alt").alias("text"))
-    done = e.filter("width % 4 = 0").select(
-        "deck", F.col("instance_key").alias("key"), keys.text_hash(text.finalize_alt(text.normalize_universal(F.col("plan.final_alt")))).alias("text_hash")
-    )
-    return plan, current, done
+    return ready, current, ready.filter("width % 4 = 0").select("deck", "key", "text_hash")
 
 
 PLAN_SQL = f"""{ELEMENTS}, w AS (SELECT uid AS doc_id, deck, instance_key AS key, shape_type, width, existing_alt, {q.strip('existing_alt')} AS e, CASE WHEN trim(final_alt) <> '' THEN {q.strip('final_alt')} WHEN trim(existing_alt) <> '' THEN NULL
@@ -470,7 +469,7 @@ patch AS (SELECT deck, key, existing_alt AS old_alt, n AS new_alt, CASE WHEN e =
 
 @query("patch_l01", f"WITH {PATCH_SQL} SELECT * FROM patch")
 def patch_rows(spark, sf_dir):
-    return patch.patch(*planned(spark, sf_dir))
+    return patch.changes(*planned(spark, sf_dir))
 
 
 @query(
@@ -480,7 +479,7 @@ def patch_rows(spark, sf_dir):
 )
 def apply_patch(spark, sf_dir):
     e = views.elements(spark, sf_dir).select("deck", F.col("instance_key").alias("key"), "existing_alt")
-    return patch.apply_patch(e, patch.patch(*planned(spark, sf_dir)))
+    return patch.apply_patch(e, patch.changes(*planned(spark, sf_dir)))
 
 
 @query(
