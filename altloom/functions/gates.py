@@ -133,10 +133,11 @@ def word_jaccard(a: ColumnLike, b: ColumnLike) -> Column:
         shared = let(F.size(F.array_intersect(pair["a"], pair["b"])), lambda n: n / (a + b - n))
         return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(shared)
 
-    pair = F.struct(
-        F.array_distinct(words(F.lower(col(a)))).alias("a"), F.array_distinct(words(F.lower(col(b)))).alias("b")
-    )
-    return let(pair, share)
+    def taken(low: Column) -> Column:
+        pair = F.struct(*[F.array_distinct(words(low[n])).alias(n) for n in ("a", "b")])
+        return F.when(low["a"] == low["b"], 1.0).otherwise(let(pair, share))
+
+    return let(F.struct(F.lower(col(a)).alias("a"), F.lower(col(b)).alias("b")), taken)
 
 
 def mostly_same(a: ColumnLike, b: ColumnLike, threshold: float = 0.8) -> Column:

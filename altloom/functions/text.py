@@ -136,7 +136,7 @@ def canonical_boilerplate(c: ColumnLike) -> Column:
 
     # No letter outside ASCII has one of these as its other case.
     once = let(col(c), lambda t: F.when(t.rlike("[Pp][Oo][Ww][Ee][Rr][Pp]"), named(t)).otherwise(t))
-    return let(once, lambda t: F.when(t.contains("("), sized(t)).otherwise(t))
+    return let(once, lambda t: F.when(t.rlike("[(]"), sized(t)).otherwise(t))
 
 
 def normalize_universal(c: ColumnLike) -> Column:
@@ -259,11 +259,14 @@ def short_title(
 def compare_key(c: ColumnLike) -> Column:
     """Case, blanks and closing marks levelled for comparison."""
 
+    # Pieces of regexes are found faster than literal parts, which Spark compares at every byte.
+    nouns = f"[{''.join(sorted({n[0] for n in fixed.PROPER_NOUNS}))}]" + any_of(n[1:] for n in fixed.PROPER_NOUNS)
+
     def level(low: Column) -> Column:
+        raised = low
         for noun in fixed.PROPER_NOUNS:
-            raised = F.regexp_replace(low, f"(?<![^ ]){literal(noun)}(?![^ ])", noun.capitalize())
-            low = F.when(low.contains(noun), raised).otherwise(low)
-        return capitalize_first(low)
+            raised = F.regexp_replace(raised, f"(?<![^ ]){literal(noun)}(?![^ ])", noun.capitalize())
+        return capitalize_first(F.when(low.rlike(nouns), raised).otherwise(low))
 
     levelled = let(F.lower(squash(c)), level)
     return F.when(F.coalesce(col(c), F.lit("")) == "", "").otherwise(

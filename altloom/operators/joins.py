@@ -148,16 +148,18 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     pairs = expected.select(*KEY, strip("text").alias("expected")).join(
         actual.select(*KEY, text_of("text").alias("actual")), KEY
     )
-    exact, levelled = F.col("expected") == F.col("actual"), compare_key("expected") == compare_key("actual")
+    # Equal texts agree in every other way too; only the others are taken apart.
+    exact = F.col("expected") == F.col("actual")
+    levelled = F.when(exact, True).otherwise(compare_key("expected") == compare_key("actual"))
     diff = punct_diff("expected", "actual")
-    return pairs.withColumn("__diff", diff).select(
+    return pairs.withColumns({"__diff": diff, "levelled": levelled}).select(
         *KEY,
         exact.alias("exact"),
-        levelled.alias("levelled"),
-        mostly_same("expected", "actual").alias("mostly_same"),
+        "levelled",
+        F.when(exact, True).otherwise(mostly_same("expected", "actual")).alias("mostly_same"),
         (F.length("actual") - F.length("expected")).alias("length_diff"),
         F.when(~exact, F.col("__diff.reason")).alias("punctuation"),
-        (~levelled & is_templated("actual")).alias("repair"),
+        (~F.col("levelled") & is_templated("actual")).alias("repair"),
     )
 
 
