@@ -69,7 +69,7 @@ def passes_gate(
 def passes_lenient(c: ColumnLike, blocked: Sequence[str] = fixed.LENIENT_BLOCKED) -> Column:
     return let(
         strip(F.coalesce(col(c), F.lit(""))),
-        lambda t: (t != "") & (F.length(t) <= 200) & ~has_any(F.lower(t), blocked),
+        lambda t: (t != "") & (F.length(t) <= fixed.LENIENT_LIMIT) & ~has_any(F.lower(t), blocked),
     )
 
 

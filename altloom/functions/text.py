@@ -15,6 +15,9 @@ from altloom.functions.base import (
 
 # A blank before a line feed or a word with one of these initials, about a third of all words.
 PIECE_CUT = r" (?=[\naeiou0-9\x80-\uffff])"
+# What boilerplate with a name and with a size holds; no letter outside ASCII has one of these as its other case.
+NAMED_BOILERPLATE = "[Pp][Oo][Ww][Ee][Rr][Pp]"
+SIZED_BOILERPLATE = f"(?U)[EeRr]{fixed.ASCII_SPACE}*[(]"
 
 
 def end_mark(c: ColumnLike) -> Column:
@@ -134,8 +137,7 @@ def canonical_boilerplate(c: ColumnLike) -> Column:
             t, r"(?iU)^(A (?:shape|line|connector)\s*\([^)]*\))\s+(This is a PowerPoint (?:shape|line|connector)\b)", "$2"
         )
 
-    # No letter outside ASCII has one of these as its other case.
-    once = let(col(c), lambda t: F.when(t.rlike("[Pp][Oo][Ww][Ee][Rr][Pp]"), named(t)).otherwise(t))
+    once = let(col(c), lambda t: F.when(t.rlike(NAMED_BOILERPLATE), named(t)).otherwise(t))
     return let(once, lambda t: F.when(t.rlike("[(]"), sized(t)).otherwise(t))
 
 
@@ -145,6 +147,28 @@ def normalize_universal(c: ColumnLike) -> Column:
     return let(end_mark(canonical_boilerplate(joined)), capitalize_first)
 
 
+def normal_form_exceeds(c: ColumnLike, limit: int) -> Column:
+    """True only where ``normalize_universal`` gives more than ``limit`` characters, told from a text's beginning.
+
+    Every sentence lives on, whole and in any case, in one that is kept. A word inside
+    a sentence, with a word on both sides, so stands between two blanks of the normal
+    form, and different words there share no place: their lengths with a blank each
+    add up to no more than the whole. Texts that the boilerplate rules may shorten, and
+    those that begin with few different words inside sentences, are not judged.
+    """
+
+    def inner_words(t: Column) -> Column:
+        # Dots alone are trimmed off a sentence, so they are no word behind another.
+        found = F.regexp_extract_all(F.lower(squash(head(t, 3 * limit))), F.lit(r"(?<=[^.!?] )[^ ]*[^ .!?](?= \.*[^ .])"), F.lit(0))
+        # One letter has two characters in lower case; the second does not count.
+        return F.length(F.translate(F.array_join(F.array_distinct(found), " "), "\u0307", ""))
+
+    def judge(t: Column) -> Column:
+        return (F.length(t) > limit) & (inner_words(t) > limit) & ~(t.contains("(") & t.rlike(SIZED_BOILERPLATE)) & ~t.rlike(NAMED_BOILERPLATE)
+
+    return F.coalesce(let(col(c), judge), F.lit(False))
+
+
 def collapse_repeats(c: ColumnLike) -> Column:
     """Remove repeated size preambles, sentences, sizes and format names."""
     marker = "This is a PowerPoint shape"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from altloom.functions import fixed
 from altloom.functions.base import is_blank, strip
 from altloom.functions.gates import is_meaningful, needs_replace, write_gate
 from altloom.functions.keys import text_hash
-from altloom.functions.text import finalize_alt, normalize_universal
+from altloom.functions.text import finalize_alt, normal_form_exceeds, normalize_universal
 from altloom.operators.joins import KEY
 
 
@@ -19,9 +20,11 @@ def ready_texts(plan: DataFrame, policy: str = "none") -> DataFrame:
     text may replace an existing one even in preserve mode); other columns stay. What is
     compared more than once is best written out: the form is the costly part of a patch.
     """
-    gate = write_gate(
-        finalize_alt(normalize_universal("text")), "kind", F.col("is_generated"), F.col("is_fallback"), policy
-    )
+    form = finalize_alt(normalize_universal("text"))
+    if policy == "none":
+        # This gate stops long texts, and most of them are known to be long before their form is worked out.
+        form = F.when(~normal_form_exceeds("text", fixed.LENIENT_LIMIT), form)
+    gate = write_gate(form, "kind", F.col("is_generated"), F.col("is_fallback"), policy)
     kept = [c for c in plan.columns if c not in ("text", "kind", "is_generated", "is_fallback")]
     # Exploding what the gate lets through drops the nulls and, unlike a filter,
     # does not make Spark work the text out twice.

@@ -451,6 +451,8 @@ def planned(spark, sf_dir):
     )
     ready = materialize(patch.ready_texts(plan))
     current = e.select("deck", F.col("instance_key").alias("key"), F.col("existing_alt").alias("text"))
+    # Only what stands where a text is ready is compared; the other texts are not moved for it.
+    current = current.join(ready.select(*joins.KEY), joins.KEY, "left_semi")
     return ready, current, ready.filter("width % 4 = 0").select("deck", "key", "text_hash")
 
 
