@@ -187,13 +187,22 @@ def audit_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join("notes", "; ").alias("notes") if c == "notes" else F.col(c) for c in AUDIT])
 
 
+# A text is written as it is, with its outer blanks; a null field is bare, an empty text is two quotes. A reader cannot be told
+# that nothing stands for null, so it gets a noncharacter: only a text that is this alone comes back as null.
+AUDIT_FORM = {
+    "header": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+BARE = "\ufdd0"
+
+
 def write_audit_csv(df: DataFrame, path: str) -> None:
-    audit_rows(df).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    audit_rows(df).write.mode("overwrite").options(**AUDIT_FORM).csv(path)
 
 
 def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in AUDIT)
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return spark.read.schema(schema).options(**AUDIT_FORM, nullValue=BARE, multiLine=True).csv(path)
 
 
 def decision_log(df: DataFrame) -> DataFrame:
