@@ -13,8 +13,13 @@ phrase cannot reach the support and is not counted again.
 A shard is a run of rows within a task: a twelfth of all text (``SHARDS``), but
 at most ``SHARD_BYTES``, which bounds its memory. Small partitions are joined,
 so that shards are few and the lowered support stays high. The support is an
-absolute number: from about 100 shards on it falls to one, and then every
-phrase is counted.
+absolute number: from about 100 shards on it falls to one, where it would let
+every phrase through. So where it falls to ``LOWEST`` or less, all phrases are
+first counted by their hash in a table of counters (``MOST_SLOTS`` at most),
+which tasks fill for their texts and send piece by piece. A phrase occurs at
+most as often as its counter says, all that share it together, so the shards
+leave out phrases under a counter that does not reach the support, and what
+these would grow to. None that reaches it is lost.
 
 Within a shard phrases grow by a word at a time, and only where both the
 phrase without its last word and that without its first one have stayed. They
@@ -30,7 +35,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +57,12 @@ SHARD_BYTES = 64 << 20
 SHARDS = 12
 SORTED = 1 << 20
 MOST_BITS = 1 << 27
+LOWEST = 5
+MOST_SLOTS = 1 << 27
+PIECE = 1 << 16
+RUN = 1 << 15
+TALLY_BYTES = 8 << 20
+TASK_BYTES = 1 << 29
 FEW = 10_000
 KINDS = table(b" \t", b".,;:!?\n\x0b\x0c\r")
 
@@ -180,8 +191,8 @@ def mixed(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(29))
 
 
-def prepared(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """lang, text and lang_bytes, the bytes of all texts of the language, in few partitions, and the size of a shard."""
+def prepared(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
+    """lang, text and lang_bytes, the bytes of all texts of the language, in few partitions; the size of a shard and that of all texts."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), whole("text").alias("text"))
     sizes = own.select("lang", F.octet_length("text").alias("size"), F.spark_partition_id().alias("partition"))
     totals = materialize(sizes.groupBy("lang").agg(F.sum("size").alias("lang_bytes"), F.max("partition").alias("last")))
@@ -191,7 +202,7 @@ def prepared(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     total, partitions = max(total or 0, 1), (last or 0) + 1
     shard_bytes = min(shard_bytes, max(total // SHARDS, 1 << 20))
     # As many partitions to a task as make a shard.
-    return joined.coalesce(-(-partitions // max(1, shard_bytes * partitions // total))), shard_bytes
+    return joined.coalesce(-(-partitions // max(1, shard_bytes * partitions // total))), shard_bytes, total
 
 
 def per_row(table: DataFrame, rows: int) -> DataFrame:
@@ -199,18 +210,89 @@ def per_row(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= FEW else table
 
 
-def united(texts: DataFrame, support: int, longest: int, shard_bytes: int) -> DataFrame:
-    """Hashes of the phrases that are frequent in a shard, at its lowered support, and may be so over all."""
+def holds(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Is the bit set that a hash has in the table?"""
+    last = np.uint64(64 * len(table) - 1)
+
+    def held(hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & last
+        return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+    return held
+
+
+def tally(shard: Shard, counters: np.ndarray, longest: int, support: int) -> None:
+    """Count all phrases of a shard by their hash. A counter stops at the support; a run of words cannot take it past its type."""
+    n, seeds, of_language = len(shard.codes), hashed(shard.words, 11), hashed(shard.languages, 13)
+    last, one = np.uint64(len(counters) - 1), counters.dtype.type(1)
+    for begin in range(0, n, RUN):
+        end = min(begin + RUN, n)
+        words, opens = seeds[shard.codes[begin : end + longest - 1]], shard.opens[begin : end + longest - 1]
+        hashes, inside = of_language[shard.language[begin:end]], np.ones(end - begin, bool)
+        for k in range(longest):
+            # Of the last words of a shard fewer have one that stands k places on.
+            most = min(end - begin, len(words) - k)
+            hashes = mixed(hashes[:most], words[k : k + most])
+            inside = inside[:most] & ~opens[k : k + most] if k else inside
+            slots = (hashes[inside] & last).astype(np.int64)
+            np.add.at(counters, slots, one)
+            counters[slots[counters[slots] > support]] = support
+
+
+def reached(texts: DataFrame, support: int, longest: int, shard_bytes: int, total: int) -> np.ndarray:
+    """A table of bits: under which hashes there are so many phrases over all texts that one of them may reach the support."""
+    size = max(PIECE, min(MOST_SLOTS, 1 << (2 * total // support).bit_length()))
+    kind = np.uint16 if support + RUN < 1 << 16 else np.uint32
+    sent = np.uint8 if support < 256 else kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = None
+        for shard in shards(batches, min(shard_bytes, TALLY_BYTES)):
+            counters = np.zeros(size, kind) if counters is None else counters
+            tally(shard, counters, longest, support)
+        for begin in range(0, size if counters is not None else 0, PIECE):
+            counts = counters[begin : begin + PIECE].astype(sent).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([begin // PIECE]), pa.array([counts], pa.binary())], ["piece", "counts"])
+
+    def add(found: pa.Table) -> pa.Table:
+        sums = np.zeros(PIECE, np.int64)
+        for counts in found.column("counts"):
+            sums += np.frombuffer(counts.as_buffer(), sent)
+        bits = np.packbits(sums >= support, bitorder="little").tobytes()
+        return pa.table({"piece": found.column("piece").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    # Every task sends a whole table: few tasks, but some for each core.
+    tasks = max(2 * texts.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)
+    pieces = texts.coalesce(tasks).mapInArrow(run, "piece bigint, counts binary")
+    found = pieces.groupBy("piece").applyInArrow(add, "piece bigint, bits binary").toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    for piece, bits in zip(found.column("piece").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[piece * (PIECE // 64) : (piece + 1) * (PIECE // 64)] = np.frombuffer(bits, "<u8")
+    return out
+
+
+def united(texts: DataFrame, support: int, longest: int, shard_bytes: int, open_to: np.ndarray | None = None) -> DataFrame:
+    """Hashes of the phrases that are frequent in a shard, at its lowered support, and may be so over all.
+
+    ``open_to``: bits of the hashes whose phrases may reach the support at all.
+    """
+    sent = None if open_to is None else texts.sparkSession.sparkContext.broadcast(open_to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["language", "hash", "over"]
+        may_reach = None if sent is None else holds(sent.value)
         for shard in shards(batches, shard_bytes):
             # The least whole count that is not below the share of the support, in whole numbers.
             own = zip(shard.bytes_of, shard.totals, strict=True)
             least = np.array([max(1, -(-support * int(some) // max(int(total), 1))) for some, total in own], np.int64)
             languages = hashed(shard.languages, 13).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(languages), pa.nulls(len(least), pa.int64()), pa.array(least - 1)], names)
-            for level in mined(shard, longest, lambda language, counts, _, least=least: counts >= least[language]):
+
+            def stays(language: np.ndarray, counts: np.ndarray, hashes: np.ndarray, least: np.ndarray = least) -> np.ndarray:
+                enough = counts >= least[language]
+                return enough if may_reach is None else enough & may_reach(hashes)
+
+            for level in mined(shard, longest, stays):
                 of = shard.language[level.at]
                 over = level.counts - (least[of] - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(languages[of]), pa.array(level.hashes.view(np.int64)), pa.array(over)], names)
@@ -251,20 +333,14 @@ def counted(texts: DataFrame, asked: np.ndarray, support: int, longest: int, sha
     names = ["lang", "phrase", "size", "f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        last = np.uint64(64 * len(table) - 1)
-
-        def stays(language: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-            slot = hashes & last
-            return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
+        is_asked = holds(sent.value)
         for shard in shards(batches, shard_bytes):
             languages = pa.array(shard.languages, pa.string())
             all_words = np.bincount(shard.language, minlength=len(languages))
             yield pa.RecordBatch.from_arrays(
                 [languages, pa.array([""] * len(languages)), pa.array(np.zeros(len(languages), np.int32)), pa.array(all_words.astype(np.int64))], names
             )
-            for level in mined(shard, longest, stays):
+            for level in mined(shard, longest, lambda language, counts, hashes: is_asked(hashes)):
                 for k in range(0, len(level.at), 1 << 18):
                     at, counts = level.at[k : k + (1 << 18)], level.counts[k : k + (1 << 18)]
                     words = [shard.words.take(pa.array(shard.codes[at + j])) for j in range(level.size)]
@@ -279,8 +355,10 @@ def counted(texts: DataFrame, asked: np.ndarray, support: int, longest: int, sha
 
 def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, phrase, size and f of every phrase of at most ``longest`` words that occurs ``support`` times or more."""
-    texts, shard_bytes = prepared(docs, shard_bytes)
-    asked = bits(materialize(united(texts, support, longest, shard_bytes)))
+    texts, shard_bytes, total = prepared(docs, shard_bytes)
+    lowered = support * shard_bytes <= LOWEST * total
+    open_to = reached(texts, support, longest, shard_bytes, total) if lowered else None
+    asked = bits(materialize(united(texts, support, longest, shard_bytes, open_to)))
     return materialize(counted(texts, asked, support, longest, shard_bytes))
 
 
